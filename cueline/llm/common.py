@@ -30,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most 256 rows and 8 MB, unless the session has its own smaller bounds."""
+    for key, most in (("maxRecordsPerBatch", 256), ("maxBytesPerBatch", 8 << 20)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", "0"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

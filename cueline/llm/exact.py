@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, documents, text_of
+from .common import SPACE, documents, small_batches, text_of, written
 
 LEAST, MEAN, MOST = 256, 1024, 8192
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
@@ -48,17 +48,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row.
 
     Texts are cut at content-defined places. Each distinct chunk moves once from a map task, to verify that its digest
-    stands for one content; from then on the ordered lists of chunk identifiers are compared and no text moves.
+    stands for one content; the ordered lists of chunk identifiers go to a table in the shared folder, and
+    from then on only they are compared and no text moves.
     Null text counts as empty (all empty texts are one group, with an empty list). Of rows equal in id and text one
     stays. Null ids stay only if the whole group has none. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
     cut = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.pandas_udf(chunks_of, T.ArrayType(T.BinaryType()))("norm").alias("chunks"))
     if verify:
         store = cut.select(F.explode("chunks").alias("chunk")).select(F.unhex(F.sha2("chunk", 256)).alias("chunk_id"), "chunk").distinct()
         if not store.groupBy("chunk_id").count().filter("count > 1").isEmpty():
             raise ValueError("two chunks share one digest")
-    recipes = cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe"))
+    recipes = written(cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe")))
     groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     rows = recipes.withColumn("_nth", nth).join(groups.withColumn("_many", F.lit(True)), "recipe", "left")

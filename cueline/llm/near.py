@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, small_batches, text_of, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -136,6 +136,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty or blank texts have no shingles and link with nothing: ``component_id`` is their own id. Null ids belong
     to the component of their text; rows that repeat the kept id and its text are all kept. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("xh"))
     table = written(rows.mapInArrow(_signatures(shingle), "doc_id long, xh long, n_shingles long, node binary, bits array<long>, bands array<long>"))
     named = table.filter("node is not null")
