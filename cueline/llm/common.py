@@ -31,11 +31,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of at most 256 rows and 8 MB, unless the session has its own smaller bounds."""
-    for key, most in (("maxRecordsPerBatch", 256), ("maxBytesPerBatch", 8 << 20)):
-        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", "0"))
-        if not 0 < now <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    """From now on the session sends texts to Python in batches of at most 256 rows and 8 MB, whatever their lengths."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 257):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def text_of(col: str | Column) -> Column:
