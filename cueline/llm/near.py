@@ -128,10 +128,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Texts with equal shingle sets are one class, and only classes are compared, so copies cost nothing. Candidates
-    share a band. First each class meets the least class of its buckets, twice (the second time one that is not yet
-    in its component): that joins large groups with a few pairs a text. Then, for what remains, all pairs of *different
-    components* that share a bucket are compared, so no link between candidates is lost and no group is expanded into
-    all its pairs. The packed bits sort out candidates, the full sets confirm every link.
+    share a band. First each class meets the class of its buckets that has most neighbours, then the one that has most
+    outside the first one's component: that joins large groups with a few pairs a text. Then, for what remains, pairs of
+    *different components* that share a bucket are compared, each once, so no link between candidates is lost and no
+    group is expanded into all its pairs. The packed bits sort out candidates, the full sets confirm every link.
 
     Null, empty or blank texts have no shingles and link with nothing: ``component_id`` is their own id. Null ids belong
     to the component of their text; rows that repeat the kept id and its text are all kept. Other columns are ignored.
@@ -142,30 +142,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = table.filter("node is not null")
     classes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "xh")).alias("one"), F.min("doc_id").alias("least_id"), F.min("bits").alias("bits"), F.min("bands").alias("bands")))
     bands = classes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     members = written(bands.join(shared, "band"))
+    mates = members.groupBy("node").agg(F.sum("k").alias("mates"), F.sort_array(F.collect_list("band")).alias("bands"))
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.*").withColumnRenamed("doc_id", "_id")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["xh"] == wanted["xh"])).select("node", "text")
     sets = written(texts.mapInArrow(_sets(shingle), "node binary, shingles array<long>").dropDuplicates(["node"]))
 
-    links, comp = None, members.select("node").distinct().withColumn("comp", F.col("node"))
+    nodes = written(mates)
+    links, comp = None, nodes.select("node", F.col("node").alias("comp"))
     for k in range(STAR_ROUNDS + 1):
-        placed = members.join(comp, "node") if k else members.withColumn("comp", F.col("node"))
+        placed = members.select("band", "node").join(nodes, "node").join(comp, "node")
         if k < STAR_ROUNDS:
-            heads = placed.groupBy("band").agg(F.min(F.struct("comp", "node")).alias("m") if k == 0 else F.max(F.struct("comp", "node")).alias("m"))
-            pairs = placed.join(heads, "band").filter("comp <> m.comp").select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+            heads = placed.groupBy("band").agg(F.max(F.struct("mates", "node", "comp")).alias("h"))
+            if k:
+                heads = placed.join(heads, "band").filter("comp <> h.comp").groupBy("band").agg(F.max(F.struct("mates", "node", "comp")).alias("h"))
+            pairs = placed.join(heads, "band").filter("comp <> h.comp").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
         else:
-            parts = placed.select("band", "comp").distinct()
-            mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
-            parts = parts.join(mixed, "band")
-            across = parts.join(parts.withColumnRenamed("comp", "other"), "band").filter("comp < other")
-            left = across.join(placed, ["band", "comp"]).withColumnRenamed("node", "a")
-            right = placed.withColumnsRenamed({"node": "b", "comp": "other"})
-            pairs = left.join(right, ["band", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("most"))
+            rest = placed.join(parts.filter("comps > 1"), "band").withColumn("minor", F.col("comp") != F.col("most.comp")).select("band", "node", "comp", "bands", "minor")
+            other = rest.withColumnsRenamed({"band": "band_b", "node": "b", "comp": "other", "bands": "theirs", "minor": "minor_b"})
+            once = (F.col("comp") != F.col("other")) & (~F.col("minor_b") | (F.col("node") < F.col("b"))) & (F.array_min(F.array_intersect("bands", "theirs")) == F.col("band"))
+            pairs = rest.filter("minor").join(other, (F.col("band") == F.col("band_b")) & once).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         found = _confirmed(pairs, classes, sets, percent)
         links = written(found if links is None else links.union(found))
         roots = components(links)
-        comp = written(members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
+        comp = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
     ids = classes.select("node", "least_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     ids = written(ids.join(least, "comp").select("node", "component_id"))
