@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D\x{3000}]+"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, where f uses it many times."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def compact(t: Column) -> Column:
     return F.regexp_replace(t, BLANK, "")
 
@@ -31,9 +36,12 @@ def contains_any(t: Column, phrases: Sequence[str]) -> Column:
 
 def dominant_share(t: Column) -> Column:
     """Count of the commonest character over the length; 1 for nothing."""
-    c = compact(t)
-    counts = F.transform(F.array_distinct(F.split(c, "")), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
-    return F.when(F.length(c) == 0, F.lit(1.0)).otherwise(F.array_max(counts) / F.length(c))
+
+    def share(c: Column) -> Column:
+        counts = F.transform(F.array_distinct(F.split(c, "")), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+        return F.when(F.length(c) == 0, F.lit(1.0)).otherwise(F.array_max(counts) / F.length(c))
+
+    return let(compact(t), share)
 
 
 def looping(t: Column) -> Column:
@@ -82,8 +90,8 @@ def ass_escape(t: Column) -> Column:
 
 
 def bigrams(t: Column) -> Column:
-    c = compact(t)
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))))
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+    return let(compact(t), lambda c: F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(pairs(c)))
 
 
 def set_overlap(a: Column, b: Column) -> Column:

@@ -68,7 +68,7 @@ def overlap(spark, d):
 
 
 OVERLAP = f"""with {EV}, {ISLANDS}
-select a.track as name, a.pos, a.start_ms, a.end_ms, coalesce(sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)), 0)::bigint overlap_ms
+select a.track as name, a.pos, a.start_ms, a.end_ms, coalesce(sum(case when b.track is not null then least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) end), 0)::bigint overlap_ms
 from cue_ev a left join merged b on b.track = 'view' and a.start_ms < b.end_ms and b.start_ms < a.end_ms where a.track <> 'view' group by all"""
 
 
