@@ -96,17 +96,24 @@ def edit_rate(reference: DataFrame, candidate: DataFrame, keys: Sequence[str] =
 
 
 def windowed_dedup(df: DataFrame, window_ms: int, keys: Sequence[str] = ("track",)) -> DataFrame:
-    """Cues that survive when a repeat within ``window_ms`` of the last *surviving* equal text goes."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values(list(ORDER)), [], None
-        for s in pdf["start_ms"]:
-            keep = last is None or s - last > window_ms
-            kept.append(keep)
-            last = s if keep else last
-        return pdf[kept]
-
-    return df.groupBy(*keys, "text").applyInPandas(fold, df.schema)
+    """Cues that survive when a repeat within ``window_ms`` of the last *surviving* equal text goes.
+
+    Rows are dealt by keys and text and sorted; one pass over a partition keeps the last survivor of the current text
+    only, so a long run of one text needs no memory.
+    """
+    by = [*keys, "text"]
+
+    def fold(parts):
+        now, last = None, None
+        for pdf in parts:
+            kept = []
+            for *key, s in zip(*[pdf[c] for c in by], pdf["start_ms"]):
+                keep = key != now or s - last > window_ms
+                kept.append(keep)
+                now, last = key, s if keep else last
+            yield pdf[kept]
+
+    return df.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInPandas(fold, df.schema)
 
 
 def merge_short(df: DataFrame, short: int, max_gap: int, max_chars: int) -> DataFrame:
