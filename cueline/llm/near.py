@@ -18,6 +18,8 @@ from .graph import components
 SHINGLE, PERCENT = 5, 80
 #: 128 minima; 25 bands of 5: texts at similarity 0.8 share a band but once in 20,000, at 0.85 once in 2 million.
 MINIMA, ROWS, BITS = 128, 5, 4
+#: Bits of the parity sketch, see ``parities``.
+PARITY = 1024
 #: What the estimate from the bits may miss the true similarity by: six standard deviations.
 MARGIN = 0.21
 STAR_ROUNDS = 2
@@ -67,24 +69,31 @@ def packed(best: np.ndarray) -> bytes:
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of PARITY bins holds an odd number of the shingles. Sets whose sketches differ in k bits differ in k shingles at least."""
+    bins = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
+    return np.packbits((np.bincount(bins.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signatures(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bits", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         for b in batches:
-            n, nodes, bits, bands = [], [], [], []
+            n, nodes, bits, parity, bands = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 if not len(s):
-                    nodes.append(None), bits.append(None), bands.append(None)
+                    nodes.append(None), bits.append(None), parity.append(None), bands.append(None)
                     continue
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 best = minima(s)
                 bits.append(np.frombuffer(packed(best), np.int64))
+                parity.append(parities(s))
                 bands.append([xxhash.xxh3_64_intdigest(best[i : i + ROWS].tobytes(), seed=i) - 2**63 for i in range(0, MINIMA - ROWS + 1, ROWS)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("xh"), pa.array(n, pa.int64()), *[pa.array(v, t.type) for v, t in zip((nodes, bits, bands), list(schema)[3:])]], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("xh"), pa.array(n, pa.int64()), *[pa.array(v, t.type) for v, t in zip((nodes, bits, parity, bands), list(schema)[3:])]], schema=schema)
 
     return run
 
@@ -114,12 +123,16 @@ def estimate(x: str, y: str):
     return (1 - differ / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose bits agree well enough and whose full sets are similar enough."""
-    bits = classes.select("node", "bits")
-    near = pairs.join(bits.withColumnsRenamed({"node": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"node": "b", "bits": "y"}), "b")
-    near = near.filter(estimate("x", "y") >= percent / 100 - MARGIN).select("a", "b")
-    full = near.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+def possible(percent: int):
+    """Whether sketches ``x`` and ``y`` allow a link. Never false for sets that similar, as far as the parities tell; the bits leave MARGIN."""
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)  # unrolled, the method gets too long to be compiled
+    # |X and Y| >= s |X or Y| is the same as (1 + s) |X xor Y| <= (1 - s) (|X| + |Y|)
+    return ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n"))) & (estimate("x.bits", "y.bits") >= percent / 100 - MARGIN)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are similar enough."""
+    full = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
     return full.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -131,16 +144,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share a band. First each class meets the class of its buckets that has most neighbours, then the one that has most
     outside the first one's component: that joins large groups with a few pairs a text. Then, for what remains, pairs of
     *different components* that share a bucket are compared, each once, so no link between candidates is lost and no
-    group is expanded into all its pairs. The packed bits sort out candidates, the full sets confirm every link.
+    group is expanded into all its pairs. Packed bits and parities sort candidates out where they meet, before they make
+    a row (parities only such as cannot be similar enough); the full sets confirm every link.
 
     Null, empty or blank texts have no shingles and link with nothing: ``component_id`` is their own id. Null ids belong
     to the component of their text; rows that repeat the kept id and its text are all kept. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("xh"))
-    table = written(rows.mapInArrow(_signatures(shingle), "doc_id long, xh long, n_shingles long, node binary, bits array<long>, bands array<long>"))
+    table = written(rows.mapInArrow(_signatures(shingle), "doc_id long, xh long, n_shingles long, node binary, bits array<long>, parity array<long>, bands array<long>"))
     named = table.filter("node is not null")
-    classes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "xh")).alias("one"), F.min("doc_id").alias("least_id"), F.min("bits").alias("bits"), F.min("bands").alias("bands")))
+    classes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "xh")).alias("one"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("n_shingles").alias("n"), "parity", "bits")).alias("sketch"), F.min("bands").alias("bands")))
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     members = written(bands.join(shared, "band"))
@@ -150,6 +164,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(texts.mapInArrow(_sets(shingle), "node binary, shingles array<long>").dropDuplicates(["node"]))
 
     nodes = written(mates)
+    sketches = classes.select("node", "sketch")
     links, comp = None, nodes.select("node", F.col("node").alias("comp"))
     for k in range(STAR_ROUNDS + 1):
         placed = members.select("band", "node").join(nodes, "node").join(comp, "node")
@@ -158,13 +173,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if k:
                 heads = placed.join(heads, "band").filter("comp <> h.comp").groupBy("band").agg(F.max(F.struct("mates", "node", "comp")).alias("h"))
             pairs = placed.join(heads, "band").filter("comp <> h.comp").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+            pairs = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b").filter(possible(percent)).select("a", "b")
         else:
             parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("most"))
-            rest = placed.join(parts.filter("comps > 1"), "band").withColumn("minor", F.col("comp") != F.col("most.comp")).select("band", "node", "comp", "bands", "minor")
-            other = rest.withColumnsRenamed({"band": "band_b", "node": "b", "comp": "other", "bands": "theirs", "minor": "minor_b"})
-            once = (F.col("comp") != F.col("other")) & (~F.col("minor_b") | (F.col("node") < F.col("b"))) & (F.array_min(F.array_intersect("bands", "theirs")) == F.col("band"))
-            pairs = rest.filter("minor").join(other, (F.col("band") == F.col("band_b")) & once).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        found = _confirmed(pairs, classes, sets, percent)
+            rest = placed.join(parts.filter("comps > 1"), "band").withColumn("minor", F.col("comp") != F.col("most.comp")).select("band", "node", "comp", "bands", "minor").join(sketches, "node")
+            other = rest.withColumnsRenamed({"band": "band_b", "node": "b", "comp": "other", "bands": "theirs", "minor": "minor_b", "sketch": "y"})
+            once = (F.col("comp") != F.col("other")) & (~F.col("minor_b") | (F.col("node") < F.col("b"))) & possible(percent) & (F.array_min(F.array_intersect("bands", "theirs")) == F.col("band"))
+            pairs = rest.filter("minor").withColumnRenamed("sketch", "x").join(other, (F.col("band") == F.col("band_b")) & once).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        found = _confirmed(pairs, sets, percent)
         links = written(found if links is None else links.union(found))
         roots = components(links)
         comp = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")))
