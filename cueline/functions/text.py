@@ -90,12 +90,17 @@ def ass_escape(t: Column) -> Column:
 
 
 def bigrams(t: Column) -> Column:
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
-    return let(compact(t), lambda c: F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(pairs(c)))
+    """Distinct pairs of neighbouring characters, blanks aside. One pass over the characters: substrings by index would take the square of the length."""
+
+    def pairs(chars: Column) -> Column:
+        n = F.greatest(F.size(chars) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y)))
+
+    return let(F.regexp_extract_all(compact(t), F.lit("(?s)."), F.lit(0)), pairs)
 
 
 def set_overlap(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return let(a, lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, b)) / F.size(x)))
 
 
 def short_context(t: Column, fillers: Sequence[str] = ()) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import texts, timing
+from . import runs, texts, timing
 
-GROUPS = (timing.QUERIES, texts.QUERIES)
+GROUPS = (timing.QUERIES, texts.QUERIES, runs.QUERIES)
 QUERIES = {name: q for group in GROUPS for name, (q, _) in group.items()}
 ORACLES = {name: sql for group in GROUPS for name, (_, sql) in group.items() if sql}
