@@ -24,8 +24,8 @@ def durations(cues):
 
 
 def pairs_of(x: str) -> str:
-    c = f"regexp_replace({x}, '{B}', '', 'g')"
-    return f"(case when length({c}) < 2 then [] else list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))) end)"
+    chars = f"regexp_extract_all(regexp_replace({x}, '{B}', '', 'g'), '(?s).')"
+    return f"(case when len({chars}) < 2 then [] else list_distinct(list_transform(list_zip({chars}[1:-2], {chars}[2:]), lambda p: p[1] || p[2])) end)"
 
 
 RUNS = ALT + ", runs as (select 'alt' run, * from cue_alt union all by name select 'late' run, track, pos, start_ms + 30000 start_ms, end_ms + 30000 end_ms, text from cue_doc)"
