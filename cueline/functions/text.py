@@ -67,21 +67,25 @@ def asr_clean(t: Column) -> Column:
     return F.when(x == "", F.lit("")).when(x.rlike(r"[。．\.!?！？…」』]$"), x).otherwise(F.concat(x, F.lit("。")))
 
 
+def characters(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+
+def _best_place(t: Column, fits, rank) -> Column:
+    """The place from 1 to length - 1 of least rank among those whose character fits; found in one pass."""
+    return let(characters(t), lambda cs: F.array_min(F.transform(cs, lambda x, i: F.when(fits(x) & (i + 1 < F.size(cs)), rank(i + 1, F.size(cs)))))["i"])
+
+
 def wrap_at_marks(t: Column, most: int, marks: str = ".!?,;。！？、") -> Column:
     """Two lines, broken after the mark nearest the middle (the earlier of two); else unchanged."""
-    n = F.length(t)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.contains(F.lit(marks), F.substr(t, i, F.lit(1))) & (i < n))
-    best = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i * 2 - n).alias("d"), i.alias("i"))))["i"]
-    return F.when((n <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best), F.lit("\n"), F.ltrim(F.substr(t, best + 1))))
+    best = _best_place(t, lambda x: F.contains(F.lit(marks), x), lambda i, n: F.struct(F.abs(i * 2 - n).alias("d"), i.alias("i")))
+    return F.when((F.length(t) <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best), F.lit("\n"), F.ltrim(F.substr(t, best + 1))))
 
 
 def wrap_at_blanks(t: Column, most: int) -> Column:
     """Two lines, broken at the blank nearest the middle, better so that both fit."""
-    n = F.length(t)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(1)) == " ")
-    rank = lambda i: F.struct(((i - 1 > most) | (n - i > most)).alias("o"), F.abs(i * 2 - n).alias("d"), i.alias("i"))
-    best = F.array_min(F.transform(places, rank))["i"]
-    return F.when((n <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best - 1), F.lit("\n"), F.substr(t, best + 1)))
+    best = _best_place(t, lambda x: x == " ", lambda i, n: F.struct(((i - 1 > most) | (n - i > most)).alias("o"), F.abs(i * 2 - n).alias("d"), i.alias("i")))
+    return F.when((F.length(t) <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best - 1), F.lit("\n"), F.substr(t, best + 1)))
 
 
 def ass_escape(t: Column) -> Column:
@@ -96,7 +100,7 @@ def bigrams(t: Column) -> Column:
         n = F.greatest(F.size(chars) - 1, F.lit(0))
         return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
-    return let(F.regexp_extract_all(compact(t), F.lit("(?s)."), F.lit(0)), pairs)
+    return let(characters(compact(t)), pairs)
 
 
 def set_overlap(a: Column, b: Column) -> Column:
