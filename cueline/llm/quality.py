@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ FLOORS = (0.4, 0.5, 0.15, 0.15)
 SHARE = 0.75
 STEPS = 5
 LEAST_GROUP = 20
+#: A row is judged in the first of these groups that has ``LEAST_GROUP`` rows; the last takes what is left, whatever its size.
+LEVELS = (("lang", "source"), ("lang",), ())
 #: Squared distance beyond which a vector is rejected; chi-square with four degrees passes it once in a million.
 CUTOFF = 33.4
 
@@ -57,7 +61,16 @@ def consistency(share: float = SHARE) -> float:
     return share / (1 - math.exp(-lo / 2) * (1 + lo / 2 + lo * lo / 8))
 
 
-def _factor(params: DataFrame, p: int) -> DataFrame:
+def _same(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of ``keys`` with those of a table that calls them ``_lang`` and ``_source``; true for no keys."""
+    return reduce(lambda a, k: a & rows[k].eqNullSafe(F.col(f"_{k}")), keys, F.lit(True))
+
+
+def _renamed(params: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return params.withColumnsRenamed({k: f"_{k}" for k in keys})
+
+
+def _factor(params: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
     """From ``m*`` and ``c*_*`` (means, covariances) the rows of the lower Cholesky factor ``l*_*``."""
     for i in range(p):
         for j in range(i + 1):
@@ -65,67 +78,83 @@ def _factor(params: DataFrame, p: int) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             params = params.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return params.select("lang", "source", "n", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return params.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _distances(rows: DataFrame, params: DataFrame, p: int) -> DataFrame:
-    """Adds ``d2``: squared Mahalanobis distance to the group's centre, by forward substitution."""
-    q = params.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    t = rows.join(q, rows["lang"].eqNullSafe(q["_lang"]) & rows["source"].eqNullSafe(q["_source"]), "left").drop("_lang", "_source")
-    y: list[Column] = []
-    for i in range(p):
-        v = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            v = v - F.col(f"l{i}_{j}") * y[j]
-        y.append(v / F.col(f"l{i}_{i}"))
-    return t.withColumn("d2", sum((v * v for v in y[1:]), y[0] * y[0])).drop(*[c for c in params.columns if c not in ("lang", "source", "n")])
+def _distances(rows: DataFrame, params: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
+    """Adds ``n`` and ``d2``: squared Mahalanobis distance to the group's centre, by forward substitution; and ``bad2``,
+    the same of the vector whose features but the word length are moved to the centre where they are better than it."""
+    t = rows.join(_renamed(params, keys), _same(rows, keys), "left").drop(*[f"_{k}" for k in keys])
+    away = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)]
+
+    def squared(v: Sequence[Column]) -> Column:
+        y: list[Column] = []
+        for i in range(p):
+            rest = v[i]
+            for j in range(i):
+                rest = rest - F.col(f"l{i}_{j}") * y[j]
+            y.append(rest / F.col(f"l{i}_{i}"))
+        return sum((x * x for x in y[1:]), y[0] * y[0])
+
+    worse = [away[0], *[F.when(F.col(f"m{i}").isNotNull(), F.greatest(away[i], F.lit(0.0))) for i in range(1, p)]]
+    return t.withColumns({"d2": squared(away), "bad2": squared(worse)}).drop(*[c for c in params.columns if c not in (*keys, "n")])
 
 
-def robust_parameters(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Centre and factored scatter of each (lang, source): concentration steps from medians and median deviations.
+def robust_parameters(rows: DataFrame, keys: Sequence[str] = LEVELS[0], share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """Centre and factored scatter of each group by ``keys``: concentration steps from medians and median deviations.
 
     Each step keeps the ``share`` of a group with the least distances and takes their mean and covariance. The bound is
     read off a histogram of distances (at most 1024 bins a group), not from a sort; sums are exact integers.
     What goes from step to step is a table with one row a group, written to the shared folder: Spark then knows its
     size and broadcasts it only if that is small.
     """
-    p, keys = len(FEATURES), ["lang", "source"]
+    p = len(FEATURES)
     centre = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.median(f"x{i}").alias(f"m{i}") for i in range(p)])
-    centre = written(centre)
-    c = centre.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    near = rows.join(c, rows["lang"].eqNullSafe(c["_lang"]) & rows["source"].eqNullSafe(c["_source"]))
+    centre = written(centre.filter("n > 0"))
+    near = rows.join(_renamed(centre, keys), _same(rows, keys))
     spread = near.groupBy(*keys, "n", *[f"m{i}" for i in range(p)]).agg(*[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"s{i}") for i in range(p)])
     floor = lambda i: (FLOORS[i] * UNIT) ** 2
     params = spread.select(*keys, "n", *[f"m{i}" for i in range(p)], *[(F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + floor(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
-    params = written(_factor(params, p))
+    params = written(_factor(params, p, keys))
     widen = consistency(share)
     for _ in range(steps):
-        t = _distances(rows, params, p).withColumn("bin", F.least(F.lit(1023), F.floor(F.log2(1 + F.col("d2") * 16) * 32)).cast("int"))
+        t = _distances(rows, params, p, keys).withColumn("bin", F.least(F.lit(1023), F.floor(F.log2(1 + F.col("d2") * 16) * 32)).cast("int"))
         hist = t.groupBy(*keys, "n", "bin").agg(F.count(F.lit(1)).alias("k"))
         upto = F.sum("k").over(Window.partitionBy(*keys).orderBy("bin"))
-        bound = hist.withColumn("u", upto).filter(F.col("u") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("bin").alias("_bound")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-        bound = written(bound)
-        near = t.join(bound, t["lang"].eqNullSafe(bound["_lang"]) & t["source"].eqNullSafe(bound["_source"])).filter("bin <= _bound")
+        bound = hist.withColumn("u", upto).filter(F.col("u") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("bin").alias("_bound"))
+        bound = written(bound.filter("_bound is not null"))
+        near = t.join(_renamed(bound, keys), _same(t, keys)).filter("bin <= _bound")
         sums = near.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("h"), *[F.sum(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
-        means = sums.withColumns({f"m{i}": F.col(f"m{i}") / F.col("h") for i in range(p)})
+        means = sums.filter("h > 0").withColumns({f"m{i}": F.col(f"m{i}") / F.col("h") for i in range(p)})
         params = means.withColumns({f"c{i}_{j}": (F.col(f"c{i}_{j}") / F.col("h") - F.col(f"m{i}") * F.col(f"m{j}")) * widen + (floor(i) if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-        params = written(_factor(params, p))
+        params = written(_factor(params, p, keys))
     return params
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """Statistics, base rules and verdict of every row; see ``statistics``. Adds ``distance2, base_failed, kept``.
 
-    A vector is rejected if its robust squared distance within its language and source exceeds ``cutoff`` and it lies on
-    the bad side: more symbols, duplicate lines or repetition than the centre, or odd word lengths. Rows that fail
-    the base rules don't shape the estimates. Groups of fewer than ``LEAST_GROUP`` such rows have no outliers. Null language or
-    source is a group of its own; null or empty text fails the base rules. No rows in, no rows out.
+    A vector is rejected if its robust squared distance within its group exceeds ``cutoff`` and it lies on the bad side:
+    the distance still exceeds it when fewer symbols, duplicate lines or repetitions than the centre has count as the
+    centre's; word lengths are odd either way. The group is the language and source, or, with fewer than ``LEAST_GROUP``
+    rows that pass the base rules, the language, or all rows. Rows that fail the base rules don't shape the estimates. Null
+    language or source is a group of its own; null or empty text fails the base rules. No rows in, no rows out.
     """
     rows = written(features(statistics(docs, **columns)).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    params = robust_parameters(rows.filter("not base_failed"))
-    far = _distances(rows, params, len(FEATURES)).withColumn("distance2", F.when(F.col("n") >= LEAST_GROUP, F.col("d2")))
-    odd = F.coalesce(F.col("distance2") > cutoff, F.lit(False))
-    return far.withColumn("kept", ~F.col("base_failed") & ~odd).drop("d2", "n", *[f"x{i}" for i in range(len(FEATURES))])
+    fine, left, judged = rows.filter("not base_failed"), rows, []
+    for keys in LEVELS:
+        here = fine
+        if judged and keys:  # only the wider groups that somebody needs
+            here = fine.join(_renamed(left.select(*keys).distinct(), keys), _same(fine, keys), "left_semi")
+        far = _distances(left, robust_parameters(here, keys), len(FEATURES), keys)
+        enough = F.coalesce(F.col("n") >= LEAST_GROUP, F.lit(False)) if keys else F.lit(True)
+        judged.append(far.filter(enough))
+        left = written(far.filter(~enough).select(*rows.columns))
+        if left.isEmpty():
+            break
+    odd = F.coalesce((F.col("d2") > cutoff) & (F.col("bad2") > cutoff), F.lit(False))
+    far = reduce(DataFrame.unionByName, judged).withColumn("odd", odd).withColumnRenamed("d2", "distance2")
+    return far.withColumn("kept", ~F.col("base_failed") & ~F.col("odd")).drop("odd", "bad2", "n", *[f"x{i}" for i in range(len(FEATURES))])
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -150,3 +150,17 @@ def test_base_rules(unique, rows):
         again = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         assert (r.n_words, r.n_repeat_words) == (len(w), len(again))
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+
+
+def test_small_groups_and_clean_texts_are_judged(spark):
+    """A source of 5 rows is judged by its language, a language of 5 by all rows; a clean text in a symbol-heavy source stays."""
+    rnd = random.Random(6)
+    plain = lambda: prose(rnd, 80)
+    texts = [(plain(), "de", "big") for _ in range(90)]
+    for lang, source in (("de", "small"), ("xx", None)):
+        texts += [(plain().replace(" ", "%%% &&&"), lang, source), *[(plain(), lang, source) for _ in range(4)]]
+    texts += [(plain().replace(" ", " & "), "en", "loud") for _ in range(20)] + [(plain(), "en", "loud")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(got) == list(range(len(texts))) and all(r.distance2 is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {90, 95}
+    assert got[len(texts) - 1].distance2 > quality.CUTOFF
