@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_of, written
 
-#: Short notices of well-known licences.
+MIT_TEXT = """MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Notices, titles, identifiers and full texts of well-known licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -22,41 +27,67 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "MIT License"),
+    ("MIT", "Distributed under the MIT license."),
+    ("MIT", MIT_TEXT),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", BSD_TEXT),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "CC-BY-NC-4.0", "CC-BY-4.0", "MPL-2.0")),
 )
 TERM = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
-#: A line is a notice if it has one of these.
+#: A line, block or clause is a notice if it has one of these.
 NOTICE = r"(?i)licen[cs]e|copyright|permission|redistribut|creative commons"
+BLANK = r"\n[\x20\t]*\n"
+#: Where clauses end: after punctuation before white space.
+CLAUSE = r"(?<=[.,;:!?)])\s+"
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)[^/]*$"
 
 
-def template_terms(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, float]:
-    """``term, template, licence, weight, idf`` with unit vectors, and the idf of a term that no template has. One row a term and template given."""
-    import re
+def _bags(units: DataFrame, *keys: str) -> DataFrame:
+    """Terms of the texts ``s`` with their counts."""
+    terms = F.explode(F.regexp_extract_all(F.lower("s"), F.lit(TERM), F.lit(0)))
+    return units.select(*keys, terms.alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighed(bags: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
+    """Bags with ``w``, the weight of a term, and ``norm``, the length of the whole vector."""
+    t = bags.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return t.withColumn("norm", F.sqrt(F.sum(F.pow("w", F.lit(2))).over(Window.partitionBy(*keys))))
+
 
-    bags = [(i, name, Counter(re.findall(TERM, text.lower()))) for i, (name, text) in enumerate(templates)]
-    df = Counter(t for _, _, bag in bags for t in bag)
-    idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
-    rows = []
-    for i, name, bag in bags:
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
-        rows += [(t, i, name, n * idf[t] / norm, idf[t]) for t, n in bag.items()]
-    return spark.createDataFrame(rows, "term string, template int, licence string, weight double, idf double"), math.log(1 + len(bags)) + 1
+def units_of(files: DataFrame) -> DataFrame:
+    """``file, unit, s``: what is compared. Each line and each block between blank lines that looks like a notice, each of their
+    clauses that does, and, where ``whole`` is true (licence files), the whole text."""
+    text = F.regexp_replace(text_of("text"), "\r\n?", "\n")
+    noticed = lambda parts: F.filter(parts, lambda x: x.rlike(NOTICE))
+    lines, blocks = noticed(F.split(text, "\n", -1)), noticed(F.split(text, BLANK, -1))
+    clauses = F.flatten(F.transform(blocks, lambda x: noticed(F.split(x, CLAUSE, -1))))
+    t = files.select("file", "whole", text.alias("t"), F.concat(lines, blocks, clauses).alias("u"))
+    every = F.when(F.col("whole") & F.col("t").rlike(NOTICE), F.array_append("u", F.col("t"))).otherwise(F.col("u"))
+    return t.select("file", F.posexplode(F.array_distinct(every)).alias("unit", "s"))
 
 
 def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The best licence of each ``file`` (columns file, text): ``file, licence, score``; ties by name.
+    """The best licence of each ``file`` (columns file, text, whole): ``file, licence, score``; ties by name.
 
-    All lines of the whole text that look like a notice are compared; only their terms are exploded. The template
-    table has a row for each term given by the caller, so broadcasting it is bounded by that argument.
+    Document frequencies count all units of the corpus and the templates. The template table has a row for each term
+    given by the caller, so broadcasting it is bounded by that argument; a term that the templates lack only adds to a length.
     """
-    terms, unknown = template_terms(files.sparkSession, templates)
-    lines = files.select("file", F.posexplode(F.split(text_of("text"), "\n", -1)).alias("line", "s")).filter(F.col("s").rlike(NOTICE))
-    bag = lines.select("file", "line", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("file", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = terms.select("term", "idf").distinct()
-    norms = bag.join(F.broadcast(idf), "term", "left").groupBy("file", "line").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(unknown)), F.lit(2)))).alias("norm"))
-    dots = bag.join(F.broadcast(terms), "term").groupBy("file", "line", "template", "licence").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).select("file", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    spark = files.sparkSession
+    given = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, s string")
+    bag, own = written(_bags(units_of(files), "file", "unit")), _bags(given, "template", "licence")
+    seen = bag.select("term").unionByName(own.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = bag.select("file", "unit").distinct().count() + len(templates)
+    idf = written(seen.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    terms = written(_weighed(own, idf, "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight")))
+    dots = _weighed(bag, idf, "file", "unit").join(F.broadcast(terms), "term").groupBy("file", "unit", "template", "licence", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.select("file", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
     best = scored.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("low"), F.col("licence").alias("licence"))).alias("b"))
     return best.select("file", F.col("b.licence").alias("licence"), (-F.col("b.low")).alias("score"))
 
@@ -71,7 +102,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text_of(text_col).alias("text"))
     key = F.xxhash64("doc_id", F.coalesce("path", F.lit("")), "text")
-    own = written(notices(t.select(key.alias("file"), "text"), templates, threshold))
+    whole = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
+    own = written(notices(t.select(key.alias("file"), "text", whole.alias("whole")), templates, threshold))
     t = t.select("doc_id", "path", key.alias("file")).join(own, "file", "left")
     folder, base = F.regexp_extract("path", r"^(.*/)?([^/]*)$", 1), F.regexp_extract("path", r"^(.*/)?([^/]*)$", 2)
     licensed = t.filter(base.rlike(LICENCE_FILE) & F.col("licence").isNotNull()).groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("low"), F.col("licence").alias("given"))).alias("b")).select("dir", "b.given", (-F.col("b.low")).alias("given_score"))

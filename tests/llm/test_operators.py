@@ -164,3 +164,12 @@ def test_small_groups_and_clean_texts_are_judged(spark):
     assert sorted(got) == list(range(len(texts))) and all(r.distance2 is not None for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {90, 95}
     assert got[len(texts) - 1].distance2 > quality.CUTOFF
+
+
+def test_licence_wordings_and_whole_files(spark):
+    """Titles, other wordings, notices beside a copyright or broken over lines, whole files; and plain words that are no notice."""
+    bsd = "Copyright (c) 2020, Jane Roe\n\n" + "\n".join(re.findall(r".{1,70}(?: |$)", licences.BSD_TEXT.replace("\n", " ")))
+    texts = ["MIT License", "Distributed under the MIT license.", "Copyright 2024 ACME. Released under the MIT License.", "It is released under the MIT License, see the LICENSE file for details.", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met"]
+    rows = [(i, f"a/{i}.txt", t) for i, t in enumerate(texts)] + [(6, "b/LICENSE", bsd), (7, "b/x.txt", "hello"), (8, "c/y.txt", "We lost the driving licence and asked for permission to go."), (9, "c/z.txt", "copyright laws differ")]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "BSD-3-Clause", 6: "BSD-3-Clause", 7: "BSD-3-Clause", 8: None, 9: None}
