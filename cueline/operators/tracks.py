@@ -91,7 +91,9 @@ def edit_rate(reference: DataFrame, candidate: DataFrame, keys: Sequence[str] =
     c = candidate.select(*keys, "pos", F.col("text").alias("c"))
     t = reference.select(*keys, "pos", F.col("text").alias("r")).join(c, [*keys, "pos"], "full")
     r, c = F.coalesce("r", F.lit("")), F.coalesce("c", F.lit(""))
-    t = t.groupBy(*keys).agg(F.sum(F.levenshtein(r, c)).alias("edits"), F.sum(F.length(r)).alias("chars"))
+    # Where one text begins with the other, the distance is what it lacks: no table of characters by characters is needed.
+    edits = F.when(F.startswith(r, c) | F.startswith(c, r), F.abs(F.length(r) - F.length(c))).otherwise(F.levenshtein(r, c))
+    t = t.groupBy(*keys).agg(F.sum(edits).alias("edits"), F.sum(F.length(r)).alias("chars"))
     return t.withColumn("rate", F.when(F.col("chars") > 0, F.round(F.col("edits") / F.col("chars"), 9)))
 
 

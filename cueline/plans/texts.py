@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import tracks as tr
 from ..sources import subtitles as sub
 from ..streaming import sessions as st
-from .views import ALT, DOC, EV, TERM_ROWS, TURNS, cue_alt, cue_doc, cue_ev, table, terms, turns
+from .views import ALT, DOC, EV, TERM_ROWS, TURNS, cue_alt, cue_doc, cue_ev, table, terms
 
 B = r"[\x20\x09-\x0D\x{3000}]+"
 C = rf"regexp_replace(text, '{B}', '', 'g')"
@@ -50,6 +50,12 @@ def filtered(spark, d):
     return cue_doc(spark, d).select("track", "pos", tx.symbol_noise(x).alias("symbols"), tx.looping(x).alias("looping"), tx.noise(x).alias("noise"), tx.asr_clean(x).alias("clean"), tx.wrap_at_marks(x, 40).alias("wrapped"), tx.wrap_at_blanks(x, 40).alias("wrapped_latin"), tx.degenerate(F.lit(""), x).alias("degenerate"))
 
 
+def copied(spark, d):
+    """A run of whole cue texts in which every fourth cue repeats the one before."""
+    before = F.lag("text").over(Window.partitionBy("track").orderBy("pos"))
+    return cue_doc(spark, d).withColumn("text", F.when(F.col("pos") % 4 == 0, F.coalesce(before, "text")).otherwise(F.col("text")))
+
+
 QUERIES = {
     "tx_columns": (columns, COLUMNS),
     "tx_filters": (filtered, None),
@@ -57,13 +63,15 @@ QUERIES = {
     "w12_context": (lambda s, d: tr.rolling_context(cue_doc(s, d), 3, 10000).select("track", "pos", F.array_join("context", "|").alias("context")), f"with {DOC}, {SESS.format(g=10000, t='cue_doc')} select track, pos, coalesce(string_agg(text, '|' order by pos) over (partition by track, session order by pos rows between 3 preceding and 1 preceding), '') context from s1"),
     "w11_adjacent_duplicates": (lambda s, d: tr.adjacent_duplicates(cue_doc(s, d).withColumn("text", F.substr("text", F.lit(1), F.lit(2))), cue_doc(s, d)), f"""with {DOC}, t as (select track, pos, substr(text, 1, 2) t, text s, lag(substr(text, 1, 2)) over w pt, lag(text) over w ps from cue_doc window w as (partition by track order by pos))
 select track, pos, t as text from t where t <> '' and t = pt and s <> ps"""),
+    "w11_whole_lines": (lambda s, d: tr.adjacent_duplicates(copied(s, d), cue_doc(s, d)), f"""with {DOC}, t as (select track, pos, case when pos % 4 = 0 then coalesce(lag(text) over w, text) else text end t, text s from cue_doc window w as (partition by track order by pos)),
+u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition by track order by pos)) select track, pos, t as text from u where t <> '' and t = pt and s <> ps"""),
     "a07_repeated_phrases": (lambda s, d: tr.repeated_phrases(cue_doc(s, d), 2), f"with {DOC} select track, {C} phrase, count(*) times, min(pos) first_pos from cue_doc where {C} <> '' group by 1, 2 having count(*) >= 2"),
     "j01_paired": (lambda s, d: tr.paired(cue_doc(s, d), cue_alt(s, d)), f"with {ALT} select d.track, d.pos, d.start_ms, d.end_ms, d.text, coalesce(a.text, '') source_text from cue_doc d left join cue_alt a using (track, pos)"),
     "j11_terms": (lambda s, d: tr.matched_terms(cue_doc(s, d), terms(s), ["track", "pos"]).select("track", "pos", "source", "target"), f"with {DOC}, {TERM_ROWS}, {TERM_HIT} select track, pos, source, target from k"),
     "j12_glossary_issues": (lambda s, d: tr.glossary_issues(cue_doc(s, d), cue_alt(s, d), terms(s), ["track", "pos"]), f"with {ALT}, {TERM_ROWS}, {TERM_HIT} select k.track, k.pos, source, target from k join cue_alt a on a.track = k.track and a.pos = k.pos where len(list_filter(forbidden, lambda f: contains(a.text, f))) > 0"),
     "j17_id_differences": (lambda s, d: tr.id_differences(cue_doc(s, d), cue_alt(s, d).withColumn("pos", F.col("pos") + 1), ["track", "pos"]), f"with {ALT}, e as (select distinct track, pos from cue_doc), g as (select distinct track, pos + 1 pos from cue_alt) select *, 'missing' kind from (from e except from g) union all select *, 'unknown' kind from (from g except from e)"),
     "j19_mapping": (lambda s, d: tr.mapping_check(cue_alt(s, d), cue_doc(s, d)), f"with {ALT} select a.track, count(*) cues, count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) confirmed, count(*) - count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) unresolved from cue_alt a left join cue_doc d using (track, pos) group by a.track"),
-    "a12_edit_rate": (lambda s, d: tr.edit_rate(turns(s, d).withColumn("text", F.substr("text", F.lit(1), F.lit(40))), turns(s, d).withColumn("text", F.substr("text", F.lit(4), F.lit(40)))), None),
+    "a12_edit_rate": (lambda s, d: tr.edit_rate(cue_doc(s, d), cue_alt(s, d)), None),
     "a14_tally": (lambda s, d: tr.tally(votes(s, d), "video"), None),
     "g01_merge_short": (lambda s, d: tr.merge_short(cue_doc(s, d), 12, 400, 80), None),
     "g03_same_start": (lambda s, d: tr.same_start_piles(cue_ev(s, d), 60000), None),
