@@ -136,31 +136,40 @@ def merge_short(df: DataFrame, short: int, max_gap: int, max_chars: int) -> Data
 
 
 def same_start_piles(df: DataFrame, tolerance_ms: int = 50) -> DataFrame:
-    """Of cues that start within the tolerance of the one kept, only that one stays."""
+    """Of cues that start within the tolerance of the one kept, only that one stays. One pass that keeps the last survivor only."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values(list(ORDER)), [], None
-        for s in pdf["start_ms"]:
-            kept.append(last is None or s - last > tolerance_ms)
-            last = s if kept[-1] else last
-        return pdf[kept]
+    def fold(parts):
+        now, last = None, None
+        for pdf in parts:
+            kept = []
+            for track, s in zip(pdf["track"], pdf["start_ms"]):
+                keep = track != now or s - last > tolerance_ms
+                kept.append(keep)
+                now, last = track, s if keep else last
+            yield pdf[kept]
 
-    return df.groupBy("track").applyInPandas(fold, df.schema)
+    return df.repartition("track").sortWithinPartitions("track", *ORDER).mapInPandas(fold, df.schema)
 
 
 def capped_groups(df: DataFrame, max_gap: int, max_span: int) -> DataFrame:
-    """Adds ``group``: a new one where the gap is larger than ``max_gap`` or the span would pass ``max_span``."""
+    """Adds ``group``: a new one where the gap is larger than ``max_gap`` or the span would pass ``max_span``. One pass that keeps
+    the bounds of the open group only."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, group, at, start, end = pdf.sort_values(list(ORDER)), [], -1, None, None
-        for s, e in zip(pdf["start_ms"], pdf["end_ms"]):
-            if start is None or s - end > max_gap or e - start > max_span:
-                at, start, end = at + 1, s, e
-            end = max(end, e)
-            group.append(at)
-        return pdf.assign(group=group)
-
-    return df.groupBy("track").applyInPandas(fold, f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, group int")
+    def fold(parts):
+        now, at, start, end = None, -1, None, None
+        for pdf in parts:
+            group = []
+            for track, s, e in zip(pdf["track"], pdf["start_ms"], pdf["end_ms"]):
+                if track != now:
+                    now, at, start = track, -1, None
+                if start is None or s - end > max_gap or e - start > max_span:
+                    at, start, end = at + 1, s, e
+                end = max(end, e)
+                group.append(at)
+            yield pdf.assign(group=group)
+
+    schema = f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, group int"
+    return df.repartition("track").sortWithinPartitions("track", *ORDER).mapInPandas(fold, schema)
 
 
 def tally(votes: DataFrame, group: str) -> DataFrame:
