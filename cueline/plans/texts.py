@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import tracks as tr
 from ..sources import subtitles as sub
+from ..sources.folders import shared_dir
 from ..streaming import sessions as st
 from .views import ALT, DOC, EV, TERM_ROWS, TURNS, cue_alt, cue_doc, cue_ev, table, terms
 
@@ -19,8 +18,7 @@ SESS = "s0 as (select *, case when start_ms - lag(end_ms) over (partition by tra
 
 
 def _folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cueline-")
-    return found.rstrip("/") + "/streams"
+    return shared_dir(spark) + "/streams"
 
 
 def columns(spark, d):
