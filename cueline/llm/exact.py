@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, documents, small_batches, text_of, written
+from .common import SPACE, documents, fresh, small_batches, text_of, written
 
 LEAST, MEAN, MOST = 256, 1024, 8192
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
@@ -47,20 +47,21 @@ def chunks_of(texts: pd.Series) -> pd.Series:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row.
 
-    Texts are cut at content-defined places. Each distinct chunk moves once from a map task, to verify that its digest
-    stands for one content; the ordered lists of chunk identifiers go to a table in the shared folder, and
-    from then on only they are compared and no text moves.
+    Texts are cut once at content-defined places and written with the digests of their chunks. Each distinct chunk moves
+    once from a map task, to verify that its digest stands for one content; from then on only the ordered lists of chunk
+    identifiers are compared and no text moves.
     Null text counts as empty (all empty texts are one group, with an empty list). Of rows equal in id and text one
     stays. Null ids stay only if the whole group has none. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
     cut = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.pandas_udf(chunks_of, T.ArrayType(T.BinaryType()))("norm").alias("chunks"))
+    cut = written(cut.select("doc_id", "text_sha256", "chunks", F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe")))
     if verify:
-        store = cut.select(F.explode("chunks").alias("chunk")).select(F.unhex(F.sha2("chunk", 256)).alias("chunk_id"), "chunk").distinct()
+        store = cut.select(F.explode(F.arrays_zip("recipe", "chunks")).alias("c")).select(F.col("c.recipe").alias("chunk_id"), F.col("c.chunks").alias("chunk")).distinct()
         if not store.groupBy("chunk_id").count().filter("count > 1").isEmpty():
             raise ValueError("two chunks share one digest")
-    recipes = written(cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe")))
+    recipes = cut.select("doc_id", "text_sha256", "recipe")
     groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     rows = recipes.withColumn("_nth", nth).join(groups.withColumn("_many", F.lit(True)), "recipe", "left")
@@ -69,10 +70,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
-    keyed = docs.withColumn("_sha", F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256)).dropDuplicates([id_col, "_sha"])
-    return keyed.join(keep, keyed[id_col].eqNullSafe(keep["doc_id"]) & (keyed["_sha"] == keep["text_sha256"]), "left_semi").drop("_sha")
+    """The rows of ``docs`` that stay, with their columns, whatever their names.
+
+    The decision is made on ids and digests; texts move once, to be met with it. Only rows that repeat id and text
+    (``exact_groups`` keeps one) are sorted out by an aggregation of their own.
+    """
+    groups = written(exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again")))
+    sha = fresh(docs, "_sha")
+    keyed = docs.withColumn(sha, F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256))
+    met = lambda keep: keyed.join(keep, keyed[id_col].eqNullSafe(keep["doc_id"]) & (keyed[sha] == keep["text_sha256"]), "left_semi")
+    once, again = groups.filter("kept and not again"), groups.filter("kept and again")
+    if again.isEmpty():
+        return met(once).drop(sha)
+    return met(once).unionByName(met(again).dropDuplicates([id_col, sha])).drop(sha)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,81 +13,123 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .segments import apply_spans, numbered, repeated, single_windows, spans
+from .segments import apply_spans, in_shards, numbered, repeated, single_windows, spans
 
 LENGTH, GRAM = 20, 4
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+class Bits:
+    """A packed bit array that counts the ones before a place: 64 bits a word, and a 32-bit count a word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)]).astype(np.uint32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        w = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ranks[w].astype(np.int64) + np.bitwise_count(self.words[w] & low)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletTree:
     """Counts of a symbol before a place in a sequence; one packed bit array a level (a wavelet matrix)."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
-        self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.ranks, self.zeros = [], [], []
-        for level in reversed(range(self.levels)):
+        self.height = max(1, int(sigma - 1).bit_length())
+        self.levels, self.zeros = [], []
+        for level in reversed(range(self.height)):
             bits = (symbols >> level & 1).astype(bool)
-            words = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            self.words.append(words)
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))]))
+            self.levels.append(Bits(bits))
             self.zeros.append(int(len(bits) - bits.sum()))
             symbols = np.concatenate([symbols[~bits], symbols[bits]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place; all queries go down the levels together."""
         start, place = np.zeros_like(place), place.copy()
-        for k, level in enumerate(reversed(range(self.levels))):
+        for k, level in enumerate(reversed(range(self.height))):
             one = (symbol >> level & 1).astype(bool)
-            s, p = self._ones(k, start), self._ones(k, place)
+            s, p = self.levels[k].ones(start), self.levels[k].ones(place)
             start = np.where(one, self.zeros[k] + s, start - s)
             place = np.where(one, self.zeros[k] + p, place - p)
         return place - start
 
-    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
-        w = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ranks[k][w] + np.bitwise_count(self.words[k][w] & low)
+    def symbol(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before it."""
+        start, place, symbol = np.zeros_like(place), place.copy(), np.zeros_like(place)
+        for k in range(self.height):
+            one = self.levels[k][place]
+            s, p = self.levels[k].ones(start), self.levels[k].ones(place)
+            start = np.where(one, self.zeros[k] + s, start - s)
+            place = np.where(one, self.zeros[k] + p, place - p)
+            symbol = symbol << 1 | one
+        return symbol, place - start
 
 
 class FMIndex:
-    """Index of several sequences of symbols from 1; no match crosses from one sequence to the next."""
+    """Compressed index of several sequences of symbols from 1; no match crosses from one sequence to the next.
+
+    Kept are the wavelet tree of the Burrows-Wheeler transform, the counts of smaller symbols, and of the suffix array
+    the places at every SAMPLE-th symbol of a sequence from its first; neither text nor suffix array stay.
+    """
+
+    SAMPLE = 16
 
     def __init__(self, sequences: list[np.ndarray]):
-        ends = np.cumsum([len(s) + 1 for s in sequences])
+        sizes = np.array([len(s) + 1 for s in sequences])
+        ends = np.cumsum(sizes)
         text = np.zeros(int(ends[-1]), np.int64)
         for s, e in zip(sequences, ends):
             text[e - 1 - len(s) : e - 1] = s
         rank = text + len(sequences)
         rank[ends - 1] = np.arange(len(sequences))
-        by, longest = 1, max(len(s) for s in sequences) + 1
-        self.places = np.argsort(rank, kind="stable")
+        by, longest = 1, int(sizes.max())
+        places = np.argsort(rank, kind="stable")
         while by <= longest:  # prefix doubling; separators are all different, so nothing is compared beyond them
             after = np.concatenate([rank[by:], np.full(min(by, len(rank)), -1)])[: len(rank)]
-            self.places = np.lexsort((after, rank))
-            a, b = rank[self.places], after[self.places]
+            places = np.lexsort((after, rank))
+            a, b = rank[places], after[places]
             rank = np.empty_like(rank)
-            rank[self.places] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+            rank[places] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+            if rank[places[-1]] == len(rank) - 1:  # all different
+                break
             by *= 2
-        self.text, self.sigma = text, int(text.max()) + 1
-        self.tree = WaveletTree(text[self.places - 1], self.sigma)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))])
+        self.size, sigma = len(text), int(text.max()) + 1
+        self.tree = WaveletTree(text[places - 1], sigma)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        sampled = ((np.arange(len(text)) - np.repeat(ends - sizes, sizes)) % self.SAMPLE == 0)[places]
+        self.marked, self.samples = Bits(sampled), places[sampled].astype(np.uint32)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: intervals of the patterns with one symbol more in front."""
         return self.before[symbol] + self.tree.rank(symbol, lo), self.before[symbol] + self.tree.rank(symbol, hi)
 
-    def matching_statistics(self, stream: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end in a stream (0: a break) how many symbols up to it, ``least`` at most, occur twice or more in the
-        index, and the interval of that match."""
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places of rows of the suffix array: back through the text to the sample before."""
+        out, todo, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        while len(todo):
+            hit = self.marked[rows]
+            out[todo[hit]] = self.samples[self.marked.ones(rows[hit])].astype(np.int64) + steps
+            todo, rows = todo[~hit], rows[~hit]
+            symbol, n = self.tree.symbol(rows)
+            rows, steps = self.before[symbol] + n, steps + 1
+        return out
+
+    def matching_statistics(self, stream: np.ndarray, least: int, occurrences: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end in a stream of documents (0: a break) how many symbols up to it, ``least`` at most, occur
+        ``occurrences`` times or more in the index, and the interval of that match."""
         ends = np.arange(1, len(stream) + 1)
-        length, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text))
+        length, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.size)
         open_ = np.flatnonzero(stream > 0)
         for k in range(least):
             open_ = open_[ends[open_] - 1 - k >= 0]
             symbol = stream[ends[open_] - 1 - k]
             open_, symbol = open_[symbol > 0], symbol[symbol > 0]
             a, b = self.extend(symbol, lo[open_], hi[open_])
-            more = b - a > 1
+            more = b - a >= occurrences
             open_ = open_[more]
             lo[open_], hi[open_], length[open_] = a[more], b[more], k + 1
         return length, lo, hi
@@ -96,24 +138,31 @@ class FMIndex:
 def earlier_windows(segs: list[np.ndarray], starts: list[tuple[int, int]], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment (its id and start given) which of its windows also start earlier in another."""
     _, ids = np.unique(np.concatenate(segs), return_inverse=True)
-    cut = np.cumsum([len(s) for s in segs])[:-1]
-    index = FMIndex(np.split(ids + 1, cut))
-    doc = np.concatenate([np.full(len(s) + 1, d) for s, (d, _) in zip(segs, starts)])
-    pos = np.concatenate([np.arange(len(s) + 1) + lo for s, (_, lo) in zip(segs, starts)])
-    by = np.lexsort((pos, doc))
-    new = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (pos[by][1:] != pos[by][:-1])])
-    order = np.empty(len(doc), np.int64)
-    order[by] = np.cumsum(new)  # the same place in two overlapping segments is one place
-    found, lo, hi = index.matching_statistics(index.text, length)
+    sizes = np.array([len(s) + 1 for s in segs])
+    begins = np.cumsum(sizes) - sizes
+    index = FMIndex(np.split(ids + 1, np.cumsum(sizes - 1)[:-1]))
+    stream = np.zeros(int(sizes.sum()), np.int64)
+    stream[np.arange(len(ids)) + np.repeat(np.arange(len(segs)), sizes - 1)] = ids + 1
+    _, doc = np.unique(np.array([d for d, _ in starts]), return_inverse=True)
+    lo_of = np.array([lo for _, lo in starts])
+
+    def place(at: np.ndarray) -> np.ndarray:
+        """Documents in order, then starts, as one number; a place that two segments share is one place."""
+        k = np.searchsorted(begins, at, side="right") - 1
+        return (doc[k] << 40) + lo_of[k] + at - begins[k]
+
+    found, lo, hi = index.matching_statistics(stream, length)
     hits = np.flatnonzero(found >= length)
-    flags = np.zeros(len(doc), bool)
+    flags = np.zeros(len(stream), bool)
     if len(hits):
-        (pairs, which) = np.unique(np.stack([lo[hits], hi[hits]]), axis=1, return_inverse=True)
-        by_place = np.append(order[index.places], np.iinfo(np.int64).max)
-        first = np.minimum.reduceat(by_place, pairs.T.ravel())[::2]
+        pairs, which = np.unique(lo[hits] << 32 | hi[hits], return_inverse=True)
+        lo, n = pairs >> 32, (pairs & 0xFFFFFFFF) - (pairs >> 32)
+        at = np.cumsum(n) - n
+        every = place(index.locate(np.arange(int(n.sum())) + np.repeat(lo - at, n)))
+        first = np.minimum.reduceat(every, at)
         begin = hits - length + 1
-        flags[begin] = first[which.ravel()] < order[begin]
-    return [f[: max(0, len(f) - length)] for f in np.split(flags, np.cumsum([len(s) + 1 for s in segs])[:-1])]
+        flags[begin] = first[which] < place(begin)
+    return [f[: max(0, len(f) - length)] for f in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
 class Words:
@@ -133,27 +182,16 @@ class Words:
 
 
 def _shards(length: int):
-    schema = pa.schema([("rid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([*[(c, pa.int64()) for c in ("fp", "ctx", "a", "b", "first_doc", "first_lo")], ("later", pa.bool_())])
 
     def shard(rows: list[dict]) -> pa.RecordBatch:
         none = np.iinfo(np.int64).min
         flags = earlier_windows([np.frombuffer(r["seg"], np.uint64) for r in rows], [(none if r["doc_id"] is None else r["doc_id"], r["lo"]) for r in rows], length)
-        out = [(r["rid"], a, b) for r, f in zip(rows, flags) for a, b in spans(f, r["lo"])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
+        out = [(r["fp"], r["ctx"], a, b, r["doc_id"], r["lo"], False) for r, f in zip(rows, flags) for a, b in spans(f)]
+        out += [(r["fp"], r["ctx"], 0, r["n"], r["doc_id"], r["lo"], True) for r in rows if r["copies"] > 1]  # all that the first copy has starts earlier there
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([],) * 7, schema)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; an index holds whole groups, about 4000 segments."""
-        held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if len(held) >= 4000 and r["fp"] != held[-1]["fp"]:
-                    yield shard(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield shard(held)
-
-    return run
+    return in_shards(shard)
 
 
 def _removed(length: int):
@@ -178,21 +216,24 @@ def _removed(length: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Remove words covered by a window of ``length`` words that also starts earlier: ``doc_id, n_words, n_removed, kept_sha256``.
 
-    Of equal segments the first stays. The different segments under one anchor are dealt out by it; each task builds an
-    FM-index of its shard, streams the shard's texts against it and asks of every window whose matching statistic
-    reaches ``length`` where the first of its occurrences lies. Groups too large for a task are settled by the first place of
-    each window's digest. Null text has no words. Null ids come before all others; rows that repeat id and text share
-    their places, so neither counts as the earlier one. No rows in, no rows out.
+    The classes of segments under one anchor are dealt out by it; each task builds an FM-index of its shard, streams the
+    shard's segments against it and asks of every window whose matching statistic reaches ``length`` where the first of
+    its occurrences lies. What is found of a class holds for its first copy; its other copies start later as a whole.
+    Windows of an anchor with too many classes for a task meet by content. Null text has no words. Null ids come before
+    all others; other ids are whole numbers; rows that repeat id and text share their places, so neither counts as the
+    earlier one. Words are compared by a hash of 64 bits. No rows in, no rows out.
     """
     rows = numbered(docs, id_col, text_col)
     occ, segs = repeated(rows, Words, length, gram)
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo")))
-    whole = occ.filter(later).select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), "rid long, a long, b long")
-    big = single_windows(segs.filter("big"), length, 8)
-    first = big.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("f"))
-    ones = big.join(first, "digest").filter(~(F.struct("doc_id", "start").eqNullSafe(F.col("f")))).select("rid", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    found = written(whole.union(parts).union(ones))
+    schema = "fp long, ctx long, a long, b long, first_doc long, first_lo long, later boolean"
+    parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), schema)
+    big = single_windows(segs.filter("big"), length, 8).withColumn("place", F.struct("doc_id", (F.col("lo") + F.col("i")).alias("start")))
+    first = big.groupBy("digest").agg(F.min("place").alias("f"))
+    one = lambda t, a, b, later: t.select("fp", "ctx", a.cast("long").alias("a"), b.cast("long").alias("b"), F.col("doc_id").alias("first_doc"), F.col("lo").alias("first_lo"), F.lit(later).alias("later"))
+    ones = one(big.join(first, "digest").filter(~F.col("place").eqNullSafe(F.col("f"))), F.col("i"), F.col("i") + 1, False)
+    found = written(parts.union(ones).union(one(segs.filter("big and copies > 1"), F.lit(0), F.col("n"), True)))
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("lo") == F.col("first_lo"))
+    found = occ.join(found, ["fp", "ctx"]).filter(same != F.col("later")).select("rid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
     return apply_spans(rows, found, _removed(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, text_of, written
+from .common import documents, long_id, small_batches, text_of, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -138,7 +138,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+    """``doc_id, n_shingles, component_id, kept`` of every row; ids are whole numbers (others are refused).
 
     Texts with equal shingle sets are one class, and only classes are compared, so copies cost nothing. Candidates
     share a band. First each class meets the class of its buckets that has most neighbours, then the one that has most
@@ -150,8 +150,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty or blank texts have no shingles and link with nothing: ``component_id`` is their own id. Null ids belong
     to the component of their text; rows that repeat the kept id and its text are all kept. Other columns are ignored.
     """
+    return _groups(docs, id_col, text_col, shingle, percent).drop("xh")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """As ``near_groups``, with ``xh``, a hash of the text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("xh"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("xh"))
     table = written(rows.mapInArrow(_signatures(shingle), "doc_id long, xh long, n_shingles long, node binary, bits array<long>, parity array<long>, bands array<long>"))
     named = table.filter("node is not null")
     classes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "xh")).alias("one"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("n_shingles").alias("n"), "parity", "bits")).alias("sketch"), F.min("bands").alias("bands")))
@@ -187,14 +192,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = classes.select("node", "least_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     ids = written(ids.join(least, "comp").select("node", "component_id"))
-    t = table.select("doc_id", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return t.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    t = table.select("doc_id", "xh", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return t.select("doc_id", "xh", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with their columns."""
-    gone = near_groups(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs[options.get("id_col", "doc_id")].eqNullSafe(gone["doc_id"]), "left_anti")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, with their columns. Rows go by id and text: of several texts under
+    one id only those that repeat an earlier document go; rows that repeat id and text stay or go together."""
+    gone = written(_groups(docs, id_col, text_col, shingle, percent).filter("not kept").select("doc_id", "xh").distinct())
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["xh"]), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Standard deviations below which a feature isn't told apart (most texts have no symbol at all), as features.
 FLOORS = (0.4, 0.5, 0.15, 0.15)
 SHARE = 0.75
-STEPS = 5
+#: Searches for the least determinant: from medians, and from STARTS random subsets of about PICKED rows each. After TRIALS
+#: steps the BEST of each group go on until no determinant falls, STEPS steps at most.
+STARTS, PICKED, TRIALS, BEST, STEPS, SEED = 5, 10, 2, 2, 12, 23
 LEAST_GROUP = 20
 #: A row is judged in the first of these groups that has ``LEAST_GROUP`` rows; the last takes what is left, whatever its size.
 LEVELS = (("lang", "source"), ("lang",), ())
@@ -70,15 +72,20 @@ def _renamed(params: DataFrame, keys: Sequence[str]) -> DataFrame:
     return params.withColumnsRenamed({k: f"_{k}" for k in keys})
 
 
+def _cov(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
 def _factor(params: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
-    """From ``m*`` and ``c*_*`` (means, covariances) the rows of the lower Cholesky factor ``l*_*``."""
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            params = params.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return params.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
+    """From ``m*`` and ``c*_*`` (means, covariances) the rows of the lower Cholesky factor ``l*_*`` and ``logdet``, the
+    logarithm of the determinant."""
+    for i, j in _cov(p):
+        rest = F.col(f"c{i}_{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        params = params.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}_{j}"))
+    logdet = sum((F.log(f"l{i}_{i}") for i in range(1, p)), F.log("l0_0")) * 2
+    return params.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i, j in _cov(p)], F.round(logdet, 9).alias("logdet"))
 
 
 def _distances(rows: DataFrame, params: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
@@ -97,43 +104,80 @@ def _distances(rows: DataFrame, params: DataFrame, p: int, keys: Sequence[str])
         return sum((x * x for x in y[1:]), y[0] * y[0])
 
     worse = [away[0], *[F.when(F.col(f"m{i}").isNotNull(), F.greatest(away[i], F.lit(0.0))) for i in range(1, p)]]
-    return t.withColumns({"d2": squared(away), "bad2": squared(worse)}).drop(*[c for c in params.columns if c not in (*keys, "n")])
+    return t.withColumns({"d2": squared(away), "bad2": squared(worse)}).drop(*[c for c in params.columns if c not in (*keys, "n", "start")])
+
+
+def _moments(p: int) -> list[Column]:
+    return [F.count(F.lit(1)).alias("h"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _cov(p)]]
+
+
+def _estimates(sums: DataFrame, p: int, keys: Sequence[str], widen: float) -> DataFrame:
+    """Means and regularised covariances from sums: the floors are added to the diagonal."""
+    mean = lambda i: F.col(f"s{i}") / F.col("h")
+    cov = lambda i, j: (F.col(f"q{i}_{j}").cast("double") / F.col("h") - mean(i) * mean(j)) * widen + (_floor(i) if i == j else 0.0)
+    return sums.filter("h > 0").select(*keys, "n", *[mean(i).alias(f"m{i}") for i in range(p)], *[cov(i, j).alias(f"c{i}_{j}") for i, j in _cov(p)])
 
 
-def robust_parameters(rows: DataFrame, keys: Sequence[str] = LEVELS[0], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Centre and factored scatter of each group by ``keys``: concentration steps from medians and median deviations.
+def _floor(i: int) -> float:
+    return (FLOORS[i] * UNIT) ** 2
 
-    Each step keeps the ``share`` of a group with the least distances and takes their mean and covariance. The bound is
-    read off a histogram of distances (at most 1024 bins a group), not from a sort; sums are exact integers.
-    What goes from step to step is a table with one row a group, written to the shared folder: Spark then knows its
-    size and broadcasts it only if that is small.
+
+def _starts(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """Where the searches begin (``start`` from 0): medians with median deviations, and the moments of seeded random subsets."""
+    centre = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.median(f"x{i}").alias(f"m{i}") for i in range(p)]).filter("n > 0"))
+    near = rows.join(_renamed(centre, keys), _same(rows, keys)).drop(*[f"_{k}" for k in keys])
+    spread = near.groupBy(*keys, "n", *[f"m{i}" for i in range(p)]).agg(*[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(p)])
+    first = spread.select(*keys, F.lit(0).alias("start"), "n", *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(p)], *[(F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) + _floor(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _cov(p)])
+    h = F.xxhash64(F.lit(SEED), "doc_id", *[f"x{i}" for i in range(p)])
+    drawn = near.withColumn("_h", h).filter(F.pmod(F.shiftright("_h", 8), F.lit(1 << 40)) * F.col("n") < F.lit(STARTS * PICKED * (1 << 40)))
+    drawn = drawn.withColumn("start", (F.pmod("_h", F.lit(STARTS)) + 1).cast("int"))
+    return first.unionByName(_estimates(drawn.groupBy(*keys, "start", "n").agg(*_moments(p)), p, [*keys, "start"], 1.0))
+
+
+def robust_parameters(rows: DataFrame, keys: Sequence[str] = LEVELS[0], share: float = SHARE) -> DataFrame:
+    """Centre, factored scatter and ``logdet`` of each group by ``keys``: regularised minimum-covariance-determinant estimates.
+
+    Several searches run side by side for each group. A concentration step keeps the ``share`` of the group with the
+    least distances and takes their mean and covariance; the determinants of the searches are compared after TRIALS
+    steps, the BEST go on until none falls any more, and the least one of a group counts. The floors on the diagonal
+    keep scatters regular where most texts agree in a feature (no symbol at all, say).
+    One step is one pass over the numbers: moments are summed by group, search and bin of distance (at most 1024 bins),
+    and running sums over the bins give the nearest rows' moments without a sort; sums are exact integers. What goes from
+    step to step is a table of one row a group and search, written to the shared folder: Spark knows its size and
+    broadcasts it only if that is small.
     """
     p = len(FEATURES)
-    centre = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.median(f"x{i}").alias(f"m{i}") for i in range(p)])
-    centre = written(centre.filter("n > 0"))
-    near = rows.join(_renamed(centre, keys), _same(rows, keys))
-    spread = near.groupBy(*keys, "n", *[f"m{i}" for i in range(p)]).agg(*[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"s{i}") for i in range(p)])
-    floor = lambda i: (FLOORS[i] * UNIT) ** 2
-    params = spread.select(*keys, "n", *[f"m{i}" for i in range(p)], *[(F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + floor(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
-    params = written(_factor(params, p, keys))
-    widen = consistency(share)
-    for _ in range(steps):
-        t = _distances(rows, params, p, keys).withColumn("bin", F.least(F.lit(1023), F.floor(F.log2(1 + F.col("d2") * 16) * 32)).cast("int"))
-        hist = t.groupBy(*keys, "n", "bin").agg(F.count(F.lit(1)).alias("k"))
-        upto = F.sum("k").over(Window.partitionBy(*keys).orderBy("bin"))
-        bound = hist.withColumn("u", upto).filter(F.col("u") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("bin").alias("_bound"))
-        bound = written(bound.filter("_bound is not null"))
-        near = t.join(_renamed(bound, keys), _same(t, keys)).filter("bin <= _bound")
-        sums = near.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("h"), *[F.sum(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
-        means = sums.filter("h > 0").withColumns({f"m{i}": F.col(f"m{i}") / F.col("h") for i in range(p)})
-        params = means.withColumns({f"c{i}_{j}": (F.col(f"c{i}_{j}") / F.col("h") - F.col(f"m{i}") * F.col(f"m{j}")) * widen + (floor(i) if i == j else 0.0) for i in range(p) for j in range(i + 1)})
-        params = written(_factor(params, p, keys))
-    return params
+    by, widen = [*keys, "start"], consistency(share)
+    now = best = written(_factor(written(_starts(rows, keys, p)), p, by))
+    for step in range(STEPS):
+        t = _distances(rows, now, p, keys).withColumn("bin", F.least(F.lit(1023), F.floor(F.log2(1 + F.col("d2") * 16) * 32)).cast("int"))
+        bins = t.filter("start is not null").groupBy(*by, "n", "bin").agg(*_moments(p))
+        upto = Window.partitionBy(*by).orderBy("bin")
+        names = ["h", *[f"s{i}" for i in range(p)], *[f"q{i}_{j}" for i, j in _cov(p)]]
+        sums = bins.select(*by, "n", "bin", *[F.sum(c).over(upto).alias(c) for c in names]).filter(F.col("h") >= F.ceil(F.col("n") * share))
+        near = _estimates(sums, p, [*by, "bin"], widen)
+        near = near.groupBy(*by, "n").agg(F.min_by(F.struct(*[c for c in near.columns if c not in (*by, "n", "bin")]), "bin").alias("u"))
+        after = _factor(near.select(*by, "n", "u.*"), p, by)
+        if step < TRIALS:
+            now = best = written(after)
+            if step == TRIALS - 1:
+                rank = F.row_number().over(Window.partitionBy(*keys).orderBy("logdet", "start"))
+                now = best = written(now.withColumn("_r", rank).filter(F.col("_r") <= BEST).drop("_r"))
+            continue
+        was = _renamed(now.select(*by, F.col("logdet").alias("_was")), by)
+        now = written(after.join(was, _same(after, by)).filter("logdet < _was - 1e-6").select(*after.columns))
+        if now.isEmpty():
+            break
+        best = best.unionByName(now)
+    least = best.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in best.columns if c not in keys]), F.struct("logdet", "start")).alias("u"))
+    return written(least.select(*keys, "u.*").drop("start"))
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
     """Statistics, base rules and verdict of every row; see ``statistics``. Adds ``distance2, base_failed, kept``.
 
+    Windows of words are compared by a hash of 64 bits.
+
     A vector is rejected if its robust squared distance within its group exceeds ``cutoff`` and it lies on the bad side:
     the distance still exceeds it when fewer symbols, duplicate lines or repetitions than the centre has count as the
     centre's; word lengths are odd either way. The group is the language and source, or, with fewer than ``LEAST_GROUP``
@@ -157,9 +201,10 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
     return far.withColumn("kept", ~F.col("base_failed") & ~F.col("odd")).drop("odd", "bad2", "n", *[f"x{i}" for i in range(len(FEATURES))])
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. A repeated id goes only if all its rows are rejected."""
-    bad = quality(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any")
+    bad = quality(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any")
+    bad = written(bad.select("doc_id"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]), "left_anti")
 
 

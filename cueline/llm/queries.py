@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op9_exact_dedup": exact.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op4_sharding": sharding.SQL, "op9_exact_dedup": exact.SQL}

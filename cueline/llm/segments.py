@@ -3,7 +3,8 @@
 Every window of ``size`` elements has an anchor, the gram in it with the least hash (leftmost of equals). Equal windows
 have the same anchor at the same offset. A segment is a run of windows of one text with the same anchor; it is keyed by
 the anchor's hash, so equal windows always meet under one key, and there are few segments (two for each ``size``
-elements or so). Most repeats are whole segments that are equal and are settled by counting.
+elements or so). Segments that are equal by a 64-bit digest of content and offset are one class; each class goes once, with
+the number of its copies, to the index of its shard, and what the index finds holds for all its copies.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, written
+from .common import long_id, small_batches, text_of, written
 
 PART = 1 << 22
-#: Groups with more different segments than this are settled by counting windows instead of indexing them in one task.
+#: The classes of an anchor that has more than this are not indexed in one task: their windows are dealt out by content.
 MOST = 4096
 OCCURRENCES = "rid long, doc_id long, fp long, ctx long, lo long, d0 int, n int"
 
@@ -80,14 +81,14 @@ def occurrences(elements: Callable, size: int, gram: int):
 
 def extracted(elements: Callable, size: int):
     """Segments' elements as bytes, for a text and the list of the segments wanted of it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64()), ("lo", pa.int64()), ("d0", pa.int32()), ("n", pa.int32()), ("big", pa.bool_()), ("seg", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("lo", pa.int64()), ("d0", pa.int32()), ("n", pa.int32()), ("ctx", pa.int64()), ("copies", pa.int64()), ("big", pa.bool_()), ("seg", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = elements()
         for b in batches:
-            for doc, rid, text, wanted in zip(*[b.column(c).to_pylist() for c in ("doc_id", "rid", "text", "wanted")]):
+            for doc, text, wanted in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "wanted")]):
                 x = of(text)
-                rows = [w | {"doc_id": doc, "rid": rid, "seg": x[w["lo"] : w["lo"] + w["n"] + size - 1].tobytes()} for w in wanted]
+                rows = [w | {"doc_id": doc, "seg": x[w["lo"] : w["lo"] + w["n"] + size - 1].tobytes()} for w in wanted]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -96,40 +97,57 @@ def extracted(elements: Callable, size: int):
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``rid, doc_id, text``: rid is the id itself if ids are unique, else a hash of id and text (repeated rows share it)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), text_of(text_col).alias("text"))
     unique = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
     return rows.select((F.col("doc_id") if unique else F.xxhash64("doc_id", "text")).alias("rid"), "doc_id", "text")
 
 
 def repeated(rows: DataFrame, elements: Callable, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Segments whose anchor occurs twice or more, and their classes (one row for each different content).
+    """Segments whose anchor occurs twice or more: all occurrences (OCCURRENCES), and one row for each class.
 
-    First: OCCURRENCES and ``copies, first``: how often the class occurs and its first place (id, then start).
-    Second: ``fp, doc_id, rid, lo, d0, n, seg, big`` for classes that have another class under their anchor;
-    ``big`` if more than MOST share it.
+    Classes: ``fp, ctx, copies, doc_id, lo, d0, n, seg, big``: how often the class occurs, its first place (id, then start),
+    its elements, and whether more than MOST classes share the anchor.
     """
     occ = rows.mapInArrow(occurrences(elements, size, gram), OCCURRENCES)
-    often = occ.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("fp")
+    # A table of its own, so that the join below has two plain exchanges and Spark can split an anchor with very many rows.
+    often = written(occ.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("fp"))
     occ = written(occ.join(often, "fp"))
     classes = written(occ.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "lo", "rid", "d0", "n")).alias("first")))
-    kinds = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = classes.join(kinds, "fp").select("first.rid", F.struct("fp", "first.lo", "first.d0", "first.n", (F.col("kinds") > MOST).alias("big")).alias("w"))
+    many = written(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > MOST).select("fp", F.lit(True).alias("big")))
+    wanted = classes.join(many, "fp", "left").select("first.rid", F.struct("fp", "ctx", "copies", "first.lo", "first.d0", "first.n", F.coalesce("big", F.lit(False)).alias("big")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    segs = rows.join(wanted, "rid").dropDuplicates(["rid"]).select("doc_id", "rid", "text", "wanted").mapInArrow(extracted(elements, size), "doc_id long, rid long, fp long, lo long, d0 int, n int, big boolean, seg binary")
-    return occ.join(classes, ["fp", "ctx"]), written(segs)
+    segs = rows.join(wanted, "rid").dropDuplicates(["rid"]).select("doc_id", "text", "wanted").mapInArrow(extracted(elements, size), "doc_id long, fp long, lo long, d0 int, n int, ctx long, copies long, big boolean, seg binary")
+    return occ, written(segs)
 
 
 def single_windows(segs: DataFrame, size: int, item: int) -> DataFrame:
-    """``digest, doc_id, rid, start``: all windows of the given segments, for groups too large to index in one task."""
-    t = segs.select("doc_id", "rid", "lo", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    """``digest, fp, ctx, copies, doc_id, lo, i``: all windows of the given classes, for anchors with too many to index in one task."""
+    t = segs.select("fp", "ctx", "copies", "doc_id", "lo", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     window = F.substring("seg", F.col("i") * item + 1, F.lit(size * item))
-    return t.select("doc_id", "rid", (F.col("lo") + F.col("i")).alias("start"), F.unhex(F.sha2(window, 256)).alias("digest"))
+    return t.withColumn("digest", F.unhex(F.sha2(window, 256))).drop("seg")
 
 
-def spans(flags: np.ndarray, lo: int) -> list[tuple[int, int]]:
-    """Runs of flagged windows of a segment, as first and past-the-last window of the text."""
+def spans(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of flagged windows of a segment, as first and past-the-last window."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(lo + int(a), lo + int(b)) for a, b in zip(edge[::2], edge[1::2])]
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def in_shards(shard: Callable[[list[dict]], pa.RecordBatch]):
+    """Rows come sorted by anchor; ``shard`` gets whole anchors, about 4000 classes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if len(held) >= 4000 and r["fp"] != held[-1]["fp"]:
+                    yield shard(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield shard(held)
+
+    return run
 
 
 def apply_spans(rows: DataFrame, found: DataFrame, work: Callable, schema: str) -> DataFrame:

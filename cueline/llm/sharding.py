@@ -36,7 +36,8 @@ def feistel_position(number: Column, rows: Column, seed: int = SEED, walks: int
 
     The domain is high x low with high = ceil(sqrt(rows)) and low = ceil(rows / high): it exceeds ``rows`` by less
     than high, so few numbers leave the range and walk on along their cycle. A walk of more than ``walks`` steps would
-    need as many rows outside one after the other (odds below rows ** (-walks / 2)); it raises instead of guessing.
+    need as many rows outside one after the other (a row leaves the range with odds of about rows ** -0.5, so such a walk has
+    odds below rows ** (-walks / 2)); it raises instead of guessing.
     """
     number, rows = number.cast("long"), rows.cast("long")
     high = F.ceil(F.sqrt(rows.cast("double"))).cast("long")
@@ -77,3 +78,24 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
+
+
+def _oracle() -> str:
+    """The same law in SQL: a CRC by table over the bytes, the numbers by one sort, the network unrolled, the walk by recursion."""
+    enc = "select *, x // low a, x % low b, high ma, low mb from walk where step = 0 or x >= n"
+    for k in round_keys(SEED):
+        enc = f"select * exclude (a, b, ma, mb, m), b a, (a + m) % ma b, mb ma, ma mb from (select *, ((((b + {k}) % {PRIME}) * ((b + {k}) % {PRIME}) + b) % {PRIME} * 48271 + {k}) % {PRIME} m from ({enc}))"
+    return f"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+bytes as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) b from documents),
+d as (select doc_id, len(b)::bigint + 1 size, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295)::bigint text_crc32 from bytes, crc),
+numbered as (select *, row_number() over (order by substr(md5(doc_id::varchar), 1, 3), doc_id, size, text_crc32) - 1 x, count(*) over () n, ceil(sqrt(count(*) over ()))::bigint high from d),
+walk as (
+  select *, ceil(n / high)::bigint low, 0 step from numbered
+  union all
+  select doc_id, size, text_crc32, a * low + b x, n, high, low, step + 1 from ({enc}))
+select doc_id, size, text_crc32, 'rows' law, (x % 8)::int shard, x // 8 slot, null::int grown_shard from walk where step > 0 and x < n
+"""
+
+
+SQL = _oracle()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .segments import apply_spans, numbered, repeated, single_windows, spans
+from .segments import apply_spans, in_shards, numbered, repeated, single_windows, spans
 
 LENGTH, GRAM = 400, 64
 #: Bytes that multikey quicksort looks at; what agrees so far goes into a blind trie.
@@ -93,8 +93,8 @@ def sorted_with_lcp(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), np.array(lcp)
 
 
-def repeated_windows(segs: list[bytes], d0: np.ndarray, n: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment which of its windows occur in another one.
+def repeated_windows(segs: list[bytes], d0: np.ndarray, n: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each segment (that stands for so many copies) which of its windows occur twice or more.
 
     A window that starts d bytes before the anchor equals another's iff they share d bytes to the left of the anchor and
     length - d to the right: classes of either order cut where the shared length falls below that.
@@ -106,39 +106,27 @@ def repeated_windows(segs: list[bytes], d0: np.ndarray, n: np.ndarray, length: i
     low = d0 - n + 1
     for d in range(int(low.min()), int(d0.max()) + 1):
         valid = np.flatnonzero((low <= d) & (d <= d0))
-        if len(valid) < 2:
+        if not len(valid):
             continue
         r_class[right] = np.cumsum(rl < length - d)
         l_class[left] = np.cumsum(ll < d)
         pair = r_class[valid] * (len(segs) + 1) + l_class[valid]
-        _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
-        for k in valid[count[which] > 1]:
+        _, which = np.unique(pair, return_inverse=True)
+        for k in valid[np.bincount(which, copies[valid])[which] > 1]:
             flags[k][d0[k] - d] = True
     return flags
 
 
 def _shards(length: int):
-    schema = pa.schema([("rid", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("fp", "ctx", "a", "b")])
 
     def shard(rows: list[dict]) -> pa.RecordBatch:
-        d0, n = np.array([r["d0"] for r in rows]), np.array([r["n"] for r in rows])
-        flags = repeated_windows([r["seg"] for r in rows], d0, n, length)
-        out = [(r["rid"], a, b) for r, f in zip(rows, flags) for a, b in spans(f, r["lo"])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
+        d0, n, copies = (np.array([r[c] for r in rows]) for c in ("d0", "n", "copies"))
+        flags = repeated_windows([r["seg"] for r in rows], d0, n, copies, length)
+        out = [(r["fp"], r["ctx"], a, b) for r, f in zip(rows, flags) for a, b in spans(f)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 4)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; a suffix array holds whole groups, about 4000 segments."""
-        held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if len(held) >= 4000 and r["fp"] != held[-1]["fp"]:
-                    yield shard(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield shard(held)
-
-    return run
+    return in_shards(shard)
 
 
 def _removed(length: int):
@@ -167,19 +155,20 @@ def _removed(length: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Remove bytes covered by a ``length``-byte string that starts twice or more: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    Segments that occur twice are removed whole. The different segments under one anchor are dealt out by it, and each
-    task sorts the suffixes (and, reversed, the prefixes) at the anchors and reads off the windows that occur twice.
-    Groups too large for a task are settled by counting their windows' digests. Null text is empty; texts shorter than
-    ``length`` lose nothing; rows that repeat id and text count as two occurrences. No rows in, no rows out.
+    The classes of segments under one anchor are dealt out by it, and each task sorts the suffixes (and, reversed, the
+    prefixes) at the anchors and reads off the windows that occur twice; a class of several copies counts as often. What
+    is found of a class holds for its copies. Windows of an anchor with too many classes for a task meet by content.
+    Null text is empty; texts shorter than ``length`` lose nothing; rows that repeat id and text count as two
+    occurrences; ids are whole numbers. No rows in, no rows out.
     """
     rows = numbered(docs, id_col, text_col)
     occ, segs = repeated(rows, lambda: _bytes, length, gram)
-    whole = occ.filter("copies > 1").select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), "rid long, a long, b long")
+    parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), "fp long, ctx long, a long, b long")
     big = single_windows(segs.filter("big"), length, 1)
-    twice = big.groupBy("digest").count().filter("count > 1").select("digest")
-    ones = big.join(twice, "digest").select("rid", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    found = written(whole.union(parts).union(ones))
+    twice = big.groupBy("digest").agg(F.sum("copies").alias("k")).filter("k > 1").select("digest")
+    ones = big.join(twice, "digest").select("fp", "ctx", F.col("i").cast("long").alias("a"), (F.col("i") + 1).cast("long").alias("b"))
+    found = written(parts.union(ones))
+    found = occ.join(found, ["fp", "ctx"]).select("rid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
     return apply_spans(rows, found, _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
