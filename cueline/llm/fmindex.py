@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .segments import apply_spans, in_shards, numbered, repeated, single_windows, spans
+from .segments import apply_spans, in_shards, numbered, numbers, powers_of, removed_flags, repeated, single_windows, spans, text_data
 
 LENGTH, GRAM = 20, 4
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Bits:
@@ -47,26 +44,26 @@ class WaveletTree:
             self.zeros.append(int(len(bits) - bits.sum()))
             symbols = np.concatenate([symbols[~bits], symbols[bits]])
 
+        self.start = self._down(np.zeros(sigma, np.int64), np.arange(sigma))  # of each symbol's places at the bottom
+
+    def _down(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        for k, level in enumerate(reversed(range(self.height))):
+            one, ones = (symbol >> level & 1).astype(bool), self.levels[k].ones(place)
+            place = np.where(one, self.zeros[k] + ones, place - ones)
+        return place
+
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place; all queries go down the levels together."""
-        start, place = np.zeros_like(place), place.copy()
-        for k, level in enumerate(reversed(range(self.height))):
-            one = (symbol >> level & 1).astype(bool)
-            s, p = self.levels[k].ones(start), self.levels[k].ones(place)
-            start = np.where(one, self.zeros[k] + s, start - s)
-            place = np.where(one, self.zeros[k] + p, place - p)
-        return place - start
+        return self._down(place, symbol) - self.start[symbol]
 
     def symbol(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it stands before it."""
-        start, place, symbol = np.zeros_like(place), place.copy(), np.zeros_like(place)
+        symbol = np.zeros_like(place)
         for k in range(self.height):
-            one = self.levels[k][place]
-            s, p = self.levels[k].ones(start), self.levels[k].ones(place)
-            start = np.where(one, self.zeros[k] + s, start - s)
-            place = np.where(one, self.zeros[k] + p, place - p)
+            one, ones = self.levels[k][place], self.levels[k].ones(place)
+            place = np.where(one, self.zeros[k] + ones, place - ones)
             symbol = symbol << 1 | one
-        return symbol, place - start
+        return symbol, place - self.start[symbol]
 
 
 class FMIndex:
@@ -118,12 +115,12 @@ class FMIndex:
             rows, steps = self.before[symbol] + n, steps + 1
         return out
 
-    def matching_statistics(self, stream: np.ndarray, least: int, occurrences: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end in a stream of documents (0: a break) how many symbols up to it, ``least`` at most, occur
-        ``occurrences`` times or more in the index, and the interval of that match."""
-        ends = np.arange(1, len(stream) + 1)
+    def matching_statistics(self, stream: np.ndarray, least: int, occurrences: int = 2, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end (place after a match; all, if none are given) in a stream of documents (0: a break) how many symbols
+        up to it, ``least`` at most, occur ``occurrences`` times or more in the index, and the interval of that match."""
+        ends = np.arange(1, len(stream) + 1) if ends is None else ends
         length, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.size)
-        open_ = np.flatnonzero(stream > 0)
+        open_ = np.arange(len(ends))
         for k in range(least):
             open_ = open_[ends[open_] - 1 - k >= 0]
             symbol = stream[ends[open_] - 1 - k]
@@ -135,7 +132,7 @@ class FMIndex:
         return length, lo, hi
 
 
-def earlier_windows(segs: list[np.ndarray], starts: list[tuple[int, int]], length: int = LENGTH) -> list[np.ndarray]:
+def earlier_windows(segs: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each segment (its id and start given) which of its windows also start earlier in another."""
     _, ids = np.unique(np.concatenate(segs), return_inverse=True)
     sizes = np.array([len(s) + 1 for s in segs])
@@ -143,72 +140,101 @@ def earlier_windows(segs: list[np.ndarray], starts: list[tuple[int, int]], lengt
     index = FMIndex(np.split(ids + 1, np.cumsum(sizes - 1)[:-1]))
     stream = np.zeros(int(sizes.sum()), np.int64)
     stream[np.arange(len(ids)) + np.repeat(np.arange(len(segs)), sizes - 1)] = ids + 1
-    _, doc = np.unique(np.array([d for d, _ in starts]), return_inverse=True)
-    lo_of = np.array([lo for _, lo in starts])
+    _, doc = np.unique(docs, return_inverse=True)
 
     def place(at: np.ndarray) -> np.ndarray:
         """Documents in order, then starts, as one number; a place that two segments share is one place."""
         k = np.searchsorted(begins, at, side="right") - 1
-        return (doc[k] << 40) + lo_of[k] + at - begins[k]
+        return (doc[k] << 40) + starts[k] + at - begins[k]
 
-    found, lo, hi = index.matching_statistics(stream, length)
+    windows = np.maximum(0, sizes - length)
+    first_end = np.repeat(begins + length - np.cumsum(windows) + windows, windows)
+    ends = np.arange(len(first_end)) + first_end
+    found, lo, hi = index.matching_statistics(stream, length, ends=ends)
     hits = np.flatnonzero(found >= length)
-    flags = np.zeros(len(stream), bool)
+    flags = np.zeros(len(ends), bool)
     if len(hits):
         pairs, which = np.unique(lo[hits] << 32 | hi[hits], return_inverse=True)
         lo, n = pairs >> 32, (pairs & 0xFFFFFFFF) - (pairs >> 32)
         at = np.cumsum(n) - n
         every = place(index.locate(np.arange(int(n.sum())) + np.repeat(lo - at, n)))
-        first = np.minimum.reduceat(every, at)
-        begin = hits - length + 1
-        flags[begin] = first[which] < place(begin)
-    return [f[: max(0, len(f) - length)] for f in np.split(flags, np.cumsum(sizes)[:-1])]
-
-
-class Words:
-    """Word hashes of a text; remembers those of known words, up to a bound."""
-
-    def __init__(self, remember: int = 500_000):
-        self.most, self.known = remember, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        found, known = _WORDS.findall(text), self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(found):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode())
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        earliest = np.minimum.reduceat(every, at)
+        flags[hits] = earliest[which] < place(ends[hits] - length)
+    return np.split(flags, np.cumsum(windows)[:-1])
+
+
+_rng = np.random.default_rng(19)
+_BYTES, _SPACE = _rng.integers(1, 2**63, 256, dtype=np.uint64), np.isin(np.arange(256), (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts end to end begin and end, and where each text's words begin among them (and the last text's end)."""
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    starts, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    seam = offsets[1:-1]
+    starts[seam] |= inside[seam + 1]  # a text that begins with a word right after one that ends with a word
+    ends[seam] |= inside[seam]
+    first = np.flatnonzero(starts[:-1])
+    return first, np.flatnonzero(ends), np.searchsorted(first, offsets)
+
+
+def words(column: pa.Array, slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a column of texts, end to end, and where each text's begin: polynomials of their bytes from running sums,
+    a slice of the bytes at a time."""
+    data, offsets = text_data(column)
+    first, end, counts = word_places(data, offsets)
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(end, first[at] + slice_bytes)))
+        low = int(first[at])
+        piece = data[low : int(end[to - 1])]
+        powers, inverse = powers_of(len(piece) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[piece] * powers[: len(piece)], dtype=np.uint64)])
+        a, b = first[at:to] - low, end[at:to] - low
+        h = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[at:to] = h ^ (h >> np.uint64(29))
+        at = to
+    return out, counts
 
 
 def _shards(length: int):
     schema = pa.schema([*[(c, pa.int64()) for c in ("fp", "ctx", "a", "b", "first_doc", "first_lo")], ("later", pa.bool_())])
 
-    def shard(rows: list[dict]) -> pa.RecordBatch:
-        none = np.iinfo(np.int64).min
-        flags = earlier_windows([np.frombuffer(r["seg"], np.uint64) for r in rows], [(none if r["doc_id"] is None else r["doc_id"], r["lo"]) for r in rows], length)
-        out = [(r["fp"], r["ctx"], a, b, r["doc_id"], r["lo"], False) for r, f in zip(rows, flags) for a, b in spans(f)]
-        out += [(r["fp"], r["ctx"], 0, r["n"], r["doc_id"], r["lo"], True) for r in rows if r["copies"] > 1]  # all that the first copy has starts earlier there
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([],) * 7, schema)], schema=schema)
+    def shard(t: pa.Table) -> pa.RecordBatch:
+        fp, ctx, doc, lo, n, copies = numbers(t, "fp", "ctx", "doc_id", "lo", "n", "copies")
+        found = [spans(f) for f in earlier_windows([np.frombuffer(s, np.uint64) for s in t["seg"].to_pylist()], doc, lo, length)]
+        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        a, b = np.array([x for f in found for x in f], np.int64).reshape(-1, 2).T
+        many = np.flatnonzero(copies > 1)  # all that the first copy of a class has starts earlier there
+        of, later = np.concatenate([of, many]), np.concatenate([np.zeros(len(of), bool), np.ones(len(many), bool)])
+        a, b = np.concatenate([a, np.zeros(len(many), np.int64)]), np.concatenate([b, n[many]])
+        first = t["doc_id"].combine_chunks().take(pa.array(of))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (fp[of], ctx[of], a, b)], first, pa.array(lo[of], pa.int64()), pa.array(later)], schema=schema)
 
     return in_shards(shard)
 
 
 def _removed(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc, text, found in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "spans")]):
-                words = _WORDS.findall(text)
-                keep = np.ones(len(words), bool)
-                for s in found or ():
-                    keep[s["a"] : s["b"] + length - 1] = False
-                kept = words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]
-                for column, v in zip(out, (doc, len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, schema)], schema=schema)
+            data, offsets = text_data(b.column("text"))
+            first, end, counts = word_places(data, offsets)
+            gone = removed_flags(len(first), counts, b.column("spans").to_pylist(), length)
+            n, lost = np.diff(counts), np.diff(np.concatenate([[0], np.cumsum(gone)])[counts])
+            first, end = first[~gone], end[~gone]
+            kept = np.concatenate([[0], np.cumsum(n - lost)])
+            edge = np.zeros(len(data) + 2, np.int8)
+            edge[first] += 1
+            edge[end] -= 1
+            take = np.cumsum(edge[: len(data)]).astype(bool)
+            joined = np.delete(np.arange(len(end)), kept[1:][n > lost] - 1)  # all but a text's last kept word are followed by a space
+            data = data.copy()
+            take[end[joined]], data[end[joined]] = True, 0x20
+            out = data[take].tobytes()
+            at = np.concatenate([[0], np.cumsum(take)])[offsets].tolist()
+            sha = [hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
@@ -224,7 +250,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier one. Words are compared by a hash of 64 bits. No rows in, no rows out.
     """
     rows = numbered(docs, id_col, text_col)
-    occ, segs = repeated(rows, Words, length, gram)
+    occ, segs = repeated(rows, words, length, gram)
     schema = "fp long, ctx long, a long, b long, first_doc long, first_lo long, later boolean"
     parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), schema)
     big = single_windows(segs.filter("big"), length, 8).withColumn("place", F.struct("doc_id", (F.col("lo") + F.col("i")).alias("start")))

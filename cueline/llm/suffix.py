@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .segments import apply_spans, in_shards, numbered, repeated, single_windows, spans
+from .segments import apply_spans, in_shards, numbered, numbers, removed_flags, repeated, single_windows, spans, text_data
 
 LENGTH, GRAM = 400, 64
 #: Bytes that multikey quicksort looks at; what agrees so far goes into a blind trie.
@@ -120,34 +120,30 @@ def repeated_windows(segs: list[bytes], d0: np.ndarray, n: np.ndarray, copies: n
 def _shards(length: int):
     schema = pa.schema([(c, pa.int64()) for c in ("fp", "ctx", "a", "b")])
 
-    def shard(rows: list[dict]) -> pa.RecordBatch:
-        d0, n, copies = (np.array([r[c] for r in rows]) for c in ("d0", "n", "copies"))
-        flags = repeated_windows([r["seg"] for r in rows], d0, n, copies, length)
-        out = [(r["fp"], r["ctx"], a, b) for r, f in zip(rows, flags) for a, b in spans(f)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 4)], schema=schema)
+    def shard(t: pa.Table) -> pa.RecordBatch:
+        d0, n, copies, fp, ctx = numbers(t, "d0", "n", "copies", "fp", "ctx")
+        flags = repeated_windows(t["seg"].to_pylist(), d0, n, copies, length)
+        found = [spans(f) for f in flags]
+        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        a, b = np.array([x for f in found for x in f], np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (fp[of], ctx[of], a, b)], schema=schema)
 
     return in_shards(shard)
 
 
 def _removed(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc, text, found in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "spans")]):
-                data, at, gone, count, sha = text.encode(), 0, 0, 0, hashlib.sha256()
-                for s in sorted((s["a"], s["b"] + length - 1) for s in found or ()):
-                    if s[0] > at or not count:
-                        sha.update(data[at : s[0]])
-                        count += 1
-                        at = s[0]
-                    gone += max(0, s[1] - at)
-                    at = max(at, s[1])
-                sha.update(data[at:])
-                for column, v in zip(out, (doc, len(data), gone, count, sha.hexdigest())):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, schema)], schema=schema)
+            data, offsets = text_data(b.column("text"))
+            gone = removed_flags(len(data), offsets, b.column("spans").to_pylist(), length)
+            begins = gone & ~np.concatenate([[False], gone[:-1]])
+            begins[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]
+            count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+            out = data[~gone].tobytes()
+            at = np.concatenate([[0], np.cumsum(~gone)])[offsets].tolist()
+            sha = [hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(at, at[1:])]
+            numbers_ = [pa.array(v, pa.int64()) for v in (np.diff(offsets), count(gone), count(begins))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *numbers_, pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
@@ -162,7 +158,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occurrences; ids are whole numbers. No rows in, no rows out.
     """
     rows = numbered(docs, id_col, text_col)
-    occ, segs = repeated(rows, lambda: _bytes, length, gram)
+    occ, segs = repeated(rows, text_data, length, gram)
     parts = segs.filter("not big").repartition("fp").sortWithinPartitions("fp", "doc_id", "lo").mapInArrow(_shards(length), "fp long, ctx long, a long, b long")
     big = single_windows(segs.filter("big"), length, 1)
     twice = big.groupBy("digest").agg(F.sum("copies").alias("k")).filter("k > 1").select("digest")
@@ -172,9 +168,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return apply_spans(rows, found, _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode(), np.uint8)
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from cueline.llm import exact, fmindex, graph, licences, near, packing, quality, segments, tokens
 from cueline.llm.common import fresh
@@ -84,15 +85,33 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
-def test_long_texts_are_cut_into_parts(monkeypatch):
-    """Segments of a text of many parts are the windows of the whole text, each once, with its anchor."""
-    x = np.frombuffer(prose(random.Random(1), 700).encode(), np.uint8)
-    h = segments.gram_hashes(x, 16)
-    monkeypatch.setattr(segments, "PART", 500)
-    got = [w for _, _, lo, _, n in segments.text_segments(x, 100, 16) for w in range(lo, lo + n)]
-    assert got == list(range(len(x) - 99))
-    for fp, _, lo, d0, n in segments.text_segments(x, 100, 16):
-        assert h[lo + d0 : lo + d0 + 1].view(np.int64)[0] == fp
+@pytest.mark.parametrize("part", [1 << 20, 500])
+def test_segments_of_texts_end_to_end(monkeypatch, part):
+    """Segments of several texts, one of them of many parts, are the windows of each text, each once, with its anchor; none crosses a seam."""
+    rnd = random.Random(1)
+    texts = [prose(rnd, n) for n in (0, 700, 3, 60, 0, 1, 80)]
+    x, offsets = segments.text_data(pa.array(texts))
+    assert x.tobytes() == "".join(texts).encode() and offsets.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+    monkeypatch.setattr(segments, "PART", part)
+    of, fp, ctx, lo, d0, n = segments.text_segments(x, offsets, 100, 16)
+    assert [(t, w) for t, a, k in zip(of, lo, n) for w in range(a, a + k)] == [(t, w) for t, s in enumerate(texts) for w in range(len(s) - 99)]
+    assert (segments.gram_hashes(x, 16)[offsets[of] + lo + d0].view(np.int64) == fp).all()
+    contents = {(texts[t][a : a + k + 99], d) for t, a, k, d in zip(of, lo, n, d0)}
+    assert len(contents) == len(set(ctx.tolist()))
+
+
+def test_words_of_texts_end_to_end():
+    texts = ["a b", "", "c", "  d\te ", "é\u00a0x \x0b", "a", "b a"]
+    column = pa.array(["cut off", *texts]).slice(1)
+    data, offsets = segments.text_data(column)
+    first, end, counts = fmindex.word_places(data, offsets)
+    found = [[data[a:b].tobytes().decode() for a, b in zip(first[i:j], end[i:j])] for i, j in zip(counts, counts[1:])]
+    assert found == [WORD.findall(t) for t in texts]
+    for slice_bytes in (1 << 20, 3):
+        h, at = fmindex.words(column, slice_bytes)
+        known = {}
+        assert at.tolist() == counts.tolist() and all(known.setdefault(w, v) == v for w, v in zip([w for t in found for w in t], h.tolist()))
+        assert len(set(known.values())) == len(known)
 
 
 def test_index_locates_and_counts():
