@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D\x{3000}]+"
+#: Marks at the edges of a phrase; pauses inside a loop; characters that take no time; ends of sentences.
+EDGE = "。、．，！？!?…・ー～~ \u3000"
+PAUSES = "。、．，！？!?…・ー～~"
+UNTIMED = "。、，,！？!?…．・「」『』（）()【】〔〕〜~ー\u3000 \t\r\n"
+SENTENCE_ENDS = "。？！?!"
+SOUNDS = "あぁアァうぅウゥんンはハぁー〜…・。、,.!?！？"
+#: Sounds and how they are written out; longer or lexical replies are left alone.
+VOICED = {"あぁアァ": "啊", "いぃイィ": "咿", "うぅウゥ": "呜", "えぇエェ": "诶", "おぉオォ": "哦", "んン": "嗯", "はハ": "哈", "ふフ": "呼", "っッ": "", "ー〜": "…"}
+UNVOICED = r"[\s。、，,.!?！？…ー〜♥♡♪っッ]"
+LEXICAL = "^(いい|はい|うん|ううん|ええ)+$"
 
 
 def let(value: Column, f) -> Column:
@@ -19,8 +29,9 @@ def compact(t: Column) -> Column:
     return F.regexp_replace(t, BLANK, "")
 
 
-def phrase_key(t: Column, edge: str = "。、！？!?…,. ") -> Column:
-    return F.regexp_replace(compact(t), f"^[{edge}]+|[{edge}]+$", "")
+def phrase_key(t: Column, edge: str = EDGE) -> Column:
+    """A text without blanks and edge marks, to count phrases by."""
+    return F.btrim(compact(t), F.lit(edge))
 
 
 def symbol_noise(t: Column) -> Column:
@@ -44,19 +55,34 @@ def dominant_share(t: Column) -> Column:
     return let(compact(t), share)
 
 
+def _none_of(t: Column, marks: str) -> Column:
+    return F.translate(t, marks, "")
+
+
 def looping(t: Column) -> Column:
     """A unit of one to four characters five times or more, six characters at least, pauses aside."""
-    core = F.regexp_replace(compact(t), "[、。,.…!?！？]", "")
-    return F.length(F.regexp_extract(core, r"(.{1,4}?)\1{4,}", 0)) >= 6
+    return F.length(F.regexp_extract(_none_of(compact(t), PAUSES), r"(.{1,4}?)\1{4,}", 0)) >= 6
 
 
 def noise(t: Column, least: int = 2) -> Column:
+    """Nothing, too little, one short unit all along, mostly one character, a loop, or four or more sounds and marks only."""
     c = compact(t)
     whole = F.lit(False)
     for k in (1, 2, 3):
         unit = F.substring(c, 1, k)
         whole = whole | ((F.length(c) >= 3 * k) & (F.length(c) % k == 0) & (F.replace(c, unit, F.lit("")) == ""))
-    return (F.length(c) == 0) | (F.length(c) < least) | whole | ((F.length(c) >= 5) & (dominant_share(t) >= 0.8)) | looping(t)
+    sounds = (F.length(c) >= 4) & (_none_of(c, SOUNDS) == "")
+    return (F.length(c) == 0) | (F.length(c) < least) | whole | ((F.length(c) >= 5) & (dominant_share(t) >= 0.8)) | looping(t) | sounds
+
+
+def exceeds(ratio: Column, most: float) -> Column:
+    """Whether a measure is there and reaches a bound."""
+    return F.coalesce(ratio >= most, F.lit(False))
+
+
+def timed_characters(t: Column) -> Column:
+    """The characters that take time: no marks, no blanks."""
+    return characters(_none_of(t, UNTIMED))
 
 
 def asr_clean(t: Column) -> Column:
@@ -108,17 +134,102 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 
 def short_context(t: Column, fillers: Sequence[str] = ()) -> Column:
-    c = compact(t)
-    return (F.length(c) <= 2) | c.rlike(r"^\p{P}*$") | (c.isin(*fillers) if fillers else F.lit(False))
+    """Two characters or fewer, marks only, or a filler: too little to go by."""
+    c = F.translate(compact(t), "？！", "?!")
+    return (F.length(c) <= 2) | (_none_of(c, "、。！？!?…ー〜・-.") == "") | (c.isin(*fillers) if fillers else F.lit(False))
+
+
+def repeats(t: Column, longest: int, times: int) -> Column:
+    """Whether a unit of up to ``longest`` characters stands ``times`` times in a row."""
+    return t.rlike(rf"(.{{1,{longest}}}?)\1{{{times - 1},}}")
 
 
 def degenerate(source: Column, t: Column) -> Column:
     """Far longer than the source, or a unit of one to five characters six times or more."""
-    return (F.length(t) > F.greatest(F.lit(40), F.length(source) * 3 + 10)) | t.rlike(r"(.{1,5}?)\1{5,}")
+    return (F.length(t) > F.greatest(F.lit(40), F.length(source) * 3 + 10)) | repeats(t, 5, 6)
+
+
+KANA, HAN = r"[\x{3041}-\x{3096}\x{30A1}-\x{30FA}]", r"[\x{4E00}-\x{9FFF}]"
+
+
+def latin_safe(source: Column, t: Column) -> Column:
+    """A usable translation into a Latin script: not empty, no kana or Han, no runaway length, no unit of up to twelve
+    characters six times."""
+    return (t != "") & ~t.rlike(f"{KANA}|{HAN}") & (F.length(t) <= F.greatest(F.lit(240), F.length(source) * 10 + 80)) & ~repeats(t, 12, 6)
+
+
+def residue(t: Column, foreign: str = "") -> Column:
+    """What is left of the source's script: kana, a character of ``foreign``, another Han character, or none."""
+    other = F.translate(t, foreign, "") != t if foreign else F.lit(False)
+    return F.when(t.rlike(r"[\x{3041}-\x{30FF}]"), F.lit("kana")).when(other, F.lit("foreign")).when(t.rlike(HAN), F.lit("han")).otherwise(F.lit("none"))
+
+
+def voiced(t: Column) -> Column:
+    """A text of sounds only, written out sound by sound; null for anything else, above all for short replies that mean something."""
+    core = F.regexp_replace(t, UNVOICED, "")
+    hira = F.translate(core, "".join(map(chr, range(0x30A1, 0x30F7))), "".join(map(chr, range(0x3041, 0x3097))))
+    sounds = "".join(k for k, v in VOICED.items() if k not in ("っッ", "ー〜"))
+    from_, to = "".join(k for k, v in VOICED.items() if v), "".join(v * len(k) for k, v in VOICED.items() if v)
+    plain = (core != "") & (F.length(core) <= 12) & ~hira.rlike(LEXICAL) & (_none_of(core, sounds) == "")
+    return F.when(plain, F.trim(F.translate(t, from_ + "っッ", to)))
+
+
+def converted(t: Column, characters_: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
+    """A text in another script by a table of phrases, longest first, then of single characters."""
+    for k in sorted(phrases or {}, key=lambda k: (-len(k), k)):
+        t = F.replace(t, F.lit(k), F.lit(phrases[k]))
+    return F.translate(t, "".join(characters_), "".join(characters_.values()))
+
+
+def answer(t: Column, separator: str = "") -> Column:
+    """The body of a model's answer: without fence, label and one ``target`` or ``current`` tag, lines joined. Empty where a
+    tag is repeated or a line is numbered, explains, or holds another fence or tag."""
+    tag = lambda x, n: F.regexp_extract_all(x, F.lit(f"(?s)<{n}>(.*?)</{n}>"), F.lit(1))
+    x = F.regexp_replace(F.btrim(t, F.lit(" \t\r\n")), r"(?s)^```[^\n]*\n(.*?)\n```$", "$1")
+    one = F.when(F.size(tag(x, "target")) > 0, tag(x, "target")).when(F.size(tag(x, "current")) > 0, tag(x, "current")).otherwise(F.array(x))
+    body = F.regexp_replace(F.btrim(F.get(one, F.lit(0)), F.lit(" \t\r\n")), r"^(翻译结果|译文)[:：]\s*", "")
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda y: F.trim(y)), lambda y: y != "")
+    odd = r"(?i)^(\[\d+\]|\d+([.)]\s+|、)|(解释|说明|翻译说明|Explanation|Translation notes)[:：]|```|</?(target|current|context)>)"
+    return F.when((F.size(one) > 1) | F.exists(lines, lambda y: y.rlike(odd)), F.lit("")).otherwise(F.array_join(lines, separator))
+
+
+def sentences(t: Column, most: int, ends: str = SENTENCE_ENDS, soft: str = "、") -> Column:
+    """Sentence units: cut after ends; a unit of more than ``most`` timed characters also after soft marks once it holds
+    three fifths of that. What blanks alone are left over at the end goes."""
+    units = F.filter(F.split(t, f"(?<=[{ends}])"), lambda u: F.trim(u) != "")
+
+    def cut(u: Column) -> Column:
+        state = lambda out, sub, n: F.struct(out.alias("out"), sub.alias("sub"), n.alias("n"))
+        none = F.array().cast("array<string>")
+
+        def step(s: Column, c: Column) -> Column:
+            n = s["n"] + F.when(F.contains(F.lit(UNTIMED), c), 0).otherwise(1)
+            sub = F.concat(s["sub"], c)
+            return F.when(F.contains(F.lit(soft), c) & (n * 10 >= most * 6), state(F.array_append(s["out"], sub), F.lit(""), F.lit(0))).otherwise(state(s["out"], sub, n))
+
+        parts = F.aggregate(characters(u), state(none, F.lit(""), F.lit(0)), step, lambda s: F.when(s["sub"] == "", s["out"]).otherwise(F.array_append(s["out"], s["sub"])))
+        return F.when(F.length(_none_of(u, UNTIMED)) <= most, F.array(u)).otherwise(parts)
+
+    return F.flatten(F.transform(units, cut))
+
+
+def length_pieces(t: Column, comma_from: int = 50, most: int = 80, commas: str = "、，,") -> Column:
+    """A text of more than ``comma_from`` timed characters cut after commas beyond that many and hard at ``most``; pieces
+    without timed characters go."""
+    state = lambda out, sub, n: F.struct(out.alias("out"), sub.alias("sub"), n.alias("n"))
+
+    def step(s: Column, c: Column) -> Column:
+        n, sub = s["n"] + F.when(F.contains(F.lit(UNTIMED), c), 0).otherwise(1), F.concat(s["sub"], c)
+        full = (F.contains(F.lit(commas), c) & (n >= comma_from)) | (n >= most)
+        return F.when(full, state(F.array_append(s["out"], sub), F.lit(""), F.lit(0))).otherwise(state(s["out"], sub, n))
+
+    parts = F.aggregate(characters(t), state(F.array().cast("array<string>"), F.lit(""), F.lit(0)), step, lambda s: F.array_append(s["out"], s["sub"]))
+    return F.filter(F.when(F.length(_none_of(t, UNTIMED)) <= comma_from, F.array(t)).otherwise(parts), lambda p: _none_of(p, UNTIMED) != "")
 
 
-def residue(t: Column) -> Column:
-    return F.when(t.rlike(r"[\x{3041}-\x{30FF}]"), F.lit("kana")).when(t.rlike(r"[\x{4E00}-\x{9FFF}]"), F.lit("han")).otherwise(F.lit("none"))
+def overlong(t: Column, most: int) -> Column:
+    """Whether any line is longer than ``most``."""
+    return F.exists(F.split(t, "\n"), lambda x: F.length(x) > most)
 
 
 def alias_of(t: Column, aliases: dict[str, str], default: str) -> Column:

@@ -56,4 +56,4 @@ def token_budget(ms: Column, rate: float, floor: int, cap: int) -> Column:
 
 
 def fraction_label(hit: Column, total: Column) -> Column:
-    return F.when(total == 0, F.lit("n/a")).otherwise(F.concat(F.format_string("%.1f", 100.0 * hit / total), F.lit("% ("), hit.cast("string"), F.lit("/"), total.cast("string"), F.lit(")")))
+    return F.when(total == 0, F.concat(F.lit("n/a ("), hit.cast("string"), F.lit("/"), total.cast("string"), F.lit(")"))).otherwise(F.concat(F.format_string("%.1f", 100.0 * hit / total), F.lit("% ("), hit.cast("string"), F.lit("/"), total.cast("string"), F.lit(")")))

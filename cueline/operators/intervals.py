@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,21 +11,46 @@ from pyspark.sql import functions as F
 KEYS = ("track",)
 
 
-def _islands(df: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
-    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = df.withColumn("reach", reach)
-    return t.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("start_ms") > F.col("reach") + gap), 1).otherwise(0)).over(w))
+#: Width of the slots of time that running values are dealt out by: a day.
+SLOT = 86_400_000
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str = "") -> Column:
+    """Null-safe equality of keys, in ``b`` with a prefix."""
+    return reduce(lambda c, k: c & a[k].eqNullSafe(b[prefix + k]), keys, F.lit(True))
+
+
+def running_max(df: DataFrame, value: Column, out: str, keys: Sequence[str] = KEYS, before: bool = True, width: int = SLOT) -> DataFrame:
+    """Adds ``out``: the largest value of the rows before each row by start and end, or of those up to its start.
+
+    A track is dealt out by slots of time: maxima of slots give what lies before a slot (one row a slot), and only rows
+    of one slot are sorted together, so a track of any length is many tasks."""
+    own = df.withColumns({"_slot": F.floor(F.col("start_ms") / width), "_v": value})
+    tops = own.groupBy(*keys, "_slot").agg(F.max("_v").alias("_top"))
+    by = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_of"), F.max("_top").over(by).alias("_earlier"))
+    t = own.join(tops, same_keys(own, tops, keys, "_k_") & (F.col("_slot") == F.col("_of")))
+    w = Window.partitionBy(*keys, "_slot")
+    w = w.orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1) if before else w.orderBy("start_ms")
+    return t.select(*df.columns, F.greatest(F.max("_v").over(w), "_earlier").alias(out))
+
+
+def islands(df: DataFrame, keys: Sequence[str] = KEYS, gap: int = 0) -> DataFrame:
+    """Adds ``reach``, the largest end before a row, and ``island_ms``, the start of the row's island: a new one begins
+    where a start lies more than ``gap`` beyond the reach."""
+    t = running_max(df, F.col("end_ms"), "reach", keys)
+    new = F.when(F.col("reach").isNull() | (F.col("start_ms") > F.col("reach") + gap), F.col("start_ms"))
+    return running_max(t, new, "island_ms", keys, before=False)
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str] = KEYS, gap: int = 0) -> DataFrame:
     """Union of each track's intervals; touching ones merge, and ones up to ``gap`` apart."""
-    return _islands(df, keys, gap).groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
+    return islands(df, keys, gap).groupBy(*keys, "island_ms").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island_ms")
 
 
 def gaps(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Uncovered spans between the first start and the last end."""
-    return _islands(df, keys).filter("start_ms > reach").select(*keys, F.col("reach").alias("start_ms"), F.col("start_ms").alias("end_ms"))
+    return running_max(df, F.col("end_ms"), "reach", keys).filter("start_ms > reach").select(*keys, F.col("reach").alias("start_ms"), F.col("start_ms").alias("end_ms"))
 
 
 def full_span_gaps(df: DataFrame, tracks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

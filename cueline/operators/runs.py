@@ -39,8 +39,8 @@ def recall(segments: DataFrame, cues: DataFrame, pad_ms: int, threshold: float,
 
 
 def run_hits(segments: DataFrame, runs: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:
-    """``segment_hits`` against every run of ``runs`` (cues with a column ``run``); runs are few."""
-    each = segments.crossJoin(F.broadcast(runs.select("run").distinct()))
+    """``segment_hits`` against every run of ``runs`` (cues with a column ``run``) that has the segment's track."""
+    each = segments.join(runs.select("run", *keys).distinct(), list(keys))
     return segment_hits(each, runs, pad_ms, threshold, least_chars, ["run", *keys])
 
 

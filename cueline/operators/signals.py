@@ -1,0 +1,127 @@
+"""Timing from signals and alignments: speech segments of probability series, scenes, and times of words and characters."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import length_pieces, timed_characters
+from .intervals import range_join
+from .runs import timeline_to_real
+
+KEYS = ("track",)
+
+
+def smoothed(frames: DataFrame, value: str, radius: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds ``smooth``: the mean over the frames ``radius`` before to ``radius`` after; fewer at the ends."""
+    return frames.withColumn("smooth", F.avg(value).over(Window.partitionBy(*keys).orderBy("frame").rowsBetween(-radius, radius)))
+
+
+def speech_segments(frames: DataFrame, onset: float = 0.5, silence: int = 5, least: int = 3, pad: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Segments of a series (``frame`` from 0, ``prob``) by hysteresis: ``start, end`` (past the last frame) and ``reason``.
+
+    A segment begins at a probability of ``onset`` and ends at the first of low frames (below ``onset`` - 0.15, 0.01 at least) that are
+    not interrupted by an onset until ``silence`` frames later another low one follows, or with the series. Segments shorter than
+    ``least`` go; the others are widened by ``pad`` without overlap. By sets: low frames are gathered by the last onset before them.
+    """
+    low = max(onset - 0.15, 0.01)
+    w = Window.partitionBy(*keys).orderBy("frame")
+    t = frames.withColumn("_on", F.last(F.when(F.col("prob") >= onset, F.col("frame")), ignorenulls=True).over(w))
+    sizes = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_size"))
+    quiet = F.when(F.col("prob") < low, F.col("frame"))
+    runs = t.filter("_on is not null").groupBy(*keys, "_on").agg(F.min(quiet).alias("_first"), F.max(quiet).alias("_last"))
+    runs = runs.withColumn("_cut", F.when(F.col("_last") - F.col("_first") >= silence, F.col("_first")))
+    by = Window.partitionBy(*keys).orderBy("_on")
+    runs = runs.withColumn("_new", F.lag("_on").over(by).isNull() | F.lag("_cut").over(by).isNotNull())
+    runs = runs.withColumn("start", F.last(F.when(F.col("_new"), F.col("_on")), ignorenulls=True).over(by))
+    s = runs.groupBy(*keys, "start").agg(F.max("_cut").alias("_cut")).join(sizes, list(keys))
+    s = s.select(*keys, "start", F.coalesce("_cut", "_size").alias("end"), F.when(F.col("_cut").isNull(), F.lit("series_end")).otherwise(F.lit("silence")).alias("reason"), "_size").filter(F.col("end") - F.col("start") >= least)
+    order = Window.partitionBy(*keys).orderBy("start")
+    s = s.withColumn("_to", F.least(F.coalesce(F.lead("start").over(order), F.col("_size")), F.col("end") + pad))
+    return s.select(*keys, F.greatest(F.coalesce(F.lag("_to").over(order), F.lit(0)), F.col("start") - pad).alias("start"), F.col("_to").alias("end"), "reason")
+
+
+def scenes(frames: DataFrame, window: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Scenes of a labelled series (``frame``, ``label``, ``energy``): ``start, end`` without gaps or overlaps. A label change is moved to the
+    frame of least energy (the first of equals) from ``window`` frames before it to as many after it, that one excluded."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    change = frames.withColumn("_p", F.lag("label").over(w)).filter("label <> _p").select(*keys, F.col("frame").alias("_at"))
+    near = change.withColumn("frame", F.explode(F.sequence(F.col("_at") - window, F.col("_at") + window - 1)))
+    moved = near.join(frames.select(*keys, "frame", "energy"), [*keys, "frame"]).groupBy(*keys, "_at").agg(F.min(F.struct("energy", "frame")).alias("m")).select(*keys, F.col("m.frame").alias("start"))
+    ends = frames.groupBy(*keys).agg(F.min("frame").alias("_lo"), (F.max("frame") + 1).alias("_hi"))
+    cuts = moved.union(ends.select(*keys, "_lo")).distinct().join(ends.drop("_lo"), list(keys))
+    return cuts.select(*keys, "start", F.coalesce(F.lead("start").over(Window.partitionBy(*keys).orderBy("start")), F.col("_hi")).alias("end"))
+
+
+def spread_words(words: DataFrame, regions: DataFrame, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+    """Words of collapsed chunks laid out anew over the chunk's speech regions (start_ms, end_ms) in proportion to their characters;
+    20 ms at least. Chunks without regions have no rows here (see ``spread_from_anchor``). Times are rounded half to even."""
+    n = F.greatest(F.length("word"), F.lit(1))
+    upto = Window.partitionBy(*keys).orderBy("pos")
+    total = F.greatest(F.sum(F.length("word")).over(Window.partitionBy(*keys)), F.lit(0))
+    t = words.withColumns({"_n": n, "_to": F.sum(n).over(upto), "_all": F.when(total > 0, total).otherwise(F.count(F.lit(1)).over(Window.partitionBy(*keys)))})
+    speech = regions.filter("end_ms > start_ms").groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("_speech"))
+    t = t.join(speech, list(keys))
+    at = lambda c: F.bround(c * F.col("_speech") / F.col("_all")).cast("long")
+    t = t.withColumns({"_a": at(F.col("_to") - F.col("_n")), "_b": at(F.col("_to"))})
+    point = lambda c, name: timeline_to_real(t.select(*keys, "pos", F.col(c).alias("at_ms")), regions, keys).select(*keys, "pos", F.col("real_ms").alias(name))
+    t = t.select(*keys, "pos", "word").join(point("_a", "start_ms"), [*keys, "pos"]).join(point("_b", "end_ms"), [*keys, "pos"])
+    return t.withColumn("end_ms", F.when(F.col("end_ms") <= F.col("start_ms"), F.col("start_ms") + 20).otherwise(F.col("end_ms")))
+
+
+def spread_from_anchor(words: DataFrame, scenes_: DataFrame, cps: float = 10.0, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+    """Words laid out anew from the first one's start at ``cps`` characters a second, within the scene (``scene_ms``): moved back where less
+    than half would fit, over the whole scene where nothing does; 20 ms at least."""
+    n = F.greatest(F.length("word"), F.lit(1))
+    every = Window.partitionBy(*keys)
+    t = words.withColumns({"_n": n, "_to": F.sum(n).over(every.orderBy("pos")), "_chars": F.sum(F.length("word")).over(every), "_count": F.count(F.lit(1)).over(every), "_anchor": F.first("start_ms").over(every.orderBy("pos"))}).join(scenes_, list(keys))
+    t = t.withColumn("_all", F.when(F.col("_chars") > 0, F.col("_chars")).otherwise(F.col("_count"))).withColumn("_want", F.col("_all") * 1000.0 / cps)
+    scene, end = F.col("scene_ms"), F.least(F.col("_anchor") + F.col("_want"), F.col("scene_ms").cast("double"))
+    start = F.when((F.col("_anchor") + F.col("_want") > scene) & (scene - F.col("_anchor") < F.col("_want") * 0.5), F.greatest(F.lit(0.0), scene - F.col("_want"))).otherwise(F.col("_anchor").cast("double"))
+    t = t.withColumns({"_s": F.when(end <= start, F.lit(0.0)).otherwise(start), "_e": F.when(end <= start, scene.cast("double")).otherwise(end)})
+    at = lambda c: F.col("_s") + c / F.col("_all") * (F.col("_e") - F.col("_s"))
+    a, b = at(F.col("_to") - F.col("_n")), at(F.col("_to"))
+    return t.select(*keys, "pos", "word", F.bround(a).cast("long").alias("start_ms"), F.bround(F.when(b <= a, a + 20).otherwise(b)).cast("long").alias("end_ms"))
+
+
+def region_characters(texts: DataFrame, regions: DataFrame, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+    """The timed characters of each text spread evenly over the chunk's speech regions: ``k, ch, start_ms, end_ms``; an end never passes the
+    region that its start lies in. Places are counted in microseconds, so nothing is rounded on the way."""
+    chars = timed_characters(F.col("text"))
+    t = texts.select(*keys, F.posexplode(chars).alias("k", "ch"), F.size(chars).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("start_ms")
+    span = (F.col("end_ms") - F.col("start_ms")) * 1000
+    cum = regions.filter("end_ms > start_ms").withColumn("_to", F.sum(span).over(w)).select(*keys, (F.col("start_ms") * 1000).alias("real"), (F.col("end_ms") * 1000).alias("real_end"), (F.col("_to") - span).alias("from_us"), F.col("_to").alias("to_us"))
+    total = cum.groupBy(*keys).agg(F.max("to_us").alias("_total"))
+    t = t.join(total, list(keys)).withColumns({"_a": F.floor(F.col("_total") * F.col("k") / F.col("_n")), "_b": F.floor(F.col("_total") * (F.col("k") + 1) / F.col("_n"))})
+    look = t.withColumns({"start_ms": F.greatest("_a", F.lit(1)) - 1, "end_ms": F.greatest("_a", F.lit(1))})
+    hit = range_join(look, cum.withColumnsRenamed({"from_us": "start_ms", "to_us": "end_ms"}), keys, width=600_000_000)
+    start = F.col("b_real") + F.col("_a") - F.col("b_start_ms")
+    end = F.when(F.col("_b") <= F.col("b_end_ms"), F.col("b_real") + F.col("_b") - F.col("b_start_ms")).otherwise(F.col("b_real_end"))
+    return hit.select(*keys, "k", "ch", F.floor(start / 1000).alias("start_ms"), F.floor(F.greatest(start, end) / 1000).alias("end_ms"))
+
+
+def item_characters(items: DataFrame, most_ms: float, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+    """Aligned items (``pos, word, start_ms, end_ms``) as a stream of their timed characters: spread evenly; points stay points; an item slower
+    than ``most_ms`` a character is packed at that pace against its end."""
+    chars = timed_characters(F.col("word"))
+    t = items.filter("start_ms is not null and end_ms is not null").select(*keys, "pos", "start_ms", "end_ms", F.size(chars).alias("_n"), F.posexplode(chars).alias("k", "ch"))
+    per = (F.col("end_ms") - F.col("start_ms")) / F.col("_n")
+    pace = F.when(F.col("end_ms") <= F.col("start_ms"), F.lit(0.0)).when(per > most_ms, F.lit(float(most_ms))).otherwise(per)
+    base = F.when(per > most_ms, F.col("end_ms") - F.col("_n") * most_ms).otherwise(F.col("start_ms").cast("double"))
+    return t.select(*keys, "pos", "k", "ch", F.round(base + F.col("k") * pace, 3).alias("start_ms"), F.round(base + (F.col("k") + 1) * pace, 3).alias("end_ms"))
+
+
+def frame_cues(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Cues of frames (``pos, start_ms, end_ms, text``): whole, or, beyond 50 timed characters, cut by length, each piece timed by its share of the
+    characters; ellipses at the start of a piece go, pieces without characters too: ``pos, piece, start_ms, end_ms, text``."""
+    n = lambda x: F.size(timed_characters(x))
+    t = frames.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).filter(F.col("end_ms") > F.col("start_ms"))
+    t = t.select(*keys, "pos", "start_ms", "end_ms", F.posexplode(length_pieces(F.col("text"))).alias("piece", "p"))
+    w = Window.partitionBy(*keys, "pos")
+    t = t.withColumn("_c", n(F.col("p"))).withColumns({"_to": F.sum("_c").over(w.orderBy("piece")), "_all": F.sum("_c").over(w)})
+    at = lambda c: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * c / F.col("_all"))
+    text = F.ltrim(F.regexp_replace(F.trim("p"), r"^(…|\.{2,})+", ""))
+    return t.select(*keys, "pos", "piece", at(F.col("_to") - F.col("_c")).alias("start_ms"), at(F.col("_to")).alias("end_ms"), text.alias("text")).filter((F.col("end_ms") > F.col("start_ms")) & (n(F.col("text")) > 0))

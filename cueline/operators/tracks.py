@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact
+from ..functions.normal import edits
 
 ORDER = ("start_ms", "end_ms", "pos")
 
@@ -44,11 +43,6 @@ def adjacent_duplicates(df: DataFrame, source: DataFrame, keys: Sequence[str] =
     return t.filter((F.col("text") != "") & (F.col("text") == F.col("_t")) & (F.col("source_text") != F.col("_s"))).select(*keys, "pos", "text")
 
 
-def repeated_phrases(df: DataFrame, least: int, keys: Sequence[str] = ("track",)) -> DataFrame:
-    """Texts that a track repeats ``least`` times or more, blanks aside."""
-    return df.withColumn("phrase", compact(F.col("text"))).filter("phrase <> ''").groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("first_pos")).filter(F.col("times") >= least)
-
-
 def paired(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("track",)) -> DataFrame:
     """Target cues with the source text of the same pos (the last, if repeated); empty where there is none."""
     s = source.groupBy(*keys, "pos").agg(F.max_by("text", "start_ms").alias("source_text"))
@@ -69,12 +63,27 @@ def id_differences(expected: DataFrame, got: DataFrame, columns: Sequence[str])
     return e.join(g, list(columns), "left_anti").withColumn("kind", F.lit("missing")).union(g.join(e, list(columns), "left_anti").withColumn("kind", F.lit("unknown")))
 
 
+#: A glossary of at most so many bytes is broadcast.
+SMALL_GLOSSARY = 1 << 20
+
+
 def matched_terms(df: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Terms contained in a text, without those contained in a longer matched term. Glossaries are small by nature;
-    one of more than 10,000 terms is refused rather than broadcast."""
-    if terms.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 terms: match them with a tokenised join")
-    hit = df.select(*keys, "text").join(F.broadcast(terms), F.contains(F.col("text"), F.col("source"))).drop("text")
+    """Terms contained in a text, without those contained in a longer matched term.
+
+    A glossary whose measured size is small is compared with every text by broadcast. A larger one is joined by its terms'
+    first three characters (those of shorter terms: all) with the distinct runs of characters of each text, so any size
+    of glossary works.
+    """
+    size = terms.agg(F.sum(F.octet_length("source") + 64)).first()[0] or 0
+    t = df.select(*keys, "text")
+    if size <= SMALL_GLOSSARY:
+        hit = t.join(F.broadcast(terms), F.contains(F.col("text"), F.col("source")))
+    else:
+        head = terms.withColumn("_gram", F.substring("source", 1, 3))
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substr("text", i, F.lit(n)))
+        grams = t.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3)])))))
+        hit = grams.join(head, "_gram").filter(F.contains(F.col("text"), F.col("source"))).drop("_gram")
+    hit = hit.drop("text")
     many = hit.groupBy(*keys).agg(F.collect_list("source").alias("all"))
     longer = F.exists("all", lambda o: (o != F.col("source")) & F.contains(o, F.col("source")))
     return hit.join(many, list(keys)).filter(~longer).drop("all")
@@ -86,95 +95,37 @@ def glossary_issues(df: DataFrame, translated: DataFrame, terms: DataFrame, keys
     return t.filter(F.exists("forbidden", lambda f: F.contains(F.col("translation"), f))).select(*keys, "source", "target")
 
 
-def edit_rate(reference: DataFrame, candidate: DataFrame, keys: Sequence[str] = ("track",)) -> DataFrame:
-    """Per track: Levenshtein edits of cues paired by pos over the reference's characters; null for an empty reference."""
+def edit_rate(reference: DataFrame, candidate: DataFrame, keys: Sequence[str] = ("track",), cells: int = 4_000_000) -> DataFrame:
+    """Per track: edits of cues paired by pos (substitutions, insertions, deletions) over the reference's characters; the
+    rate is null for an empty reference.
+
+    Where one text begins with the other the edits are what it lacks. Other pairs of up to ``cells`` characters by
+    characters are split up by ``normal.edits``; beyond that only the distance is taken (``unsplit`` pairs).
+    """
     c = candidate.select(*keys, "pos", F.col("text").alias("c"))
-    t = reference.select(*keys, "pos", F.col("text").alias("r")).join(c, [*keys, "pos"], "full")
-    r, c = F.coalesce("r", F.lit("")), F.coalesce("c", F.lit(""))
-    # Where one text begins with the other, the distance is what it lacks: no table of characters by characters is needed.
-    edits = F.when(F.startswith(r, c) | F.startswith(c, r), F.abs(F.length(r) - F.length(c))).otherwise(F.levenshtein(r, c))
-    t = t.groupBy(*keys).agg(F.sum(edits).alias("edits"), F.sum(F.length(r)).alias("chars"))
+    t = reference.select(*keys, "pos", F.col("text").alias("r")).join(c, [*keys, "pos"], "full").fillna("", ["r", "c"])
+    n = F.length("r") - F.length("c")
+    easy = F.startswith("r", "c") | F.startswith("c", "r")
+    lacks = t.filter(easy).select(*keys, F.length("r").alias("chars"), F.abs(n).alias("edits"), F.lit(0).alias("substitutions"), F.greatest(-n, F.lit(0)).alias("insertions"), F.greatest(n, F.lit(0)).alias("deletions"), F.lit(0).alias("unsplit"))
+    hard = t.filter(~easy).withColumn("_fits", F.length("r").cast("long") * F.length("c") <= cells)
+    near = hard.filter("_fits").select(*keys, F.length("r").alias("chars"), edits("r", "c").alias("e")).select(*keys, "chars", (F.col("e.substitutions") + F.col("e.insertions") + F.col("e.deletions")).alias("edits"), "e.*", F.lit(0).alias("unsplit"))
+    none = F.lit(None).cast("long")
+    far = hard.filter("not _fits").select(*keys, F.length("r").alias("chars"), F.levenshtein("r", "c").alias("edits"), none.alias("substitutions"), none.alias("insertions"), none.alias("deletions"), F.lit(1).alias("unsplit"))
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("edits", "substitutions", "insertions", "deletions", "chars", "unsplit")]
+    t = lacks.union(near).union(far).groupBy(*keys).agg(*sums)
     return t.withColumn("rate", F.when(F.col("chars") > 0, F.round(F.col("edits") / F.col("chars"), 9)))
 
 
-def windowed_dedup(df: DataFrame, window_ms: int, keys: Sequence[str] = ("track",)) -> DataFrame:
-    """Cues that survive when a repeat within ``window_ms`` of the last *surviving* equal text goes.
+def unblinded(mapping: DataFrame, votes: DataFrame, key: str = "item") -> DataFrame:
+    """Votes for a side (A, B, tie) as votes for a run: mapping has the run of each side (``A``, ``B``); items without a vote have none."""
+    t = mapping.join(votes, key, "left")
+    return t.withColumn("run", F.when(F.col("vote") == "A", F.col("A")).when(F.col("vote") == "B", F.col("B")).when(F.col("vote") == "tie", F.lit("tie")))
 
-    Rows are dealt by keys and text and sorted; one pass over a partition keeps the last survivor of the current text
-    only, so a long run of one text needs no memory.
-    """
-    by = [*keys, "text"]
-
-    def fold(parts):
-        now, last = None, None
-        for pdf in parts:
-            kept = []
-            for *key, s in zip(*[pdf[c] for c in by], pdf["start_ms"]):
-                keep = key != now or s - last > window_ms
-                kept.append(keep)
-                now, last = key, s if keep else last
-            yield pdf[kept]
-
-    return df.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInPandas(fold, df.schema)
-
-
-def merge_short(df: DataFrame, short: int, max_gap: int, max_chars: int) -> DataFrame:
-    """Append a cue to the one before if either has at most ``short`` characters and gap and length allow."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in pdf.sort_values(list(ORDER)).to_dict("records"):
-            prev = out[-1] if out else None
-            if prev and min(len(prev["text"]), len(row["text"])) <= short and 0 <= row["start_ms"] - prev["end_ms"] <= max_gap and len(prev["text"]) + len(row["text"]) <= max_chars:
-                prev["text"] += row["text"]
-                prev["end_ms"] = max(prev["end_ms"], row["end_ms"])
-            else:
-                out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return df.groupBy("track").applyInPandas(fold, df.schema)
-
-
-def same_start_piles(df: DataFrame, tolerance_ms: int = 50) -> DataFrame:
-    """Of cues that start within the tolerance of the one kept, only that one stays. One pass that keeps the last survivor only."""
-
-    def fold(parts):
-        now, last = None, None
-        for pdf in parts:
-            kept = []
-            for track, s in zip(pdf["track"], pdf["start_ms"]):
-                keep = track != now or s - last > tolerance_ms
-                kept.append(keep)
-                now, last = track, s if keep else last
-            yield pdf[kept]
-
-    return df.repartition("track").sortWithinPartitions("track", *ORDER).mapInPandas(fold, df.schema)
-
-
-def capped_groups(df: DataFrame, max_gap: int, max_span: int) -> DataFrame:
-    """Adds ``group``: a new one where the gap is larger than ``max_gap`` or the span would pass ``max_span``. One pass that keeps
-    the bounds of the open group only."""
-
-    def fold(parts):
-        now, at, start, end = None, -1, None, None
-        for pdf in parts:
-            group = []
-            for track, s, e in zip(pdf["track"], pdf["start_ms"], pdf["end_ms"]):
-                if track != now:
-                    now, at, start = track, -1, None
-                if start is None or s - end > max_gap or e - start > max_span:
-                    at, start, end = at + 1, s, e
-                end = max(end, e)
-                group.append(at)
-            yield pdf.assign(group=group)
-
-    schema = f"{', '.join(f'{n} {t}' for n, t in df.dtypes)}, group int"
-    return df.repartition("track").sortWithinPartitions("track", *ORDER).mapInPandas(fold, schema)
-
-
-def tally(votes: DataFrame, group: str) -> DataFrame:
-    """Wins of either side, ties and unvoted by group and in total (null group), with the exact two-sided sign test."""
-    t = votes.rollup(group).agg(F.count_if(F.col("vote") == "a").alias("wins"), F.count_if(F.col("vote") == "b").alias("losses"), F.count_if(F.col("vote") == "tie").alias("ties"), F.count_if(F.col("vote").isNull()).alias("unvoted"))
+
+def tally(votes: DataFrame, group: str, candidate: str, baseline: str) -> DataFrame:
+    """Wins and losses of the candidate, ties and unvoted by group and in total (null group), with the exact two-sided sign test."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    t = votes.rollup(group).agg(n(F.col("run") == candidate, "wins"), n(F.col("run") == baseline, "losses"), n(F.col("run") == "tie", "ties"), n(F.col("run").isNull(), "unvoted"))
     return t.withColumn("p", F.round(sign_test(F.col("wins"), F.col("losses")), 6))
 
 

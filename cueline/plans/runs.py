@@ -83,13 +83,9 @@ s0 as (select *, case when start_ms - lag(end_ms) over (partition by track order
 f as (select track, session, block, source, min(pos) first from k join s2 using (track, pos) group by all) select track, session, block, string_agg(source, '|' order by first, source) terms from f group by track, session, block"""),
     "s02_tumbling": (lambda s, d: rn.tumbling(cue_doc(s, d), 60000), f'with {DOC}, e as (select track, max(end_ms) m from cue_doc group by track) select track, start_ms // 60000 as "window", count(*) cues, sum(length(text))::bigint chars, start_ms // 60000 * 60000 as start_ms, least((start_ms // 60000 + 1) * 60000, max(m)) end_ms from (select c.*, m from cue_doc c join e using (track)) group by track, start_ms // 60000'),
     "s04_blind_sides": (lambda s, d: rn.blind_sides(texts(s, d), "lang", "doc_id", 7), "select lang, doc_id, row_number() over (partition by lang order by md5('7:' || doc_id), doc_id)::int rank, case when substr(md5('7:' || doc_id), 1, 1) < '8' then 'ab' else 'ba' end sides from documents"),
-    "a05_chunk_rollup": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.expr("try_cast(get_json_object(props, '$.k') as int) is null")).alias("unreadable"), F.sum(F.expr("try_cast(get_json_object(props, '$.k') as bigint)")).alias("model_ms"), F.count_if(F.col("value") == 0).alias("empty")), "select user_id, count(*) chunks, count_if(try_cast(json_extract_string(props, '$.k') as int) is null) unreadable, sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint model_ms, count_if(value = 0) as empty from events group by user_id"),
-    "a10_time_range": (lambda s, d: cue_alt(s, d).groupBy("track").agg(F.count(F.lit(1)).alias("items"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), f"with {ALT} select track, count(*) items, min(start_ms) start_ms, max(end_ms) end_ms from cue_alt group by track"),
-    "a11_reasons": (lambda s, d: table(s, d, "events").groupBy(F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("unknown")).alias("reason")).agg(F.count(F.lit(1)).alias("frames")), "select coalesce(nullif(event_type, 'view'), 'unknown') reason, count(*) frames from events group by 1"),
     "a16_acceptance": (lambda s, d: rn.review_acceptance(texts(s, d), table(s, d, "labels").select("doc_id", ((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("eligible")), "doc_id", "source"), "with l as (select doc_id, count(*) n, bool_and(toxic = 0 and quality = 1) e from labels group by doc_id) select source, count(*) cues, count_if(n = 1) reviewed, count_if(n is null) undecided, count_if(n > 1) repeated, count_if(n = 1 and e) eligible, bool_and(coalesce(n = 1 and e, false)) accepted from documents left join l using (doc_id) group by source"),
     "a17_split_conflicts": (lambda s, d: rn.split_conflicts(texts(s, d), "digest", "source"), "select md5(coalesce(text, '')) digest, count(distinct source) splits, count(*) \"rows\" from documents group by 1 having count(distinct source) > 1"),
     "a18_batch_budgets": (lambda s, d: rn.batch_budgets(turns(s, d).withColumn("batch", F.floor(F.col("track") / 4)), "batch", F.greatest(F.lit(64), F.length("text"))), f"with {TURNS}, b as (select track // 4 as batch, greatest(64, length(text)) n from turns) select batch, max(n)::int budget, count(distinct n) budgets, count(distinct n) > 1 regroup from b group by batch"),
     "a20_fingerprint": (lambda s, d: texts(s, d).select("doc_id", rn.fingerprint("source", "n_chars", "lang", "doc_id").alias("fingerprint")), "select doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})) fingerprint from documents"),
-    "a21_slots": (lambda s, d: turns(s, d).groupBy("role").agg(F.count(F.lit(1)).alias("slots"), (F.count(F.lit(1)) - F.count_distinct("text")).alias("hits"), F.count_if(F.length("text") < 20).alias("short")), f"with {TURNS} select role, count(*) slots, count(*) - count(distinct text) hits, count_if(length(text) < 20) short from turns group by role"),
     "a22_pivot": (lambda s, d: rn.run_pivot(two_runs(s, d), ("alt", "late")), f"with {RUNS} select track, pos, coalesce(max(text) filter (run = 'alt'), '[uncovered]') alt, coalesce(max(text) filter (run = 'late'), '[uncovered]') late from runs group by track, pos"),
 }

@@ -37,15 +37,48 @@ select track, pos, c compact, round(case when c = '' then 1.0 else list_max(list
 TERM_HIT = "h as (select track, pos, source, target, forbidden from cue_doc join terms on contains(text, source)), k as (select * from h a where not exists (from h b where a.track = b.track and a.pos = b.pos and b.source <> a.source and contains(b.source, a.source)))"
 
 
-def votes(spark, d):
-    t = table(spark, d, "labels")
-    return t.select(F.col("doc_id").alias("item"), (F.col("doc_id") % 4).alias("video"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("a")).when(F.col("toxic") == 1, F.lit("b")).otherwise(F.lit("tie")).alias("vote"))
-
-
 def filtered(spark, d):
-    """TX-04, 07 to 10, 17, 18, 23: predicates and rewrites that use back-references, over every line."""
+    """TX-04, 07, 08, 17, 18, 23: predicates and rewrites over every line."""
     x = F.col("text")
-    return cue_doc(spark, d).select("track", "pos", tx.symbol_noise(x).alias("symbols"), tx.looping(x).alias("looping"), tx.noise(x).alias("noise"), tx.asr_clean(x).alias("clean"), tx.wrap_at_marks(x, 40).alias("wrapped"), tx.wrap_at_blanks(x, 40).alias("wrapped_latin"), tx.degenerate(F.lit(""), x).alias("degenerate"))
+    return cue_doc(spark, d).select("track", "pos", tx.symbol_noise(x).alias("symbols"), tx.looping(x).alias("looping"), tx.noise(x).alias("noise"), tx.wrap_at_marks(x, 40).alias("wrapped"), tx.wrap_at_blanks(x, 40).alias("wrapped_latin"), tx.degenerate(F.lit(""), x).alias("degenerate"))
+
+
+def _units(t: str, longest: int, times: int) -> str:
+    """Places and units that stand so often in a row, on a list of characters: no back-references in SQL, so runs of equal characters at a distance are
+    counted."""
+    same = f"list_transform(range(1, len({t}) + 1), lambda i: case when i > {{k}} and {t}[i] = {t}[i - {{k}}] then 1 else 0 end)"
+    return " or ".join(f"contains(array_to_string({same.format(k=k)}, ''), repeat('1', {k * (times - 1)}))" for k in range(1, longest + 1))
+
+
+_K = [f"list_transform(range(1, len(p) + 1), lambda i: case when i > {k} and p[i] = p[i - {k}] then 1 else 0 end)" for k in (1, 2, 3, 4)]
+#: First place where each unit length stands five times: position of the run of equalities, less the unit itself.
+_FIRST = ", ".join(f"instr(array_to_string({x}, ''), repeat('1', {4 * (k + 1)})) - {k + 1} f{k + 1}, instr(array_to_string({x}, ''), repeat('1', {5 * (k + 1)})) - {k + 1} s{k + 1}" for k, x in enumerate(_K))
+_WRAP = "list_min(list_transform(list_filter(range(1, len(cs)), lambda i: {fit}), lambda i: {{'o': {o}, 'd': abs(2 * i - len(cs)), 'i': i}}))"
+FILTERS = rf"""with {DOC}, a as (select *, {C} c, regexp_extract_all(text, '(?s).') cs from cue_doc), b as (select *, regexp_extract_all(translate(c, '{tx.PAUSES}', ''), '(?s).') p, regexp_extract_all(c, '(?s).') cc, regexp_extract_all(c, '[\p{{S}}\p{{C}}]') sy from a),
+e as (select *, {_FIRST}, {_WRAP.format(fit="contains('.!?,;。！？、', cs[i])", o="0")} wm, {_WRAP.format(fit="cs[i] = ' '", o="i - 1 > 40 or len(cs) - i > 40")} wb, list_max(list_transform(list_distinct(cc), lambda x: len(list_filter(cc, lambda y: y = x)))) top from b),
+g as (select *, list_min(list_filter([f1, f2, f3, f4], lambda f: f > 0 or false)) first from (select * replace (case when f1 < 0 then null else f1 end as f1, case when f2 < 1 then null else f2 end as f2, case when f3 < 1 then null else f3 end as f3, case when f4 < 1 then null else f4 end as f4) from e)),
+h as (select *, case when first is null then false when f1 = first then s1 = first else true end loop from g)
+select track, pos, (len(sy) >= 2 and 2 * len(sy) >= length(c)) or (len(sy) >= 1 and length(c) <= 2) symbols, loop looping,
+  length(c) < 2 or (length(c) >= 3 and replace(c, substr(c, 1, 1), '') = '') or (length(c) >= 6 and length(c) % 2 = 0 and replace(c, substr(c, 1, 2), '') = '') or (length(c) >= 9 and length(c) % 3 = 0 and replace(c, substr(c, 1, 3), '') = '') or (length(c) >= 5 and top >= 0.8 * length(c)) or loop or (length(c) >= 4 and translate(c, '{tx.SOUNDS}', '') = '') noise,
+  case when length(text) <= 40 or wm is null then text else substr(text, 1, wm.i) || chr(10) || ltrim(substr(text, wm.i + 1)) end wrapped, case when length(text) <= 40 or wb is null then text else substr(text, 1, wb.i - 1) || chr(10) || substr(text, wb.i + 1) end wrapped_latin,
+  length(text) > 40 or {_units('cs', 5, 6)} degenerate from h"""
+
+
+def stages(spark, d):
+    """Events as status lines of jobs and stages, drained and read back: the last state of each."""
+    e = st.event_stream(spark, d)
+    n = F.col("event_id")
+    status = F.when(n % 4 == 0, F.lit("started")).when(n % 4 == 3, F.lit("completed")).otherwise(F.lit("progress"))
+    line = F.when((n % 4).isin(1, 2), F.concat(F.lit("[stage] "), (n % 8).cast("string"), F.lit("/8 done")))
+    rows = e.select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), F.unix_millis("ts").alias("at_ms"), status.alias("status"), line.alias("line"))
+    return st.drained(st.stage_status(rows), _folder(spark), "update")
+
+
+def survivors(spark, d):
+    """Events as cues of a second, by user and kind; repeats within a day of a survivor go."""
+    at = F.unix_millis("ts")
+    cues = st.event_stream(spark, d).select(F.col("user_id").alias("track"), F.col("event_type").alias("text"), F.col("event_id").cast("int").alias("pos"), at.alias("start_ms"), (at + 1000).alias("end_ms"))
+    return st.drained(st.surviving_cues(cues, 86_400_000, "long"), _folder(spark))
 
 
 def copied(spark, d):
@@ -56,31 +89,30 @@ def copied(spark, d):
 
 QUERIES = {
     "tx_columns": (columns, COLUMNS),
-    "tx_filters": (filtered, None),
+    "tx_filters": (filtered, FILTERS),
     "w09_blocks": (lambda s, d: tr.blocks(cue_doc(s, d), 3, 10000).drop("text"), f"with {DOC}, {SESS.format(g=10000, t='cue_doc')} select track, pos, start_ms, end_ms, session, (row_number() over (partition by track, session order by pos) - 1) // 3 as block from s1"),
     "w12_context": (lambda s, d: tr.rolling_context(cue_doc(s, d), 3, 10000).select("track", "pos", F.array_join("context", "|").alias("context")), f"with {DOC}, {SESS.format(g=10000, t='cue_doc')} select track, pos, coalesce(string_agg(text, '|' order by pos) over (partition by track, session order by pos rows between 3 preceding and 1 preceding), '') context from s1"),
-    "w11_adjacent_duplicates": (lambda s, d: tr.adjacent_duplicates(cue_doc(s, d).withColumn("text", F.substr("text", F.lit(1), F.lit(2))), cue_doc(s, d)), f"""with {DOC}, t as (select track, pos, substr(text, 1, 2) t, text s, lag(substr(text, 1, 2)) over w pt, lag(text) over w ps from cue_doc window w as (partition by track order by pos))
-select track, pos, t as text from t where t <> '' and t = pt and s <> ps"""),
     "w11_whole_lines": (lambda s, d: tr.adjacent_duplicates(copied(s, d), cue_doc(s, d)), f"""with {DOC}, t as (select track, pos, case when pos % 4 = 0 then coalesce(lag(text) over w, text) else text end t, text s from cue_doc window w as (partition by track order by pos)),
 u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition by track order by pos)) select track, pos, t as text from u where t <> '' and t = pt and s <> ps"""),
-    "a07_repeated_phrases": (lambda s, d: tr.repeated_phrases(cue_doc(s, d), 2), f"with {DOC} select track, {C} phrase, count(*) times, min(pos) first_pos from cue_doc where {C} <> '' group by 1, 2 having count(*) >= 2"),
     "j01_paired": (lambda s, d: tr.paired(cue_doc(s, d), cue_alt(s, d)), f"with {ALT} select d.track, d.pos, d.start_ms, d.end_ms, d.text, coalesce(a.text, '') source_text from cue_doc d left join cue_alt a using (track, pos)"),
     "j11_terms": (lambda s, d: tr.matched_terms(cue_doc(s, d), terms(s), ["track", "pos"]).select("track", "pos", "source", "target"), f"with {DOC}, {TERM_ROWS}, {TERM_HIT} select track, pos, source, target from k"),
     "j12_glossary_issues": (lambda s, d: tr.glossary_issues(cue_doc(s, d), cue_alt(s, d), terms(s), ["track", "pos"]), f"with {ALT}, {TERM_ROWS}, {TERM_HIT} select k.track, k.pos, source, target from k join cue_alt a on a.track = k.track and a.pos = k.pos where len(list_filter(forbidden, lambda f: contains(a.text, f))) > 0"),
     "j17_id_differences": (lambda s, d: tr.id_differences(cue_doc(s, d), cue_alt(s, d).withColumn("pos", F.col("pos") + 1), ["track", "pos"]), f"with {ALT}, e as (select distinct track, pos from cue_doc), g as (select distinct track, pos + 1 pos from cue_alt) select *, 'missing' kind from (from e except from g) union all select *, 'unknown' kind from (from g except from e)"),
     "j19_mapping": (lambda s, d: tr.mapping_check(cue_alt(s, d), cue_doc(s, d)), f"with {ALT} select a.track, count(*) cues, count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) confirmed, count(*) - count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) unresolved from cue_alt a left join cue_doc d using (track, pos) group by a.track"),
-    "a12_edit_rate": (lambda s, d: tr.edit_rate(cue_doc(s, d), cue_alt(s, d)), None),
-    "a14_tally": (lambda s, d: tr.tally(votes(s, d), "video"), None),
-    "g01_merge_short": (lambda s, d: tr.merge_short(cue_doc(s, d), 12, 400, 80), None),
-    "g03_same_start": (lambda s, d: tr.same_start_piles(cue_ev(s, d), 60000), None),
-    "g05_windowed_dedup": (lambda s, d: tr.windowed_dedup(cue_doc(s, d), 60000), None),
-    "g06_capped_groups": (lambda s, d: tr.capped_groups(cue_ev(s, d), 60000, 600000), None),
-    "k02_longest_gaps": (lambda s, d: cue_ev(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy((F.col("start_ms") - F.col("end_ms")), "pos"))).filter("rank <= 5").select("track", "pos", "rank"), f"with {EV} select * from (select track, pos, row_number() over (partition by track order by start_ms - end_ms, pos)::int as rank from cue_ev) where rank <= 5"),
+    "a12_edit_rate": (lambda s, d: tr.edit_rate(cue_doc(s, d), cue_alt(s, d)), f"with {ALT}, e as (select d.track, length(d.text) n, coalesce(length(a.text), 0) m from cue_doc d left join cue_alt a using (track, pos)), s as (select track, sum(n - m)::bigint edits, 0::bigint substitutions, 0::bigint insertions, sum(n - m)::bigint deletions, sum(n)::bigint chars, 0::bigint unsplit from e group by track) select *, case when chars > 0 then round(edits / chars, 9) end rate from s"),
     "io11_srt_text": (lambda s, d: sub.srt_text(cue_ev(s, d)), f"""with {EV}, n as (select *, row_number() over (partition by track order by start_ms, end_ms, pos) n from cue_ev),
 f as (select *, list_transform([start_ms, end_ms], lambda m: lpad((m // 3600000)::varchar, greatest(2, length((m // 3600000)::varchar))::int, '0') || ':' || lpad((m // 60000 % 60)::varchar, 2, '0') || ':' || lpad((m // 1000 % 60)::varchar, 2, '0') || ',' || lpad((m % 1000)::varchar, 3, '0')) t from n)
 select track, string_agg(n || chr(10) || t[1] || ' --> ' || t[2] || chr(10) || text || chr(10), chr(10) order by n) as value from f group by track"""),
     "io01_strict_srt": (lambda s, d: sub.strict_cues(sub.srt_text(cue_ev(s, d)).withColumnsRenamed({"track": "file", "value": "text"}))[0].select(F.col("file").alias("track"), F.col("id").cast("long").alias("id"), "start_ms", "end_ms", "text"), f"with {EV} select track, row_number() over (partition by track order by start_ms, end_ms, pos) id, start_ms, end_ms, text from cue_ev where end_ms > start_ms"),
-    "io12_ass_lines": (lambda s, d: sub.ass_lines(tr.paired(cue_doc(s, d), cue_alt(s, d))), None),
     "st02_outcomes": (lambda s, d: st.drained(st.outcomes(st.event_stream(s, d), "user_id"), _folder(s), "complete"), "select user_id job, event_type, count(*) n from events group by 1, 2"),
-    "st03_gap_sessions": (lambda s, d: st.drained(st.gap_sessions(st.event_stream(s, d), "user_id"), _folder(s)), None),
+    "st01_stage_status": (stages, """with e as (select user_id job, event_type stage, epoch_us(ts) // 1000 at_ms, case event_id % 4 when 0 then 'started' when 3 then 'completed' else 'progress' end status, case when event_id % 4 in (1, 2) then event_id % 8 / 8 end done, event_id from events),
+o as (select *, row_number() over (partition by job, stage order by at_ms, status) n from e), s as (select job, stage, max(n) filter (status = 'started') sn, max(n) n from o group by all),
+b as (select o.job, o.stage, max(at_ms) filter (o.n = greatest(coalesce(sn, 1), 1)) started_ms, arg_max(status, o.n) status, max(at_ms) updated_ms, arg_max(done, o.n) filter (done is not null and o.n >= coalesce(sn, 1)) done from o join s using (job, stage) group by all)
+select job, stage, status, started_ms, updated_ms, updated_ms - started_ms took_ms, done from b"""),
+    "st02_job_outcomes": (lambda s, d: st.drained(st.job_outcomes(st.event_stream(s, d), "user_id", "error"), _folder(s)), "select epoch_us(date_trunc('day', ts)) // 1000 day_ms, user_id job, count(*) n, count(*) filter (event_type = 'error') failures from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 minute group by 1, 2"),
+    "st03_gap_sessions": (lambda s, d: st.drained(st.gap_sessions(st.event_stream(s, d), "user_id"), _folder(s)), """with e as (select user_id track, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 10 minutes then 0 else 1 end nw from events), i as (select *, sum(nw) over (partition by track order by ts rows unbounded preceding) k from e),
+g as (select track, min(ts) a, max(ts) + interval 10 minutes b, count(*) n from i group by track, k) select track, epoch_us(a) // 1000 start_ms, epoch_us(b) // 1000 end_ms, n events from g where b <= (select max(ts) from events) - interval 1 minute"""),
+    "st04_surviving_cues": (survivors, """with recursive c as (select user_id track, event_type as text, epoch_us(ts) // 1000 start_ms, epoch_us(ts) // 1000 + 1000 end_ms, event_id::int pos from events), n as (select *, row_number() over (partition by track, text order by start_ms, end_ms, pos) rn from c),
+f as (select track, text, rn, end_ms until, true kept from n where rn = 1 union all select n.track, n.text, n.rn, case when n.start_ms - f.until > 86400000 then n.end_ms else f.until end, n.start_ms - f.until > 86400000 from f join n on n.track = f.track and n.text = f.text and n.rn = f.rn + 1)
+select n.track, n.pos, n.start_ms, n.end_ms, n.text from f join n using (track, text, rn) where kept"""),
 }

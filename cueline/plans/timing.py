@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times as tm
 from ..operators import intervals as iv
-from .views import ALT, DOC, EV, cue_alt, cue_doc, cue_ev, signal_ev, SIGNAL
+from .views import ALT, DOC, EV, cue_alt, cue_doc, cue_ev
 
 ISLANDS = """
 isl as (select *, max(end_ms) over (partition by track order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from cue_ev),
@@ -24,7 +24,7 @@ def times(spark, d):
     c = cue_doc(spark, d)
     nxt = F.lead("start_ms").over(Window.partitionBy("track").orderBy("pos"))
     s, e = F.col("start_ms"), F.col("end_ms")
-    return c.select("track", "pos", tm.parse_srt_time(tm.srt_time(s)).alias("parsed"), tm.srt_time(s).alias("srt"), tm.ass_time(e).alias("ass"), tm.report_time(s - 1000).alias("report"), tm.clamp(e - s, 1000, 5000).cast("long").alias("clamped"), tm.display_duration(F.length("text")).cast("long").alias("display"), tm.padded_end(s, e, nxt, 300, 1200).cast("long").alias("padded"), tm.token_budget(e - s, 12.0, 32, 64).cast("long").alias("budget"))
+    return c.select("track", "pos", tm.parse_srt_time(tm.srt_time(s)).alias("parsed"), tm.srt_time(s).alias("srt"), tm.ass_time(e).alias("ass"), tm.report_time(s - 1000).alias("report"), tm.clamp(e - s, 1000, 5000).cast("long").alias("clamped"), tm.display_duration(F.length("text")).cast("long").alias("display"), tm.padded_end(s, e, nxt, 300, 1200).cast("long").alias("padded"), tm.token_budget(e - s, 12.0, 32, 64).cast("long").alias("budget"), tm.fraction_label(F.col("pos") % 3, F.col("pos") % 7).alias("share"))
 
 
 TIMES = f"""with {DOC},
@@ -35,32 +35,11 @@ select track, pos, start_ms parsed,
   lpad((r // 3600000)::varchar, greatest(2, length((r // 3600000)::varchar))::int, '0') || ':' || lpad((r // 60000 % 60)::varchar, 2, '0') || ':' || lpad((r // 1000 % 60)::varchar, 2, '0') || '.' || lpad((r % 1000)::varchar, 3, '0') report,
   greatest(1000, least(end_ms - start_ms, 5000))::bigint clamped, greatest(800, least(length(text) * 280, 8000))::bigint display,
   greatest(end_ms, coalesce(least(greatest(end_ms + 300, start_ms + 1200), nxt - 40), greatest(end_ms + 300, start_ms + 1200)))::bigint padded,
-  least(64, greatest(32, ceil((end_ms - start_ms) / 1000 * 12.0)))::bigint budget
+  least(64, greatest(32, ceil((end_ms - start_ms) / 1000 * 12.0)))::bigint budget,
+  case when pos % 7 = 0 then 'n/a' else format('{{:.1f}}%', 100.0 * (pos % 3) / (pos % 7)) end || ' (' || pos % 3 || '/' || pos % 7 || ')' share
 from (select *, round_even(end_ms / 10, 0)::bigint cs, greatest(0, start_ms - 1000) r from p)"""
 
 
-def summary(spark, d):
-    """A-01, A-03, A-06: what is covered of each track and where the holes are."""
-    c = cue_ev(spark, d)
-    spans = c.select("track", "start_ms", "end_ms")
-    union = iv.merge_intervals(spans).groupBy("track").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("union_ms"), F.count(F.lit(1)).alias("islands"))
-    g = F.col("end_ms") - F.col("start_ms")
-    holes = iv.gaps(spans).groupBy("track").agg(F.count_if(g > 10000).alias("gaps_10s"), F.count_if(g > 60000).alias("gaps_60s"), F.max(g).alias("gap_max"), F.round(F.percentile(g, 0.95), 3).alias("gap_p95"))
-    prev = F.lag("end_ms").over(Window.partitionBy("track").orderBy("pos"))
-    base = c.withColumn("over", prev > F.col("start_ms")).groupBy("track").agg(F.count(F.lit(1)).alias("entries"), F.sum(g).alias("display_ms"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"), F.round(F.percentile(g, 0.5), 3).alias("dur_p50"), F.count_if(g < 400).alias("under_400"), F.count_if(g > 8000).alias("over_8000"), F.count_if("over").alias("n_overlaps"))
-    t = base.join(union, "track").join(holes, "track", "left")
-    return t.withColumns({"overlap_ms": F.col("display_ms") - F.col("union_ms"), "coverage": F.round(F.col("union_ms") / (F.col("last_ms") - F.col("first_ms")), 6), **{k: F.coalesce(k, F.lit(0)) for k in ("gaps_10s", "gaps_60s")}})
-
-
-SUMMARY = f"""with {EV}, {ISLANDS},
-u as (select track, sum(end_ms - start_ms)::bigint union_ms, count(*) islands from merged group by track),
-h as (select track, count_if(start_ms - reach > 10000)::bigint gaps_10s, count_if(start_ms - reach > 60000)::bigint gaps_60s, max(start_ms - reach) gap_max, round(quantile_cont(start_ms - reach, 0.95), 3) gap_p95 from isl where start_ms > reach group by track),
-b as (select track, count(*) entries, sum(end_ms - start_ms)::bigint display_ms, min(start_ms) first_ms, max(end_ms) last_ms, round(quantile_cont(end_ms - start_ms, 0.5), 3) dur_p50, count_if(end_ms - start_ms < 400)::bigint under_400, count_if(end_ms - start_ms > 8000)::bigint over_8000, count_if(prev > start_ms)::bigint n_overlaps
-  from (select *, lag(end_ms) over (partition by track order by pos) prev from cue_ev) group by track)
-select b.track, entries, display_ms, first_ms, last_ms, dur_p50, under_400, over_8000, n_overlaps, union_ms, islands, coalesce(gaps_10s, 0) gaps_10s, coalesce(gaps_60s, 0) gaps_60s, gap_max, gap_p95,
-  display_ms - union_ms overlap_ms, round(union_ms / (last_ms - first_ms), 6) coverage from b join u using (track) left join h using (track)"""
-
-
 def overlap(spark, d):
     c = cue_ev(spark, d)
     a = c.filter("track <> 'view'").select(F.col("track").alias("name"), F.lit("all").alias("track"), "pos", "start_ms", "end_ms")
@@ -101,12 +80,6 @@ OWNED = f"""with {DOC}, n as (select track, greatest(0, ceil((max(end_ms) - 3000
 select c.track, pos, start_ms, end_ms, least(hi, (start_ms + end_ms) // 2 // 24000) tile from cue_doc c join n using (track)"""
 
 
-def hysteresis(spark, d):
-    """W-18 smoothing: mean over the frame and the two before and after it, and the state by threshold."""
-    w = Window.partitionBy("track").orderBy("frame")
-    return signal_ev(spark, d).select("track", "frame", F.round(F.avg("prob").over(w.rowsBetween(-2, 2)), 9).alias("smooth"), (F.col("prob") >= 0.5).alias("onset"))
-
-
 QUERIES = {
     "tm_times": (times, TIMES),
     "w01_merge_intervals": (lambda s, d: iv.merge_intervals(cue_ev(s, d).select("track", "start_ms", "end_ms")), f"with {EV}, {ISLANDS} select * from merged"),
@@ -123,12 +96,10 @@ select track, greatest(0, min(start_ms) - 2000) start_ms, max(end_ms) + 2000 end
 select track, pos, start_ms, case when nxt > start_ms and end_ms > nxt then nxt else end_ms end end_ms from a"""),
     "w06_retime": (lambda s, d: cue_alt(s, d).select("track", "pos", "start_ms", tm.padded_end(F.col("start_ms"), F.col("end_ms"), F.lead("start_ms").over(Window.partitionBy("track").orderBy("pos")), 500, 1500).cast("long").alias("end_ms")), f"""with {ALT}, p as (select *, lead(start_ms) over (partition by track order by pos) nxt from cue_alt)
 select track, pos, start_ms, greatest(end_ms, coalesce(least(greatest(end_ms + 500, start_ms + 1500), nxt - 40), greatest(end_ms + 500, start_ms + 1500)))::bigint end_ms from p"""),
-    "a03_track_summary": (summary, SUMMARY),
     "j02_overlap": (overlap, OVERLAP),
     "j03_rebased": (rebased, REBASED),
     "j13_outside": (outside, OUTSIDE),
     "j04_owned": (owned, OWNED),
     "s01_tiles": (lambda s, d: iv.tiles(tracks(cue_doc(s, d)), 30_000, 6_000), f"""with {DOC}, n as (select track, max(end_ms) dur, greatest(0, ceil((max(end_ms) - 30000) / 24000))::bigint hi from cue_doc group by track),
 t as (select *, unnest(range(0, hi + 1)) tile from n) select track, tile, tile * 24000 start_ms, least(tile * 24000 + 30000, dur) end_ms, tile * 24000 keep_lo, case when tile < hi then tile * 24000 + 24000 end keep_hi from t"""),
-    "w18_smoothing": (hysteresis, f"with {SIGNAL} select track, frame, round(avg(prob) over (partition by track order by frame rows between 2 preceding and 2 following), 9) smooth, prob >= 0.5 onset from signal"),
 }

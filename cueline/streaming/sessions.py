@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,53 @@ def outcomes(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(F.col(key).alias("job"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def job_outcomes(stream: DataFrame, key: str, failed: str, late: str = "1 minute", window: str = "1 day") -> DataFrame:
+    """Per day and job: events, failures, and whether the job has any; a day's row comes once its watermark has passed."""
+    t = stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), F.col(key).alias("job"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == failed).alias("failures")).select(F.unix_millis("w.start").alias("day_ms"), "job", "n", "failures")
+
+
+PROGRESS = re.compile(r"\[[\w-]+\]\s+(\d+)/(\d+)")
+STAGE = "job long, stage string, status string, started_ms long, updated_ms long, took_ms long, done double"
+
+
+def _latest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    started, updated, status, done = state.get if state.exists else (0, -1, "", -1.0)
+    for pdf in parts:
+        for at, name, line in sorted(zip(pdf["at_ms"].tolist(), pdf["status"], pdf["line"].where(pdf["line"].notna(), ""))):
+            if at < updated:
+                continue
+            if not status or name == "started":
+                started, done = at, -1.0
+            updated, status = at, name
+            if m := PROGRESS.search(line):
+                done = int(m[1]) / max(1, int(m[2]))
+    state.update((started, updated, status, done))
+    yield pd.DataFrame([(*key, status, started, updated, updated - started, done if done >= 0 else None)], columns=[c.split()[0] for c in STAGE.split(", ")])
+
+
+def stage_status(stream: DataFrame) -> DataFrame:
+    """Of each job and stage, after each batch, the last status, when the stage began, and the share done, from rows ``job, stage, at_ms, status, line``
+    (lines like ``[name] 3/8``). Late rows don't undo a later status."""
+    return stream.groupBy("job", "stage").applyInPandasWithState(_latest, STAGE, "started long, updated long, status string, done double", "update", GroupStateTimeout.NoTimeout)
+
+
+def surviving_cues(stream: DataFrame, window_ms: int, track: str = "string") -> DataFrame:
+    """Cues (``track, text, pos, start_ms, end_ms``) that stay when repeats within a window of the last *surviving* cue of the text go; cues of one text have
+    to come in order of time from batch to batch. State is one number a text and is kept; a stream without end should be cut into tracks that end."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until, kept = state.get[0] if state.exists else None, []
+        for s, e, p in sorted(x for pdf in parts for x in zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["pos"].tolist())):
+            if until is None or s - until > window_ms:
+                until = e
+                kept.append((key[0], p, s, e, key[1]))
+        state.update((until,))
+        yield pd.DataFrame(kept, columns=["track", "pos", "start_ms", "end_ms", "text"])
+
+    return stream.groupBy("track", "text").applyInPandasWithState(run, f"track {track}, pos int, start_ms long, end_ms long, text string", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(result: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run the stream over what is there and read its result back."""
     out, spark = f"{folder}/{uuid.uuid4().hex}", result.sparkSession

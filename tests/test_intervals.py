@@ -33,9 +33,13 @@ def test_full_span_gaps_of_an_empty_track(spark):
     assert sorted((r.track, r.start_ms, r.end_ms) for r in got) == [("t", 0, 2), ("t", 4, 10), ("u", 0, 7)]
 
 
-def test_windowed_dedup_compares_with_survivors(spark):
-    df = spark.createDataFrame([("t", i, s, s + 1, "A") for i, s in enumerate((0, 7, 14))], SCHEMA + ", text string")
-    assert sorted(r.start_ms for r in tr.windowed_dedup(df, 8).collect()) == [0, 14]
+def test_long_tracks_are_dealt_by_time(spark):
+    """Slots of time of any width give the same islands, also where rows repeat and a slot is empty."""
+    rnd = random.Random(5)
+    rows = [(s, s + rnd.randrange(0, 40)) for s in (rnd.randrange(0, 2000) for _ in range(80))]
+    df = cues(spark, rows + rows[:5])
+    want = {(r.start_ms, r.end_ms, r.reach) for r in iv.running_max(df, F.col("end_ms"), "reach").collect()}
+    assert {(r.start_ms, r.end_ms, r.reach) for r in iv.running_max(df, F.col("end_ms"), "reach", width=37).collect()} == want
 
 
 def test_sign_test_and_times(spark):
