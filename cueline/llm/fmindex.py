@@ -240,7 +240,8 @@ def _removed(length: int):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Remove words covered by a window of ``length`` words that also starts earlier: ``doc_id, n_words, n_removed, kept_sha256``.
+    """Remove words covered by a window of ``length`` words that also starts earlier: ``doc_id, n_words, n_removed, kept_sha256,
+    has_repeats``.
 
     The classes of segments under one anchor are dealt out by it; each task builds an FM-index of its shard, streams the
     shard's segments against it and asks of every window whose matching statistic reaches ``length`` where the first of
@@ -260,7 +261,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(parts.union(ones).union(one(segs.filter("big and copies > 1"), F.lit(0), F.col("n"), True)))
     same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("lo") == F.col("first_lo"))
     found = occ.join(found, ["fp", "ctx"]).filter(same != F.col("later")).select("rid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-    return apply_spans(rows, found, _removed(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    t = apply_spans(rows, found, _removed(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return t.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,8 @@ def _removed(length: int):
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Remove bytes covered by a ``length``-byte string that starts twice or more: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+    """Remove bytes covered by a ``length``-byte string that starts twice or more: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    has_repeats``.
 
     The classes of segments under one anchor are dealt out by it, and each task sorts the suffixes (and, reversed, the
     prefixes) at the anchors and reads off the windows that occur twice; a class of several copies counts as often. What
@@ -165,7 +166,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ones = big.join(twice, "digest").select("fp", "ctx", F.col("i").cast("long").alias("a"), (F.col("i") + 1).cast("long").alias("b"))
     found = written(parts.union(ones))
     found = occ.join(found, ["fp", "ctx"]).select("rid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-    return apply_spans(rows, found, _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    t = apply_spans(rows, found, _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return t.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
