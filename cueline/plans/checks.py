@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import checks as ck
+from ..operators import folds as fo
 from ..operators import intervals as iv
 from ..operators import pairs as pr
 from ..operators import runs as rn
@@ -274,6 +275,13 @@ u as (select video, case vote when 'A' then a when 'B' then b when 'tie' then 't
 p as (select *, wins + losses n, least(wins, losses) k from t)
 select video, wins, losses, ties, unvoted, round(case when n = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))) end, 6) p from p"""
 
+def in_regions(spark, d):
+    """Lines with the region of 30 s that holds their middle; every fifth such region is no speech, so its lines are orphans."""
+    c = cue_doc(spark, d)
+    r = iv.tiles(ends(spark, d), 30_000, 0).filter("tile % 5 <> 4").select("track", "start_ms", "end_ms")
+    return c.join(rn.first_region(c, r), ["track", "pos"]).select(*c.columns, "region_ms")
+
+
 def spells(spark, d):
     """Events by kind and spell of ten hours as short tracks."""
     return cue_ev(spark, d).withColumn("track", F.concat("track", F.lit("/"), F.floor(F.col("start_ms") / 36_000_000).cast("string"))).withColumn("text", F.concat("text", F.repeat(F.col("text"), F.col("pos") % 3)))
@@ -317,6 +325,7 @@ QUERIES = {
     "s06_separated": (lambda s, d: sa.separated(windows(s, d).join(splits(s, d), ["track", "group"]), 10_000, 3, ("start_ms", "end_ms")), None),
     "s07_hinted_windows": (hinted, HINTED),
     "s08_contiguous_windows": (lambda s, d: sa.contiguous_windows(focussed(s, d), chosen(s, d)), CONTIGUOUS),
+    "j05_merged_in_regions": (lambda s, d: fo.merge_close_in_regions(in_regions(s, d), 1500, 80, 12_000), None),
     "g14_cue_groups": (lambda s, d: pr.cue_groups(spells(s, d), second(s, d)), None),
     "a13_comparison": (lambda s, d: pr.comparison(spells(s, d), second(s, d)), None),
 }
