@@ -11,21 +11,24 @@ from ..functions.text import compact, phrase_key
 from .intervals import full_span_gaps, gaps, merge_intervals, overlap_ms
 
 KEYS = ("track",)
-SPAN = F.col("end_ms") - F.col("start_ms")
+
+
+def span() -> Column:
+    return F.col("end_ms") - F.col("start_ms")
 
 
 def track_summary(cues: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per track: cues, display time, union, overlap, coverage of its span, percentiles of durations and characters, cues of
     few characters, holes by length, and the health of its times."""
     spans = cues.select(*keys, "start_ms", "end_ms")
-    union = merge_intervals(spans, keys).groupBy(*keys).agg(F.sum(SPAN).alias("union_ms"), F.count(F.lit(1)).alias("islands"))
-    holes = gaps(spans, keys).groupBy(*keys).agg(*[F.count_if(SPAN > n * 1000).alias(f"gaps_{n}s") for n in (10, 30, 60)], F.max(SPAN).alias("gap_max"), F.round(F.percentile(SPAN, 0.95), 3).alias("gap_p95"))
+    union = merge_intervals(spans, keys).groupBy(*keys).agg(F.sum(span()).alias("union_ms"), F.count(F.lit(1)).alias("islands"))
+    holes = gaps(spans, keys).groupBy(*keys).agg(*[F.count_if(span() > n * 1000).alias(f"gaps_{n}s") for n in (10, 30, 60)], F.max(span()).alias("gap_max"), F.round(F.percentile(span(), 0.95), 3).alias("gap_p95"))
     chars = F.length(compact(F.col("text")))
     health = cues.withColumn("_over", F.lag("end_ms").over(Window.partitionBy(*keys).orderBy("pos")) > F.col("start_ms"))
     base = health.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("entries"), F.sum(SPAN).alias("display_ms"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"),
-        *[F.round(F.percentile(SPAN, q / 100), 3).alias(f"dur_p{q}") for q in (50, 95)], *[F.round(F.percentile(chars, q / 100), 3).alias(f"chars_p{q}") for q in (50, 95)],
-        *[F.count_if(chars <= n).alias(f"chars_to_{n}") for n in (1, 2, 3, 5)], F.count_if(SPAN < 400).alias("under_400"), F.count_if(SPAN > 8000).alias("over_8000"), F.count_if("_over").alias("n_overlaps"),
+        F.count(F.lit(1)).alias("entries"), F.sum(span()).alias("display_ms"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"),
+        *[F.round(F.percentile(span(), q / 100), 3).alias(f"dur_p{q}") for q in (50, 95)], *[F.round(F.percentile(chars, q / 100), 3).alias(f"chars_p{q}") for q in (50, 95)],
+        *[F.count_if(chars <= n).alias(f"chars_to_{n}") for n in (1, 2, 3, 5)], F.count_if(span() < 400).alias("under_400"), F.count_if(span() > 8000).alias("over_8000"), F.count_if("_over").alias("n_overlaps"),
     )
     t = base.join(union, list(keys)).join(holes, list(keys), "left")
     return t.withColumns({"overlap_ms": F.col("display_ms") - F.col("union_ms"), "coverage": F.round(F.col("union_ms") / (F.col("last_ms") - F.col("first_ms")), 6), **{k: F.coalesce(k, F.lit(0)) for k in ("gaps_10s", "gaps_30s", "gaps_60s")}})
@@ -33,7 +36,7 @@ def track_summary(cues: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def suspicious_gaps(cues: DataFrame, speech: DataFrame, tracks: DataFrame, min_gap_ms: int, min_speech_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Spans of [0, duration_ms] without a cue, at least ``min_gap_ms`` long, that hold at least ``min_speech_ms`` of speech."""
-    holes = full_span_gaps(cues, tracks, keys).filter(SPAN >= min_gap_ms)
+    holes = full_span_gaps(cues, tracks, keys).filter(span() >= min_gap_ms)
     return overlap_ms(holes, speech, keys).withColumnRenamed("overlap_ms", "speech_ms").filter(F.col("speech_ms") >= min_speech_ms)
 
 
@@ -42,7 +45,7 @@ def speech_coverage(cues: DataFrame, speech: DataFrame, tracks: DataFrame, pad_m
     coverage is null without speech."""
     parts = merge_intervals(speech.select(*keys, "start_ms", "end_ms"), keys)
     wide = cues.select(*keys, F.greatest(F.col("start_ms") - pad_ms, F.lit(0)).alias("start_ms"), (F.col("end_ms") + pad_ms).alias("end_ms"))
-    sums = overlap_ms(parts, wide, keys).groupBy(*keys).agg(F.sum(SPAN).alias("speech_ms"), F.sum("overlap_ms").alias("covered_ms"))
+    sums = overlap_ms(parts, wide, keys).groupBy(*keys).agg(F.sum(span()).alias("speech_ms"), F.sum("overlap_ms").alias("covered_ms"))
     odd = suspicious_gaps(cues, speech, tracks, min_gap_ms, min_speech_ms, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps_with_speech"))
     t = tracks.select(*keys).join(sums, list(keys), "left").join(odd, list(keys), "left").fillna(0, ["speech_ms", "covered_ms", "gaps_with_speech"])
     return t.withColumns({"uncovered_ms": F.col("speech_ms") - F.col("covered_ms"), "coverage": F.when(F.col("speech_ms") > 0, F.round(F.col("covered_ms") / F.col("speech_ms"), 3))})

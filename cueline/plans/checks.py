@@ -283,8 +283,8 @@ def in_regions(spark, d):
 
 
 def spells(spark, d):
-    """Events by kind and spell of ten hours as short tracks."""
-    return cue_ev(spark, d).withColumn("track", F.concat("track", F.lit("/"), F.floor(F.col("start_ms") / 36_000_000).cast("string"))).withColumn("text", F.concat("text", F.repeat(F.col("text"), F.col("pos") % 3)))
+    """Events by kind and spell of three hours as short tracks."""
+    return cue_ev(spark, d).withColumn("track", F.concat("track", F.lit("/"), F.floor(F.col("start_ms") / 10_800_000).cast("string"))).withColumn("text", F.concat("text", F.repeat(F.col("text"), F.col("pos") % 3)))
 
 
 def second(spark, d):
