@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import difflib
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import length_pieces, timed_characters
+from ..functions.text import SENTENCE_ENDS, UNTIMED, length_pieces, sentences, timed_characters
+from .folds import folded
 from .intervals import range_join
 from .runs import timeline_to_real
 
 KEYS = ("track",)
+_UNTIMED = str.maketrans("", "", UNTIMED)
 
 
 def smoothed(frames: DataFrame, value: str, radius: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -43,6 +49,37 @@ def speech_segments(frames: DataFrame, onset: float = 0.5, silence: int = 5, lea
     return s.select(*keys, F.greatest(F.coalesce(F.lag("_to").over(order), F.lit(0)), F.col("start") - pad).alias("start"), F.col("_to").alias("end"), "reason")
 
 
+def capped_segments(frames: DataFrame, most: int, onset: float = 0.5, silence: int = 5, least: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``speech_segments`` unpadded, with a forced end (``forced_max_speech``) where a segment grows beyond ``most`` frames; the next onset after the
+    frame that shows it begins another. A forced end changes what follows, so this is a fold; it keeps three numbers."""
+    low = max(onset - 0.15, 0.01)
+
+    def fold(rows: Iterable[dict]) -> Iterator[dict]:
+        start = quiet = last = None
+        for r in rows:
+            last, p = r, r["prob"]
+            end = reason = None
+            if start is None:
+                start, quiet = (r["frame"] if p >= onset else None), None
+                continue
+            if r["frame"] - start > most:
+                end, reason = start + most, "forced_max_speech"
+            elif p >= onset:
+                quiet = None
+            elif p < low:
+                quiet = r["frame"] if quiet is None else quiet
+                if r["frame"] - quiet >= silence:
+                    end, reason = quiet, "silence"
+            if end is not None:
+                if reason == "forced_max_speech" or end - start >= least:
+                    yield r | {"start": start, "end": end, "reason": reason}
+                start = quiet = None
+        if start is not None and last["frame"] + 1 - start >= least:
+            yield last | {"start": start, "end": last["frame"] + 1, "reason": "series_end"}
+
+    return folded(frames, fold, keys, more="start int, end int, reason string", order=("frame",)).select(*keys, "start", "end", "reason")
+
+
 def scenes(frames: DataFrame, window: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Scenes of a labelled series (``frame``, ``label``, ``energy``): ``start, end`` without gaps or overlaps. A label change is moved to the
     frame of least energy (the first of equals) from ``window`` frames before it to as many after it, that one excluded."""
@@ -125,3 +162,52 @@ def frame_cues(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     at = lambda c: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * c / F.col("_all"))
     text = F.ltrim(F.regexp_replace(F.trim("p"), r"^(…|\.{2,})+", ""))
     return t.select(*keys, "pos", "piece", at(F.col("_to") - F.col("_c")).alias("start_ms"), at(F.col("_to")).alias("end_ms"), text.alias("text")).filter((F.col("end_ms") > F.col("start_ms")) & (n(F.col("text")) > 0))
+
+
+def unit_faults(texts: DataFrame, items: DataFrame, most_ms: float = 500, longest: int = 80, ends: str = SENTENCE_ENDS, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+    """Sentence units of each chunk's text whose aligned characters are not to be trusted: ``unit, reasons``: too few characters, no span, or the start of the
+    unit before (within 50 ms). Units take the characters of the stream in turn."""
+    u = texts.select(*keys, F.posexplode(sentences(F.col("text"), longest, ends)).alias("unit", "s")).withColumn("need", F.size(timed_characters(F.col("s")))).filter("need > 0")
+    upto = Window.partitionBy(*keys).orderBy("unit")
+    u = u.withColumn("_to", F.sum("need").over(upto)).select(*keys, "unit", "need", F.explode(F.sequence(F.col("_to") - F.col("need") + 1, F.col("_to"))).alias("_i"))
+    c = item_characters(items, most_ms, keys).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "k")).cast("long"))
+    t = u.join(c.select(*keys, "_i", "start_ms", "end_ms"), [*keys, "_i"], "left").groupBy(*keys, "unit", "need").agg(F.count("start_ms").alias("found"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
+    before = F.last("a", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_p", before)
+    kinds = {"missing_chars": F.col("found") < F.col("need"), "zero_span": F.col("b") - F.col("a") <= 1, "same_start": F.abs(F.col("a") - F.col("_p")) <= 50}
+    reasons = F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in kinds.items()]))
+    return t.select(*keys, "unit", F.array_join(reasons, ",").alias("reasons")).filter("reasons <> ''")
+
+
+TIMES = T.ArrayType(T.StructType([T.StructField("ch", T.StringType()), T.StructField("start_ms", T.DoubleType()), T.StructField("end_ms", T.DoubleType())]))
+
+
+@F.pandas_udf(TIMES)
+def source_times(text: pd.Series, aligned: pd.Series) -> pd.Series:
+    """Times for every timed character of a text from an aligned stream (array of ch, start_ms, end_ms) that may lack or change some: equal runs keep
+    their times, changed runs share those of what replaced them, and what is missing is spread between its neighbours."""
+
+    def one(text: str, stream: list[dict]) -> list[tuple[str, float, float]]:
+        source = list(text.translate(_UNTIMED))
+        if not len(stream):
+            return [(c, 0.0, 0.0) for c in source]
+        times: list[tuple[float, float] | None] = [None] * len(source)
+        for kind, a, b, c, d in difflib.SequenceMatcher(None, source, [x["ch"] for x in stream], autojunk=False).get_opcodes():
+            if kind == "equal":
+                times[a:b] = [(x["start_ms"], x["end_ms"]) for x in stream[c:d]]
+            elif kind == "replace":
+                lo, wide = stream[c]["start_ms"], max(0.0, stream[d - 1]["end_ms"] - stream[c]["start_ms"]) / (b - a)
+                times[a:b] = [(lo + k * wide, lo + (k + 1) * wide) for k in range(b - a)]
+        out, at = [], 0
+        for known, run in groupby(times, key=lambda x: x is not None):
+            run = list(run)
+            if not known:
+                after = times[at + len(run)][0] if at + len(run) < len(times) else None
+                lo = out[-1][1] if out else after if after is not None else stream[0]["start_ms"]
+                wide = max(0.0, (lo if after is None else after) - lo) / len(run)
+                run = [(lo + k * wide, lo + (k + 1) * wide) for k in range(len(run))]
+            out += run
+            at += len(run)
+        return [(c, float(a), float(b)) for c, (a, b) in zip(source, out)]
+
+    return pd.Series([None if t is None else one(t, [] if a is None else list(a)) for t, a in zip(text, aligned)], dtype=object)

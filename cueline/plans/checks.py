@@ -163,6 +163,28 @@ k as (select s.*, size from s join sizes using (track) where b - a >= 2), p as (
 select track, greatest(coalesce(lag(e) over (partition by track order by a), 0), a - 1) as start, e as \"end\", reason from p""".replace('\\"', '"')
 
 
+CAPPED = f"""with recursive {SIGNAL}, sizes as (select track, max(frame) + 1 size from signal group by track),
+f as (select track, frame, case when prob >= 0.4 then frame end start, null::int q, null::int a, null::int b, null::varchar reason from signal where frame = 0
+ union all select track, frame, case when cut or done then null when s is null and prob >= 0.4 then frame else s end, case when cut or done or s is null or prob >= 0.4 then null when prob < 0.25 then coalesce(q, frame) else q end,
+  case when cut or done then s end, case when cut then s + 4 when done then q end, case when cut then 'forced_max_speech' when done then 'silence' end
+  from (select n.track, n.frame, n.prob, f.start s, f.q, f.start is not null and n.frame - f.start > 4 cut, f.start is not null and n.frame - f.start <= 4 and n.prob < 0.25 and n.frame - coalesce(f.q, n.frame) >= 2 done from f join signal n on n.track = f.track and n.frame = f.frame + 1)),
+s as (select track, a, b, reason from f where reason is not null union all select f.track, start, size, 'series_end' from f join sizes on sizes.track = f.track and f.frame = size - 1 where start is not null)
+select track, a as start, b as \"end\", reason from s where reason = 'forced_max_speech' or b - a >= 2""".replace('\\"', '"')
+
+
+def chunk_texts(spark, d):
+    return words(spark, d).groupBy("track", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "").alias("text"))
+
+
+def timed_sources(spark, d):
+    """Events against streams of their texts' characters that lack every seventh and change every fifth."""
+    e, k = cue_ev(spark, d).withColumnsRenamed({"pos": "chunk", "text": "word"}).withColumn("pos", F.lit(0)), F.col("k")
+    c = sg.item_characters(e, 2000).filter(k % 7 != 3).withColumn("ch", F.when(k % 5 == 2, F.lit("#")).otherwise(F.col("ch")))
+    a = c.groupBy("track", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ch", "start_ms", "end_ms"))), lambda x: F.struct(x["ch"].alias("ch"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("aligned"))
+    t = e.join(a, ["track", "chunk"], "left").select("track", "chunk", sg.source_times("word", "aligned").alias("t"))
+    return t.select("track", "chunk", F.size("t").alias("characters"), F.round(F.element_at("t.end_ms", -1), 3).alias("end_ms")).filter("characters > 0")
+
+
 def frames(spark, d):
     """Vectors in order as frames of four tracks, with labels and an energy."""
     t = table(spark, d, "embeddings")
@@ -314,6 +336,9 @@ QUERIES = {
     "w15_frame_cues": (lambda s, d: sg.frame_cues(cue_doc(s, d)), None),
     "w16_item_characters": (lambda s, d: sg.item_characters(words(s, d).withColumn("word", F.substr("word", F.lit(1), F.lit(30))), 200), ITEMS),
     "w18_speech_segments": (lambda s, d: sg.speech_segments(signal_ev(s, d), 0.5, 2, 2, 1), SEGMENTS),
+    "w18_capped_segments": (lambda s, d: sg.capped_segments(signal_ev(s, d), 4, 0.4, 2, 2), CAPPED),
+    "w17_source_times": (timed_sources, None),
+    "a09_unit_faults": (lambda s, d: sg.unit_faults(chunk_texts(s, d), words(s, d), 200, ends=".!?"), None),
     "w18_smoothed": (lambda s, d: sg.smoothed(signal_ev(s, d), "prob").select("track", "frame", F.round("smooth", 9).alias("smooth")), f"with {SIGNAL} select track, frame, round(avg(prob) over (partition by track order by frame rows between 2 preceding and 2 following), 9) smooth from signal"),
     "w19_scenes": (lambda s, d: sg.scenes(frames(s, d), 3), SCENES),
     "w22_repeated_outputs": (lambda s, d: ck.repeated_outputs(turns(s, d).withColumns({"source_text": F.md5("text"), "text": F.substr(F.md5("text"), F.lit(1), F.lit(1))})).select("track", "pos", "text"), f"with {TURNS}, t as (select track, pos, substr(md5(text), 1, 1) t, md5(text) s from turns), u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition by track order by pos)) select track, pos, t as text from u where t = pt and s <> ps"),

@@ -79,3 +79,26 @@ def test_files_digests_and_sinks(spark, tmp_path):
     for label in ("a", "b"):
         du.append_metrics(spark.createDataFrame([(1,)], "n int"), f"file://{tmp_path}/metrics", label)
     assert spark.read.json(f"file://{tmp_path}/metrics").count() == 2
+
+
+def test_missing_times_are_filled_in(spark):
+    df = spark.createDataFrame([("ab、cd", [("a", 0.0, 10.0), ("d", 40.0, 50.0)]), ("xyz", [("q", 0.0, 30.0)]), ("ab", []), (None, []), ("zab", [("a", 10.0, 20.0), ("b", 20.0, 30.0)])], "t string, a array<struct<ch:string,start_ms:double,end_ms:double>>")
+    r = [x.y for x in df.select(sg.source_times("t", "a").alias("y")).collect()]
+    assert [tuple(x) for x in r[0]] == [("a", 0, 10), ("b", 10, 25), ("c", 25, 40), ("d", 40, 50)]
+    assert [tuple(x) for x in r[1]] == [("x", 0, 10), ("y", 10, 20), ("z", 20, 30)] and [tuple(x) for x in r[2]] == [("a", 0, 0), ("b", 0, 0)] and r[3] is None
+    assert tuple(r[4][0]) == ("z", 10, 10)
+
+
+def test_units_of_collapsed_alignments(spark):
+    texts = spark.createDataFrame([("t", 0, "ab。cd。ef。gh。")], "track string, chunk int, text string")
+    items = spark.createDataFrame([("t", 0, 0, "ab", 0, 400), ("t", 0, 1, "cd", 420, 420), ("t", 0, 2, "ef", 430, 900)], "track string, chunk int, pos int, word string, start_ms long, end_ms long")
+    r = {x.unit: x.reasons for x in sg.unit_faults(texts, items).collect()}
+    assert r == {1: "zero_span", 2: "same_start", 3: "missing_chars"}
+
+
+def test_segments_with_and_without_a_cap(spark):
+    prob = [0.9, 0.9, 0.1, 0.9, 0.1, 0.1, 0.1, 0.4, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9]
+    df = spark.createDataFrame([("t", i, p) for i, p in enumerate(prob)], "track string, frame int, prob double")
+    got = lambda t: sorted((r.start, r.end, r.reason) for r in t.collect())
+    assert got(sg.speech_segments(df, 0.5, 2, 2, 0)) == got(sg.capped_segments(df, 99, 0.5, 2, 2)) == [(0, 4, "silence"), (8, 16, "series_end")]
+    assert got(sg.capped_segments(df, 3, 0.5, 2, 2)) == [(0, 3, "forced_max_speech"), (8, 11, "forced_max_speech"), (13, 16, "series_end")]
