@@ -172,10 +172,6 @@ s as (select track, a, b, reason from f where reason is not null union all selec
 select track, a as start, b as \"end\", reason from s where reason = 'forced_max_speech' or b - a >= 2""".replace('\\"', '"')
 
 
-def chunk_texts(spark, d):
-    return words(spark, d).groupBy("track", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "").alias("text"))
-
-
 def timed_sources(spark, d):
     """Events against streams of their texts' characters that lack every seventh and change every fifth."""
     e, k = cue_ev(spark, d).withColumnsRenamed({"pos": "chunk", "text": "word"}).withColumn("pos", F.lit(0)), F.col("k")
@@ -338,7 +334,6 @@ QUERIES = {
     "w18_speech_segments": (lambda s, d: sg.speech_segments(signal_ev(s, d), 0.5, 2, 2, 1), SEGMENTS),
     "w18_capped_segments": (lambda s, d: sg.capped_segments(signal_ev(s, d), 4, 0.4, 2, 2), CAPPED),
     "w17_source_times": (timed_sources, None),
-    "a09_unit_faults": (lambda s, d: sg.unit_faults(chunk_texts(s, d), words(s, d), 200, ends=".!?"), None),
     "w18_smoothed": (lambda s, d: sg.smoothed(signal_ev(s, d), "prob").select("track", "frame", F.round("smooth", 9).alias("smooth")), f"with {SIGNAL} select track, frame, round(avg(prob) over (partition by track order by frame rows between 2 preceding and 2 following), 9) smooth from signal"),
     "w19_scenes": (lambda s, d: sg.scenes(frames(s, d), 3), SCENES),
     "w22_repeated_outputs": (lambda s, d: ck.repeated_outputs(turns(s, d).withColumns({"source_text": F.md5("text"), "text": F.substr(F.md5("text"), F.lit(1), F.lit(1))})).select("track", "pos", "text"), f"with {TURNS}, t as (select track, pos, substr(md5(text), 1, 1) t, md5(text) s from turns), u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition by track order by pos)) select track, pos, t as text from u where t = pt and s <> ps"),
