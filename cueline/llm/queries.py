@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, fmindex, licences, mixing, near, packing, quality, sharding, suffix, tokens
+from . import exact, fmindex, licences, mixing, near, packing, quality, sharding, suffix, tokenfiles, tokens
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_near_dedup": near.op8_near_dedup,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_token_files": tokenfiles.op11_token_files,
 }
 ORACLES = {"op3_mixing": mixing.SQL, "op4_sharding": sharding.SQL, "op9_exact_dedup": exact.SQL}
