@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,5 +62,18 @@ def seeded(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
 
 
+def ranked(rows: DataFrame, out: str, *order: Column | str) -> DataFrame:
+    """Rows numbered from 1 in the order of ``order``, as column ``out``; no task sees them all.
+
+    Rows are dealt out by ranges and sorted, written, and the ranges counted; a window adds the counts up, one row a range.
+    """
+    mark, before = fresh(rows, "_mark"), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()))  # range << 33 | row
+    ranges = placed.groupBy(F.shiftright(mark, 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(ranges, F.shiftright(mark, 33) == F.col("_range")).select(*rows.columns, number.alias(out))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, fmindex, licences, mixing, near, packing, quality, sharding, suffix, tokenfiles, tokens
+from . import exact, fmindex, licences, mixing, near, packing, phrases, quality, resample, sharding, suffix, tokenfiles, tokens
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
     "op11_token_files": tokenfiles.op11_token_files,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_resampling": resample.op13_resampling,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op4_sharding": sharding.SQL, "op9_exact_dedup": exact.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op4_sharding": sharding.SQL, "op9_exact_dedup": exact.SQL, "op12_phrases": phrases.SQL}
