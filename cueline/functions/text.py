@@ -193,38 +193,37 @@ def answer(t: Column, separator: str = "") -> Column:
     return F.when((F.size(one) > 1) | F.exists(lines, lambda y: y.rlike(odd)), F.lit("")).otherwise(F.array_join(lines, separator))
 
 
-def sentences(t: Column, most: int, ends: str = SENTENCE_ENDS, soft: str = "、") -> Column:
-    """Sentence units: cut after ends; a unit of more than ``most`` timed characters also after soft marks once it holds
-    three fifths of that. What blanks alone are left over at the end goes."""
-    units = F.filter(F.split(t, f"(?<=[{ends}])"), lambda u: F.trim(u) != "")
+def _class(marks: str, none: bool = False) -> str:
+    """A class of characters as a pattern: the marks, or all others."""
+    return ("[^" if none else "[") + "".join("\\x{%x}" % ord(c) for c in marks) + "]"
 
-    def cut(u: Column) -> Column:
-        state = lambda out, sub, n: F.struct(out.alias("out"), sub.alias("sub"), n.alias("n"))
-        none = F.array().cast("array<string>")
 
-        def step(s: Column, c: Column) -> Column:
-            n = s["n"] + F.when(F.contains(F.lit(UNTIMED), c), 0).otherwise(1)
-            sub = F.concat(s["sub"], c)
-            return F.when(F.contains(F.lit(soft), c) & (n * 10 >= most * 6), state(F.array_append(s["out"], sub), F.lit(""), F.lit(0))).otherwise(state(s["out"], sub, n))
+def _timed(n: int, marks: str = UNTIMED) -> str:
+    """``n`` timed characters with what marks stand before each."""
+    return f"(?:{_class(marks)}*+{_class(UNTIMED, True)}){{{n}}}"
 
-        parts = F.aggregate(characters(u), state(none, F.lit(""), F.lit(0)), step, lambda s: F.when(s["sub"] == "", s["out"]).otherwise(F.array_append(s["out"], s["sub"])))
-        return F.when(F.length(_none_of(u, UNTIMED)) <= most, F.array(u)).otherwise(parts)
 
-    return F.flatten(F.transform(units, cut))
+def sentences(t: Column, most: int, ends: str = SENTENCE_ENDS, soft: str = "、") -> Column:
+    """Sentence units: cut after ends; a unit of more than ``most`` timed characters also after soft marks once it holds
+    three fifths of that. What blanks alone are left over at the end goes."""
+    units = F.filter(F.split(t, f"(?<={_class(ends)})"), lambda u: u.rlike(r"(?U)[^\s]"))
+    part = f"(?s){_timed(max(1, -(-most * 6 // 10)))}{_class(soft, True)}*+{_class(soft)}|.+"
+    return F.flatten(F.transform(units, lambda u: F.when(F.length(_none_of(u, UNTIMED)) <= most, F.array(u)).otherwise(F.regexp_extract_all(u, F.lit(part), F.lit(0)))))
 
 
 def length_pieces(t: Column, comma_from: int = 50, most: int = 80, commas: str = "、，,") -> Column:
     """A text of more than ``comma_from`` timed characters cut after commas beyond that many and hard at ``most``; pieces
     without timed characters go."""
-    state = lambda out, sub, n: F.struct(out.alias("out"), sub.alias("sub"), n.alias("n"))
+    others = "".join(c for c in UNTIMED if c not in commas)
+    rest = most - comma_from
+    more = f"(?:{_timed(rest, others)}|(?:{_class(others)}*+{_class(UNTIMED, True)}){{0,{max(0, rest - 1)}}}{_class(others)}*+{_class(commas)})"
+    parts = F.regexp_extract_all(t, F.lit(f"(?s){_timed(comma_from)}{more}|.+"), F.lit(0))
+    return F.filter(F.when(F.length(_none_of(t, UNTIMED)) <= comma_from, F.array(t)).otherwise(parts), lambda p: _none_of(p, UNTIMED) != "")
 
-    def step(s: Column, c: Column) -> Column:
-        n, sub = s["n"] + F.when(F.contains(F.lit(UNTIMED), c), 0).otherwise(1), F.concat(s["sub"], c)
-        full = (F.contains(F.lit(commas), c) & (n >= comma_from)) | (n >= most)
-        return F.when(full, state(F.array_append(s["out"], sub), F.lit(""), F.lit(0))).otherwise(state(s["out"], sub, n))
 
-    parts = F.aggregate(characters(t), state(F.array().cast("array<string>"), F.lit(""), F.lit(0)), step, lambda s: F.array_append(s["out"], s["sub"]))
-    return F.filter(F.when(F.length(_none_of(t, UNTIMED)) <= comma_from, F.array(t)).otherwise(parts), lambda p: _none_of(p, UNTIMED) != "")
+def shown_characters(t: Column) -> Column:
+    """The timed characters of a text, each with the marks behind it, the first also with those before it."""
+    return F.regexp_extract_all(t, F.lit(f"(?s)^{_class(UNTIMED)}*{_class(UNTIMED, True)}{_class(UNTIMED)}*|{_class(UNTIMED, True)}{_class(UNTIMED)}*"), F.lit(0))
 
 
 def overlong(t: Column, most: int) -> Column:

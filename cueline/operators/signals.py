@@ -164,10 +164,10 @@ def frame_cues(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return t.select(*keys, "pos", "piece", at(F.col("_to") - F.col("_c")).alias("start_ms"), at(F.col("_to")).alias("end_ms"), text.alias("text")).filter((F.col("end_ms") > F.col("start_ms")) & (n(F.col("text")) > 0))
 
 
-def unit_faults(texts: DataFrame, items: DataFrame, most_ms: float = 500, longest: int = 80, ends: str = SENTENCE_ENDS, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
+def unit_faults(texts: DataFrame, items: DataFrame, most_ms: float = 500, longest: int = 80, ends: str = SENTENCE_ENDS, soft: str = "、", keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
     """Sentence units of each chunk's text whose aligned characters are not to be trusted: ``unit, reasons``: too few characters, no span, or the start of the
-    unit before (within 50 ms). Units take the characters of the stream in turn."""
-    u = texts.select(*keys, F.posexplode(sentences(F.col("text"), longest, ends)).alias("unit", "s")).withColumn("need", F.size(timed_characters(F.col("s")))).filter("need > 0")
+    unit before (within 50 ms). Units take the characters of the stream in turn. Overlong units are cut at ``soft`` marks, which may include ellipses."""
+    u = texts.select(*keys, F.posexplode(sentences(F.col("text"), longest, ends, soft)).alias("unit", "s")).withColumn("need", F.size(timed_characters(F.col("s")))).filter("need > 0")
     upto = Window.partitionBy(*keys).orderBy("unit")
     u = u.withColumn("_to", F.sum("need").over(upto)).select(*keys, "unit", "need", F.explode(F.sequence(F.col("_to") - F.col("need") + 1, F.col("_to"))).alias("_i"))
     c = item_characters(items, most_ms, keys).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "k")).cast("long"))
