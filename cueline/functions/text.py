@@ -13,10 +13,14 @@ EDGE = "。、．，！？!?…・ー～~ \u3000"
 PAUSES = "。、．，！？!?…・ー～~"
 UNTIMED = "。、，,！？!?…．・「」『』（）()【】〔〕〜~ー\u3000 \t\r\n"
 SENTENCE_ENDS = "。？！?!"
+DOTS, CLOSERS = "…‥", "。、!?…！？♪～"
+#: White space that Java's patterns and Spark's trim don't take for such, beside the ASCII kinds.
+WIDE_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = " \t\n\x0b\x0c\r" + WIDE_BLANKS
 SOUNDS = "あぁアァうぅウゥんンはハぁー〜…・。、,.!?！？"
 #: Sounds and how they are written out; longer or lexical replies are left alone.
 VOICED = {"あぁアァ": "啊", "いぃイィ": "咿", "うぅウゥ": "呜", "えぇエェ": "诶", "おぉオォ": "哦", "んン": "嗯", "はハ": "哈", "ふフ": "呼", "っッ": "", "ー〜": "…"}
-UNVOICED = r"[\s。、，,.!?！？…ー〜♥♡♪っッ]"
+UNVOICED = r"(?U)[\s。、，,.!?！？…ー〜♥♡♪っッ]"
 LEXICAL = "^(いい|はい|うん|ううん|ええ)+$"
 
 
@@ -85,12 +89,20 @@ def timed_characters(t: Column) -> Column:
     return characters(_none_of(t, UNTIMED))
 
 
+def stripped(t: Column) -> Column:
+    """Without white space at the ends, ideographic and other wide blanks included."""
+    return F.btrim(t, F.lit(SPACES))
+
+
 def asr_clean(t: Column) -> Column:
-    """Trim, drop ellipses at the start, fold units repeated three times and runs of ellipses, end with a stop."""
-    x = F.regexp_replace(F.trim(t), r"^[…\.]{2,}|^…+", "")
-    x = F.regexp_replace(x, r"(.{2,20}?)\1{2,}", "$1")
-    x = F.trim(F.regexp_replace(x, "…{2,}", "…"))
-    return F.when(x == "", F.lit("")).when(x.rlike(r"[。．\.!?！？…」』]$"), x).otherwise(F.concat(x, F.lit("。")))
+    """Trim, drop ellipses and blanks at the start, fold units repeated three times and runs of ellipses, end with a stop. Nothing is left of blanks, or of dots
+    with other closing marks. Full stops at the start stay."""
+    x = stripped(t)
+    nothing = x.rlike(r"(?U)^[…‥\.．?!？！」』\)）\]\s]+$") & x.rlike(r"[…‥\.．]")
+    y = F.ltrim(x, F.lit(DOTS + SPACES))
+    y = F.regexp_replace(y, r"(.{2,20}?)\1{2,}", "$1")
+    y = F.regexp_replace(y, f"[{DOTS}]{{2,}}", "…")
+    return F.when((y == "") | nothing, F.lit("")).when(F.contains(F.lit(CLOSERS), F.right(y, F.lit(1))), y).otherwise(F.concat(y, F.lit("。")))
 
 
 def characters(t: Column) -> Column:
@@ -105,7 +117,7 @@ def _best_place(t: Column, fits, rank) -> Column:
 def wrap_at_marks(t: Column, most: int, marks: str = ".!?,;。！？、") -> Column:
     """Two lines, broken after the mark nearest the middle (the earlier of two); else unchanged."""
     best = _best_place(t, lambda x: F.contains(F.lit(marks), x), lambda i, n: F.struct(F.abs(i * 2 - n).alias("d"), i.alias("i")))
-    return F.when((F.length(t) <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best), F.lit("\n"), F.ltrim(F.substr(t, best + 1))))
+    return F.when((F.length(t) <= most) | best.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), best), F.lit("\n"), F.ltrim(F.substr(t, best + 1), F.lit(SPACES))))
 
 
 def wrap_at_blanks(t: Column, most: int) -> Column:
@@ -171,7 +183,7 @@ def voiced(t: Column) -> Column:
     sounds = "".join(k for k, v in VOICED.items() if k not in ("っッ", "ー〜"))
     from_, to = "".join(k for k, v in VOICED.items() if v), "".join(v * len(k) for k, v in VOICED.items() if v)
     plain = (core != "") & (F.length(core) <= 12) & ~hira.rlike(LEXICAL) & (_none_of(core, sounds) == "")
-    return F.when(plain, F.trim(F.translate(t, from_ + "っッ", to)))
+    return F.when(plain, stripped(F.translate(t, from_ + "っッ", to)))
 
 
 def converted(t: Column, characters_: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
@@ -181,15 +193,19 @@ def converted(t: Column, characters_: dict[str, str], phrases: dict[str, str] |
     return F.translate(t, "".join(characters_), "".join(characters_.values()))
 
 
+#: Labels before an answer's body, words that begin an explanation, tags.
+LABELS, EXPLAINS, TAGS = "翻译结果|译文", "解释|说明|翻译说明|Explanation|Translation notes", ("target", "current", "context")
+
+
 def answer(t: Column, separator: str = "") -> Column:
     """The body of a model's answer: without fence, label and one ``target`` or ``current`` tag, lines joined. Empty where a
     tag is repeated or a line is numbered, explains, or holds another fence or tag."""
     tag = lambda x, n: F.regexp_extract_all(x, F.lit(f"(?s)<{n}>(.*?)</{n}>"), F.lit(1))
-    x = F.regexp_replace(F.btrim(t, F.lit(" \t\r\n")), r"(?s)^```[^\n]*\n(.*?)\n```$", "$1")
+    x = F.regexp_replace(stripped(t), r"(?s)^```[^\n]*\n(.*?)\n```$", "$1")
     one = F.when(F.size(tag(x, "target")) > 0, tag(x, "target")).when(F.size(tag(x, "current")) > 0, tag(x, "current")).otherwise(F.array(x))
-    body = F.regexp_replace(F.btrim(F.get(one, F.lit(0)), F.lit(" \t\r\n")), r"^(翻译结果|译文)[:：]\s*", "")
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda y: F.trim(y)), lambda y: y != "")
-    odd = r"(?i)^(\[\d+\]|\d+([.)]\s+|、)|(解释|说明|翻译说明|Explanation|Translation notes)[:：]|```|</?(target|current|context)>)"
+    body = F.regexp_replace(stripped(F.get(one, F.lit(0))), rf"^({LABELS})[:：]\s*", "")
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), stripped), lambda y: y != "")
+    odd = rf"(?i)^(\[\d+\]|\d+([.)]\s+|、)|({EXPLAINS})[:：]|```|</?({'|'.join(TAGS)})>)"
     return F.when((F.size(one) > 1) | F.exists(lines, lambda y: y.rlike(odd)), F.lit("")).otherwise(F.array_join(lines, separator))
 
 
@@ -233,7 +249,7 @@ def overlong(t: Column, most: int) -> Column:
 
 def alias_of(t: Column, aliases: dict[str, str], default: str) -> Column:
     pairs = [F.lit(x) for kv in aliases.items() for x in kv]
-    return F.when(F.trim(t) == "", F.lit(default)).otherwise(F.coalesce(F.create_map(*pairs)[F.lower(F.trim(t))], t))
+    return F.when(stripped(t) == "", F.lit(default)).otherwise(F.coalesce(F.create_map(*pairs)[F.lower(stripped(t))], t))
 
 
 def class_of(a: Column, b: Column, names: tuple[str, str], least: float) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import KANA, degenerate, repeats, voiced
+from ..functions.text import KANA, degenerate, repeats, stripped, voiced
 
 PLACEHOLDER = "[review]"
 
@@ -31,7 +31,7 @@ def id_mapping(sources: DataFrame, records: DataFrame, keys: Sequence[str] = ("t
     known = used.withColumns({"_all": F.bool_and(F.col("_at").isNotNull()).over(Window.partitionBy(*keys, "number")), "_step": F.col("_at") - F.lag("_at").over(in_order)})
     apart = known.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("_all") & (F.col("_step") != 1)), F.lit(False)).alias("_apart"))
     falls = used.filter("_at is not null").withColumn("_d", F.col("_at") - F.lag("_at").over(every)).groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("_d") < 0), F.lit(False)).alias("_falls"))
-    bad = records.groupBy(*keys).agg(F.bool_or(F.coalesce(F.size("ids"), F.lit(0)) < 1).alias("_none"), F.bool_or(F.coalesce(F.trim("text") == "", F.lit(False))).alias("_blank"))
+    bad = records.groupBy(*keys).agg(F.bool_or(F.coalesce(F.size("ids"), F.lit(0)) < 1).alias("_none"), F.bool_or(F.coalesce(stripped("text") == "", F.lit(False))).alias("_blank"))
     t = ids
     for part in (apart, falls, bad):
         t = t.join(part, list(keys), "full")
@@ -55,9 +55,9 @@ def checked_lines(blocks: DataFrame, forbidden: Column) -> DataFrame:
 
 def numbered_lines(raw: Column, count: Column) -> Column:
     """The texts of lines ``[n] text`` in order of n; null unless every line has that form and 1 to ``count`` come once each with a text."""
-    lines = F.filter(F.transform(F.split(raw, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, r"\r?\n"), stripped), lambda x: x != "")
     form = r"^\[(\d{1,6})\]\s*(.*)$"
-    parts = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, form, 1).try_cast("int").alias("n"), F.trim(F.regexp_extract(x, form, 2)).alias("t")))
+    parts = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, form, 1).try_cast("int").alias("n"), stripped(F.regexp_extract(x, form, 2)).alias("t")))
     numbers = F.array_sort(F.transform(parts, lambda p: p["n"]))
     fine = F.forall(lines, lambda x: x.rlike(form)) & F.forall(parts, lambda p: p["t"] != "") & (count > 0) & (numbers == F.sequence(F.lit(1), F.greatest(count, F.lit(1))))
     return F.when(fine, F.transform(F.array_sort(parts), lambda p: p["t"]))
@@ -83,7 +83,7 @@ def json_records(outputs: DataFrame, sources: DataFrame, keys: Sequence[str] = (
     """
     whole = r"-?\d+"
     array = F.from_json("raw", "array<string>", {"mode": "PERMISSIVE"})
-    form = F.when(F.col("raw").isNull() | F.try_parse_json("raw").isNull(), F.lit("invalid JSON")).when(~F.trim("raw").startswith("["), F.lit("no array")).otherwise(F.lit("ok"))
+    form = F.when(F.col("raw").isNull() | F.try_parse_json("raw").isNull(), F.lit("invalid JSON")).when(~stripped("raw").startswith("["), F.lit("no array")).otherwise(F.lit("ok"))
     t = outputs.withColumn("form", form)
     r = t.filter("form = 'ok'").select(*keys, F.posexplode(array).alias("n", "r"))
     names = F.array_sort(F.coalesce(F.json_object_keys("r"), F.array().cast("array<string>")))
@@ -107,7 +107,7 @@ def reviewed(df: DataFrame, source: str = "source_text", text: str = "text") ->
     Sounds are written out; else an empty or runaway text stays only if its source repeats itself too and it is not too long, and is
     replaced by a placeholder otherwise; else it stays for review."""
     s, t = F.col(source), F.coalesce(text, F.lit(""))
-    empty, kana, runaway = F.trim(t) == "", t.rlike(KANA), (t != "") & degenerate(s, t)
+    empty, kana, runaway = stripped(t) == "", t.rlike(KANA), (t != "") & degenerate(s, t)
     issues = F.array_compact(F.array(F.when(empty, F.lit("empty")), F.when(kana, F.lit("kana_residue")), F.when(runaway, F.lit("degenerate"))))
     retained = ~empty & repeats(s, 5, 4) & (F.length(t) <= F.greatest(F.lit(20), F.length(s) * 3))
     action = F.when(F.size(issues) == 0, F.lit("accepted")).when(voiced(s).isNotNull(), F.lit("phonetic_fallback")).when(empty | runaway, F.when(retained, F.lit("retained_source_repetition")).otherwise(F.lit("review_placeholder"))).otherwise(F.lit("retained_for_review"))

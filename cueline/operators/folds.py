@@ -33,6 +33,11 @@ def timed(text: str) -> str:
     return text.translate(_DROP_UNTIMED)
 
 
+def texts(df: DataFrame) -> DataFrame:
+    """Null texts count as empty."""
+    return df.withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def folded(df: DataFrame, fold: Callable[[Rows], Iterator[dict]], keys: Sequence[str] = KEYS, reach_ms: int | None = None, more: str = "", order: Sequence[str] = ORDER) -> DataFrame:
     """Runs ``fold`` over the rows of each group in order; it yields rows, with the columns of ``more`` if that is given.
 
@@ -63,7 +68,7 @@ def worse(a: dict, b: dict) -> dict:
 
 def merge_short(df: DataFrame, short: int, max_gap: int, max_chars: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Append a cue to the one before if either has at most ``short`` characters (blanks aside), no more than ``max_gap``
-    lies between them and both together have at most ``max_chars``; the worst confidence stays. Order: ``pos``."""
+    lies between them and both together have at most ``max_chars``; the worst confidence stays. Order: start, end, ``pos``; null texts are empty."""
 
     def fold(rows: Rows) -> Iterator[dict]:
         last = None
@@ -78,7 +83,7 @@ def merge_short(df: DataFrame, short: int, max_gap: int, max_chars: int, keys: S
         if last:
             yield last
 
-    return folded(df, fold, keys, max_gap)
+    return folded(texts(df), fold, keys, max_gap)
 
 
 def near_duplicates(a: str, b: str) -> bool:
@@ -103,8 +108,8 @@ def close_cues(rows: Rows, max_gap: int, max_chars: int, max_ms: int) -> Iterato
 
 
 def merge_close(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Join neighbours less than ``max_gap`` apart within bounds of timed characters and length, but not near duplicates."""
-    return folded(df, lambda rows: close_cues(rows, max_gap, max_chars, max_ms), keys, max_gap)
+    """Join neighbours less than ``max_gap`` apart within bounds of timed characters and length, but not near duplicates. Null texts are empty."""
+    return folded(texts(df), lambda rows: close_cues(rows, max_gap, max_chars, max_ms), keys, max_gap)
 
 
 def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -114,7 +119,7 @@ def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms:
         for region, run in groupby(rows, key=lambda r: r["region_ms"]):
             yield from run if region is None else close_cues(run, max_gap, max_chars, max_ms)
 
-    return folded(df, fold, keys, max_gap)
+    return folded(texts(df), fold, keys, max_gap)
 
 
 def same_start_piles(df: DataFrame, tolerance_ms: int = 50, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -136,7 +141,7 @@ def same_start_piles(df: DataFrame, tolerance_ms: int = 50, keys: Sequence[str]
         if last:
             yield last
 
-    return folded(df, fold, keys, max(0, tolerance_ms))
+    return folded(texts(df), fold, keys, max(0, tolerance_ms))
 
 
 def squeezed_duplicates(df: DataFrame, max_gap: int, least: float, squeeze_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -155,7 +160,7 @@ def squeezed_duplicates(df: DataFrame, max_gap: int, least: float, squeeze_ms: i
         if last:
             yield last
 
-    return folded(df, fold, keys, max_gap)
+    return folded(texts(df), fold, keys, max_gap)
 
 
 def windowed_dedup(df: DataFrame, window_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -248,4 +253,4 @@ def settle_short(df: DataFrame, least_ms: int, keys: Sequence[str] = KEYS) -> Da
             kept = r
         yield from (r for r in (kept, held) if r)
 
-    return folded(df, fold, keys)
+    return folded(texts(df), fold, keys)

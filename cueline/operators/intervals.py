@@ -66,38 +66,50 @@ def clusters(df: DataFrame, max_gap: int, pad: int, duration: int, keys: Sequenc
     return merge_intervals(t.withColumns({"start_ms": F.greatest(F.col("start_ms") - pad, F.lit(0)), "end_ms": F.least(F.col("end_ms") + pad, F.lit(duration))}), keys)
 
 
+def _spread(start: str, end: str, width: int) -> Column:
+    """The buckets of time that an interval lies in; one without length lies in that of its start."""
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / width)))
+
+
+def met(a: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``a`` joined with what was found for its intervals (keys, start_ms, end_ms; one row each): rows that repeat get it each, and no other column, null or
+    not, plays a part."""
+    names = {c: f"_f_{c}" for c in (*keys, "start_ms", "end_ms")}
+    f = found.withColumnsRenamed(names)
+    return a.join(f, same_keys(a, f, [*names], "_f_"), how).drop(*names.values())
+
+
 def range_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width: int = 600_000, how: str = "inner") -> DataFrame:
     """Pairs of overlapping intervals (b's columns prefixed ``b_``): both sides are dealt into time buckets, so a long
-    track is spread over many tasks; a pair counts in the first bucket that both have."""
-    bucket = lambda: F.explode(F.sequence(F.floor(F.col("start_ms") / width), F.floor((F.greatest(F.col("end_ms"), F.col("start_ms") + 1) - 1) / width))).alias("_bucket")
-    left = a.select("*", bucket())
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).select("*", F.explode(F.sequence(F.floor(F.col("b_start_ms") / width), F.floor((F.greatest(F.col("b_end_ms"), F.col("b_start_ms") + 1) - 1) / width))).alias("_b_bucket"))
-    on: Column = F.col("_bucket") == F.col("_b_bucket")
-    for k in keys:
-        on = on & (left[k] == right[f"b_{k}"])
-    on = on & (F.col("start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("end_ms"))
+    track is spread over many tasks; a pair counts in the first bucket that both have. Null keys are equal to null keys; an interval without a start or
+    an end overlaps nothing. ``left_semi`` and ``left_anti`` keep rows of ``a`` as they are, repeated ones too."""
     if how in ("left_anti", "left_semi"):
-        hit = left.join(right, on, "left_semi").drop("_bucket").distinct()
-        return hit if how == "left_semi" else a.join(hit, list(a.columns), "left_anti")
+        own = a.select(*keys, "start_ms", "end_ms").distinct()
+        return met(a, range_join(own, b.select(*keys, "start_ms", "end_ms"), keys, width).select(own.columns).distinct(), keys, how)
+    left = a.select("*", _spread("start_ms", "end_ms", width).alias("_bucket"))
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).select("*", _spread("b_start_ms", "b_end_ms", width).alias("_b_bucket"))
+    on = (F.col("_bucket") == F.col("_b_bucket")) & same_keys(left, right, keys, "b_") & (F.col("start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("end_ms"))
     once = F.col("_bucket") == F.floor(F.greatest(F.col("start_ms"), F.col("b_start_ms")) / width)
     return left.join(right, on & once).drop("_bucket", "_b_bucket", *[f"b_{k}" for k in keys])
 
 
 def overlap_ms(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each interval of ``a`` with the length that the union of ``b`` covers of it."""
-    pairs = range_join(a, merge_intervals(b, keys), keys)
-    sums = pairs.groupBy(*a.columns).agg(F.sum(F.least("end_ms", "b_end_ms") - F.greatest("start_ms", "b_start_ms")).alias("overlap_ms"))
-    return a.join(sums, list(a.columns), "left").withColumn("overlap_ms", F.coalesce("overlap_ms", F.lit(0)))
+    """Each interval of ``a`` with the length that the union of ``b`` covers of it; 0 for one without a start or an end."""
+    own = a.select(*keys, "start_ms", "end_ms").distinct()
+    pairs = range_join(own, merge_intervals(b.select(*keys, "start_ms", "end_ms"), keys), keys)
+    sums = pairs.groupBy(*own.columns).agg(F.sum(F.least("end_ms", "b_end_ms") - F.greatest("start_ms", "b_start_ms")).alias("overlap_ms"))
+    return met(a, sums, keys, "left").withColumn("overlap_ms", F.coalesce("overlap_ms", F.lit(0)))
 
 
 def rebased(windows: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``b`` cut to each window and counted from its start; the whole window where nothing remains."""
-    hit = range_join(windows, b.select(*keys, "start_ms", "end_ms"), keys).select(*windows.columns, (F.greatest("start_ms", "b_start_ms") - F.col("start_ms")).alias("rel_start"), (F.least("end_ms", "b_end_ms") - F.col("start_ms")).alias("rel_end"))
-    return windows.join(hit, windows.columns, "left").withColumns({"rel_start": F.coalesce("rel_start", F.lit(0)), "rel_end": F.coalesce("rel_end", F.col("end_ms") - F.col("start_ms"))})
+    own = windows.select(*keys, "start_ms", "end_ms").distinct()
+    hit = range_join(own, b.select(*keys, "start_ms", "end_ms"), keys).select(*own.columns, (F.greatest("start_ms", "b_start_ms") - F.col("start_ms")).alias("rel_start"), (F.least("end_ms", "b_end_ms") - F.col("start_ms")).alias("rel_end"))
+    return met(windows, hit, keys, "left").withColumns({"rel_start": F.coalesce("rel_start", F.lit(0)), "rel_end": F.coalesce("rel_end", F.col("end_ms") - F.col("start_ms"))})
 
 
 def outside(a: DataFrame, protected: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Intervals of ``a`` that overlap no protected one."""
+    """Intervals of ``a`` that overlap no protected one; one without a start or an end overlaps none."""
     return range_join(a, protected, keys, how="left_anti")
 
 

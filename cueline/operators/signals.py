@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SENTENCE_ENDS, UNTIMED, length_pieces, sentences, timed_characters
+from ..functions.text import SENTENCE_ENDS, SPACES, UNTIMED, length_pieces, sentences, stripped, timed_characters
 from .folds import folded
 from .intervals import range_join
 from .runs import timeline_to_real
@@ -21,8 +21,15 @@ _UNTIMED = str.maketrans("", "", UNTIMED)
 
 
 def smoothed(frames: DataFrame, value: str, radius: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds ``smooth``: the mean over the frames ``radius`` before to ``radius`` after; fewer at the ends."""
-    return frames.withColumn("smooth", F.avg(value).over(Window.partitionBy(*keys).orderBy("frame").rowsBetween(-radius, radius)))
+    """Adds ``smooth``: the mean over the frames ``radius`` before to ``radius`` after; beyond either end of the series its last value counts again. A series of
+    fewer than three frames stays as it is."""
+    w, v = Window.partitionBy(*keys).orderBy("frame"), F.col(value)
+    back, on = ([f(value, k).over(w) for k in range(1, radius + 1)] for f in (F.lag, F.lead))
+    side = lambda near: [F.coalesce(*near[k::-1], v) for k in range(radius)]  # noqa: E731  the furthest that there is
+    there = lambda f, k: f(F.lit(1), k).over(w).isNotNull()
+    many = there(F.lag, 2) | there(F.lead, 2) | (there(F.lag, 1) & there(F.lead, 1))
+    mean = sum([*side(back), *side(on)], v) / (2 * radius + 1)
+    return frames.withColumn("smooth", F.when(many, mean).otherwise(v))
 
 
 def speech_segments(frames: DataFrame, onset: float = 0.5, silence: int = 5, least: int = 3, pad: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -155,12 +162,12 @@ def frame_cues(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cues of frames (``pos, start_ms, end_ms, text``): whole, or, beyond 50 timed characters, cut by length, each piece timed by its share of the
     characters; ellipses at the start of a piece go, pieces without characters too: ``pos, piece, start_ms, end_ms, text``."""
     n = lambda x: F.size(timed_characters(x))
-    t = frames.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).filter(F.col("end_ms") > F.col("start_ms"))
+    t = frames.withColumn("text", stripped("text")).filter(F.col("end_ms") > F.col("start_ms"))
     t = t.select(*keys, "pos", "start_ms", "end_ms", F.posexplode(length_pieces(F.col("text"))).alias("piece", "p"))
     w = Window.partitionBy(*keys, "pos")
     t = t.withColumn("_c", n(F.col("p"))).withColumns({"_to": F.sum("_c").over(w.orderBy("piece")), "_all": F.sum("_c").over(w)})
     at = lambda c: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * c / F.col("_all"))
-    text = F.ltrim(F.regexp_replace(F.trim("p"), r"^(…|\.{2,})+", ""))
+    text = F.ltrim(F.regexp_replace(stripped("p"), r"^(…|\.{2,})+", ""), F.lit(SPACES))
     return t.select(*keys, "pos", "piece", at(F.col("_to") - F.col("_c")).alias("start_ms"), at(F.col("_to")).alias("end_ms"), text.alias("text")).filter((F.col("end_ms") > F.col("start_ms")) & (n(F.col("text")) > 0))
 
 

@@ -334,7 +334,7 @@ QUERIES = {
     "w18_speech_segments": (lambda s, d: sg.speech_segments(signal_ev(s, d), 0.5, 2, 2, 1), SEGMENTS),
     "w18_capped_segments": (lambda s, d: sg.capped_segments(signal_ev(s, d), 4, 0.4, 2, 2), CAPPED),
     "w17_source_times": (timed_sources, None),
-    "w18_smoothed": (lambda s, d: sg.smoothed(signal_ev(s, d), "prob").select("track", "frame", F.round("smooth", 9).alias("smooth")), f"with {SIGNAL} select track, frame, round(avg(prob) over (partition by track order by frame rows between 2 preceding and 2 following), 9) smooth from signal"),
+    "w18_smoothed": (lambda s, d: sg.smoothed(signal_ev(s, d), "prob").select("track", "frame", F.round("smooth", 9).alias("smooth")), f"with {SIGNAL} select track, frame, round(case when count(*) over (partition by track) < 3 then prob else (prob + coalesce(lag(prob) over w, prob) + coalesce(lag(prob, 2) over w, lag(prob) over w, prob) + coalesce(lead(prob) over w, prob) + coalesce(lead(prob, 2) over w, lead(prob) over w, prob)) / 5 end, 9) smooth from signal window w as (partition by track order by frame)"),
     "w19_scenes": (lambda s, d: sg.scenes(frames(s, d), 3), SCENES),
     "w22_repeated_outputs": (lambda s, d: ck.repeated_outputs(turns(s, d).withColumns({"source_text": F.md5("text"), "text": F.substr(F.md5("text"), F.lit(1), F.lit(1))})).select("track", "pos", "text"), f"with {TURNS}, t as (select track, pos, substr(md5(text), 1, 1) t, md5(text) s from turns), u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition by track order by pos)) select track, pos, t as text from u where t = pt and s <> ps"),
     "tx35_requests": (lambda s, d: turns(s, d).groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("t")).select("track", ck.request(F.lit(""), F.concat_ws(", ", F.lit("a->b")), F.col("t")).alias("request")), f"with {TURNS}, n as (select *, row_number() over (partition by track order by pos) n from turns) select track, 'Terms:' || chr(10) || 'a->b' || chr(10) || chr(10) || 'Lines:' || chr(10) || string_agg('[' || lpad(n::varchar, 3, '0') || '] ' || replace(text, chr(10), ' '), chr(10) order by n) request from n group by track"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ass_escape
+from ..functions.text import ass_escape, stripped
 from ..functions.times import ass_time, parse_srt_time, srt_time
 
 
@@ -20,9 +20,9 @@ def srt_blocks(files: DataFrame, all_blocks: bool = False) -> DataFrame:
     """``file, block, id, head, start_ms, end_ms, settings, text, long`` of every block with an arrow in its second line (or of all blocks that
     aren't blank); ``long``: at least three lines. No checks."""
     body = F.regexp_replace(F.regexp_replace("text", "^\\x{FEFF}", ""), "\r\n?", "\n")
-    b = files.select("file", F.posexplode(F.split(body, "\n[\\x20\t]*\n+")).alias("block", "b")).withColumn("b", F.regexp_replace("b", "^\n+|\n+$", "")).filter(F.trim("b") != "")
+    b = files.select("file", F.posexplode(F.split(body, "\n[\\x20\t]*\n+")).alias("block", "b")).withColumn("b", F.regexp_replace("b", "^\n+|\n+$", "")).filter(stripped("b") != "")
     lines = F.split("b", "\n")
-    t = b.select("file", "block", F.trim(F.get(lines, F.lit(0))).alias("id"), F.get(lines, F.lit(1)).alias("head"), F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias("text"), (F.size(lines) >= 3).alias("long"))
+    t = b.select("file", "block", stripped(F.get(lines, F.lit(0))).alias("id"), F.get(lines, F.lit(1)).alias("head"), F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias("text"), (F.size(lines) >= 3).alias("long"))
     head = r"^\s*(\S+)\s+-->\s+(\S+)\s*(.*)$"
     part = lambda i: F.regexp_extract("head", head, i)
     kept = F.lit(True) if all_blocks else F.contains(F.coalesce("head", F.lit("")), F.lit("-->"))
@@ -37,7 +37,7 @@ def strict_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     and ids that an earlier valid block of the file has. Cues out of order stay but make a file partly invalid.
     """
     t = srt_blocks(files, all_blocks=True)
-    fine = F.col("id").rlike(r"^\d+$") & F.col("start_ms").isNotNull() & (F.col("end_ms") > F.col("start_ms")) & (F.trim("text") != "")
+    fine = F.col("id").rlike(r"^\d+$") & F.col("start_ms").isNotNull() & (F.col("end_ms") > F.col("start_ms")) & (stripped("text") != "")
     t = t.withColumn("fine", F.coalesce(fine, F.lit(False)))
     nth = F.row_number().over(Window.partitionBy("file", "id", "fine").orderBy("block"))
     t = t.withColumn("ok", F.col("fine") & (nth == 1))
@@ -53,7 +53,7 @@ def strict_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def display_cues(files: DataFrame) -> DataFrame:
     """Cues for display: settings go, each line is trimmed, blank lines go, line breaks stay; no checks of ids or order."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), stripped), lambda x: x != "")
     return srt_blocks(files).filter("long").select("file", "block", "id", "start_ms", "end_ms", F.array_join(lines, "\n").alias("text"))
 
 
@@ -73,7 +73,7 @@ def ass_cues(files: DataFrame) -> DataFrame:
     body, mark = F.get(f, F.lit(9)), r"\N{\r"
     low = F.substr("body", F.locate(mark, "body") + len(mark))
     ms = lambda x: F.round((F.split(x, ":")[0].cast("double") * 3600 + F.split(x, ":")[1].cast("double") * 60 + F.split(x, ":")[2].cast("double")) * 1000).cast("long")
-    t = t.select("file", "line", ms(F.trim(F.get(f, F.lit(1)))).alias("start_ms"), ms(F.trim(F.get(f, F.lit(2)))).alias("end_ms"), body.alias("body")).filter(F.locate(mark, "body") > 0)
+    t = t.select("file", "line", ms(stripped(F.get(f, F.lit(1)))).alias("start_ms"), ms(stripped(F.get(f, F.lit(2)))).alias("end_ms"), body.alias("body")).filter(F.locate(mark, "body") > 0)
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"^[^}]*\}", ""), r"\{[^}]*\}", ""), r"\\[Nn]", " ")
     return t.select("file", "line", "start_ms", "end_ms", text.alias("text")).filter("text <> ''")
 
