@@ -22,6 +22,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more. Only whole folders of ours, which no plan that is still to run refers to."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if "/cueline/" in folder:
+                path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends texts to Python in batches of at most 256 rows and 8 MB, whatever their lengths."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 257):

@@ -13,11 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, text_of, written
+from .common import discarded, documents, small_batches, text_of, written
 
 LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: ASCII letters in lower case; ends of pieces become line feeds, blanks spaces.
 TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
+PARTS = 64
 #: Words after which a block of the relation is closed.
 BLOCK = 1 << 21
 WORDS = "lang string, block long, words array<string>, n array<long>, codes binary, ends binary"
@@ -112,11 +113,12 @@ class _Occurrences:
 
 
 def _frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of groups that occur ``least`` times, with their count ``f`` and an id ``id`` of the group. A group has one row a block, already added up there, so
+    """Rows of groups that occur ``least`` times, with an id ``id`` of the group and, in one row of each, its count ``f``. A group has one row a block, already added up there, so
     one shuffle both counts the groups and says in which blocks they lie."""
     group = Window.partitionBy(*keys)
     kept = counted.withColumn("f", F.sum("n").over(group)).filter(F.col("f") >= least)
-    return written(kept.withColumn("_m", F.monotonically_increasing_id()).withColumn("id", F.min("_m").over(group)).drop("_m", "n"))
+    kept = kept.withColumn("_m", F.monotonically_increasing_id()).withColumn("id", F.min("_m").over(group))
+    return written(kept.withColumn("f", F.when(F.col("id") == F.col("_m"), F.col("f"))).drop("_m", "n"))
 
 
 def _first_level(blocks: DataFrame, words: DataFrame) -> DataFrame:
@@ -183,17 +185,20 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     words = blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "n")).alias("code", "x")).select("lang", "block", "code", F.col("x.words").alias("word"), F.col("x.n").alias("n"))
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
     kept = _frequent(words, ["lang", "word"], least)
-    singles = kept.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("phrase"), F.first("f").alias("f"))
-    found = [written(singles.select("id", "lang", F.array("id").alias("ids"), "phrase", "f"))]
+    singles = kept.filter("f is not null").select("id", "lang", F.array("id").alias("ids"), F.col("word").alias("phrase"), "f")
+    found = [written(singles)]
     now = _first_level(blocks, kept)
+    discarded(blocks, kept)
     for k in range(2, longest + 1):
         kept = _frequent(_groups(now, k), ["g", "w"], least)
-        groups = kept.groupBy("id").agg(*[F.first(c).alias(c) for c in ("g", "w", "f")])
+        groups = kept.filter("f is not null").select("id", "g", "w", "f")
         left = found[-1].select(F.col("id").alias("g"), "lang", F.col("ids").alias("head"), F.col("phrase").alias("before"))
         right = found[0].select(F.col("id").alias("w"), F.col("phrase").alias("word"))
         found.append(written(groups.join(left, "g").join(right, "w").select("id", "lang", F.array_append("head", F.col("w")).alias("ids"), F.concat_ws(" ", "before", "word").alias("phrase"), "f")))
+        before = now
         if k < longest:
             now = _level(now, kept, k)
+        discarded(before, kept)
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
@@ -209,8 +214,8 @@ def ratio(a: Column, l: Column, r: Column) -> Column:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the ``top`` phrases of each language.
 
-    Null text has no words, null language is ``und``; repeated rows count each; a language without a candidate has no rows. The whole ranking is a window of
-    a language, cut to the first ``top`` rows before anything is sent.
+    Null text has no words, null language is ``und``; repeated rows count each; a language without a candidate has no rows. Ranks are given in two steps, so a
+    task reads at most PARTS times ``top`` rows of a language.
     """
     phrases, totals = frequent_phrases(docs, text_col, lang_col, longest, least)
     size = F.size("ids")
@@ -224,8 +229,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     within = candidates.filter(size > 2).select("f", size.alias("k"), "ids", F.explode(starts).alias("start")).select("f", "k", "ids", "start", F.explode(F.sequence(F.lit(2), F.col("k") - F.col("start") + 1)).alias("width")).filter("width < k")
     covered = within.groupBy(F.slice("ids", F.col("start"), F.col("width")).alias("ids")).agg(F.max("f").alias("longer"))
     kept = candidates.join(covered, "ids", "left").filter(F.coalesce(100 * F.col("longer") < inside * F.col("f"), F.lit(True))).join(best, "ids")
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("f"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang")
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("best.score"), F.desc("f"), "phrase"))
+    parts = kept.withColumn("_part", F.pmod(F.hash("phrase"), F.lit(PARTS)))  # the first of each part hold the first of all: no task sees a language whole
+    first = parts.withColumn("rank", order("lang", "_part")).filter(F.col("rank") <= top).withColumn("rank", order("lang")).filter(F.col("rank") <= top).join(totals, "lang")
     return first.select("lang", F.col("rank").cast("long"), "phrase", F.col("f").alias("a"), F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
