@@ -135,18 +135,24 @@ def neighbour_filter(df: DataFrame, near_ms: int = 5000, keys: Sequence[str] = T
 
 def filler_drop(df: DataFrame, fillers: Sequence[str], replies: Sequence[str], silence_ms: int, run_min: int = 3, run_gap_ms: int = 5000, lag_ms: int = 3000, keys: Sequence[str] = TRACK) -> DataFrame:
     """Rows that stay of a table with a column ``core``: islands of fillers go if silence lies on both sides or they are
-    ``run_min`` long; a reply soon after a real word stays and ends an island."""
+    ``run_min`` long; a reply soon after a real word stays and ends an island.
+
+    Where a cue is part of a longer frame, columns ``source_start_ms``, ``source_end_ms`` and ``source_core`` (null: the cue itself) may say so: silences are
+    then measured between frames, and a filler inside a frame of more than a filler stays."""
+    names = df.columns
+    of = lambda c: F.coalesce(f"source_{c}", c) if f"source_{c}" in names else F.col(c)
+    df = df.withColumns({"_a": of("start_ms"), "_b": of("end_ms"), "_whole": of("core")})
     w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms", "pos")
     reply, filler = F.col("core").isin(*replies), F.col("core").isin(*fillers, *replies)
-    word_end = F.last(F.when(~filler, F.col("end_ms")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = df.withColumn("_f", filler & ~F.coalesce(reply & (F.col("start_ms") - word_end <= lag_ms), F.lit(False)))
-    gap = F.col("start_ms") - F.lag("end_ms").over(w)
-    t = t.withColumns({"_lead": gap, "_trail": F.lead("start_ms").over(w) - F.col("end_ms"), "_new": F.when(F.col("_f") & F.coalesce(F.lag("_f").over(w) & (gap <= run_gap_ms), F.lit(False)), 0).otherwise(1)})
+    word_end = F.last(F.when(~filler, F.col("_b")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = df.withColumn("_f", filler & F.col("_whole").isin(*fillers, *replies) & ~F.coalesce(reply & (F.col("_a") - word_end <= lag_ms), F.lit(False)))
+    gap = F.col("_a") - F.lag("_b").over(w)
+    t = t.withColumns({"_lead": gap, "_trail": F.lead("_a").over(w) - F.col("_b"), "_new": F.when(F.col("_f") & F.coalesce(F.lag("_f").over(w) & (gap <= run_gap_ms), F.lit(False)), 0).otherwise(1)})
     t = t.withColumn("_island", F.sum("_new").over(w))
     island = Window.partitionBy(*keys, "_island").orderBy("start_ms", "end_ms", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     walled = (F.coalesce(F.first("_lead").over(island), F.lit(silence_ms)) >= silence_ms) & (F.coalesce(F.last("_trail").over(island), F.lit(silence_ms)) >= silence_ms)
     t = t.withColumn("_gone", F.col("_f") & ((F.lit(silence_ms > 0) & walled) | (F.lit(run_min > 0) & (F.count(F.lit(1)).over(island) >= run_min))))
-    return t.filter(~F.col("_gone")).select(*df.columns)
+    return t.filter(~F.col("_gone")).select(*names)
 
 
 def concatenated(df: DataFrame, length: Column, pause_ms: int = 4000, keys: Sequence[str] = TRACK) -> DataFrame:

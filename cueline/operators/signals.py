@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import SENTENCE_ENDS, SPACES, UNTIMED, length_pieces, sentences, stripped, timed_characters
 from .folds import folded
-from .intervals import range_join
 from .runs import timeline_to_real
 
 KEYS = ("track",)
@@ -132,19 +131,18 @@ def spread_from_anchor(words: DataFrame, scenes_: DataFrame, cps: float = 10.0,
 
 def region_characters(texts: DataFrame, regions: DataFrame, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:
     """The timed characters of each text spread evenly over the chunk's speech regions: ``k, ch, start_ms, end_ms``; an end never passes the
-    region that its start lies in. Places are counted in microseconds, so nothing is rounded on the way."""
+    region that its start lies in. Places are counted in microseconds, so nothing is rounded on the way. A chunk's regions come to its text as one list."""
     chars = timed_characters(F.col("text"))
-    t = texts.select(*keys, F.posexplode(chars).alias("k", "ch"), F.size(chars).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("start_ms")
-    span = (F.col("end_ms") - F.col("start_ms")) * 1000
-    cum = regions.filter("end_ms > start_ms").withColumn("_to", F.sum(span).over(w)).select(*keys, (F.col("start_ms") * 1000).alias("real"), (F.col("end_ms") * 1000).alias("real_end"), (F.col("_to") - span).alias("from_us"), F.col("_to").alias("to_us"))
-    total = cum.groupBy(*keys).agg(F.max("to_us").alias("_total"))
-    t = t.join(total, list(keys)).withColumns({"_a": F.floor(F.col("_total") * F.col("k") / F.col("_n")), "_b": F.floor(F.col("_total") * (F.col("k") + 1) / F.col("_n"))})
-    look = t.withColumns({"start_ms": F.greatest("_a", F.lit(1)) - 1, "end_ms": F.greatest("_a", F.lit(1))})
-    hit = range_join(look, cum.withColumnsRenamed({"from_us": "start_ms", "to_us": "end_ms"}), keys, width=600_000_000)
-    start = F.col("b_real") + F.col("_a") - F.col("b_start_ms")
-    end = F.when(F.col("_b") <= F.col("b_end_ms"), F.col("b_real") + F.col("_b") - F.col("b_start_ms")).otherwise(F.col("b_real_end"))
-    return hit.select(*keys, "k", "ch", F.floor(start / 1000).alias("start_ms"), F.floor(F.greatest(start, end) / 1000).alias("end_ms"))
+    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
+    span = F.col("end_ms") - F.col("start_ms")
+    cum = regions.filter(span > 0).withColumn("to_ms", F.sum(span).over(w)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("to_ms", "start_ms", "end_ms"))).alias("_r"))
+    t = texts.join(cum, list(keys)).select(*keys, "_r", F.posexplode(chars).alias("k", "ch"), F.size(chars).alias("_n")).withColumn("_total", F.element_at("_r", -1)["to_ms"] * 1000)
+    t = t.withColumns({"_a": F.floor(F.col("_total") * F.col("k") / F.col("_n")), "_b": F.floor(F.col("_total") * (F.col("k") + 1) / F.col("_n"))})
+    before = F.size(F.filter("_r", lambda r: r["to_ms"] * 1000 < F.greatest(F.col("_a"), F.lit(1))))
+    t = t.withColumn("_in", F.get("_r", before)).drop("_r")
+    start = F.col("_in.end_ms") * 1000 - (F.col("_in.to_ms") * 1000 - F.col("_a"))
+    end = F.least(F.col("_in.end_ms") * 1000 - (F.col("_in.to_ms") * 1000 - F.col("_b")), F.col("_in.end_ms") * 1000)
+    return t.select(*keys, "k", "ch", F.floor(start / 1000).alias("start_ms"), F.floor(F.greatest(start, end) / 1000).alias("end_ms"))
 
 
 def item_characters(items: DataFrame, most_ms: float, keys: Sequence[str] = ("track", "chunk")) -> DataFrame:

@@ -77,21 +77,27 @@ def sources(spark, d):
 def blocks(spark, d):
     """Blocks of four lines and their outputs: some lines run away, leak kana, use a forbidden word; some blocks lack a line."""
     pos = F.col("pos")
-    line = F.when(pos % 9 == 4, F.concat("text", F.lit("\u3042"))).when(pos % 10 == 6, F.concat("text", F.repeat(F.lit("ab"), 7))).otherwise(F.substr("text", F.lit(1), F.lit(200)))
+    line = F.when(pos % 9 == 4, F.concat("text", F.lit("\u3042"))).when(pos % 10 == 6, F.concat("text", F.repeat(F.lit("ab"), 7))).otherwise(F.col("text"))
     t = cue_doc(spark, d).withColumns({"block": F.floor((pos - 1) / 4).cast("int"), "line": line})
     g = t.groupBy("track", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "line"))).alias("l"))
     lines = F.when(F.col("block") % 5 == 3, F.slice("l.line", 1, F.size("l") - 1)).otherwise(F.col("l.line"))
     return g.select("track", "block", F.col("l.text").alias("sources"), lines.alias("lines"))
 
 
-def degenerate_sql(s: str, x: str) -> str:
-    """Back-references by positions: a unit repeated six times anywhere."""
-    return f"(length({x}) > greatest(40, 3 * length({s}) + 10) or len(list_filter([1, 2, 3, 4, 5], lambda k: regexp_matches({x}, '(?s)^.*$') and len(list_filter(range(1, length({x}) - 6 * k + 2), lambda i: substr({x}, i::bigint, 6 * k) = repeat(substr({x}, i::bigint, k), 6))) > 0)) > 0)"
+def repeated_sql(cs: str, times: int) -> str:
+    """Whether a unit of one to five characters stands so many times in a row in a list of characters: as many matches in a row of each character with the one that far
+    behind it."""
+    same = f"list_transform(range(1, len({cs}) - k + 1), lambda i: case when {cs}[i] = {cs}[i + k] then '1' else '0' end)"
+    return f"len(list_filter([1, 2, 3, 4, 5], lambda k: contains(array_to_string({same}, ''), repeat('1', {times - 1} * k)))) > 0"
+
+
+def degenerate_sql(s: str, x: str, cs: str) -> str:
+    return f"(length({x}) > greatest(40, 3 * length({s}) + 10) or {repeated_sql(cs, 6)})"
 
 
 REASON = "case when regexp_matches(x.line, '[\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}]') then 'kana-leak' when x.line <> '' and x.bad then 'degenerate' when contains(x.line, 'ting') then 'glossary' end".replace("\\\\", "\\")
-CHECKED = f"""with {DOC}, a as (select *, (pos - 1) // 4 as block, case when pos % 9 = 4 then text || chr(12354) when pos % 10 = 6 then text || repeat('ab', 7) else substr(text, 1, 200) end line, row_number() over (partition by track, (pos - 1) // 4 order by pos) k, count(*) over (partition by track, (pos - 1) // 4) n from cue_doc),
-b as (select *, {degenerate_sql('text', 'line')} bad from a), c as (select x.*, {REASON} reason from b x)
+CHECKED = f"""with {DOC}, a as (select *, (pos - 1) // 4 as block, case when pos % 9 = 4 then text || chr(12354) when pos % 10 = 6 then text || repeat('ab', 7) else text end line, row_number() over (partition by track, (pos - 1) // 4 order by pos) k, count(*) over (partition by track, (pos - 1) // 4) n from cue_doc),
+b as (select *, {degenerate_sql('text', 'line', 'cs')} bad from (select *, string_split(line, '') cs from a)), c as (select x.*, {REASON} reason from b x)
 select track, block, case when block % 5 = 3 then 'line-count:' || max(n) || '->' || (max(n) - 1) when count(reason) = 0 then 'accepted' else 'partial-' || string_agg(distinct reason, '+' order by reason) end status,
   case when block % 5 <> 3 then count(*) - count(reason) end kept from c group by track, block"""
 
@@ -108,12 +114,12 @@ def numbered(spark, d):
 def paired_turns(spark, d):
     """Turns as translations of the turn before, some empty, some runaway, some of sounds only."""
     pos = F.col("pos")
-    t = turns(spark, d).withColumn("source_text", F.when(pos % 5 == 2, F.lit("ああんっ")).when(pos % 7 == 3, F.repeat(F.lit("ha"), 8)).otherwise(F.substr("text", F.lit(1), F.lit(30))))
-    return t.withColumn("text", F.when(pos % 4 == 1, F.lit(" ")).when(pos % 6 == 5, F.repeat(F.lit("ha"), 9)).when(pos % 11 == 7, F.concat(F.substr("text", F.lit(1), F.lit(20)), F.lit("\u30A2"))).otherwise(F.substr("text", F.lit(1), F.lit(30)))).drop("role")
+    t = turns(spark, d).withColumn("source_text", F.when(pos % 5 == 2, F.lit("ああんっ")).when(pos % 7 == 3, F.repeat(F.lit("ha"), 8)).otherwise(F.col("text")))
+    return t.withColumn("text", F.when(pos % 4 == 1, F.lit(" ")).when(pos % 6 == 5, F.repeat(F.lit("ha"), 9)).when(pos % 11 == 7, F.concat("text", F.lit("\u30A2"))).otherwise(F.col("text"))).drop("role")
 
 
-REVIEW = rf"""with {TURNS}, p as (select track, pos, case when pos % 5 = 2 then 'ああんっ' when pos % 7 = 3 then repeat('ha', 8) else substr(text, 1, 30) end s, case when pos % 4 = 1 then ' ' when pos % 6 = 5 then repeat('ha', 9) when pos % 11 = 7 then substr(text, 1, 20) || chr(12450) else substr(text, 1, 30) end t from turns),
-q as (select *, trim(t) = '' e, regexp_matches(t, '[\x{{3041}}-\x{{3096}}\x{{30A1}}-\x{{30FA}}]') k, {degenerate_sql('s', 't')} g, s = 'ああんっ' v, len(list_filter([1, 2, 3, 4, 5], lambda k: len(list_filter(range(1, length(s) - 4 * k + 2), lambda i: substr(s, i::bigint, 4 * k) = repeat(substr(s, i::bigint, k), 4))) > 0)) > 0 r from p),
+REVIEW = rf"""with {TURNS}, p as (select track, pos, case when pos % 5 = 2 then 'ああんっ' when pos % 7 = 3 then repeat('ha', 8) else text end s, case when pos % 4 = 1 then ' ' when pos % 6 = 5 then repeat('ha', 9) when pos % 11 = 7 then text || chr(12450) else text end t from turns),
+q as (select *, trim(t) = '' e, regexp_matches(t, '[\x{{3041}}-\x{{3096}}\x{{30A1}}-\x{{30FA}}]') k, {degenerate_sql('s', 't', 'tc')} g, s = 'ああんっ' v, {repeated_sql('sc', 4)} r from (select *, string_split(s, '') sc, string_split(t, '') tc from p)),
 o as (select *, concat_ws(',', case when e then 'empty' end, case when k then 'kana_residue' end, case when g then 'degenerate' end) issues, case when not (e or k or g) then 'accepted' when v then 'phonetic_fallback' when e or g then case when not e and r and length(t) <= greatest(20, 3 * length(s)) then 'retained_source_repetition' else 'review_placeholder' end else 'retained_for_review' end act from q)
 select track, pos, issues, act \"action\", case act when 'phonetic_fallback' then '啊啊嗯' when 'review_placeholder' then '{ck.PLACEHOLDER}' else t end \"output\" from o""".replace('\\"', '"')
 
@@ -144,11 +150,11 @@ x as (select *, case when anchor + want > scene_ms and scene_ms - anchor < want
 z as (select *, s + (upto - n) / al * (e - s) a, s + upto / al * (e - s) b from y)
 select track, chunk, pos, word, round_even(a, 0)::bigint start_ms, round_even(case when b <= a then a + 20 else b end, 0)::bigint end_ms from z"""
 TIMED = "regexp_extract_all(translate({t}, '" + tx.UNTIMED.replace("'", "''") + "', ''), '(?s).')"
-CHARACTERS = f"""with {REGIONS}, t as (select track, chunk, string_agg(substr(word, 1, 40), '' order by pos) s from words group by all), c as (select *, {TIMED.format(t='s')} cs from t), k as (select track, chunk, unnest(cs) ch, unnest(range(len(cs))) k, len(cs) n from c),
+CHARACTERS = f"""with {REGIONS}, t as (select track, chunk, string_agg(word, '' order by pos) s from words group by all), c as (select *, {TIMED.format(t='s')} cs from t), k as (select track, chunk, unnest(cs) ch, unnest(range(len(cs))) k, len(cs) n from c),
 x as (select k.*, floor(tot * 1000 * k / n)::bigint a, floor(tot * 1000 * (k + 1) / n)::bigint b from k join (select track, chunk, max(t) tot from cum group by all) using (track, chunk)),
 y as (select x.*, c.start_ms * 1000 + a - (c.t - (c.end_ms - c.start_ms)) * 1000 s, case when b <= c.t * 1000 then c.start_ms * 1000 + b - (c.t - (c.end_ms - c.start_ms)) * 1000 else c.end_ms * 1000 end e from x join cum c on c.track = x.track and c.chunk = x.chunk and greatest(a, 1) > (c.t - (c.end_ms - c.start_ms)) * 1000 and greatest(a, 1) <= c.t * 1000)
 select track, chunk, k::int k, ch, s // 1000 start_ms, greatest(s, e) // 1000 end_ms from y"""
-ITEMS = f"""with {WORDS}, c as (select *, {TIMED.format(t='substr(word, 1, 30)')} cs from words), k as (select track, chunk, pos, start_ms, end_ms, len(cs) n, unnest(cs) ch, unnest(range(len(cs))) k from c),
+ITEMS = f"""with {WORDS}, c as (select *, {TIMED.format(t='word')} cs from words), k as (select track, chunk, pos, start_ms, end_ms, len(cs) n, unnest(cs) ch, unnest(range(len(cs))) k from c),
 x as (select *, (end_ms - start_ms) / n per from k), y as (select *, case when end_ms <= start_ms then 0.0 when per > 200 then 200.0 else per end pace, case when per > 200 then end_ms - n * 200.0 else start_ms::double end base from x)
 select track, chunk, pos, k::int k, ch, round(base + k * pace, 3) start_ms, round(base + (k + 1) * pace, 3) end_ms from y"""
 
@@ -328,9 +334,9 @@ QUERIES = {
     "v03_reviewed": (lambda s, d: ck.reviewed(paired_turns(s, d)).select("track", "pos", "issues", "action", "output"), REVIEW),
     "w13_spread_words": (lambda s, d: sg.spread_words(collapsed_words(s, d), merged_regions(s, d)), SPREAD),
     "w13_spread_from_anchor": (lambda s, d: sg.spread_from_anchor(collapsed_words(s, d).drop("scene_ms"), words(s, d).groupBy("track", "chunk").agg(F.max("scene_ms").alias("scene_ms"))), ANCHOR),
-    "w14_region_characters": (lambda s, d: sg.region_characters(words(s, d).groupBy("track", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substr("word", F.lit(1), F.lit(40)).alias("w")))), lambda x: x["w"]), "").alias("text")), merged_regions(s, d)), CHARACTERS),
+    "w14_region_characters": (lambda s, d: sg.region_characters(words(s, d).groupBy("track", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("word").alias("w")))), lambda x: x["w"]), "").alias("text")), merged_regions(s, d)), CHARACTERS),
     "w15_frame_cues": (lambda s, d: sg.frame_cues(cue_doc(s, d)), None),
-    "w16_item_characters": (lambda s, d: sg.item_characters(words(s, d).withColumn("word", F.substr("word", F.lit(1), F.lit(30))), 200), ITEMS),
+    "w16_item_characters": (lambda s, d: sg.item_characters(words(s, d), 200), ITEMS),
     "w18_speech_segments": (lambda s, d: sg.speech_segments(signal_ev(s, d), 0.5, 2, 2, 1), SEGMENTS),
     "w18_capped_segments": (lambda s, d: sg.capped_segments(signal_ev(s, d), 4, 0.4, 2, 2), CAPPED),
     "w17_source_times": (timed_sources, None),

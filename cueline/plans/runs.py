@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fragments import FILLERS, REPLIES
+from ..functions.normal import filler_core
 from ..functions.text import compact
 from ..operators import intervals as iv
 from ..operators import runs as rn
@@ -49,19 +51,23 @@ def flagged(spark, d):
 
 
 def cored(spark, d):
-    return cue_doc(spark, d).withColumn("core", F.lower(F.substr("text", F.lit(1), F.lit(1))))
+    """Lines of which some are mumbled: fillers and replies with their marks."""
+    pos = F.col("pos")
+    text = F.when(pos % 4 == 1, F.lit("「うーん、」")).when(pos % 9 == 2, F.lit("はい。")).when(pos % 6 == 5, F.lit("あっ……")).otherwise(F.col("text"))
+    return cue_doc(spark, d).withColumn("text", text).withColumn("core", filler_core("text"))
 
 
 def texts(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
-FILLER = """with {doc}, a as (select *, lower(substr(text, 1, 1)) core, lower(substr(text, 1, 1)) in ('t', 'e', 'a', 'd', 'l', 's') filler from cue_doc),
-b as (select *, filler and not coalesce(core = 's' and start_ms - last_value(case when not filler then end_ms end ignore nulls) over (partition by track order by start_ms, end_ms, pos rows between unbounded preceding and 1 preceding) <= 3000, false) f from a),
+FILLER = """with {doc}, a0 as (select * exclude (text), case when pos % 4 = 1 then '「うーん、」' when pos % 9 = 2 then 'はい。' when pos % 6 = 5 then 'あっ……' else text end text, case when pos % 4 = 1 then 'うん' when pos % 9 = 2 then 'はい' when pos % 6 = 5 then 'あ' else '' end core from cue_doc),
+a as (select *, core <> '' filler from a0),
+b as (select *, filler and not coalesce(core = 'はい' and start_ms - last_value(case when not filler then end_ms end ignore nulls) over (partition by track order by start_ms, end_ms, pos rows between unbounded preceding and 1 preceding) <= 3000, false) f from a),
 c as (select *, start_ms - lag(end_ms) over w g, lead(start_ms) over w - end_ms h, lag(f) over w pf from b window w as (partition by track order by start_ms, end_ms, pos)),
 e as (select *, sum(case when f and coalesce(pf and g <= 5000, false) then 0 else 1 end) over (partition by track order by start_ms, end_ms, pos) island from c),
 i as (select track, island, count(*) n, arg_min(coalesce(g, 5000), pos) g, arg_max(coalesce(h, 5000), pos) h from e group by all)
-select track, pos, core from e join i using (track, island) where not (f and (n >= 3 or (i.g >= 5000 and i.h >= 5000)))"""
+select track, pos, text from e join i using (track, island) where not (f and (n >= 3 or (i.g >= 5000 and i.h >= 5000)))"""
 NEAR = "coalesce({f}(hard) over w and (abs({f}(start_ms) over w - end_ms) <= 5000 or abs(start_ms - {f}(end_ms) over w) <= 5000), false)"
 
 QUERIES = {
@@ -76,7 +82,7 @@ QUERIES = {
     "j21_computed_once": (lambda s, d: rn.computed_once(cue_doc(s, d), "text", ("track", "pos"), F.md5).select("track", "pos", "result", "sent"), f"with {DOC} select track, pos, md5(text) result, row_number() over (partition by text order by track, pos) = 1 sent from cue_doc"),
     "j22_merged_sources": (lambda s, d: rn.merged_sources(texts(s, d), "digest", ("lang", "source", "n_chars"), "doc_id"), "select md5(coalesce(text, '')) digest, count(*) \"rows\", count(distinct {'l': lang, 's': source, 'n': n_chars}) = 1 consistent, max(doc_id) \"last\" from documents group by 1"),
     "w07_neighbour_filter": (lambda s, d: rn.neighbour_filter(flagged(s, d)).select("track", "pos", "risky"), f"with {DOC}, a as (select *, contains(text, 'and') hard, contains(text, 'er') risky from cue_doc), b as (select *, {NEAR.format(f='lag')} or {NEAR.format(f='lead')} n from a window w as (partition by track order by pos)) select track, pos, risky from b where not (hard or (risky and n))"),
-    "w08_filler_drop": (lambda s, d: rn.filler_drop(cored(s, d), ("t", "e", "a", "d", "l"), ("s",), 5000).select("track", "pos", "core"), FILLER.format(doc=DOC)),
+    "w08_filler_drop": (lambda s, d: rn.filler_drop(cored(s, d), FILLERS, REPLIES, 5000).select("track", "pos", "text"), FILLER.format(doc=DOC)),
     "w20_offsets": (lambda s, d: rn.concatenated(turns(s, d), F.greatest(F.lit(800), F.length("text") * 60)).select("track", "pos", "offset_ms"), f"with {TURNS} select track, pos, coalesce(sum(greatest(800, length(text) * 60) + 4000) over (partition by track order by pos rows between unbounded preceding and 1 preceding), 0)::bigint offset_ms from turns"),
     "w21_block_terms": (lambda s, d: rn.block_terms(cue_doc(s, d), terms(s), 3, 10000), f"""with {DOC}, {TERM_ROWS}, h as (select track, pos, source from cue_doc join terms on contains(text, source)), k as (select * from h a where not exists (from h b where a.track = b.track and a.pos = b.pos and b.source <> a.source and contains(b.source, a.source))),
 s0 as (select *, case when start_ms - lag(end_ms) over (partition by track order by pos) > 10000 then 1 else 0 end nw from cue_doc), s1 as (select *, sum(nw) over (partition by track order by pos rows unbounded preceding)::bigint as session from s0), s2 as (select track, pos, session, (row_number() over (partition by track, session order by pos) - 1) // 3 as block from s1),

@@ -39,7 +39,7 @@ def dump_files(spark, d):
     sec = lambda x: F.round(x / 1000.0, 3)
     low = F.min("start_ms").over(Window.partitionBy("track", "chunk"))
     t = c.withColumn("low", low).groupBy("track", "chunk", "low").agg(F.max("end_ms").alias("high"), F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "text"))).alias("l"))
-    item = F.transform("l", lambda x: F.struct(F.substr(x["text"], F.lit(1), F.lit(20)).alias("text"), sec(x["start_ms"] - F.col("low")).alias("start"), F.when(x["pos"] % 5 > 0, sec(x["end_ms"] - F.col("low"))).alias("end")))
+    item = F.transform("l", lambda x: F.struct(x["text"].alias("text"), sec(x["start_ms"] - F.col("low")).alias("start"), F.when(x["pos"] % 5 > 0, sec(x["end_ms"] - F.col("low"))).alias("end")))
     regions = F.transform("l", lambda x: F.array(sec(x["start_ms"] - F.col("low")), sec(x["end_ms"] - F.col("low") - 300)))
     chunk = F.struct("chunk", sec(F.col("low")).alias("start"), sec(F.col("high")).alias("end"), F.when(F.col("chunk") % 3 == 0, sec(F.col("low"))).alias("keep_lo"), F.when(F.col("chunk") % 6 == 0, sec(F.col("high"))).alias("keep_hi"), F.array_join(F.col("l.text"), "").alias("text"), item.alias("items"), regions.alias("speech_regions"), (F.col("chunk") % 4 == 3).alias("superseded_by_stepdown"))
     t = t.select("track", "high", chunk.alias("c")).groupBy("track").agg(F.max("high").alias("high"), F.array_sort(F.collect_list("c")).alias("chunks"))
@@ -109,7 +109,7 @@ QUERIES = {
     "io04_legacy_cues": (lambda s, d: sub.legacy_cues(files(s, d)), f"with {CUES} select track file, pos - 1 as block, start_ms, stop end_ms, case when pos % 3 = 0 then one || '   second line ' else one end as text from k where (one <> '' or pos % 3 = 0) and start_ms < 360000000 and stop < 360000000"),
     "io05_ass_cues": (lambda s, d: sub.ass_cues(ass_files(s, d)), rf"with {ALT}, p as (select d.*, translate(replace(a.text, '\', '\\'), '{{}}', '()') st, row_number() over (partition by d.track order by d.pos) n from cue_doc d left join cue_alt a using (track, pos)) select track file, (n - 1 + {len(sub.ass_header().splitlines())})::int as line, (round_even(start_ms / 10, 0) * 10)::bigint start_ms, (round_even(end_ms / 10, 0) * 10)::bigint end_ms, regexp_replace(st, '\\[Nn]', ' ', 'g') as text from p where coalesce(st, '') <> ''"),
     "io06_dump_chunks": (lambda s, d: du.dump_chunks(dump_files(s, d)).select("file", "chunk", "start_ms", "end_ms", "keep_lo", "keep_hi", "text"), f"with {CHUNKS} select track file, chunk::int chunk, low start_ms, high end_ms, low keep_lo, case when chunk % 3 = 0 then case when chunk % 6 = 0 then high end when high < dur - 1 then low + 24000 end keep_hi, t as text from h where chunk % 4 <> 3"),
-    "io06_dump_items": (lambda s, d: du.dump_items(du.dump_chunks(dump_files(s, d))), f"with {CHUNKS} select c.track file, c.chunk::int chunk, ((c.pos - 1) % 6)::int pos, substr(text, 1, 20) word, start_ms - low start_ms, end_ms - low end_ms from c join g using (track, chunk) where c.chunk % 4 <> 3 and c.pos % 5 > 0"),
+    "io06_dump_items": (lambda s, d: du.dump_items(du.dump_chunks(dump_files(s, d))), f"with {CHUNKS} select c.track file, c.chunk::int chunk, ((c.pos - 1) % 6)::int pos, text word, start_ms - low start_ms, end_ms - low end_ms from c join g using (track, chunk) where c.chunk % 4 <> 3 and c.pos % 5 > 0"),
     "io07_speech_regions": (lambda s, d: du.speech_regions(dump_files(s, d)), f"""with {DOC}, cues as (select track, start_ms, end_ms - 300 end_ms from cue_doc where track % 7 <> 6 and end_ms - 300 > start_ms),
 a as (select *, max(end_ms) over (partition by track order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from cues), b as (select *, sum(case when reach is null or start_ms > reach then 1 else 0 end) over (partition by track order by start_ms, end_ms rows unbounded preceding) island from a)
 select track file, min(start_ms) start_ms, max(end_ms) end_ms from b group by track, island"""),

@@ -64,6 +64,21 @@ select track, pos, (len(sy) >= 2 and 2 * len(sy) >= length(c)) or (len(sy) >= 1
   length(text) > 40 or {_units('cs', 5, 6)} degenerate from h"""
 
 
+def retyped(spark, d):
+    """Another run of whole lines, each eleventh missing; in the others signs are replaced, left out, put in, or both replaced and left out."""
+    k, text = F.col("pos") % 5, F.col("text")
+    typed = F.when(k == 1, F.translate(text, "e", "¤")).when(k == 2, F.replace(text, F.lit("a"), F.lit(""))).when(k == 3, F.replace(text, F.lit(" "), F.lit("¤ "))).when(k == 4, F.replace(F.translate(text, "e", "¤"), F.lit("a"), F.lit(""))).otherwise(text)
+    return cue_doc(spark, d).filter("pos % 11 <> 0").withColumn("text", typed)
+
+
+_n = lambda c: f"(length(text) - length(replace(text, '{c}', '')))"
+RETYPED = f"""with {DOC}, k as (select *, length(text) n, case when pos % 11 = 0 then -1 else pos % 5 end k from cue_doc),
+e as (select track, n, case when k in (1, 4) then {_n('e')} else 0 end s, case when k = 3 then {_n(' ')} else 0 end i, case when k = -1 then n when k in (2, 4) then {_n('a')} else 0 end d, k from k),
+f as (select *, n::bigint * (n + i - d) > 4000000 and s + i + d > 0 and k <> -1 far from e)
+select track, sum(s + i + d)::bigint edits, coalesce(sum(case when not far then s end), 0)::bigint substitutions, coalesce(sum(case when not far then i end), 0)::bigint insertions, coalesce(sum(case when not far then d end), 0)::bigint deletions, sum(n)::bigint chars, count_if(far)::bigint unsplit,
+  case when sum(n) > 0 then round(sum(s + i + d) / sum(n), 9) end rate from f group by track"""
+
+
 def stages(spark, d):
     """Events as status lines of jobs and stages, drained and read back: the last state of each."""
     e = st.event_stream(spark, d)
@@ -99,7 +114,7 @@ u as (select *, lag(t) over w pt, lag(s) over w ps from t window w as (partition
     "j12_glossary_issues": (lambda s, d: tr.glossary_issues(cue_doc(s, d), cue_alt(s, d), terms(s), ["track", "pos"]), f"with {ALT}, {TERM_ROWS}, {TERM_HIT} select k.track, k.pos, source, target from k join cue_alt a on a.track = k.track and a.pos = k.pos where len(list_filter(forbidden, lambda f: contains(a.text, f))) > 0"),
     "j17_id_differences": (lambda s, d: tr.id_differences(cue_doc(s, d), cue_alt(s, d).withColumn("pos", F.col("pos") + 1), ["track", "pos"]), f"with {ALT}, e as (select distinct track, pos from cue_doc), g as (select distinct track, pos + 1 pos from cue_alt) select *, 'missing' kind from (from e except from g) union all select *, 'unknown' kind from (from g except from e)"),
     "j19_mapping": (lambda s, d: tr.mapping_check(cue_alt(s, d), cue_doc(s, d)), f"with {ALT} select a.track, count(*) cues, count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) confirmed, count(*) - count(distinct case when abs(a.start_ms - d.start_ms) <= 250 then a.pos end) unresolved from cue_alt a left join cue_doc d using (track, pos) group by a.track"),
-    "a12_edit_rate": (lambda s, d: tr.edit_rate(cue_doc(s, d), cue_alt(s, d)), f"with {ALT}, e as (select d.track, length(d.text) n, coalesce(length(a.text), 0) m from cue_doc d left join cue_alt a using (track, pos)), s as (select track, sum(n - m)::bigint edits, 0::bigint substitutions, 0::bigint insertions, sum(n - m)::bigint deletions, sum(n)::bigint chars, 0::bigint unsplit from e group by track) select *, case when chars > 0 then round(edits / chars, 9) end rate from s"),
+    "a12_edit_rate": (lambda s, d: tr.edit_rate(cue_doc(s, d), retyped(s, d)), RETYPED),
     "io11_srt_text": (lambda s, d: sub.srt_text(cue_ev(s, d)), f"""with {EV}, n as (select *, row_number() over (partition by track order by start_ms, end_ms, pos) n from cue_ev),
 f as (select *, list_transform([start_ms, end_ms], lambda m: lpad((m // 3600000)::varchar, greatest(2, length((m // 3600000)::varchar))::int, '0') || ':' || lpad((m // 60000 % 60)::varchar, 2, '0') || ':' || lpad((m // 1000 % 60)::varchar, 2, '0') || ',' || lpad((m % 1000)::varchar, 3, '0')) t from n)
 select track, string_agg(n || chr(10) || t[1] || ' --> ' || t[2] || chr(10) || text || chr(10), chr(10) order by n) as value from f group by track"""),
