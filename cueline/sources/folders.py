@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cueline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: what builds on it several times is computed and planned once."""
+    path = f"{shared_dir(df.sparkSession)}/cueline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
