@@ -118,18 +118,20 @@ def _frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
     group = Window.partitionBy(*keys)
     kept = counted.withColumn("f", F.sum("n").over(group)).filter(F.col("f") >= least)
     kept = kept.withColumn("_m", F.monotonically_increasing_id()).withColumn("id", F.min("_m").over(group))
-    return written(kept.withColumn("f", F.when(F.col("id") == F.col("_m"), F.col("f"))).drop("_m", "n"))
+    return written(kept.withColumn("f", F.when(F.col("id") == F.col("_m"), F.col("f"))).drop("_m", "n"), compression="zstd")
 
 
 def _first_level(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """The first relation semi-joined with the frequent words."""
-    keep = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "id"))).alias("keep"))  # of one block
+    keep = words.groupBy("block").agg(*[F.collect_list(c).alias(f"keep_{c}") for c in ("code", "id")])  # of one block, row by row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                codes, kept = _plain(b["codes"][i].as_py(), np.int32), b["keep"][i].values
-                old, ids = (kept.field(c).to_numpy(zero_copy_only=False) for c in ("code", "id"))
+                codes = _plain(b["codes"][i].as_py(), np.int32)
+                old, ids = (b[f"keep_{c}"][i].values.to_numpy(zero_copy_only=False) for c in ("code", "id"))
+                order = np.argsort(old)
+                old, ids = old[order], ids[order]
                 new = np.full(max(int(codes.max(initial=-1)), int(old.max(initial=-1))) + 1, -1, np.int32)
                 new[old] = np.arange(len(old))
                 yield pa.RecordBatch.from_pylist([{"block": b["block"][i].as_py(), "first": _squeezed(new[codes]), "word_ids": _squeezed(ids.astype(np.int64)), "ends": b["ends"][i].as_py()}], _SCHEMA)
@@ -139,13 +141,13 @@ def _first_level(blocks: DataFrame, words: DataFrame) -> DataFrame:
 
 def _level(relation: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     """The relation of k words: that of k - 1, extended by a word and semi-joined with the frequent groups, block by block."""
-    keep = kept.groupBy("block").agg(F.collect_list(F.struct("g", "w", "id")).alias("keep"))  # of one block
+    keep = kept.groupBy("block").agg(*[F.collect_list(c).alias(f"keep_{c}") for c in ("g", "w", "id")])  # of one block, row by row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                x, kept = _Occurrences(b, i), b["keep"][i].values
-                g, w, ids = (kept.field(c).to_numpy(zero_copy_only=False) for c in ("g", "w", "id"))
+                x = _Occurrences(b, i)
+                g, w, ids = (b[f"keep_{c}"][i].values.to_numpy(zero_copy_only=False) for c in ("g", "w", "id"))
                 by_g, by_w = np.argsort(x.ids), np.argsort(x.word_ids)
                 key = by_g[np.searchsorted(x.ids, g, sorter=by_g)].astype(np.int64) * len(x.word_ids) + by_w[np.searchsorted(x.word_ids, w, sorter=by_w)]
                 order = np.argsort(key)
