@@ -202,10 +202,14 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, **columns) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. A repeated id goes only if all its rows are rejected."""
-    bad = quality(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any")
-    bad = written(bad.select("doc_id"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that are kept, with their columns. The verdict goes by id, text (its 64-bit hash), language and source, so a row never stays or goes for another
+    one that has its id, or none; rows equal in all four have one verdict. Null texts go."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    judged = quality(docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")))
+    bad = written(judged.filter("not kept").select("doc_id.*").distinct()).select(*[F.col(c).alias(f"_bad_{c}") for c in ("id", "hash", "lang", "source")])
+    own = (docs[id_col], F.xxhash64(text_of(docs[text_col])), docs[lang_col], docs[source_col])
+    same = reduce(lambda x, y: x & y, (c.eqNullSafe(bad[f"_bad_{n}"]) for c, n in zip(own, ("id", "hash", "lang", "source"))))
+    return docs.join(bad, same, "left_anti")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
