@@ -85,7 +85,7 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString().replace("void", "long")
     rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
-    scored = rows.mapInArrow(run, SCORES.format(id=kind)).withColumn("_short", F.col("n_words") < least_words)
+    scored = written(rows.mapInArrow(run, SCORES.format(id=kind))).withColumn("_short", F.col("n_words") < least_words)
     placed = written(ranked(scored, "_place", "_short", F.desc("score"), F.asc_nulls_last("doc_id"), "text_hash"))
     drawn = placed.agg(F.count_if(~F.col("_short"))).first()[0] * percent // 100
     return placed.select("doc_id", "text_hash", "n_words", "n_features", "weight", "score", F.when(~F.col("_short") & (F.col("_place") <= drawn), F.col("_place")).alias("rank"))
