@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,23 +24,64 @@ BLOCKS = "part int, block long, n int, doc_ids array<long>, ats array<long>, tot
 PIECES = "doc_id long, part long, at long, total long, lo long, n long, ids_crc32 long"
 
 
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A mark behind an ASCII letter or digit.
+_MARK = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z0-9].)", re.S)
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they came up; ``new`` holds those that nobody has looked at yet."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        return self.setdefault(word, len(self))
+
+
 class Encoder:
-    """Ids of texts, by the tokenizers library. With ``apart`` the tokenizer is one that cuts at ASCII white space and drops it; then the ids of a text are
-    those of its words, end to end, and each distinct word is encoded once and remembered, up to a bound."""
+    """Ids of texts, by the tokenizers library. With ``apart`` each distinct word is encoded once and remembered, up to a bound.
 
-    def __init__(self, path: str, apart: bool, remember: int = 500_000):
+    That is for tokenizers like ``word_bpe_49k`` only: it drops white space and cuts there, cuts between a letter or digit and a mark behind it, and lowers
+    its letters. So the ids of a text are those of its words end to end, in lower case and with their marks apart. Added tokens are
+    found before all that; a text that may hold one (``<|``) is cut at ASCII white space only, which none of them has.
+    """
+
+    def __init__(self, path: str, apart: bool, remember: int = 1 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.apart, self.remember = Tokenizer.from_file(path), apart, remember
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.begins, self.flat = np.zeros(1, np.int64), np.zeros(0, self.width)
+        self.numbers = _Numbers()
+        self.begins, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.width)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are new. Those of letters alone are one pre-token each, whose last piece says so: they go through the library many at a time."""
+        letters = [k for k, w in enumerate(words) if w.isalpha()]
+        joined = [" ".join(words[k] for k in letters[i : i + 256]) for i in range(0, len(letters), 256)]
+        flat = np.fromiter(chain.from_iterable(self._encode(joined)), self.width)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(letters):  # not such a tokenizer after all
+            letters, flat, ends = [], flat[:0], ends[:0]
+        sizes, begins = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[letters] = np.diff(ends, prepend=0)
+        begins[letters] = ends - sizes[letters]
+        rest = np.setdiff1d(np.arange(len(words)), letters)
+        others = self._encode([words[k] for k in rest])
+        sizes[rest] = [*map(len, others)]
+        begins[rest] = len(flat) + np.cumsum(sizes[rest]) - sizes[rest]
+        self.begins, self.sizes = np.concatenate([self.begins, len(self.flat) + begins]), np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat, np.fromiter(chain.from_iterable(others), self.width)])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each text and the end id, packed as little-endian numbers."""
@@ -46,21 +89,24 @@ class Encoder:
             return [np.array([*ids, end], self.width).tobytes() for ids in self._encode([t.decode() for t in texts])]
         if len(self.numbers) > self.remember:
             self.forget()
-        numbers, words = self.numbers, [*map(bytes.split, texts)]
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in numbers]
-        if new:
-            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
-            ids = self._encode([w.decode() for w in new])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([*map(len, ids)])])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.width)])
-        out, tail = [], np.array([end], self.width).tobytes()
-        for own in words:
-            which = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
-            first, n = self.begins[which], self.begins[which + 1] - self.begins[which]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
-            out.append(self.flat[at].tobytes() + tail)
-        return out
+        words = [t.split() if b"<|" in t else _MARK.sub(rb" \g<0>", t.translate(_LOWER)).split() for t in texts]
+        which = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64)
+        if new := self.numbers.new:
+            self.learn([w.decode() for w in new])
+            new.clear()
+        first, n = self.begins[which], self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)]
+        at, tail = ends[np.cumsum([0, *map(len, words)])].tolist(), np.array([end], self.width).tobytes()
+        return [ids[i:j].tobytes() + tail for i, j in zip(at, at[1:])]
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, apart: bool) -> Encoder:
+    """One encoder a Python worker: it is used again by the worker's next tasks."""
+    return _ENCODERS.setdefault((path, apart), _ENCODERS.get((path, apart)) or Encoder(path, apart))
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", apart: bool = False, end: int = END) -> DataFrame:
@@ -68,7 +114,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, apart)
+        encoder = encoder_of(path, apart)
         for b in batches:
             ids = encoder(b.column("text").cast(pa.binary()).to_pylist(), end)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
@@ -258,7 +304,8 @@ def read_pieces(spark: SparkSession, path: str, only: DataFrame | None = None, w
     pieces of a document is the CRC of all its ids. ``only`` (a column ``doc_id``) reads the blocks that hold such documents and decodes the checkpoints that
     these need. A payload that doesn't have its CRC is an error.
     """
-    lengths, schema = code_table(spark, path), pa.schema([*[(c, pa.int64()) for c in ("doc_id", "part", "at", "total", "lo", "n", "ids_crc32")], *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
+    partly, lengths = only is not None, code_table(spark, path)
+    schema = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "part", "at", "total", "lo", "n", "ids_crc32")], *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(lengths)
@@ -269,7 +316,7 @@ def read_pieces(spark: SparkSession, path: str, only: DataFrame | None = None, w
             for x in blocks:
                 first = x["block"] * BLOCK
                 x["docs"] = [(d, a, t, max(a - first, 0), min(a + t - first, x["n"])) for d, a, t in zip(x["doc_ids"], x["ats"], x["totals"])]
-                lo, hi = (x["docs"][0][3], x["docs"][-1][4]) if only is not None else (0, x["n"])
+                lo, hi = (x["docs"][0][3], x["docs"][-1][4]) if partly else (0, x["n"])
                 x["skip"] = lo // STEP * STEP
                 x["need"], x["n"] = x["checkpoints"][lo // STEP : -(-hi // STEP)], min(x["n"], -(-hi // STEP) * STEP) - x["skip"]
             for x, ids in zip(blocks, decode([x["payload"] for x in blocks], [x["need"] for x in blocks], [x["n"] for x in blocks])):
@@ -283,7 +330,7 @@ def read_pieces(spark: SparkSession, path: str, only: DataFrame | None = None, w
 
     small_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    if only is not None:
+    if partly:
         docs = blocks.select("part", "block", F.explode(F.arrays_zip("doc_ids", "ats", "totals")).alias("d")).select("part", "block", "d.*")
         wanted = docs.join(only.select(F.col("doc_id").alias("doc_ids")).distinct(), "doc_ids", "left_semi")
         wanted = wanted.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct("ats", "doc_ids", "totals"))).alias("w"))  # of one block
