@@ -116,7 +116,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, apart)
         for b in batches:
-            ids = encoder(b.column("text").cast(pa.binary()).to_pylist(), end)
+            ids = [x for at in range(0, len(b), 32) for x in encoder(b.column("text").slice(at, 32).cast(pa.binary()).to_pylist(), end)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
 
     rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text"))
