@@ -72,7 +72,7 @@ def matched_terms(df: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataF
 
     A glossary whose measured size is small is compared with every text by broadcast. A larger one is joined by its terms'
     first three characters (those of shorter terms: all) with the distinct runs of characters of each text, so any size
-    of glossary works.
+    of glossary works; runs go without their text, which meets only the terms that its runs begin.
     """
     size = terms.agg(F.sum(F.octet_length("source") + 64)).first()[0] or 0
     t = df.select(*keys, "text")
@@ -81,8 +81,8 @@ def matched_terms(df: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataF
     else:
         head = terms.withColumn("_gram", F.substring("source", 1, 3))
         runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substr("text", i, F.lit(n)))
-        grams = t.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3)])))))
-        hit = grams.join(head, "_gram").filter(F.contains(F.col("text"), F.col("source"))).drop("_gram")
+        grams = t.select(*keys, F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in (1, 2, 3)])))).alias("_gram"))
+        hit = t.join(grams.join(head, "_gram").drop("_gram").distinct(), list(keys)).filter(F.contains(F.col("text"), F.col("source")))
     hit = hit.drop("text")
     many = hit.groupBy(*keys).agg(F.collect_list("source").alias("all"))
     longer = F.exists("all", lambda o: (o != F.col("source")) & F.contains(o, F.col("source")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fragments import kept_together
 from ..operators import cues as cu
+from ..operators import replay as rp
 from ..operators import signals as sg
 from .views import cue_doc
 
@@ -47,11 +48,38 @@ def together(spark, d):
     return t.select("track", "chunk", kept_together("left", "text", "gap_ms", F.lit(1000.0)).alias("kept"))
 
 
+def chunk_table(spark, d):
+    """Lines as chunks that own their middle; some superseded, some without an end of their window."""
+    t = spoken(spark, d)
+    end = F.col("offset_ms") + F.length("text") * 100 + 4000
+    return t.select("track", "chunk", F.col("offset_ms").cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), "text", F.col("offset_ms").cast("long").alias("keep_lo"), F.when(F.col("chunk") % 4 > 0, (end - 2000).cast("long")).alias("keep_hi"), (F.col("chunk") % 10 == 7).alias("superseded"))
+
+
+def replay(mode, frame_native=False):
+    """Cues of all chunks; every third has raw items only, speech lies in two stretches."""
+
+    def run(spark, d):
+        chunks, items = chunk_table(spark, d), aligned(spark, d)
+        length = F.col("end_ms") - F.col("start_ms")
+        halves = chunks.select("track", "chunk", F.explode(F.array(F.struct((length * 0).alias("start_ms"), F.floor(length / 3).alias("end_ms")), F.struct(F.floor(length / 2).alias("start_ms"), length.alias("end_ms")))).alias("r")).select("track", "chunk", "r.*")
+        return rp.replayed(chunks, items.filter("chunk % 3 > 0"), items.filter("chunk % 6 < 4"), halves, mode=mode, frame_native=frame_native, most=MOST, longest_ms=LONGEST_MS, least_ms=LEAST_MS, usual_ms=USUAL_MS, most_ms=CHARACTER_MS)
+
+    return run
+
+
+def finished(spark, d):
+    return rp.finished_track(replay("aligner_fallback")(spark, d), 0.9).select("track", "start_ms", "end_ms", "text")
+
+
 QUERIES = {
     "tx14_kept_together": (together, None),
     "g09_budget_pieces": (lambda s, d: cu.budget_pieces(tokens(s, d), MOST, LONGEST_MS).select("track", "chunk", "unit", "i", "piece"), None),
     "g10_without_filler_runs": (lambda s, d: cu.without_filler_runs(tokens(s, d)).select("track", "chunk", "unit", "i", "shown"), None),
     "g11_aligned_cues": (aligned_cues(), None),
     "u08_soft_cues": (aligned_cues(ellipses_end=False), None),
+    "g16_replayed": (replay("aligner_fallback"), None),
+    "g16_replayed_by_regions": (replay("vad_only"), None),
+    "g16_replayed_frames": (replay("vad_only", True), None),
+    "g15_finished": (finished, None),
     "a09_unit_faults": (lambda s, d: sg.unit_faults(spoken(s, d), aligned(s, d), CHARACTER_MS, MOST), None),
 }

@@ -125,3 +125,14 @@ def event_lines(events: DataFrame, name: Column, at: Column, *fields: str) -> Da
     stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return events.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), stamp.alias("timestamp"), name.alias("event"), *fields)).alias("value"))
 
+
+
+def event_rows(lines: DataFrame) -> DataFrame:
+    """Lines of an event log (``value``) read back: ``schema_version, at, event, fields`` (all others, as text) and ``fault``: ``invalid JSON``, ``no event`` (no name or no
+    time that can be read) or ``schema`` (a version above 1); null lines are invalid. Faulty lines stay, with what could be read."""
+    t = lines.withColumn("_m", F.from_json("value", "map<string,string>"))
+    valid = F.try_parse_json("value").isNotNull() & F.col("_m").isNotNull()
+    version, at = F.col("_m")["schema_version"].try_cast("int"), F.col("_m")["timestamp"].try_cast("timestamp")
+    known = ("schema_version", "timestamp", "event")
+    fault = F.when(~F.coalesce(valid, F.lit(False)), F.lit("invalid JSON")).when(F.col("_m")["event"].isNull() | at.isNull(), F.lit("no event")).when(F.coalesce(version, F.lit(0)) > 1, F.lit("schema"))
+    return t.select(version.alias("schema_version"), at.alias("at"), F.col("_m")["event"].alias("event"), F.map_filter("_m", lambda k, v: ~k.isin(*known)).alias("fields"), fault.alias("fault"))

@@ -1,6 +1,7 @@
 from cueline.functions import text as tx
 from cueline.operators import checks as ck
 from cueline.operators import signals as sg
+from cueline.operators import tracks as tr
 from cueline.sources import dumps as du
 from cueline.sources import subtitles as sub
 from pyspark.sql import functions as F
@@ -102,3 +103,23 @@ def test_segments_with_and_without_a_cap(spark):
     got = lambda t: sorted((r.start, r.end, r.reason) for r in t.collect())
     assert got(sg.speech_segments(df, 0.5, 2, 2, 0)) == got(sg.capped_segments(df, 99, 0.5, 2, 2)) == [(0, 4, "silence"), (8, 16, "series_end")]
     assert got(sg.capped_segments(df, 3, 0.5, 2, 2)) == [(0, 3, "forced_max_speech"), (8, 11, "forced_max_speech"), (13, 16, "series_end")]
+
+
+def test_event_logs_are_read_back(spark):
+    given = ['{"schema_version": 1, "timestamp": "2024-01-02T03:04:05.000006+00:00", "event": "stage", "stage": "asr", "n": 3}', "nothing", None, '{"event": "x"}', '{"schema_version": 2, "timestamp": "2024-01-02T03:04:05+00:00", "event": "y"}', "[1]"]
+    df = spark.createDataFrame([(v,) for v in given], "value string")
+    got = du.event_rows(df).select(F.unix_micros("at").alias("us"), "event", "fields", "fault").collect()
+    assert [r.fault for r in got] == [None, "invalid JSON", "invalid JSON", "no event", "schema", "invalid JSON"]
+    assert (got[0].us, got[0].event, got[0].fields) == (1704164645000006, "stage", {"stage": "asr", "n": "3"})
+    events = spark.createDataFrame([("a", 1704164645000006, None), ("b", 5, "z")], "name string, us long, job string")
+    back = du.event_rows(du.event_lines(events, F.col("name"), F.timestamp_micros("us"), "job"))
+    assert sorted((r.event, r.us, r.fields.get("job"), r.fault) for r in back.select("*", F.unix_micros("at").alias("us")).collect()) == [("a", 1704164645000006, None, None), ("b", 5, "z", None)]
+
+
+def test_a_large_glossary_finds_what_a_small_one_does(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the cat and then"), (2, None), (3, "an"), (4, "x" * 9), (5, "a")], "i int, text string")
+    terms = spark.createDataFrame([("the", "A"), ("then", "B"), ("an", "C"), ("a", "D"), ("xyz", "E")], "source string, target string")
+    found = lambda: sorted((r.i, r.source, r.target) for r in tr.matched_terms(df, terms, ["i"]).collect())
+    small = found()
+    monkeypatch.setattr(tr, "SMALL_GLOSSARY", 0)
+    assert found() == small == [(1, "an", "C"), (1, "then", "B"), (3, "an", "C"), (5, "a", "D")]
