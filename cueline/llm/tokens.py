@@ -240,7 +240,9 @@ def _trees(path: str):
 
 
 def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Trees to keep: ``doc_id, text`` (null: empty)``, lengths, counts`` (of each pre-token)``, n_tokens, n_reencoded`` (0)."""
+    """Trees to keep: ``doc_id, text`` (null: empty)``, lengths, counts`` (of each pre-token)``, n_tokens, n_reencoded`` (0).
+
+    One tree a row: null and repeated ids are rows like others, a text of any length is one tree. No rows in, no rows out."""
     small_batches(docs.sparkSession)
     return docs.select(long_id(docs, id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_trees(tokenizer), TREES)
 
@@ -248,7 +250,8 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def edited_trees(trees: DataFrame, edits_col: str = "edits", tokenizer: str = TOKENIZER) -> DataFrame:
     """Kept trees (a table as ``token_trees`` gives) with a batch of edits applied to each (as in ``count_tokens``; null: none).
 
-    Only what the edits touch is encoded again (``n_reencoded`` pre-tokens); the result can be kept and edited in turn.
+    Only what the edits touch is encoded again (``n_reencoded`` pre-tokens); the result can be kept and edited in turn. Rows that repeat a tree are edited each.
+    No rows in, no rows out.
     """
     small_batches(trees.sparkSession)
     return trees.select("doc_id", "text", "lengths", "counts", F.col(edits_col).alias("edits")).mapInArrow(_trees(tokenizer), TREES)
