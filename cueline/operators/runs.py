@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, compact, set_overlap
-from .intervals import range_join
+from .intervals import range_join, same_keys
 from .tracks import blocks, matched_terms
 
 TRACK = ("track",)
@@ -204,6 +204,18 @@ def review_acceptance(cues: DataFrame, decisions: DataFrame, key: str, group: st
     return t.groupBy(group).agg(F.count(F.lit(1)).alias("cues"), F.count_if(F.col("_n") == 1).alias("reviewed"), F.count_if(F.col("_n").isNull()).alias("undecided"), F.count_if(F.col("_n") > 1).alias("repeated"), F.count_if(good).alias("eligible"), F.bool_and(good).alias("accepted"))
 
 
+def record_pivot(sources: DataFrame, records: DataFrame, names: Sequence[str], keys: Sequence[str] = TRACK, absent: str = "[uncovered]", deleted: str = "[deleted]") -> DataFrame:
+    """One row a source id (``sources``: keys, ``id``) with what each run's records (``run, number, ids, text``) say of it, in the order of ``number``: a record of several ids
+    is marked with them, one without text as deleted, an id that no record of the run has as uncovered. Null keys and ids are equal to null ones."""
+    ids = F.transform("ids", lambda i: i.cast("string"))
+    cell = F.concat(F.when(F.size("ids") > 1, F.concat(F.lit("[merged "), F.array_join(ids, ","), F.lit("] "))).otherwise(F.lit("")), F.coalesce("text", F.lit(deleted)))
+    each = records.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "run", "number", F.explode("ids").alias("_r_id"), cell.alias("cell"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "cell"))), lambda x: x["cell"]), " | ")  # of one id
+    wide = each.groupBy(*[f"_r_{k}" for k in keys], "_r_id").pivot("run", list(names)).agg(told)
+    t = sources.join(wide, same_keys(sources, wide, [*keys, "id"], "_r_"), "left")
+    return t.select(*sources.columns, *[F.when(F.coalesce(F.col(n), F.lit("")) == "", F.lit(absent)).otherwise(F.col(n)).alias(n) for n in names])
+
+
 def run_pivot(runs: DataFrame, names: Sequence[str], keys: Sequence[str] = ("track", "pos"), absent: str = "[uncovered]") -> DataFrame:
     """One row a source with the text of each run; what a run doesn't cover is marked."""
     t = runs.groupBy(*keys).pivot("run", list(names)).agg(F.max("text"))

@@ -61,6 +61,19 @@ def texts(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
+def told_records(spark, d):
+    """Two runs' records of the turns: one joins pairs and says nothing of each fifth pair, the other lacks each seventh turn and has each third twice."""
+    t = turns(spark, d).select("track", "pos", F.md5("text").alias("text"))
+    pair = F.floor(F.col("pos") / 2).cast("int")
+    a = t.groupBy("track", pair.alias("number")).agg(F.array_sort(F.collect_list("pos")).alias("ids"), F.max("text").alias("text")).withColumn("text", F.when(F.col("number") % 5 < 4, F.col("text")))
+    b = t.filter("pos % 7 <> 3").withColumn("number", F.explode(F.when(F.col("pos") % 3 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0))))).select("track", "number", F.array("pos").alias("ids"), F.concat(F.col("number").cast("string"), "text").alias("text"))
+    return a.withColumn("run", F.lit("a")).unionByName(b.withColumn("run", F.lit("b")))
+
+
+RECORDS = f"""with {TURNS}, t as (select track, pos, md5(text) m from turns), g as (select track, pos // 2 as n, list(pos order by pos) ids, max(m) m from t group by all),
+a as (select track, n, ids, unnest(ids) id, case when n % 5 < 4 then m else '[deleted]' end m from g)
+select t.track, t.pos id, case when len(a.ids) > 1 then '[merged ' || array_to_string(a.ids, ',') || '] ' else '' end || a.m a,
+  case when t.pos % 7 = 3 then '[uncovered]' when t.pos % 3 = 0 then '0' || t.m || ' | 1' || t.m else '0' || t.m end b from t join a on a.track = t.track and a.id = t.pos"""
 FILLER = """with {doc}, a0 as (select * exclude (text), case when pos % 4 = 1 then '「うーん、」' when pos % 9 = 2 then 'はい。' when pos % 6 = 5 then 'あっ……' else text end text, case when pos % 4 = 1 then 'うん' when pos % 9 = 2 then 'はい' when pos % 6 = 5 then 'あ' else '' end core from cue_doc),
 a as (select *, core <> '' filler from a0),
 b as (select *, filler and not coalesce(core = 'はい' and start_ms - last_value(case when not filler then end_ms end ignore nulls) over (partition by track order by start_ms, end_ms, pos rows between unbounded preceding and 1 preceding) <= 3000, false) f from a),
@@ -93,5 +106,6 @@ f as (select track, session, block, source, min(pos) first from k join s2 using
     "a17_split_conflicts": (lambda s, d: rn.split_conflicts(texts(s, d), "digest", "source"), "select md5(coalesce(text, '')) digest, count(distinct source) splits, count(*) \"rows\" from documents group by 1 having count(distinct source) > 1"),
     "a18_batch_budgets": (lambda s, d: rn.batch_budgets(turns(s, d).withColumn("batch", F.floor(F.col("track") / 4)), "batch", F.greatest(F.lit(64), F.length("text"))), f"with {TURNS}, b as (select track // 4 as batch, greatest(64, length(text)) n from turns) select batch, max(n)::int budget, count(distinct n) budgets, count(distinct n) > 1 regroup from b group by batch"),
     "a20_fingerprint": (lambda s, d: texts(s, d).select("doc_id", rn.fingerprint("source", "n_chars", "lang", "doc_id").alias("fingerprint")), "select doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})) fingerprint from documents"),
+    "a22_record_pivot": (lambda s, d: rn.record_pivot(turns(s, d).select("track", F.col("pos").alias("id")), told_records(s, d), ("a", "b")), RECORDS),
     "a22_pivot": (lambda s, d: rn.run_pivot(two_runs(s, d), ("alt", "late")), f"with {RUNS} select track, pos, coalesce(max(text) filter (run = 'alt'), '[uncovered]') alt, coalesce(max(text) filter (run = 'late'), '[uncovered]') late from runs group by track, pos"),
 }
