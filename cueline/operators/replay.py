@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fragments import FILLERS, REPLIES
 from ..functions.normal import echoes, filler_core, fold_repeats
+from ..sources.folders import settled
 from .cues import aligned_cues
 from .folds import merge_close_in_regions, same_start_piles, settle_short, squeezed_duplicates
 from .intervals import resolve_overlaps, same_keys
@@ -72,6 +73,7 @@ def replayed(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions:
     kept = kept.select(*keys, F.col("i").alias("pos"), F.round("start_ms").cast("long").alias("start_ms"), F.round("end_ms").cast("long").alias("end_ms"), "text", "collapsed", *[F.when(F.lit(frame_native), F.col(c)).alias(n) for c, n in (("_source", "source_text"), ("source_start_ms", "source_start_ms"), ("source_end_ms", "source_end_ms"))])
     if frame_native:
         return kept
+    kept = settled(kept)
     if regroup is None:
         return merge_close_in_regions(kept.withColumn("region_ms", F.lit(0).cast("long")), usual_ms, most, longest_ms, keys).drop("region_ms")
     inside = first_region(kept.select(*keys, "pos", "start_ms", "end_ms"), regroup, keys).select(*[F.col(k).alias(f"_f_{k}") for k in (*keys, "pos")], "region_ms")
@@ -84,15 +86,15 @@ def replayed(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions:
 def finished_track(cues: DataFrame, similar: float | None = None, max_gap: int = 2000, squeeze_ms: int = 700, silence_ms: int = 5000, least_ms: int = 300, keys: Sequence[str] = ("track",)) -> DataFrame:
     """A track put in order: runaway repeats folded, piles of one start and overlaps resolved, squeezed near duplicates dropped (only if ``similar`` is given), isolated and
     chained fillers dropped, what is then shorter than ``least_ms`` settled. ``collapsed`` and the columns of the source (``source_text, source_start_ms,
-    source_end_ms``) count where they are there; null texts are empty."""
+    source_end_ms``) count where they are there; null texts are empty. Tables in between are written to the shared folder."""
     t = cues.withColumn("text", fold_repeats(F.coalesce("text", F.lit(""))))
     for name, kind in (("collapsed", "boolean"), ("source_text", "string")):
         if name not in t.columns:
             t = t.withColumn(name, F.lit(None).cast(kind))
-    t = same_start_piles(t.withColumn("collapsed", F.coalesce("collapsed", F.lit(False))), keys=keys)
-    t = resolve_overlaps(t, keys)
+    t = same_start_piles(settled(t.withColumn("collapsed", F.coalesce("collapsed", F.lit(False)))), keys=keys)
+    t = settled(resolve_overlaps(t, keys))
     if similar is not None:
-        t = squeezed_duplicates(t, max_gap, similar, squeeze_ms, keys)
+        t = settled(squeezed_duplicates(t, max_gap, similar, squeeze_ms, keys))
     t = t.withColumns({"core": filler_core("text"), "source_core": F.when(F.col("source_text").isNotNull(), filler_core(F.coalesce("source_text", F.lit(""))))})
     t = filler_drop(t, FILLERS, REPLIES, silence_ms, keys=keys).drop("core", "source_core")
     return settle_short(t, least_ms, keys) if least_ms > 0 else t

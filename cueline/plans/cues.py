@@ -67,10 +67,6 @@ def replay(mode, frame_native=False):
     return run
 
 
-def finished(spark, d):
-    return rp.finished_track(replay("aligner_fallback")(spark, d), 0.9).select("track", "start_ms", "end_ms", "text")
-
-
 QUERIES = {
     "tx14_kept_together": (together, None),
     "g09_budget_pieces": (lambda s, d: cu.budget_pieces(tokens(s, d), MOST, LONGEST_MS).select("track", "chunk", "unit", "i", "piece"), None),
@@ -80,6 +76,5 @@ QUERIES = {
     "g16_replayed": (replay("aligner_fallback"), None),
     "g16_replayed_by_regions": (replay("vad_only"), None),
     "g16_replayed_frames": (replay("vad_only", True), None),
-    "g15_finished": (finished, None),
     "a09_unit_faults": (lambda s, d: sg.unit_faults(spoken(s, d), aligned(s, d), CHARACTER_MS, MOST), None),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normal as nm
 from ..operators import folds as fo
 from ..operators import intervals as iv
+from ..operators import replay as rp
 from .reports import DOUBTFUL, doubtful, union_sql
 from .views import DOC, EV, cue_alt, cue_doc, cue_ev
 
@@ -64,11 +65,9 @@ PACKED = f"with recursive {EV}, {union_sql('merged', 'cue_ev')}, " + steps("(sel
 
 
 def finished(spark, d):
-    """A track put in order: runaway repeats folded, piles and overlaps resolved, squeezed duplicates and short cues settled."""
-    t = piled(spark, d).withColumn("text", nm.fold_repeats(F.concat("text", F.repeat(F.lit("la "), (F.col("pos") % 6).cast("int")))))
-    t = iv.resolve_overlaps(fo.same_start_piles(t))
-    t = fo.squeezed_duplicates(t, 60_000, 0.9, 60_000)
-    return fo.settle_short(t, 300_000)
+    """A track put in order: runaway repeats folded, piles and overlaps resolved, squeezed duplicates, fillers and short cues settled."""
+    t = piled(spark, d).withColumn("text", F.concat("text", F.repeat(F.lit("la "), (F.col("pos") % 6).cast("int"))))
+    return rp.finished_track(t, 0.9, 60_000, 60_000, 60_000, 300_000)
 
 
 def echoed(spark, d):
