@@ -264,7 +264,8 @@ def region_characters(texts: DataFrame, regions: DataFrame, keys: Sequence[str]
     w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
     span = F.col("end_ms") - F.col("start_ms")
     cum = regions.filter(span > 0).withColumn("to_ms", F.sum(span).over(w)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("to_ms", "start_ms", "end_ms"))).alias("_r"))
-    t = texts.join(cum, list(keys)).select(*keys, "_r", F.posexplode(chars).alias("k", "ch"), F.size(chars).alias("_n")).withColumn("_total", F.element_at("_r", -1)["to_ms"] * 1000)
+    t = texts.join(cum, list(keys)).select(*keys, "_r", chars.alias("_c"), F.size(chars).alias("_n"))  # sizes before the explosion, once a text
+    t = t.select(*keys, "_r", "_n", F.posexplode("_c").alias("k", "ch")).withColumn("_total", F.element_at("_r", -1)["to_ms"] * 1000)
     t = t.withColumns({"_a": F.floor(F.col("_total") * F.col("k") / F.col("_n")), "_b": F.floor(F.col("_total") * (F.col("k") + 1) / F.col("_n"))})
     before = F.size(F.filter("_r", lambda r: r["to_ms"] * 1000 < F.greatest(F.col("_a"), F.lit(1))))
     t = t.withColumn("_in", F.get("_r", before)).drop("_r")
@@ -277,7 +278,8 @@ def item_characters(items: DataFrame, most_ms: float, keys: Sequence[str] = ("tr
     """Aligned items (``pos, word, start_ms, end_ms``) as a stream of their timed characters: spread evenly; points stay points; an item slower
     than ``most_ms`` a character is packed at that pace against its end."""
     chars = timed_characters(F.col("word"))
-    t = items.filter("start_ms is not null and end_ms is not null").select(*keys, "pos", "start_ms", "end_ms", F.size(chars).alias("_n"), F.posexplode(chars).alias("k", "ch"))
+    t = items.filter("start_ms is not null and end_ms is not null").select(*keys, "pos", "start_ms", "end_ms", F.size(chars).alias("_n"), chars.alias("_c"))
+    t = t.select(*keys, "pos", "start_ms", "end_ms", "_n", F.posexplode("_c").alias("k", "ch"))
     per = (F.col("end_ms") - F.col("start_ms")) / F.col("_n")
     pace = F.when(F.col("end_ms") <= F.col("start_ms"), F.lit(0.0)).when(per > most_ms, F.lit(float(most_ms))).otherwise(per)
     base = F.when(per > most_ms, F.col("end_ms") - F.col("_n") * most_ms).otherwise(F.col("start_ms").cast("double"))

@@ -74,7 +74,6 @@ QUERIES = {
     "g11_aligned_cues": (aligned_cues(), None),
     "u08_soft_cues": (aligned_cues(ellipses_end=False), None),
     "g16_replayed": (replay("aligner_fallback"), None),
-    "g16_replayed_by_regions": (replay("vad_only"), None),
     "g16_replayed_frames": (replay("vad_only", True), None),
     "a09_unit_faults": (lambda s, d: sg.unit_faults(spoken(s, d), aligned(s, d), CHARACTER_MS, MOST), None),
 }
