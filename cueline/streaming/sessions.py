@@ -42,15 +42,23 @@ STAGE = "job long, stage string, status string, started_ms long, updated_ms long
 
 def _latest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     started, updated, status, done = state.get if state.exists else (0, -1, "", -1.0)
+    first = last = began = share = None  # rows by time, status and line; a group's rows may come in several parts, in any order
     for pdf in parts:
-        for at, name, line in sorted(zip(pdf["at_ms"].tolist(), pdf["status"], pdf["line"].where(pdf["line"].notna(), ""))):
-            if at < updated:
+        for row in zip(pdf["at_ms"].tolist(), pdf["status"], pdf["line"].where(pdf["line"].notna(), "")):
+            if row[0] < updated:
                 continue
-            if not status or name == "started":
-                started, done = at, -1.0
-            updated, status = at, name
-            if m := PROGRESS.search(line):
-                done = int(m[1]) / max(1, int(m[2]))
+            first, last = min(first or row, row), max(last or row, row)
+            if row[1] == "started":
+                began = max(began or row, row)
+            if PROGRESS.search(row[2]):
+                share = max(share or row, row)
+    if last:
+        if began or not status:
+            started, done = (began or first)[0], -1.0
+        if share and (not began or share >= began):
+            m = PROGRESS.search(share[2])
+            done = int(m[1]) / max(1, int(m[2]))
+        updated, status = last[0], last[1]
     state.update((started, updated, status, done))
     yield pd.DataFrame([(*key, status, started, updated, updated - started, done if done >= 0 else None)], columns=[c.split()[0] for c in STAGE.split(", ")])
 

@@ -2,7 +2,9 @@
 
 from math import comb, exp, lgamma, log
 
+import pandas as pd
 from cueline.operators import tracks as tr
+from cueline.streaming.sessions import _latest
 from pyspark.sql import functions as F
 
 
@@ -20,3 +22,23 @@ def test_sign_test_of_many_votes(spark):
         total += term
     want = 2 * total * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2))
     assert abs(spark.range(1).select(tr.sign_test(long(n - k), long(k))).first()[0] - want) < 1e-7
+
+
+class State:
+    exists = False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_stage_status_of_a_group_in_several_parts():
+    """Arrow batches cut a group anywhere; what comes late in the same batch counts."""
+    rows = [(10, "started", None), (20, "progress", "[s] 1/8 done"), (30, "started", None), (40, "progress", "[s] 5/8 done"), (40, "completed", None), (50, "progress", None)]
+    for order in ([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [3, 5, 0, 2, 1, 4]):
+        for size in (1, 2, 6):
+            part = lambda k: pd.DataFrame([rows[i] for i in order[k : k + size]], columns=["at_ms", "status", "line"])
+            state = State()
+            got = next(_latest((1, "a"), iter([part(k) for k in range(0, 6, size)]), state)).iloc[0].tolist()
+            assert got == [1, "a", "progress", 30, 50, 20, 0.625]
+            again = next(_latest((1, "a"), iter([pd.DataFrame([(45, "started", None), (60, "completed", None)], columns=["at_ms", "status", "line"])]), state)).iloc[0].tolist()
+            assert again == [1, "a", "completed", 30, 60, 30, 0.625]  # the late start undoes nothing
