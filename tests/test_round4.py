@@ -4,6 +4,7 @@ from math import comb, exp, lgamma, log
 
 import pandas as pd
 from cueline.operators import tracks as tr
+from cueline.plans.texts import QUERIES
 from cueline.streaming.sessions import _latest
 from pyspark.sql import functions as F
 
@@ -42,3 +43,9 @@ def test_stage_status_of_a_group_in_several_parts():
             assert got == [1, "a", "progress", 30, 50, 20, 0.625]
             again = next(_latest((1, "a"), iter([pd.DataFrame([(45, "started", None), (60, "completed", None)], columns=["at_ms", "status", "line"])]), state)).iloc[0].tolist()
             assert again == [1, "a", "completed", 30, 60, 30, 0.625]  # the late start undoes nothing
+
+
+def test_strict_srt_numbers_cues_with_a_span(spark, tmp_path):
+    """Cues without a span are not written, so they take no number."""
+    spark.sql("select id event_id, timestamp_micros(1704067200000000 + id * 1000000) ts, 1L user_id, 'view' event_type, if(id = 2, 0.0D, 1.5D) value, 'x' props from range(5)").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.id, r.start_ms) for r in QUERIES["io01_strict_srt"][0](spark, str(tmp_path)).collect()) == [(1, 0), (2, 1000), (3, 3000), (4, 4000)]
