@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -56,16 +57,23 @@ def kept_together(left: pd.Series, right: pd.Series, gap_ms: pd.Series, usual_ms
     return pd.Series([None if any(pd.isna(x) for x in r) else belongs(*r) for r in rows], dtype=object)
 
 
+@cache
+def _sign(c: str) -> str:
+    return unicodedata.normalize("NFKC", c)
+
+
 def filler_runs(shown: Sequence[str], cores: Sequence[str] = FILLERS + REPLIES, whole: Sequence[str] = FILLERS, least: int = 3) -> list[bool]:
     """Which of a row of characters (each with the marks behind it) stay when runs of one filler, ``least`` times or more and each time parted by a mark, are
     left with one: the last of them before other characters, the first at the end. Small kana and lengtheners go with the character before.
 
     The row is written as cells of two signs, a character and whether a mark parts it from the next cell, so that a run is a match of a pattern.
     """
+    if {_sign(t[:1]) for t in shown}.isdisjoint({k[0] for k in cores}):
+        return [True] * len(shown)
     cells: list[list[int]] = []  # places of the characters of each cell; the first may hold only small ones
     signs = []
     for i, t in enumerate(shown):
-        c = unicodedata.normalize("NFKC", t[:1])
+        c = _sign(t[:1])
         if c in NO_CORE or not c:
             if not cells:
                 cells.append([])

@@ -3,146 +3,168 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fragments import belongs, filler_runs
-from ..functions.text import SENTENCE_ENDS, UNTIMED, sentences, shown_characters, timed_characters
-from .folds import folded
+from ..functions.text import SENTENCE_ENDS, UNTIMED
 from .signals import item_characters, source_times
+from .units import Unit, item_times, over_units
 
 KEYS = ("track", "chunk")
 #: Marks after which a cue is cut best; the shortest pause to cut at and the one that makes an ellipsis an end, in milliseconds; the longest
 #: span of a cue that has no time of its own.
 BREAKS, PAUSE_MS, ELLIPSIS_MS, POINT_MS = "。、，,！？!?…．", 120, 400, 1
-_BREAK = f"(?s)[^{re.escape(UNTIMED)}][{re.escape(UNTIMED)}]*[{BREAKS}]"  # among the marks behind the character
+_BREAK = re.compile(f"[^{re.escape(UNTIMED)}][{re.escape(UNTIMED)}]*[{re.escape(BREAKS)}]")  # among the marks behind the character
 #: Characters that are looked at behind a pause.
 AHEAD = 8
 
 
 def character_stream(texts: DataFrame, items: DataFrame, most_ms: float, authoritative: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``i`` (from 1), ``start_ms, end_ms``: the timed characters of each chunk in order. As the items have them (``item_characters``), or, if the text is
+    """``starts, ends``: the times of the characters of each chunk in order, as lists. As the items have them (``item_times``), or, if the text is
     authoritative, for every timed character of the text (``source_times``)."""
-    aligned = item_characters(items, most_ms, keys)
     if not authoritative:
-        return aligned.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "k")).cast("long").alias("i"), "start_ms", "end_ms")
-    lists = aligned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "k", "ch", "start_ms", "end_ms"))).alias("_a"))  # of one chunk
+        return item_times(items, most_ms, keys)
+    lists = item_characters(items, most_ms, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "k", "ch", "start_ms", "end_ms"))).alias("_a"))  # of one chunk
     times = texts.join(lists, list(keys), "left").select(*keys, source_times("text", F.transform("_a", lambda x: F.struct(x["ch"], x["start_ms"], x["end_ms"]))).alias("_t"))
-    return times.select(*keys, F.posexplode("_t").alias("i", "t")).select(*keys, (F.col("i") + 1).cast("long").alias("i"), "t.start_ms", "t.end_ms")
+    return times.select(*keys, *[F.transform("_t", lambda x: x[c]).alias(n) for c, n in (("start_ms", "starts"), ("end_ms", "ends"))])  # noqa: B023
 
 
-def timed_tokens(texts: DataFrame, stream: DataFrame, longest: int, ends: str = SENTENCE_ENDS, soft: str = "、", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The characters of each sentence unit with their times: ``unit, i, shown, start_ms, end_ms, brk``.
+class Tokens:
+    """The characters of a unit as far as they have times: each as it is shown, with the marks behind it (the unit's first also with those before), its start, its end and
+    its place in the stream (from 1). What the stream is too short for is shown with the last of them."""
 
-    ``shown`` is a timed character with the marks behind it (the unit's first also with those before); ``brk``: a cue may end there. Units take characters
-    of the stream (``i``) in turn. What the stream is too short for is shown with the unit's last timed character; a unit without any has no rows.
-    Null texts and chunks without a stream have none.
-    """
-    u = texts.select(*keys, F.posexplode(sentences(F.col("text"), longest, ends, soft)).alias("unit", "_s")).withColumn("_n", F.size(timed_characters(F.col("_s")))).filter("_n > 0")
-    upto = Window.partitionBy(*keys).orderBy("unit")
-    u = u.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-    t = u.select(*keys, "unit", "_before", F.posexplode(shown_characters(F.col("_s"))).alias("_k", "shown")).withColumn("i", F.col("_before") + F.col("_k") + 1).drop("_before", "_k")
-    t = t.join(stream, [*keys, "i"], "left").withColumn("brk", F.col("shown").rlike(_BREAK))
-    in_unit = Window.partitionBy(*keys, "unit")
-    t = t.withColumn("_last", F.max(F.when(F.col("start_ms").isNotNull(), F.col("i"))).over(in_unit)).filter("_last is not null")
-    t = t.groupBy(*keys, "unit", F.least("i", "_last").alias("i")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]), "").alias("shown"), F.max("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.bool_or("brk").alias("brk"))
-    return t.select(*keys, "unit", "i", "shown", "start_ms", "end_ms", "brk")
+    def __init__(self, i: list[int], shown: list[str], starts: list[float], ends: list[float]):
+        self.i, self.shown, self.starts, self.ends = i, shown, starts, ends
+
+    @classmethod
+    def of(cls, at: int, shown: list[str], starts: list[float], ends: list[float]) -> Tokens | None:
+        n = len(starts)
+        if not n:
+            return None
+        return cls(list(range(at + 1, at + n + 1)), shown if n == len(shown) else [*shown[: n - 1], "".join(shown[n - 1 :])], starts, ends)
+
+    def __len__(self) -> int:
+        return len(self.i)
+
+    def part(self, lo: int, hi: int) -> Tokens:
+        return Tokens(self.i[lo:hi], self.shown[lo:hi], self.starts[lo:hi], self.ends[lo:hi])
 
+    def staying(self, stay: Sequence[bool]) -> Tokens:
+        return self if all(stay) else Tokens(*(list(compress(x, stay)) for x in (self.i, self.shown, self.starts, self.ends)))
 
-Tokens = Iterable[dict]
+    def text(self) -> str:
+        return "".join(self.shown)
 
 
-def cut_at_pauses(tokens: Tokens, usual_ms: float, ellipses_end: bool) -> Iterator[list[dict]]:
+def breaks(shown: str) -> bool:
+    """Whether a cue may end behind a character, by its marks."""
+    return len(shown) > 1 and _BREAK.search(shown) is not None
+
+
+def cut_at_pauses(tokens: Tokens, usual_ms: float, ellipses_end: bool) -> Iterator[Tokens]:
     """Segments of a unit: cut at pauses longer than usual that are not inside a phrase (``belongs``) and, unless ellipses end sentences anyway, at shorter
-    ones behind an ellipsis. The unit's characters are held, at most a sentence."""
-    tokens, segment = list(tokens), []
-    for k, t in enumerate(tokens):
-        if segment:
-            gap, before = t["start_ms"] - segment[-1]["end_ms"], segment[-1]["shown"]
-            trails = not ellipses_end and "…" in before and gap > ELLIPSIS_MS
-            if trails or (gap > usual_ms and not belongs("".join(x["shown"] for x in segment), "".join(x["shown"] for x in tokens[k : k + AHEAD]), gap, usual_ms)):
-                yield segment
-                segment = []
-        segment.append(t)
-    if segment:
-        yield segment
-
-
-def cut_to_budget(tokens: Tokens, most: int, longest_ms: float, pause_ms: float = PAUSE_MS) -> Iterator[list[dict]]:
+    ones behind an ellipsis."""
+    lo, shown, starts, ends = 0, tokens.shown, tokens.starts, tokens.ends
+    least = usual_ms if ellipses_end else min(usual_ms, ELLIPSIS_MS)
+    for k in range(1, len(tokens)):
+        gap = starts[k] - ends[k - 1]
+        if gap > least:
+            trails = not ellipses_end and "…" in shown[k - 1] and gap > ELLIPSIS_MS
+            if trails or (gap > usual_ms and not belongs("".join(shown[lo:k]), "".join(shown[k : k + AHEAD]), gap, usual_ms)):
+                yield tokens.part(lo, k)
+                lo = k
+    yield tokens.part(lo, len(tokens)) if lo else tokens
+
+
+def cut_to_budget(tokens: Tokens, most: int, longest_ms: float, pause_ms: float = PAUSE_MS) -> Iterator[Tokens]:
     """Pieces of a segment of at most ``most`` characters that don't go on past ``longest_ms``. A full piece is cut behind the last mark in it, else at its largest
-    pause of ``pause_ms`` or more (the last of equals, the one behind it included), else where it is full. Not more than a piece is held."""
-    held: list[dict] = []
-    full = lambda: len(held) > 1 and (len(held) > most or held[-2]["end_ms"] - held[0]["start_ms"] > longest_ms)  # noqa: E731  the last one held is the next
-    source = iter(tokens)
-    waiting: list[dict] = []  # what a cut left over, first to be looked at again
-    while True:
-        t = waiting.pop() if waiting else next(source, None)
-        if t is None:
-            break
-        held.append(t)
-        if full():
-            inside = held[:-1]
-            marks = [k for k, x in enumerate(inside, 1) if x["brk"]]
-            pauses = [(b["start_ms"] - a["end_ms"], k) for k, (a, b) in enumerate(zip(held, held[1:]), 1) if b["start_ms"] - a["end_ms"] >= pause_ms]
-            cut = marks[-1] if marks else max(pauses)[1] if pauses else len(inside)
-            yield held[:cut]
-            waiting += reversed(held[cut:])
-            held = []
-    if held:
-        yield held
+    pause of ``pause_ms`` or more (the last of equals, the one behind it included), else where it is full."""
+    lo, n, starts, ends = 0, len(tokens), tokens.starts, tokens.ends
+    while lo < n:
+        hi, last = lo + 1, min(n, lo + most)
+        while hi < last and not ends[hi - 1] - starts[lo] > longest_ms:
+            hi += 1
+        if hi < n:
+            cut = next((k for k in range(hi, lo, -1) if breaks(tokens.shown[k - 1])), 0)
+            if not cut:
+                pauses = [(gap, k) for k in range(lo + 1, hi + 1) if (gap := starts[k] - ends[k - 1]) >= pause_ms]
+                cut = max(pauses)[1] if pauses else hi
+            hi = cut
+        yield tokens.part(lo, hi)
+        lo = hi
+
+
+def _units(units: Iterable[Unit]) -> Iterator[tuple[int, Tokens]]:
+    for unit, at, shown, starts, ends in units:
+        if tokens := Tokens.of(at, shown, starts, ends):
+            yield unit, tokens
+
+
+def _exploded(t: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows of lists as rows of characters."""
+    return t.select(*[c for c in t.columns if c not in names], F.explode(F.arrays_zip(*names)).alias("_x")).select(*keys, *[c for c in t.columns if c not in (*keys, *names)], *[F.col(f"_x.{c}") for c in names])
+
+
+def timed_tokens(texts: DataFrame, stream: DataFrame, longest: int, ends: str = SENTENCE_ENDS, soft: str = "、", keys: Sequence[str] = KEYS) -> DataFrame:
+    """The characters of each sentence unit with their times: ``unit, i, shown, start_ms, end_ms, brk`` (see ``Tokens``); ``brk``: a cue may end there.
+
+    Units take characters of the stream (``i``) in turn. A unit without any has no rows. Null texts and chunks without a stream have none.
+    """
+
+    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
+        for unit, t in _units(units):
+            yield unit, t.i, t.shown, t.starts, t.ends, [breaks(x) for x in t.shown]
 
+    names = ("i", "shown", "start_ms", "end_ms", "brk")
+    rows = over_units(texts, stream, longest, fold, "unit int, i array<long>, shown array<string>, start_ms array<double>, end_ms array<double>, brk array<boolean>", ends, soft, keys)
+    return _exploded(rows, keys, names)
 
-def _numbered(cut: Callable[[list[dict]], Iterator[list[dict]]], group: tuple[str, ...], name: str):
-    def fold(rows: Tokens) -> Iterator[dict]:
-        for _, own in groupby(rows, key=lambda r: [r[c] for c in group]):
-            for number, part in enumerate(cut(list(own))):
-                yield from (r | {name: number} for r in part)
 
-    return fold
+def budget_pieces(texts: DataFrame, stream: DataFrame, longest: int, most: int, longest_ms: float, pause_ms: float = PAUSE_MS, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``unit, piece`` (from 0), ``i``: the characters of ``timed_tokens`` with the piece that ``cut_to_budget`` puts them into, unit by unit."""
 
+    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
+        for unit, t in _units(units):
+            yield from ((unit, piece, own.i) for piece, own in enumerate(cut_to_budget(t, most, longest_ms, pause_ms)))
 
-def budget_pieces(tokens: DataFrame, most: int, longest_ms: float, pause_ms: float = PAUSE_MS, keys: Sequence[str] = (*KEYS, "unit")) -> DataFrame:
-    """Adds ``piece`` (from 0): ``cut_to_budget`` for each group of tokens, in the order of ``i``."""
-    fold = _numbered(lambda rows: cut_to_budget(rows, most, longest_ms, pause_ms), tuple(keys), "piece")
-    return folded(tokens, fold, keys, more="piece int", order=("i",))
+    return _exploded(over_units(texts, stream, longest, fold, "unit int, piece int, i array<long>", keys=keys), keys, ("i",))
 
 
-def without_filler_runs(tokens: DataFrame, keys: Sequence[str] = (*KEYS, "unit")) -> DataFrame:
-    """Tokens without the repeats of one filler (``filler_runs``), group by group."""
+def without_filler_runs(texts: DataFrame, stream: DataFrame, longest: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``unit, i, shown``: the characters of ``timed_tokens`` without the repeats of one filler (``filler_runs``), unit by unit."""
 
-    def fold(rows: Tokens) -> Iterator[dict]:
-        rows = list(rows)
-        yield from (r for r, stays in zip(rows, filler_runs([r["shown"] for r in rows])) if stays)
+    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
+        for unit, t in _units(units):
+            t = t.staying(filler_runs(t.shown))
+            yield unit, t.i, t.shown
 
-    return folded(tokens, fold, keys, order=("i",))
+    return _exploded(over_units(texts, stream, longest, fold, "unit int, i array<long>, shown array<string>", keys=keys), keys, ("i", "shown"))
 
 
-def token_segments(tokens: DataFrame, most: int, longest_ms: float, usual_ms: float, by_pauses: bool = True, fillers: bool = True, ellipses_end: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds ``segment`` and ``piece``: units cut at pauses, freed of runs of fillers, cut to the budget; one pass over a unit's characters."""
+def token_pieces(texts: DataFrame, stream: DataFrame, most: int, longest_ms: float, usual_ms: float, by_pauses: bool = True, fillers: bool = True, ellipses_end: bool = True, keys: Sequence[str] = KEYS, columns: Sequence[str] = ()) -> DataFrame:
+    """``unit, segment, piece, i`` (of the first character), ``start_ms, end_ms, shown``: units cut at pauses, freed of runs of fillers, cut to the budget."""
 
-    def fold(rows: Tokens) -> Iterator[dict]:
-        for number, segment in enumerate(cut_at_pauses(rows, usual_ms, ellipses_end) if by_pauses else [list(rows)]):
-            if fillers:
-                segment = [r for r, stays in zip(segment, filler_runs([r["shown"] for r in segment])) if stays]
-            for piece, own in enumerate(cut_to_budget(segment, most, longest_ms)):
-                yield from (r | {"segment": number, "piece": piece} for r in own)
+    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
+        for unit, t in _units(units):
+            for number, segment in enumerate(cut_at_pauses(t, usual_ms, ellipses_end) if by_pauses else [t]):
+                if fillers:
+                    segment = segment.staying(filler_runs(segment.shown))
+                yield from ((unit, number, piece, own.i[0], own.starts[0], own.ends[-1], own.text()) for piece, own in enumerate(cut_to_budget(segment, most, longest_ms)))
 
-    return folded(tokens, fold, [*keys, "unit"], more="segment int, piece int", order=("i",))
+    return over_units(texts, stream, most, fold, "unit int, segment int, piece int, i long, start_ms double, end_ms double, shown string", soft="、" if ellipses_end else "、…", keys=keys, columns=columns)
 
 
-def cues_of_tokens(pieces: DataFrame, least_ms: float, longest_ms: float, offset: Column | float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One cue for each unit, segment and piece: ``i`` (of its first character), ``start_ms, end_ms, text, collapsed``. A cue lasts ``least_ms`` at least and
+def cues_of_pieces(pieces: DataFrame, least_ms: float, longest_ms: float, offset: Column | float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One cue for each of ``token_pieces``: ``i`` (of its first character), ``start_ms, end_ms, text, collapsed``. A cue lasts ``least_ms`` at least and
     ``longest_ms`` at most; it is ``collapsed`` if its characters have no span. Cues without text go."""
     offset = offset if isinstance(offset, Column) else F.lit(float(offset))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "shown", "start_ms", "end_ms")))  # of one cue
-    t = pieces.groupBy(*keys, "unit", "segment", "piece").agg(ordered.alias("_t"), F.first(offset).alias("_o"))
-    at = lambda k, c: F.element_at("_t", k)[c]
-    a, b = F.col("_o") + at(1, "start_ms"), F.col("_o") + at(-1, "end_ms")
-    text = F.regexp_replace(F.array_join(F.transform("_t", lambda x: x["shown"]), ""), r"(?U)^\s+|\s+$", "")
-    t = t.select(*keys, at(1, "i").alias("i"), a.alias("start_ms"), F.least(F.greatest(b, a + least_ms), a + longest_ms).alias("end_ms"), text.alias("text"), (b - a <= POINT_MS).alias("collapsed"))
+    a, b = offset + F.col("start_ms"), offset + F.col("end_ms")
+    text = F.regexp_replace("shown", r"(?U)^\s+|\s+$", "")
+    t = pieces.select(*keys, "i", a.alias("start_ms"), F.least(F.greatest(b, a + least_ms), a + longest_ms).alias("end_ms"), text.alias("text"), (b - a <= POINT_MS).alias("collapsed"))
     return t.filter("text <> ''")
 
 
@@ -155,8 +177,6 @@ def aligned_cues(texts: DataFrame, items: DataFrame, most: int = 30, longest_ms:
     are passed over.
     """
     offset = F.col("offset_ms") if "offset_ms" in texts.columns else F.lit(0.0)
-    soft = "、" if ellipses_end else "、…"
-    t = texts.filter("text is not null")
-    tokens = timed_tokens(t, character_stream(t, items, most_ms, not by_pauses, keys), most, soft=soft, keys=keys)
-    pieces = token_segments(tokens, most, longest_ms, usual_ms, by_pauses, fillers, ellipses_end, keys)
-    return cues_of_tokens(pieces.join(t.select(*keys, offset.cast("double").alias("_offset")), list(keys)), least_ms, longest_ms, F.col("_offset"), keys)
+    t = texts.filter("text is not null").select(*keys, "text", offset.cast("double").alias("_offset"))
+    pieces = token_pieces(t, character_stream(t, items, most_ms, not by_pauses, keys), most, longest_ms, usual_ms, by_pauses, fillers, ellipses_end, keys, ["_offset"])
+    return cues_of_pieces(pieces, least_ms, longest_ms, F.col("_offset"), keys)

@@ -32,9 +32,13 @@ def aligned(spark, d):
 MOST, LONGEST_MS, LEAST_MS, USUAL_MS, CHARACTER_MS = 30, 6000, 400, 1200, 400
 
 
-def tokens(spark, d):
+def streams(spark, d):
     t = spoken(spark, d)
-    return cu.timed_tokens(t, cu.character_stream(t, aligned(spark, d), CHARACTER_MS), MOST)
+    return t, cu.character_stream(t, aligned(spark, d), CHARACTER_MS)
+
+
+def tokens(spark, d):
+    return cu.timed_tokens(*streams(spark, d), MOST)
 
 
 def aligned_cues(**options):
@@ -69,8 +73,8 @@ def replay(mode, frame_native=False):
 
 QUERIES = {
     "tx14_kept_together": (together, None),
-    "g09_budget_pieces": (lambda s, d: cu.budget_pieces(tokens(s, d), MOST, LONGEST_MS).select("track", "chunk", "unit", "i", "piece"), None),
-    "g10_without_filler_runs": (lambda s, d: cu.without_filler_runs(tokens(s, d)).select("track", "chunk", "unit", "i", "shown"), None),
+    "g09_budget_pieces": (lambda s, d: cu.budget_pieces(*streams(s, d), MOST, MOST, LONGEST_MS).select("track", "chunk", "unit", "i", "piece"), None),
+    "g10_without_filler_runs": (lambda s, d: cu.without_filler_runs(*streams(s, d), MOST).select("track", "chunk", "unit", "i", "shown"), None),
     "g11_aligned_cues": (aligned_cues(), None),
     "u08_soft_cues": (aligned_cues(ellipses_end=False), None),
     "g16_replayed": (replay("aligner_fallback"), None),

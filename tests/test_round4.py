@@ -3,7 +3,9 @@
 from math import comb, exp, lgamma, log
 
 import pandas as pd
+from cueline.functions.fragments import filler_runs
 from cueline.operators import tracks as tr
+from cueline.plans.cues import QUERIES as CUES
 from cueline.plans.texts import QUERIES
 from cueline.streaming.sessions import _latest
 from pyspark.sql import functions as F
@@ -49,3 +51,14 @@ def test_strict_srt_numbers_cues_with_a_span(spark, tmp_path):
     """Cues without a span are not written, so they take no number."""
     spark.sql("select id event_id, timestamp_micros(1704067200000000 + id * 1000000) ts, 1L user_id, 'view' event_type, if(id = 2, 0.0D, 1.5D) value, 'x' props from range(5)").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted((r.id, r.start_ms) for r in QUERIES["io01_strict_srt"][0](spark, str(tmp_path)).collect()) == [(1, 0), (2, 1000), (3, 3000), (4, 4000)]
+
+
+def test_characters_are_no_rows(spark):
+    """Rows are lines and words on the way to cues; characters stay in lists (before: each was a row of several shuffles)."""
+    for name, most in (("g11_aligned_cues", 3), ("u08_soft_cues", 3), ("a09_unit_faults", 3), ("g09_budget_pieces", 4), ("g10_without_filler_runs", 4)):
+        plan = CUES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate ") <= most, name
+
+
+def test_fillers_of_plain_texts():
+    assert filler_runs(["a", "b, ", "c"]) == [True] * 3 and filler_runs(["は、"] * 3) == [True, False, False]
