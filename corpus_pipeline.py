@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cueline.llm import exact, mixing, near, packing, quality
-from cueline.llm.common import shared_dir
+from cueline.llm.common import discarded, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/cueline/{uuid.uuid4().hex}"
+    before = None  # the table of the stage before, which nothing reads once the next one is written
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            discarded(before)
+        before = docs = spark.read.parquet(f"{folder}/{name}")
     return docs

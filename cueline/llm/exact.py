@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, documents, fresh, small_batches, text_of, written
+from .common import SPACE, discarded, documents, fresh, small_batches, text_of, written
 
 LEAST, MEAN, MOST = 256, 1024, 8192
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
@@ -53,6 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty (all empty texts are one group, with an empty list). Of rows equal in id and text one
     stays. Null ids stay only if the whole group has none. An empty table gives no rows.
     """
+    return _groups(docs, id_col, text_col, verify)[0]
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, verify: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``exact_groups`` and the table of cut texts that it reads."""
     small_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
     cut = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.pandas_udf(chunks_of, T.ArrayType(T.BinaryType()))("norm").alias("chunks"))
@@ -66,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     rows = recipes.withColumn("_nth", nth).join(groups.withColumn("_many", F.lit(True)), "recipe", "left")
     keep = F.when(F.col("_many"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("_nth") == 1)).alias("kept"), "text_sha256")
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("_nth") == 1)).alias("kept"), "text_sha256"), cut
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +80,9 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The decision is made on ids and digests; texts move once, to be met with it. Only rows that repeat id and text
     (``exact_groups`` keeps one) are sorted out by an aggregation of their own.
     """
-    groups = written(exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again")))
+    found, cut = _groups(docs, id_col, text_col)
+    groups = written(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again")))
+    discarded(cut)
     sha = fresh(docs, "_sha")
     keyed = docs.withColumn(sha, F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256))
     met = lambda keep: keyed.join(keep, keyed[id_col].eqNullSafe(keep["doc_id"]) & (keyed[sha] == keep["text_sha256"]), "left_semi")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, long_id, small_batches, text_of, written
+from .common import discarded, documents, long_id, small_batches, text_of, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -150,11 +150,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty or blank texts have no shingles and link with nothing: ``component_id`` is their own id. Null ids belong
     to the component of their text; rows that repeat the kept id and its text are all kept. Other columns are ignored.
     """
-    return _groups(docs, id_col, text_col, shingle, percent).drop("xh")
+    return _groups(docs, id_col, text_col, shingle, percent)[0].drop("xh")
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """As ``near_groups``, with ``xh``, a hash of the text."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``near_groups``, with ``xh``, a hash of the text; and the tables that it reads. Those that nothing reads any more are deleted."""
     small_batches(docs.sparkSession)
     rows = docs.select(long_id(docs, id_col).alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("xh"))
     table = written(rows.mapInArrow(_signatures(shingle), "doc_id long, xh long, n_shingles long, node binary, bits array<long>, parity array<long>, bands array<long>"))
@@ -192,14 +192,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     ids = classes.select("node", "least_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     ids = written(ids.join(least, "comp").select("node", "component_id"))
+    discarded(classes, members, sets, nodes, comp)
     t = table.select("doc_id", "xh", "n_shingles", "node").join(ids, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return t.select("doc_id", "xh", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return t.select("doc_id", "xh", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), [table, ids]
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with their columns. Rows go by id and text: of several texts under
     one id only those that repeat an earlier document go; rows that repeat id and text stay or go together."""
-    gone = written(_groups(docs, id_col, text_col, shingle, percent).filter("not kept").select("doc_id", "xh").distinct())
+    found, read = _groups(docs, id_col, text_col, shingle, percent)
+    gone = written(found.filter("not kept").select("doc_id", "xh").distinct())
+    discarded(*read)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["xh"]), "left_anti")
 
 

@@ -1,9 +1,11 @@
 """Results and bounds that the review of round 3 asked for."""
 
 from math import comb, exp, lgamma, log
+from pathlib import Path
 
 import pandas as pd
 from cueline.functions.fragments import filler_runs
+from cueline.llm import exact, near
 from cueline.operators import tracks as tr
 from cueline.plans.cues import QUERIES as CUES
 from cueline.plans.texts import QUERIES
@@ -62,3 +64,14 @@ def test_characters_are_no_rows(spark):
 
 def test_fillers_of_plain_texts():
     assert filler_runs(["a", "b, ", "c"]) == [True] * 3 and filler_runs(["は、"] * 3) == [True, False, False]
+
+
+def test_deduplication_leaves_no_tables_of_texts(spark):
+    """What nothing reads any more is deleted: cut texts, sets of shingles, signatures."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "cueline"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for stage in (exact.kept_documents, near.kept_documents):
+        before = set(folder.glob("*"))
+        kept = stage(docs)
+        columns = {c for f in set(folder.glob("*")) - before for c in spark.read.parquet(f"file://{f}").columns}
+        assert columns and not columns & {"chunks", "shingles", "bands", "sketch"} and 0 < kept.count() < docs.count()
