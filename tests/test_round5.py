@@ -31,3 +31,16 @@ def test_longest_matches_of_long_texts():
     assert nm.longest_match(a, b)[2] == len(a) - 40_100 and not nm.echoed(a, b) and nm.echoed(a[:20_000], b)
     assert nm.ratio(a, b) == 2 * (len(b) - 1) / (len(a) + len(b))
     assert time.time() - began < 5
+
+
+def test_folded_repeats_side_by_side():
+    """The texts of a batch at once, each as on its own; 20 looks at each character would not end here."""
+    rnd = random.Random(6)
+    unit = lambda k: "".join(rnd.choice("abc") for _ in range(k))
+    texts = ["", "a", "aaaa", "aaaa"] + ["".join(unit(rnd.choice([1, 2, 3, 20, 21])) * rnd.randrange(1, 9) for _ in range(4)) for _ in range(800)]
+    for times, keep, longest in ((4, 2, 20), (2, 1, 5), (3, 3, 7)):
+        assert nm.all_folded_repeats(texts, times, keep, longest) == [nm.folded_repeats(t, times, keep, longest) for t in texts]
+    many = [unit(900) + "la " * 50 for _ in range(2000)]
+    began = time.time()
+    assert all(t.endswith("la la ") for t in nm.all_folded_repeats(many))
+    assert time.time() - began < 4
