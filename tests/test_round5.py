@@ -44,3 +44,26 @@ def test_folded_repeats_side_by_side():
     began = time.time()
     assert all(t.endswith("la la ") for t in nm.all_folded_repeats(many))
     assert time.time() - began < 4
+
+
+def test_edit_counts_of_many_and_long_texts():
+    """As a plain table of costs has them; a row of the whole table a character would not end here."""
+    rnd = random.Random(7)
+    pairs = [_texts(rnd, 40) for _ in range(300)] + [("", ""), ("", "ab"), ("ab", ""), ("abc", "xyz"), ("kitten", "sitting")]
+    for (a, b), got in zip(pairs, nm.all_edit_counts(*zip(*pairs))):
+        row = [(j, j, 0) for j in range(len(b) + 1)]  # edits, insertions and deletions, deletions
+        for i, x in enumerate(a, 1):
+            new = [(i, i, i)]
+            for j, y in enumerate(b, 1):
+                (p, q, d), (e, f, g), (h, k, n) = row[j - 1], row[j], new[-1]
+                new.append(min((p + (x != y), q, d), (e + 1, f + 1, g + 1), (h + 1, k + 1, n)))
+            row = new
+        e, both, d = row[-1]
+        assert got == (e - both, both - d, d)
+    a = "".join(rnd.choice("abcdefghij ") for _ in range(60_000))
+    began = time.time()
+    assert nm.edit_counts(a, a.replace("a", "")) == (0, 0, a.count("a"))
+    assert nm.edit_counts(a, a.replace("e", "#")) == (a.count("e"), 0, 0)
+    b = a[:100] + "##" + a[102:30_000] + "#" + a[30_000:50_000] + a[50_001:]
+    assert sum(nm.edit_counts(a, b)) == 4
+    assert time.time() - began < 20
