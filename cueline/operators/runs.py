@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, compact, set_overlap
+from ..functions.normal import pair_share
+from ..functions.text import compact
 from .intervals import range_join, same_keys
 from .tracks import blocks, matched_terms
 
@@ -28,8 +29,7 @@ def segment_hits(segments: DataFrame, cues: DataFrame, pad_ms: int, threshold: f
     """Segments of enough characters and whether the cues around them share enough of their character pairs."""
     s = segments.filter(F.length(compact(F.col("text"))) >= F.lit(max(2, least_chars)))
     t = s.select(*keys, "pos", "text").join(window_texts(s, cues, pad_ms, keys), [*keys, "pos"], "left")
-    share = set_overlap(bigrams(F.col("text")), bigrams(F.coalesce("window_text", F.lit(""))))
-    return t.select(*keys, "pos", (share >= threshold).alias("hit"))
+    return t.select(*keys, "pos", (pair_share("text", "window_text") >= threshold).alias("hit"))
 
 
 def recall(segments: DataFrame, cues: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import time
 
 from cueline.functions import normal as nm
+from cueline.functions import text as tx
+from pyspark.sql import functions as F
 
 
 def _texts(rnd, most):
@@ -67,3 +69,16 @@ def test_edit_counts_of_many_and_long_texts():
     b = a[:100] + "##" + a[102:30_000] + "#" + a[30_000:50_000] + a[50_001:]
     assert sum(nm.edit_counts(a, b)) == 4
     assert time.time() - began < 20
+
+
+def test_shares_of_pairs_side_by_side(spark):
+    """As the expressions have them; null and blank texts, wide characters, copies."""
+    rnd = random.Random(8)
+    rows = [(None, "ab"), ("ab", None), ("", ""), ("a", "a"), (" \t\u3000", "ab"), ("a b", "ab"), ("\U0001F600\U0001F601x", "\U0001F601x"), ("\U0010FFFF\U0010FFFF", "\U0010FFFF\U0010FFFF\U0010FFFF"), *[(_texts(rnd, 60)) for _ in range(200)]]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    want = tx.set_overlap(tx.bigrams(F.coalesce("a", F.lit(""))), tx.bigrams(F.coalesce("b", F.lit(""))))
+    assert all(r.got == r.want for r in df.select(nm.pair_share("a", "b").alias("got"), want.alias("want")).collect())
+    many = [" ".join(rnd.choice(["lorem", "ipsum", "日本", "\t"]) for _ in range(400)) for _ in range(2000)]
+    began = time.time()
+    assert set(nm.all_shares(many, many)) == {1.0} and set(nm.all_shares(many, [""] * len(many))) == {0.0}
+    assert time.time() - began < 5
