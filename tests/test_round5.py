@@ -82,3 +82,12 @@ def test_shares_of_pairs_side_by_side(spark):
     began = time.time()
     assert set(nm.all_shares(many, many)) == {1.0} and set(nm.all_shares(many, [""] * len(many))) == {0.0}
     assert time.time() - began < 5
+
+
+def test_classes_of_marks(spark):
+    """Letters and digits told apart first change no class: every mark, its neighbours, letters and digits, inside and outside."""
+    signs = sorted({chr(ord(c) + k) for c in tx.UNTIMED + tx.SOUNDS for k in (-1, 0, 1)} | set(map(chr, range(1, 256))))
+    df = spark.createDataFrame([(c,) for c in signs], "c string")
+    for marks in (tx.UNTIMED, "".join(c for c in tx.UNTIMED if c not in "、，, "), ".!?", "、", "abcdefgh.、"):
+        got = df.select("c", F.col("c").rlike(f"(?s)^{tx._class(marks)}$").alias("in"), F.col("c").rlike(f"(?s)^{tx._class(marks, True)}$").alias("out")).collect()
+        assert all(r["in"] == (r.c in marks) != r["out"] for r in got)
