@@ -75,7 +75,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn(own, F.xxhash64(text_of(text_col)))
 
     def met(some: DataFrame) -> DataFrame:
-        return keyed.join(some, keyed[id_col].eqNullSafe(some["_mix_id"]) & keyed[source_col].eqNullSafe(some["_mix_source"]) & (keyed[own] == some["_mix_hash"]))
+        return keyed.join(some.hint("merge"), keyed[id_col].eqNullSafe(some["_mix_id"]) & keyed[source_col].eqNullSafe(some["_mix_source"]) & (keyed[own] == some["_mix_hash"]))
 
     times = lambda t, n: t.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(nth)).drop(nth)
     out, many = times(met(drawn.filter("_rows = 1")), F.col("_reps")), drawn.filter("_rows > 1")

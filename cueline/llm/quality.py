@@ -209,7 +209,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bad = written(judged.filter("not kept").select("doc_id.*").distinct()).select(*[F.col(c).alias(f"_bad_{c}") for c in ("id", "hash", "lang", "source")])
     own = (docs[id_col], F.xxhash64(text_of(docs[text_col])), docs[lang_col], docs[source_col])
     same = reduce(lambda x, y: x & y, (c.eqNullSafe(bad[f"_bad_{n}"]) for c, n in zip(own, ("id", "hash", "lang", "source"))))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad.hint("merge"), same, "left_anti")  # as it has to be for many rows: a copy at each task only while they are few
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 
 from cueline.functions import normal as nm
 from cueline.functions import text as tx
+from cueline.llm import mixing, quality
 from pyspark.sql import functions as F
 
 
@@ -91,3 +92,11 @@ def test_classes_of_marks(spark):
     for marks in (tx.UNTIMED, "".join(c for c in tx.UNTIMED if c not in "、，, "), ".!?", "、", "abcdefgh.、"):
         got = df.select("c", F.col("c").rlike(f"(?s)^{tx._class(marks)}$").alias("in"), F.col("c").rlike(f"(?s)^{tx._class(marks, True)}$").alias("out")).collect()
         assert all(r["in"] == (r.c in marks) != r["out"] for r in got)
+
+
+def test_verdicts_and_mixes_meet_texts_by_shuffles(spark):
+    """A join that has to shuffle the texts of many rows does so for few, so that what it writes grows with the input."""
+    docs = spark.createDataFrame([(k, "some words of a text " * k, "en", "s") for k in range(40)], "doc_id long, text string, lang string, source string")
+    for out in (quality.kept_documents(docs), mixing.mixed_documents(docs)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
