@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cueline.functions import normal as nm
 from cueline.functions import text as tx
+from cueline.plans.queries import QUERIES
 
 LINES = ["", "a", "ab cd", "x" * 41, "a " * 30, "y" * 39 + " " + "z" * 42, "y" * 40 + " " + "z" * 40 + " " + "x", "w" * 37 + " " + "v" * 5 + " " + "u" * 37, "é😀 " * 20, "one, two. " * 9, "。" + "b" * 50, "c" * 50 + "!", " " * 60, "a" * 8 + "bc", "a" * 7 + "bcd", "a" * 5 + "bc" * 6, "aabb" * 6, None]
 
@@ -33,3 +35,23 @@ def test_filters_ask_no_function_of_single_characters(spark):
     t, x = spark.range(1).select(F.col("id").cast("string").alias("text")), F.col("text")
     plan = t.select(tx.wrap_at_marks(x, 40), tx.wrap_at_blanks(x, 40), tx.noise(x), tx.looping(x))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_measures_of_characters_in_batches(spark):
+    t = spark.createDataFrame([(x,) for x in LINES if x is not None] + [(" \t\u3000",), ("\U0001F600\U0001F601" * 3,)], "text string")
+    x = F.col("text")
+    for r in t.select("text", nm.pair_counts(x).alias("n"), F.size(tx.bigrams(x)).alias("pairs"), nm.dominant_share(x).alias("got"), tx.dominant_share(x).alias("share")).collect():
+        assert (r.n, r.got) == (r.pairs, r.share)
+
+
+def test_overlong_lines(spark):
+    lines = [*LINES, "a" * 60, "a" * 61, "a" * 60 + "\n" + "b" * 60, "a\n" + "b" * 61 + "\n", "\U0001F600" * 60, "\U0001F600" * 61, "a" * 30 + "\r" + "b" * 31, "a" * 30 + "\u2028" + "b" * 30, "\n" * 70]
+    t = spark.createDataFrame([(x,) for x in lines], "text string")
+    for r in t.select("text", tx.overlong(F.col("text"), 60).alias("got")).collect():
+        assert r.got == (None if r.text is None else any(len(x) > 60 for x in r.text.split("\n")))
+
+
+def test_columns_and_converted_ask_no_pairs_by_lambda(spark):
+    d = "/root/testdata/sf0.001"
+    for name, gone in (("tx_columns", "array_intersect"), ("tx_converted", "exists(split")):
+        assert gone not in QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
