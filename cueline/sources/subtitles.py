@@ -26,7 +26,8 @@ def srt_blocks(files: DataFrame, all_blocks: bool = False) -> DataFrame:
     head = r"^\s*(\S+)\s+-->\s+(\S+)\s*(.*)$"
     part = lambda i: F.regexp_extract("head", head, i)
     kept = F.lit(True) if all_blocks else F.contains(F.coalesce("head", F.lit("")), F.lit("-->"))
-    return t.filter(kept).select("file", "block", "id", "head", parse_srt_time(part(1)).alias("start_ms"), parse_srt_time(part(2)).alias("end_ms"), part(3).alias("settings"), "text", "long")
+    t = t.filter(kept).withColumns({"_from": part(1), "_to": part(2)})
+    return t.select("file", "block", "id", "head", parse_srt_time(F.col("_from")).alias("start_ms"), parse_srt_time(F.col("_to")).alias("end_ms"), part(3).alias("settings"), "text", "long")
 
 
 def strict_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,8 @@ def strict_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = srt_blocks(files, all_blocks=True)
     fine = F.col("id").rlike(r"^\d+$") & F.col("start_ms").isNotNull() & (F.col("end_ms") > F.col("start_ms")) & (stripped("text") != "")
     t = t.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy("file", "id", "fine").orderBy("block"))
+    # ``fine`` is no key of the window: a filter on a key is put before it, and the whole scan is then written out for each column that the filter names
+    nth = F.sum(F.col("fine").cast("int")).over(Window.partitionBy("file", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = t.withColumn("ok", F.col("fine") & (nth == 1))
     falls = F.coalesce(F.col("start_ms") < F.lag("start_ms").over(Window.partitionBy("file").orderBy("block")), F.lit(False))
     order = t.filter("ok").withColumn("_f", falls).groupBy("file").agg(F.count(F.lit(1)).alias("cues"), (~F.bool_or("_f")).alias("ordered"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cueline.functions import normal as nm
 from cueline.functions import text as tx
 from cueline.plans.queries import QUERIES
+from cueline.sources import subtitles as sub
 
 LINES = ["", "a", "ab cd", "x" * 41, "a " * 30, "y" * 39 + " " + "z" * 42, "y" * 40 + " " + "z" * 40 + " " + "x", "w" * 37 + " " + "v" * 5 + " " + "u" * 37, "é😀 " * 20, "one, two. " * 9, "。" + "b" * 50, "c" * 50 + "!", " " * 60, "a" * 8 + "bc", "a" * 7 + "bcd", "a" * 5 + "bc" * 6, "aabb" * 6, None]
 
@@ -55,3 +56,12 @@ def test_columns_and_converted_ask_no_pairs_by_lambda(spark):
     d = "/root/testdata/sf0.001"
     for name, gone in (("tx_columns", "array_intersect"), ("tx_converted", "exists(split")):
         assert gone not in QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strict_scan_parses_each_block_once(spark):
+    body = "1\n00:00:01,000 --> 00:00:02,000\na\n\n1\n00:00:03,000 --> 00:00:04,000\nb\n\nx\n00:00:05,000 --> 00:00:06,000\nc\n\n2\n00:00:09,000 --> 00:00:08,000\nd\n\n2\n00:00:09,000 --> 00:00:10,000\ne"
+    cues, status = sub.strict_cues(spark.createDataFrame([("f", body), ("g", "")], "file string, text string"))
+    assert sorted((r.file, r.block, r.id, r.text) for r in cues.collect()) == [("f", 0, "1", "a"), ("f", 4, "2", "e")]
+    assert sorted((r.file, r.status, r.cues, r.rejected) for r in status.collect()) == [("f", "partial_invalid", 2, 3), ("g", "empty", 0, 0)]
+    plan = cues._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
