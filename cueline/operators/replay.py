@@ -59,15 +59,15 @@ def replayed(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions:
     if context:
         t = t.withColumn("text", F.when(echoes(F.col("text"), F.lit(context)), F.lit("")).otherwise(F.col("text")))
     if frame_native and mode == "vad_only":
-        cues = frame_cues(t.withColumn("pos", F.lit(0)).select(*keys, "pos", "start_ms", "end_ms", "text"), keys)
-        cues = cues.select(*keys, F.col("piece").cast("long").alias("i"), F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", F.lit(False).alias("collapsed"))
+        source = ("_source", "source_start_ms", "source_end_ms")
+        cues = frame_cues(t.select(*keys, F.lit(0).alias("pos"), "start_ms", "end_ms", "text", *[F.col(c).alias(n) for c, n in zip(("text", "start_ms", "end_ms"), source)]), keys, source)
+        kept = cues.select(*keys, F.col("piece").cast("long").alias("i"), F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", F.lit(False).alias("collapsed"), *source)
     else:
         own = timing_items(t, items, raw_items, regions, mode, frame_native, most_ms, most, keys)
         cues = aligned_cues(t.select(*keys, "text", F.col("start_ms").alias("offset_ms")), own, most, longest_ms, 0.0, usual_ms, most_ms, True, not frame_native, not frame_native, keys)
-    c = t.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "keep_lo", "keep_hi", F.col("text").alias("_source"), F.col("start_ms").alias("source_start_ms"), F.col("end_ms").alias("source_end_ms"))
-    twice = F.col("start_ms") + F.col("end_ms")
-    kept = cues.join(c, same_keys(cues, c, keys, "_c_"))
-    if not (frame_native and mode == "vad_only"):
+        c = t.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "keep_lo", "keep_hi", F.col("text").alias("_source"), F.col("start_ms").alias("source_start_ms"), F.col("end_ms").alias("source_end_ms"))
+        twice = F.col("start_ms") + F.col("end_ms")
+        kept = cues.join(c, same_keys(cues, c, keys, "_c_"))
         kept = kept.filter((twice >= F.coalesce(F.col("keep_lo") * 2, twice)) & (twice < F.coalesce(F.col("keep_hi") * 2, twice + 1)))
         kept = kept.withColumn("end_ms", F.least(F.greatest("end_ms", F.col("start_ms") + least_ms), F.col("start_ms") + longest_ms))
     kept = kept.select(*keys, F.col("i").alias("pos"), F.round("start_ms").cast("long").alias("start_ms"), F.round("end_ms").cast("long").alias("end_ms"), "text", "collapsed", *[F.when(F.lit(frame_native), F.col(c)).alias(n) for c, n in (("_source", "source_text"), ("source_start_ms", "source_start_ms"), ("source_end_ms", "source_end_ms"))])

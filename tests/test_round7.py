@@ -22,3 +22,8 @@ def test_cut_counts_of_a_track_without_cuts(spark, tmp_path):
     got = sorted(map(tuple, QUERIES["g08_cut_counts"](spark, str(tmp_path)).collect()), key=str)
     assert got == [("cut", 3, 2, 0, 1), ("gap", 2, 2, None, None), ("one", 1, 1, None, None)]
     assert got == by_sql("g08_cut_counts", tmp_path, "events")
+
+
+def test_frames_are_cut_without_meeting_again(spark):
+    plan = QUERIES["g16_replayed_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == plan.count("windowspecdefinition") <= 2 and "regexp_extract_all" not in plan
