@@ -183,8 +183,8 @@ def timed_sources(spark, d):
     e, k = cue_ev(spark, d).withColumnsRenamed({"pos": "chunk", "text": "word"}).withColumn("pos", F.lit(0)), F.col("k")
     c = sg.item_characters(e, 2000).filter(k % 7 != 3).withColumn("ch", F.when(k % 5 == 2, F.lit("#")).otherwise(F.col("ch")))
     a = c.groupBy("track", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ch", "start_ms", "end_ms"))), lambda x: F.struct(x["ch"].alias("ch"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("aligned"))
-    t = e.join(a, ["track", "chunk"], "left").select("track", "chunk", sg.source_times("word", "aligned").alias("t"))
-    return t.select("track", "chunk", F.size("t").alias("characters"), F.round(F.element_at("t.end_ms", -1), 3).alias("end_ms")).filter("characters > 0")
+    t = e.filter(tx.n_timed(F.col("word")) > 0).join(a, ["track", "chunk"], "left").select("track", "chunk", sg.source_times("word", "aligned").alias("t"))  # those with characters
+    return t.select("track", "chunk", F.size("t").alias("characters"), F.round(F.element_at("t.end_ms", -1), 3).alias("end_ms"))
 
 
 def frames(spark, d):

@@ -3,8 +3,10 @@
 from datetime import datetime, timedelta
 
 import duckdb
-
 from cueline.plans.queries import ORACLES, QUERIES
+from cueline.plans.views import cue_ev
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 
 def by_sql(query, folder, *tables):
@@ -27,3 +29,15 @@ def test_cut_counts_of_a_track_without_cuts(spark, tmp_path):
 def test_frames_are_cut_without_meeting_again(spark):
     plan = QUERIES["g16_replayed_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Window") == plan.count("windowspecdefinition") <= 2 and "regexp_extract_all" not in plan
+
+
+def test_events_are_numbered_by_slots(spark, tmp_path):
+    at = lambda s: datetime(2023, 12, 30) + timedelta(seconds=s)
+    rows = [(k, None if k % 50 == 7 else at(k * 7919 % 400_000), k % 3, ("a", "b", None)[k % 3], float(k % 90), "{}") for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    t = cue_ev(spark, str(tmp_path))
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    want = spark.read.parquet(f"{tmp_path}/events.parquet").select("event_type", place, F.unix_millis("ts") - 1704067200000)
+    assert sorted(map(tuple, t.select("track", "pos", "start_ms").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    numbers = [line for line in t._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in line and "Window" in line]
+    assert numbers and all("_slot" in line.split("windowspecdefinition")[1] for line in numbers)
