@@ -69,20 +69,34 @@ def stage_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job", "stage").applyInPandasWithState(_latest, STAGE, "started long, updated long, status string, done double", "update", GroupStateTimeout.NoTimeout)
 
 
-def surviving_cues(stream: DataFrame, window_ms: int, track: str = "string") -> DataFrame:
+def surviving_cues(stream: DataFrame, window_ms: int, track: str = "string", buckets: int = 16_384) -> DataFrame:
     """Cues (``track, text, pos, start_ms, end_ms``) that stay when repeats within a window of the last *surviving* cue of the text go; cues of one text have
-    to come in order of time from batch to batch. State is one number a text and is kept; a stream without end should be cut into tracks that end."""
+    to come in order of time from batch to batch. State is one number a text and is kept; a stream without end should be cut into tracks that end.
+
+    Each call of a Python function has its price, so texts share it: a group is a bucket of texts by hash, its state the texts seen with their numbers. A text has
+    one bucket; ``buckets`` must not change while a stream goes on, and should grow with the texts that are kept."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, kept = state.get[0] if state.exists else None, []
-        for s, e, p in sorted(x for pdf in parts for x in zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["pos"].tolist())):
-            if until is None or s - until > window_ms:
-                until = e
-                kept.append((key[0], p, s, e, key[1]))
-        state.update((until,))
+        known = {(a, b): c for a, b, c in zip(*state.get)} if state.exists else {}
+        rows: dict[tuple, list[tuple]] = {}
+        for pdf in parts:
+            for a, b, *cue in zip(*(pdf[c].tolist() for c in ("track", "text", "start_ms", "end_ms", "pos"))):
+                rows.setdefault((a, b), []).append(tuple(cue))
+        kept = []
+        for of, cues in rows.items():
+            until = known.get(of)
+            for s, e, p in sorted(cues):
+                if until is None or s - until > window_ms:
+                    until = e
+                    kept.append((of[0], p, s, e, of[1]))
+            known[of] = until
+        state.update(([a for a, _ in known], [b for _, b in known], list(known.values())))
         yield pd.DataFrame(kept, columns=["track", "pos", "start_ms", "end_ms", "text"])
 
-    return stream.groupBy("track", "text").applyInPandasWithState(run, f"track {track}, pos int, start_ms long, end_ms long, text string", "until long", "append", GroupStateTimeout.NoTimeout)
+    t = stream.select(F.col("track").cast("string").alias("track"), "text", "pos", "start_ms", "end_ms")  # as strings, so null is one track more
+    t = t.withColumn("bucket", F.pmod(F.xxhash64("track", "text"), F.lit(buckets))).groupBy("bucket")
+    t = t.applyInPandasWithState(run, "track string, pos int, start_ms long, end_ms long, text string", "tracks array<string>, texts array<string>, until array<long>", "append", GroupStateTimeout.NoTimeout)
+    return t.withColumn("track", F.col("track").cast(track))
 
 
 def drained(result: DataFrame, folder: str, mode: str = "append") -> DataFrame:

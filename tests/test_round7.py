@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 from cueline.plans.queries import ORACLES, QUERIES
 from cueline.plans.views import cue_ev
+from cueline.streaming import sessions as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,3 +42,27 @@ def test_events_are_numbered_by_slots(spark, tmp_path):
     assert sorted(map(tuple, t.select("track", "pos", "start_ms").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     numbers = [line for line in t._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in line and "Window" in line]
     assert numbers and all("_slot" in line.split("windowspecdefinition")[1] for line in numbers)
+
+
+def test_survivors_share_a_bucket(spark, tmp_path):
+    rows = [(k % 3 or None, ("x", "y", None)[k * 7 % 5 % 3], k, k * 1000 - k % 4, k * 1000 + 500) for k in range(60)]
+    kind, folder = "track long, text string, pos int, start_ms long, end_ms long", f"{tmp_path}/in"
+    for k in (0, 30):  # two files, read one a batch, so that numbers are kept from one to the next
+        spark.createDataFrame(rows[k : k + 30], kind).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+    until, want = {}, []
+    for track, text, pos, start, end in sorted(rows, key=lambda r: r[3]):
+        if (track, text) not in until or start - until[track, text] > 7000:
+            until[track, text] = end
+            want.append((track, pos, start, end, text))
+    got = st.drained(st.surviving_cues(stream, 7000, "long", buckets=2), f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) < 60
+    names = got.columns
+    assert names == ["track", "pos", "start_ms", "end_ms", "text"] and dict(got.dtypes)["track"] == "bigint"
+
+
+def test_survivors_ask_fewer_groups_than_texts(spark):
+    """Grouping by bucket: the number of calls does not grow with the texts."""
+    rows = spark.readStream.format("rate").load().selectExpr("value as track", "cast(value as string) as text", "1 as pos", "value as start_ms", "value as end_ms")
+    plan = st.surviving_cues(rows, 1, "long")._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(track" in plan and "bucket" in plan
