@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.normal import ratio
 from ..functions.text import UNTIMED, compact
-from .intervals import islands, same_keys
+from .intervals import SLOT, islands, same_keys
 
 KEYS, ORDER = ("track",), ("start_ms", "end_ms", "pos")
 Rows = Iterable[dict]
@@ -60,6 +60,13 @@ def folded(df: DataFrame, fold: Callable[[Rows], Iterator[dict]], keys: Sequence
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
+def reach(df: DataFrame, gap: int, keys: Sequence[str] = KEYS) -> int | None:
+    """``gap``, or None if no track spans more than one slot of time (a look at starts, by a job of its own): the rows of a slot meet in one task to be cut, so there
+    is nothing to gain, and the texts of all rows would be moved several times."""
+    slot = F.floor(F.col("start_ms") / SLOT)
+    return None if df.groupBy(*keys).agg(F.min(slot).alias("_a"), F.max(slot).alias("_b")).filter("_a < _b").isEmpty() else gap
+
+
 def worse(a: dict, b: dict) -> dict:
     """The worst confidence of two cues, where there is any."""
     pick = lambda f, k: f(x for x in (a.get(k), b.get(k)) if x is not None) if (a.get(k), b.get(k)) != (None, None) else None
@@ -109,7 +116,7 @@ def close_cues(rows: Rows, max_gap: int, max_chars: int, max_ms: int) -> Iterato
 
 def merge_close(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Join neighbours less than ``max_gap`` apart within bounds of timed characters and length, but not near duplicates. Null texts are empty."""
-    return folded(texts(df), lambda rows: close_cues(rows, max_gap, max_chars, max_ms), keys, max_gap)
+    return folded(texts(df), lambda rows: close_cues(rows, max_gap, max_chars, max_ms), keys, reach(df, max_gap, keys))
 
 
 def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -119,7 +126,7 @@ def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms:
         for region, run in groupby(rows, key=lambda r: r["region_ms"]):
             yield from run if region is None else close_cues(run, max_gap, max_chars, max_ms)
 
-    return folded(texts(df), fold, keys, max_gap)
+    return folded(texts(df), fold, keys, reach(df, max_gap, keys))
 
 
 def same_start_piles(df: DataFrame, tolerance_ms: int = 50, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -165,9 +172,9 @@ def squeezed_duplicates(df: DataFrame, max_gap: int, least: float, squeeze_ms: i
 
 def windowed_dedup(df: DataFrame, window_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cues that stay when those go that start at most ``window_ms`` after the end of a *surviving* cue of equal text (blanks
-    aside); cues without text go. Rows are dealt by text, so a long run of one text needs no memory."""
+    aside); cues without text go. Rows are dealt by a digest of the text (SHA-256), so a long run of one text needs no memory."""
     names = df.columns
-    t = df.withColumn("_text", compact(F.col("text"))).filter("_text <> ''")
+    t = df.withColumn("_text", compact(F.col("text"))).filter("_text <> ''").withColumn("_text", F.unhex(F.sha2("_text", 256)))
 
     def fold(rows: Rows) -> Iterator[dict]:
         until = None
@@ -176,7 +183,7 @@ def windowed_dedup(df: DataFrame, window_ms: int, keys: Sequence[str] = KEYS) ->
                 until = r["end_ms"]
                 yield r
 
-    return folded(t, fold, [*keys, "_text"], window_ms).select(*names)
+    return folded(t, fold, [*keys, "_text"], reach(df, window_ms, keys)).select(*names)
 
 
 #: Ends of segments that were cut while speech went on; they name a boundary before a group's cap does.

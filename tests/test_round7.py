@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import duckdb
+from cueline.operators import folds as fo
 from cueline.plans.queries import ORACLES, QUERIES
 from cueline.plans.views import cue_ev
 from cueline.streaming import sessions as st
@@ -66,3 +67,18 @@ def test_survivors_ask_fewer_groups_than_texts(spark):
     rows = spark.readStream.format("rate").load().selectExpr("value as track", "cast(value as string) as text", "1 as pos", "value as start_ms", "value as end_ms")
     plan = st.surviving_cues(rows, 1, "long")._jdf.queryExecution().analyzed().toString()
     assert "pmod(xxhash64(track" in plan and "bucket" in plan
+
+
+def test_short_tracks_are_not_cut(spark):
+    kind = "track string, pos int, start_ms long, end_ms long, text string, region_ms long"
+    day = 86_400_000
+    short = [("t", k, k * 1000, k * 1000 + 900, "abc"[k % 3] * 2, 0) for k in range(9)] + [(None, 1, 5, 6, "x", 0), (None, 2, 7, 8, " x", 0), (None, 3, 9, 10, None, 0)]
+    long = [("u", k, k * day // 2, k * day // 2 + 500, "z", 0) for k in range(5)]
+    for rows, cut in ((short, False), (short + long, True)):
+        t = spark.createDataFrame(rows, kind)
+        kept, merged = fo.windowed_dedup(t, 2500), fo.merge_close_in_regions(t, 200, 80, 12_000)
+        for q in (kept, merged):
+            assert ("_slot" in q._jdf.queryExecution().optimizedPlan().toString()) == cut
+        got = sorted(((r.track, r.pos) for r in kept.collect()), key=str)
+        assert got == sorted([("t", 0), ("t", 1), ("t", 2), ("t", 6), ("t", 7), ("t", 8), (None, 1)] + ([("u", k) for k in range(5)] if cut else []), key=str)
+        assert sorted((r.track, r.pos) for r in merged.collect() if r.track) == ([("t", 0), ("u", 0), ("u", 1), ("u", 2), ("u", 3), ("u", 4)] if cut else [("t", 0)])
