@@ -44,10 +44,11 @@ def speech_regions(files: DataFrame) -> DataFrame:
     numbers or of no length; a chunk without a readable start begins at 0."""
     chunks = F.from_json("text", "struct<chunks:array<string>>").getField("chunks")
     t = files.select("file", F.explode(chunks).alias("c"))
-    t = t.select("file", F.coalesce(F.expr("try_cast(get_json_object(c, '$.start') as double)"), F.lit(0.0)).alias("base"), F.explode(F.from_json(F.get_json_object("c", "$.speech_regions"), "array<string>")).alias("r"))
-    r = F.from_json("r", "array<string>")
-    at = lambda i: F.expr(f"try_cast(get(from_json(r, 'array<string>'), {i}) as double)")
-    t = t.filter(F.size(r) >= 2).select("file", _ms(F.greatest(F.col("base") + at(0), F.lit(0.0))).alias("start_ms"), _ms(F.col("base") + at(1)).alias("end_ms"), (F.col("base") + at(0)).alias("s"))
+    t = t.select("file", F.from_json("c", "struct<start:string,speech_regions:string>").alias("c"))
+    regions = F.transform(F.from_json("c.speech_regions", "array<string>"), lambda r: F.from_json(r, "array<string>"))  # each is read once, and exploded before it is asked for its bounds
+    t = t.select("file", F.coalesce(F.col("c.start").try_cast("double"), F.lit(0.0)).alias("base"), F.explode(regions).alias("r")).filter(F.size("r") >= 2)
+    a, b = (F.col("base") + F.get("r", F.lit(k)).try_cast("double") for k in (0, 1))
+    t = t.select("file", _ms(F.greatest(a, F.lit(0.0))).alias("start_ms"), _ms(b).alias("end_ms"), a.alias("s"))
     return merge_intervals(t.filter("s is not null and end_ms is not null and end_ms > s * 1000").drop("s"), ["file"])
 
 

@@ -6,6 +6,7 @@ import duckdb
 from cueline.operators import folds as fo
 from cueline.plans.queries import ORACLES, QUERIES
 from cueline.plans.views import cue_ev
+from cueline.sources import dumps as du
 from cueline.streaming import sessions as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -82,3 +83,11 @@ def test_short_tracks_are_not_cut(spark):
         got = sorted(((r.track, r.pos) for r in kept.collect()), key=str)
         assert got == sorted([("t", 0), ("t", 1), ("t", 2), ("t", 6), ("t", 7), ("t", 8), (None, 1)] + ([("u", k) for k in range(5)] if cut else []), key=str)
         assert sorted((r.track, r.pos) for r in merged.collect() if r.track) == ([("t", 0), ("u", 0), ("u", 1), ("u", 2), ("u", 3), ("u", 4)] if cut else [("t", 0)])
+
+
+def test_regions_are_read_once(spark):
+    chunks = '{"chunks": [{"start": 1.5, "speech_regions": [[0, 1], [2], ["x", 3], 7, [1.0, "2.5"], [4, 3], null]}, {"start": "?", "speech_regions": [[0.25, 0.5]]}, {"speech_regions": {"a": 1}}, 5, [1], {"start": 9}]}'
+    t = du.speech_regions(spark.createDataFrame([("f", chunks), ("g", "[1]"), ("h", "{"), ("i", None)], "file string, text string"))
+    assert sorted(map(tuple, t.collect())) == [("f", 250, 500), ("f", 1500, 4000)]
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "try_cast(get(from_json" not in plan
