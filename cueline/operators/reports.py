@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, phrase_key
+from ..sources.folders import settled
 from .intervals import full_span_gaps, gaps, merge_intervals, overlap_ms
 
 KEYS = ("track",)
@@ -92,6 +93,7 @@ def repeated_phrases(cues: DataFrame, least: int, no_speech: float, logprob: flo
     t = cues.withColumn("phrase", phrase_key(F.col("text"))).filter("phrase <> ''")
     groups = t.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("times"), F.median("no_speech_prob").alias("ns"), F.median("avg_logprob").alias("lp"))
     groups = groups.withColumn("cores", F.filter(F.array(*map(F.lit, risky)), lambda p: F.contains(F.col("phrase"), p)) if risky else F.array().cast("array<string>"))
+    groups = settled(groups)  # what follows asks for them three times
     totals = groups.select(*keys, "times", F.explode("cores").alias("core")).groupBy(*keys, "core").agg(F.sum("times").alias("n")).filter(F.col("n") >= risky_most)
     hit = groups.select(*keys, "phrase", F.explode("cores").alias("core")).join(totals, [*keys, "core"], "left_semi").select(*keys, "phrase").distinct().withColumn("risky", F.lit(risky_most > 0))
     t = groups.join(hit, [*keys, "phrase"], "left")

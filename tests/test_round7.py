@@ -91,3 +91,8 @@ def test_regions_are_read_once(spark):
     assert sorted(map(tuple, t.collect())) == [("f", 250, 500), ("f", 1500, 4000)]
     plan = t._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and "try_cast(get(from_json" not in plan
+
+
+def test_phrases_are_counted_once(spark):
+    plan = QUERIES["a07_without_phrases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in plan and "percentile" not in plan and plan.count("documents.parquet") + plan.count("posexplode") <= 2
