@@ -62,13 +62,30 @@ def _sign(c: str) -> str:
     return unicodedata.normalize("NFKC", c)
 
 
+@cache
+def filler_signs(cores: tuple[str, ...] = FILLERS + REPLIES) -> str:
+    """The characters, of the first 65,536, that a filler may begin with, in any compatible form."""
+    firsts = {k[0] for k in cores}
+    return "".join(c for c in map(chr, range(0x10000)) if unicodedata.normalize("NFKC", c) in firsts)
+
+
+@cache
+def _patterns(cores: tuple[str, ...], least: int) -> dict[str, list[tuple[str, re.Pattern]]]:
+    """By first sign: fillers, longest first, with the pattern of their runs as cells."""
+    found: dict[str, list[tuple[str, re.Pattern]]] = {}
+    for k in sorted(cores, key=len, reverse=True):
+        found.setdefault(k[0], []).append((k, re.compile("(?:" + "[,;]".join(map(re.escape, k)) + "[,;]){%d,}" % least)))
+    return found
+
+
 def filler_runs(shown: Sequence[str], cores: Sequence[str] = FILLERS + REPLIES, whole: Sequence[str] = FILLERS, least: int = 3) -> list[bool]:
     """Which of a row of characters (each with the marks behind it) stay when runs of one filler, ``least`` times or more and each time parted by a mark, are
     left with one: the last of them before other characters, the first at the end. Small kana and lengtheners go with the character before.
 
     The row is written as cells of two signs, a character and whether a mark parts it from the next cell, so that a run is a match of a pattern.
     """
-    if {_sign(t[:1]) for t in shown}.isdisjoint({k[0] for k in cores}):
+    firsts = {k[0] for k in cores}
+    if {_sign(t[:1]) for t in shown}.isdisjoint(firsts):
         return [True] * len(shown)
     cells: list[list[int]] = []  # places of the characters of each cell; the first may hold only small ones
     signs = []
@@ -85,10 +102,13 @@ def filler_runs(shown: Sequence[str], cores: Sequence[str] = FILLERS + REPLIES,
     parted = ["," if any(c in PARTING for c in shown[own[-1]][1:]) else ";" for own in cells]
     row = "".join(c + p for c, p in zip(signs, parted))
     stay, at = [True] * len(shown), 0
-    by_length = [(k, re.compile("(?:" + "[,;]".join(map(re.escape, k)) + "[,;]){%d,}" % least)) for k in sorted(cores, key=len, reverse=True)]
+    by_length = _patterns(tuple(cores), least)
     while at < len(cells):
+        if signs[at] not in firsts:
+            at += 1
+            continue
         size = end = 0
-        for k, pattern in by_length:
+        for k, pattern in by_length[signs[at]]:
             if m := pattern.match(row, 2 * at):
                 n = (m.end() - m.start()) // (2 * len(k))
                 marks = row[m.start() + 2 * len(k) - 1 : m.end() - 1 : 2 * len(k)]

@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import compress
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fragments import belongs, filler_runs
-from ..functions.text import SENTENCE_ENDS, UNTIMED
+from ..functions.fragments import WIDEST_MS, belongs, filler_runs, filler_signs
+from ..functions.text import SENTENCE_ENDS, WHITE_SPACE
 from .signals import item_characters, source_times
-from .units import Unit, item_times, over_units
+from .units import Made, Units, item_times, over_units, sums, table
 
 KEYS = ("track", "chunk")
 #: Marks after which a cue is cut best; the shortest pause to cut at and the one that makes an ellipsis an end, in milliseconds; the longest
 #: span of a cue that has no time of its own.
 BREAKS, PAUSE_MS, ELLIPSIS_MS, POINT_MS = "。、，,！？!?…．", 120, 400, 1
-_BREAK = re.compile(f"[^{re.escape(UNTIMED)}][{re.escape(UNTIMED)}]*[{re.escape(BREAKS)}]")  # among the marks behind the character
 #: Characters that are looked at behind a pause.
 AHEAD = 8
 
 
 def character_stream(texts: DataFrame, items: DataFrame, most_ms: float, authoritative: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``starts, ends``: the times of the characters of each chunk in order, as lists. As the items have them (``item_times``), or, if the text is
-    authoritative, for every timed character of the text (``source_times``)."""
+    """The times of the characters of each chunk in order, as lists: those of its items (``item_times``), or, if the text is authoritative, ``starts, ends`` of
+    every timed character of the text (``source_times``)."""
     if not authoritative:
         return item_times(items, most_ms, keys)
     lists = item_characters(items, most_ms, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "k", "ch", "start_ms", "end_ms"))).alias("_a"))  # of one chunk
@@ -33,127 +31,147 @@ def character_stream(texts: DataFrame, items: DataFrame, most_ms: float, authori
     return times.select(*keys, *[F.transform("_t", lambda x: x[c]).alias(n) for c, n in (("start_ms", "starts"), ("end_ms", "ends"))])  # noqa: B023
 
 
-class Tokens:
-    """The characters of a unit as far as they have times: each as it is shown, with the marks behind it (the unit's first also with those before), its start, its end and
-    its place in the stream (from 1). What the stream is too short for is shown with the last of them."""
-
-    def __init__(self, i: list[int], shown: list[str], starts: list[float], ends: list[float]):
-        self.i, self.shown, self.starts, self.ends = i, shown, starts, ends
-
-    @classmethod
-    def of(cls, at: int, shown: list[str], starts: list[float], ends: list[float]) -> Tokens | None:
-        n = len(starts)
-        if not n:
-            return None
-        return cls(list(range(at + 1, at + n + 1)), shown if n == len(shown) else [*shown[: n - 1], "".join(shown[n - 1 :])], starts, ends)
-
-    def __len__(self) -> int:
-        return len(self.i)
-
-    def part(self, lo: int, hi: int) -> Tokens:
-        return Tokens(self.i[lo:hi], self.shown[lo:hi], self.starts[lo:hi], self.ends[lo:hi])
-
-    def staying(self, stay: Sequence[bool]) -> Tokens:
-        return self if all(stay) else Tokens(*(list(compress(x, stay)) for x in (self.i, self.shown, self.starts, self.ends)))
-
-    def text(self) -> str:
-        return "".join(self.shown)
-
-
-def breaks(shown: str) -> bool:
-    """Whether a cue may end behind a character, by its marks."""
-    return len(shown) > 1 and _BREAK.search(shown) is not None
-
-
-def cut_at_pauses(tokens: Tokens, usual_ms: float, ellipses_end: bool) -> Iterator[Tokens]:
-    """Segments of a unit: cut at pauses longer than usual that are not inside a phrase (``belongs``) and, unless ellipses end sentences anyway, at shorter
-    ones behind an ellipsis."""
-    lo, shown, starts, ends = 0, tokens.shown, tokens.starts, tokens.ends
-    least = usual_ms if ellipses_end else min(usual_ms, ELLIPSIS_MS)
-    for k in range(1, len(tokens)):
-        gap = starts[k] - ends[k - 1]
-        if gap > least:
-            trails = not ellipses_end and "…" in shown[k - 1] and gap > ELLIPSIS_MS
-            if trails or (gap > usual_ms and not belongs("".join(shown[lo:k]), "".join(shown[k : k + AHEAD]), gap, usual_ms)):
-                yield tokens.part(lo, k)
-                lo = k
-    yield tokens.part(lo, len(tokens)) if lo else tokens
-
-
-def cut_to_budget(tokens: Tokens, most: int, longest_ms: float, pause_ms: float = PAUSE_MS) -> Iterator[Tokens]:
-    """Pieces of a segment of at most ``most`` characters that don't go on past ``longest_ms``. A full piece is cut behind the last mark in it, else at its largest
-    pause of ``pause_ms`` or more (the last of equals, the one behind it included), else where it is full."""
-    lo, n, starts, ends = 0, len(tokens), tokens.starts, tokens.ends
-    while lo < n:
-        hi, last = lo + 1, min(n, lo + most)
-        while hi < last and not ends[hi - 1] - starts[lo] > longest_ms:
-            hi += 1
-        if hi < n:
-            cut = next((k for k in range(hi, lo, -1) if breaks(tokens.shown[k - 1])), 0)
-            if not cut:
-                pauses = [(gap, k) for k in range(lo + 1, hi + 1) if (gap := starts[k] - ends[k - 1]) >= pause_ms]
-                cut = max(pauses)[1] if pauses else hi
-            hi = cut
-        yield tokens.part(lo, hi)
-        lo = hi
-
-
-def _units(units: Iterable[Unit]) -> Iterator[tuple[int, Tokens]]:
-    for unit, at, shown, starts, ends in units:
-        if tokens := Tokens.of(at, shown, starts, ends):
-            yield unit, tokens
-
-
-def _exploded(t: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Rows of lists as rows of characters."""
-    return t.select(*[c for c in t.columns if c not in names], F.explode(F.arrays_zip(*names)).alias("_x")).select(*keys, *[c for c in t.columns if c not in (*keys, *names)], *[F.col(f"_x.{c}") for c in names])
+def breaks(u: Units) -> np.ndarray:
+    """Whether a cue may end behind a token, by its marks."""
+    return u.count(BREAKS, u.place + 1, u.end) > 0
+
+
+def _firsts(u: Units) -> np.ndarray:
+    """Which tokens are the first of their unit."""
+    out = np.zeros(len(u.i), bool)
+    out[u.lo[u.hi > u.lo]] = True
+    return out
+
+
+def cut_at_pauses(u: Units, usual_ms: float, ellipses_end: bool) -> np.ndarray:
+    """First tokens of the segments of units: cut at pauses longer than usual that are not inside a phrase (``belongs``) and, unless ellipses end sentences anyway, at shorter
+    ones behind an ellipsis. Only pauses are looked at one by one."""
+    new = _firsts(u)
+    gap = np.append(-np.inf, u.starts[1:] - u.ends[:-1])[: len(new)]
+    at = np.flatnonzero((gap > (usual_ms if ellipses_end else min(usual_ms, ELLIPSIS_MS))) & ~new)
+    trails = np.zeros(len(at), bool) if ellipses_end else (u.count("…", u.begin[at - 1], u.end[at - 1]) > 0) & (gap[at] > ELLIPSIS_MS)
+    own = np.searchsorted(u.lo, at, "right") - 1
+    last = np.minimum(at + AHEAD, u.hi[own]) - 1
+    lo = 0
+    for k, first, pause, sure, begin, right in zip(at.tolist(), u.lo[own].tolist(), gap[at].tolist(), trails.tolist(), u.begin[at].tolist(), u.end[last].tolist()):
+        lo = max(lo, first)
+        if sure or (pause > usual_ms and not (pause <= WIDEST_MS and belongs(u.text[u.begin[lo] : begin], u.text[begin:right], pause, usual_ms))):
+            new[k] = True
+            lo = k
+    return np.flatnonzero(new)
+
+
+def free_of_fillers(u: Units, lo: np.ndarray) -> np.ndarray:
+    """Lets the repeats of one filler (``filler_runs``) within segments, whose first tokens are given, go; their first tokens after that. Only segments that hold a filler's first sign are looked at."""
+    hi = np.append(lo[1:], len(u.i))[: len(lo)]
+    signs = table(filler_signs())
+    signs[0xFFFF] = True  # what lies beyond the table is looked at too
+    found = sums(signs[u.code16[u.begin]])
+    stay = np.ones(len(u.i), bool)
+    for k in np.flatnonzero(found[hi] > found[lo]).tolist():
+        a, b = lo[k], hi[k]
+        stay[a:b] = filler_runs([u.text[x:y] for x, y in zip(u.begin[a:b].tolist(), u.end[a:b].tolist())])
+    return lo if stay.all() else u.keep(stay, lo, hi)[0]
+
+
+def cut_to_budget(lo: np.ndarray, starts: np.ndarray, ends: np.ndarray, brk: np.ndarray, most: int, longest_ms: float, pause_ms: float = PAUSE_MS) -> np.ndarray:
+    """First tokens of the pieces of segments, whose first tokens are given: pieces of at most ``most`` characters that don't go on past ``longest_ms``. A full piece is cut behind
+    the last mark in it, else at its largest pause of ``pause_ms`` or more (the last of equals, the one behind it included), else where it is full. The next pieces of all segments are
+    sought side by side."""
+    n = len(starts)
+    gap = np.append(-np.inf, starts[1:] - ends[:-1])[:n]
+    last_break = np.maximum.accumulate(np.where(brk, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    at, to, out = lo, np.append(lo[1:], n)[: len(lo)], []
+    while len(at):
+        out.append(at)
+        full = np.minimum(to, at + most)
+        hi, open_ = full.copy(), np.arange(len(at))
+        for k in range(1, most):
+            open_ = open_[at[open_] + k < full[open_]]
+            if not len(open_):
+                break
+            past = ends[at[open_] + k - 1] - starts[at[open_]] > longest_ms
+            hi[open_[past]] = at[open_[past]] + k
+            open_ = open_[~past]
+        more = hi < to
+        at, hi, to = at[more], hi[more], to[more]
+        cut = last_break[hi - 1] + 1
+        none = np.flatnonzero(cut <= at)
+        cut[none] = hi[none]
+        widest = np.full(len(none), -np.inf)
+        for k in range(1, most + 1):
+            inside = at[none] + k <= hi[none]
+            none, widest = none[inside], widest[inside]
+            if not len(none):
+                break
+            pause = gap[at[none] + k]
+            wider = (pause >= pause_ms) & (pause >= widest)
+            widest[wider] = pause[wider]
+            cut[none[wider]] = at[none[wider]] + k
+        at = cut
+    return np.sort(np.concatenate(out)) if out else lo
+
+
+def _rows(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk and unit of each token."""
+    size = u.hi - u.lo
+    return np.repeat(u.of, size), np.repeat(u.number, size)
+
+
+def _places(lo: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Numbers (from 0) of ranges, whose first tokens are given, within others."""
+    own = np.searchsorted(within, lo, "right") - 1
+    return np.arange(len(lo)) - np.searchsorted(own, own)
 
 
 def timed_tokens(texts: DataFrame, stream: DataFrame, longest: int, ends: str = SENTENCE_ENDS, soft: str = "、", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The characters of each sentence unit with their times: ``unit, i, shown, start_ms, end_ms, brk`` (see ``Tokens``); ``brk``: a cue may end there.
+    """The characters of each sentence unit with their times: ``unit, i, shown, start_ms, end_ms, brk`` (see ``Units``); ``brk``: a cue may end there.
 
     Units take characters of the stream (``i``) in turn. A unit without any has no rows. Null texts and chunks without a stream have none.
     """
 
-    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
-        for unit, t in _units(units):
-            yield unit, t.i, t.shown, t.starts, t.ends, [breaks(x) for x in t.shown]
+    def fold(u: Units) -> Made:
+        of, unit = _rows(u)
+        return of, (unit, u.i, u.shown(np.arange(len(of))), u.starts, u.ends, breaks(u))
 
-    names = ("i", "shown", "start_ms", "end_ms", "brk")
-    rows = over_units(texts, stream, longest, fold, "unit int, i array<long>, shown array<string>, start_ms array<double>, end_ms array<double>, brk array<boolean>", ends, soft, keys)
-    return _exploded(rows, keys, names)
+    return over_units(texts, stream, longest, fold, "unit int, i long, shown string, start_ms double, end_ms double, brk boolean", ends, soft, keys)
 
 
 def budget_pieces(texts: DataFrame, stream: DataFrame, longest: int, most: int, longest_ms: float, pause_ms: float = PAUSE_MS, keys: Sequence[str] = KEYS) -> DataFrame:
     """``unit, piece`` (from 0), ``i``: the characters of ``timed_tokens`` with the piece that ``cut_to_budget`` puts them into, unit by unit."""
 
-    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
-        for unit, t in _units(units):
-            yield from ((unit, piece, own.i) for piece, own in enumerate(cut_to_budget(t, most, longest_ms, pause_ms)))
+    def fold(u: Units) -> Made:
+        first = np.flatnonzero(_firsts(u))
+        lo = cut_to_budget(first, u.starts, u.ends, breaks(u), most, longest_ms, pause_ms)
+        of, unit = _rows(u)
+        return of, (unit, np.repeat(_places(lo, first), np.diff(np.append(lo, len(of)))), u.i)
 
-    return _exploded(over_units(texts, stream, longest, fold, "unit int, piece int, i array<long>", keys=keys), keys, ("i",))
+    return over_units(texts, stream, longest, fold, "unit int, piece int, i long", keys=keys)
 
 
 def without_filler_runs(texts: DataFrame, stream: DataFrame, longest: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """``unit, i, shown``: the characters of ``timed_tokens`` without the repeats of one filler (``filler_runs``), unit by unit."""
 
-    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
-        for unit, t in _units(units):
-            t = t.staying(filler_runs(t.shown))
-            yield unit, t.i, t.shown
+    def fold(u: Units) -> Made:
+        free_of_fillers(u, np.flatnonzero(_firsts(u)))
+        of, unit = _rows(u)
+        return of, (unit, u.i, u.shown(np.arange(len(of))))
 
-    return _exploded(over_units(texts, stream, longest, fold, "unit int, i array<long>, shown array<string>", keys=keys), keys, ("i", "shown"))
+    return over_units(texts, stream, longest, fold, "unit int, i long, shown string", keys=keys)
 
 
 def token_pieces(texts: DataFrame, stream: DataFrame, most: int, longest_ms: float, usual_ms: float, by_pauses: bool = True, fillers: bool = True, ellipses_end: bool = True, keys: Sequence[str] = KEYS, columns: Sequence[str] = ()) -> DataFrame:
     """``unit, segment, piece, i`` (of the first character), ``start_ms, end_ms, shown``: units cut at pauses, freed of runs of fillers, cut to the budget."""
 
-    def fold(units: Iterable[Unit]) -> Iterator[tuple]:
-        for unit, t in _units(units):
-            for number, segment in enumerate(cut_at_pauses(t, usual_ms, ellipses_end) if by_pauses else [t]):
-                if fillers:
-                    segment = segment.staying(filler_runs(segment.shown))
-                yield from ((unit, number, piece, own.i[0], own.starts[0], own.ends[-1], own.text()) for piece, own in enumerate(cut_to_budget(segment, most, longest_ms)))
+    def fold(u: Units) -> Made:
+        segments = cut_at_pauses(u, usual_ms, ellipses_end) if by_pauses else np.flatnonzero(_firsts(u))
+        if fillers:
+            segments = free_of_fillers(u, segments)
+        lo = cut_to_budget(segments, u.starts, u.ends, breaks(u), most, longest_ms)
+        of, unit = (x[lo] for x in _rows(u))
+        own = segments[np.searchsorted(segments, lo, "right") - 1]
+        first = np.flatnonzero(_firsts(u))
+        return of, (unit, _places(segments, first)[np.searchsorted(segments, own)], _places(lo, segments), u.i[lo], u.starts[lo], u.ends[np.append(lo[1:], len(u.i))[: len(lo)] - 1], u.shown(lo))
 
     return over_units(texts, stream, most, fold, "unit int, segment int, piece int, i long, start_ms double, end_ms double, shown string", soft="、" if ellipses_end else "、…", keys=keys, columns=columns)
 
@@ -163,7 +181,7 @@ def cues_of_pieces(pieces: DataFrame, least_ms: float, longest_ms: float, offset
     ``longest_ms`` at most; it is ``collapsed`` if its characters have no span. Cues without text go."""
     offset = offset if isinstance(offset, Column) else F.lit(float(offset))
     a, b = offset + F.col("start_ms"), offset + F.col("end_ms")
-    text = F.regexp_replace("shown", r"(?U)^\s+|\s+$", "")
+    text = F.btrim("shown", F.lit(WHITE_SPACE))
     t = pieces.select(*keys, "i", a.alias("start_ms"), F.least(F.greatest(b, a + least_ms), a + longest_ms).alias("end_ms"), text.alias("text"), (b - a <= POINT_MS).alias("collapsed"))
     return t.filter("text <> ''")
 
