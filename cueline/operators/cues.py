@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fragments import WIDEST_MS, belongs, filler_runs, filler_signs
@@ -26,6 +26,8 @@ def character_stream(texts: DataFrame, items: DataFrame, most_ms: float, authori
     every timed character of the text (``source_times``)."""
     if not authoritative:
         return item_times(items, most_ms, keys)
+    if "choice" in items.columns:
+        items = items.withColumn("_least", F.min("choice").over(Window.partitionBy(*keys))).filter("choice = _least")
     lists = item_characters(items, most_ms, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "k", "ch", "start_ms", "end_ms"))).alias("_a"))  # of one chunk
     times = texts.join(lists, list(keys), "left").select(*keys, source_times("text", F.transform("_a", lambda x: F.struct(x["ch"], x["start_ms"], x["end_ms"]))).alias("_t"))
     return times.select(*keys, *[F.transform("_t", lambda x: x[c]).alias(n) for c, n in (("start_ms", "starts"), ("end_ms", "ends"))])  # noqa: B023
@@ -176,25 +178,25 @@ def token_pieces(texts: DataFrame, stream: DataFrame, most: int, longest_ms: flo
     return over_units(texts, stream, most, fold, "unit int, segment int, piece int, i long, start_ms double, end_ms double, shown string", soft="、" if ellipses_end else "、…", keys=keys, columns=columns)
 
 
-def cues_of_pieces(pieces: DataFrame, least_ms: float, longest_ms: float, offset: Column | float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One cue for each of ``token_pieces``: ``i`` (of its first character), ``start_ms, end_ms, text, collapsed``. A cue lasts ``least_ms`` at least and
+def cues_of_pieces(pieces: DataFrame, least_ms: float, longest_ms: float, offset: Column | float = 0.0, keys: Sequence[str] = KEYS, columns: Sequence[str] = ()) -> DataFrame:
+    """One cue for each of ``token_pieces``: ``i`` (of its first character), ``start_ms, end_ms, text, collapsed``, and ``columns``. A cue lasts ``least_ms`` at least and
     ``longest_ms`` at most; it is ``collapsed`` if its characters have no span. Cues without text go."""
     offset = offset if isinstance(offset, Column) else F.lit(float(offset))
     a, b = offset + F.col("start_ms"), offset + F.col("end_ms")
     text = F.btrim("shown", F.lit(WHITE_SPACE))
-    t = pieces.select(*keys, "i", a.alias("start_ms"), F.least(F.greatest(b, a + least_ms), a + longest_ms).alias("end_ms"), text.alias("text"), (b - a <= POINT_MS).alias("collapsed"))
+    t = pieces.select(*keys, "i", a.alias("start_ms"), F.least(F.greatest(b, a + least_ms), a + longest_ms).alias("end_ms"), text.alias("text"), (b - a <= POINT_MS).alias("collapsed"), *columns)
     return t.filter("text <> ''")
 
 
-def aligned_cues(texts: DataFrame, items: DataFrame, most: int = 30, longest_ms: float = 7000, least_ms: float = 500, usual_ms: float = 1500, most_ms: float = 500, fillers: bool = True, ellipses_end: bool = True, by_pauses: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
+def aligned_cues(texts: DataFrame, items: DataFrame, most: int = 30, longest_ms: float = 7000, least_ms: float = 500, usual_ms: float = 1500, most_ms: float = 500, fillers: bool = True, ellipses_end: bool = True, by_pauses: bool = True, keys: Sequence[str] = KEYS, columns: Sequence[str] = ()) -> DataFrame:
     """Cues of chunks (``text``, and ``offset_ms`` if there is one) from their aligned items (``pos, word, start_ms, end_ms``): ``i, start_ms, end_ms, text,
-    collapsed``.
+    collapsed``, and ``columns`` of the chunk.
 
     The text says what is shown, the items only when. Without ``by_pauses`` pauses cut nothing and the text is authoritative: characters that the items lack
     are timed by their neighbours. Null texts, texts without timed characters and (unless authoritative) chunks without items have no cues; null items
     are passed over.
     """
     offset = F.col("offset_ms") if "offset_ms" in texts.columns else F.lit(0.0)
-    t = texts.filter("text is not null").select(*keys, "text", offset.cast("double").alias("_offset"))
-    pieces = token_pieces(t, character_stream(t, items, most_ms, not by_pauses, keys), most, longest_ms, usual_ms, by_pauses, fillers, ellipses_end, keys, ["_offset"])
-    return cues_of_pieces(pieces, least_ms, longest_ms, F.col("_offset"), keys)
+    t = texts.filter("text is not null").select(*keys, "text", offset.cast("double").alias("_offset"), *columns)
+    pieces = token_pieces(t, character_stream(t, items, most_ms, not by_pauses, keys), most, longest_ms, usual_ms, by_pauses, fillers, ellipses_end, keys, ["_offset", *columns])
+    return cues_of_pieces(pieces, least_ms, longest_ms, F.col("_offset"), keys, columns)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,35 +100,94 @@ def near_duplicates(a: str, b: str) -> bool:
     return bool(b) and lo >= 0.6 * hi and ratio(a, b, junk=True) >= 0.8
 
 
-def close_cues(rows: Rows, max_gap: int, max_chars: int, max_ms: int) -> Iterator[dict]:
-    last = None
-    for r in rows:
-        if last:
-            a, b = timed(last["text"]), timed(r["text"])
-            if 0 <= r["start_ms"] - last["end_ms"] < max_gap and len(a) + len(b) <= max_chars and r["end_ms"] - last["start_ms"] <= max_ms and not near_duplicates(a, b):
-                last |= {"text": last["text"].rstrip() + r["text"].lstrip(), "end_ms": r["end_ms"]}
-                if "collapsed" in last:
-                    last["collapsed"] = last["collapsed"] and r["collapsed"]
+def _alike(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """Which rows agree with the row before in some columns, nulls included; the first has none before it."""
+    out = np.ones(batch.num_rows, bool)
+    out[:1] = False
+    for c in columns:
+        a, b = batch.column(c)[1:], batch.column(c)[:-1]
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        out[1:] &= same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _close(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str], reach_ms: int | None, region: Sequence[str] = ()) -> DataFrame:
+    """Neighbours of a group and a region joined (see ``merge_close``). Gaps and lengths are compared for whole batches, so that only cues that may be joined are looked at one by
+    one: an open cue ends where the one before ended, joined or not. One open cue is held from batch to batch."""
+    names, by, schema = df.columns, list(keys), df.schema
+    arrow = to_arrow_schema(schema)
+    if reach_ms is not None:
+        df = islands(df, keys, reach_ms).select(*names, "island_ms")
+        by.append("island_ms")
+
+    def joined(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, int]:
+        """The cues of a batch, and how many of them are done."""
+        start, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start_ms", "end_ms"))
+        gap, span = np.append(-1, start[1:] - end[:-1]), np.append(0, end[1:] - start[:-1])
+        may = _alike(batch, [*by, *region]) & (gap >= 0) & (gap < max_gap) & (span <= max_ms)
+        for c in region:
+            may &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(may)
+        near = np.union1d(at, at - 1)
+        texts = dict(zip(near.tolist(), batch.column("text").take(pa.array(near)).to_pylist()))
+        collapsed = batch.column("collapsed").to_pylist() if "collapsed" in names else None
+        gone, new, head, before = [], {}, -1, -1
+        for k, a, b in zip(at.tolist(), start[at - 1].tolist(), end[at].tolist()):
+            if before != k - 1:  # the cue before is open as it is
+                head, text, first = k - 1, texts[k - 1], a
+                chars = timed(text)
+            before, own = k, texts[k]
+            more = timed(own)
+            if len(chars) + len(more) <= max_chars and b - first <= max_ms and not near_duplicates(chars, more):
+                text = text.rstrip() + own.lstrip()
+                chars = timed(text)
+                new[head] = text, k
+                gone.append(k)
+                if collapsed:
+                    collapsed[head] = collapsed[head] and collapsed[k]
+            else:
+                head, text, chars, first = k, own, more, start[k].item()
+        if new:
+            changed, heads = np.zeros(batch.num_rows, bool), list(new)  # in order
+            changed[heads] = True
+            ends = end.copy()
+            ends[heads] = end[[k for _, k in new.values()]]
+            columns = {"end_ms": pa.array(ends, batch.column("end_ms").type, from_pandas=True), "text": pc.replace_with_mask(batch.column("text"), pa.array(changed), pa.array([x for x, _ in new.values()], batch.column("text").type))}
+            if collapsed:
+                columns["collapsed"] = pa.array(collapsed, batch.column("collapsed").type)
+            batch = pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            stay = np.ones(batch.num_rows, bool)
+            stay[gone] = False
+            batch = batch.filter(pa.array(stay))
+        return batch, batch.num_rows - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        out = lambda b: pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            yield last
-        last = r
-    if last:
-        yield last
+            if held is not None:
+                batch = pa.concat_batches([held, batch.cast(held.schema)])
+            batch, done = joined(batch)
+            if done:
+                yield out(batch.slice(0, done))
+            held = batch.take(pa.array([done]))  # the open cue, copied
+        if held is not None:
+            yield out(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInArrow(run, schema)
 
 
 def merge_close(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Join neighbours less than ``max_gap`` apart within bounds of timed characters and length, but not near duplicates. Null texts are empty."""
-    return folded(texts(df), lambda rows: close_cues(rows, max_gap, max_chars, max_ms), keys, reach(df, max_gap, keys))
-
+    return _close(texts(df), max_gap, max_chars, max_ms, keys, reach(df, max_gap, keys))
 
-def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``merge_close`` within runs of cues of one region (column ``region_ms``); a cue without one stays alone and ends a run."""
-
-    def fold(rows: Rows) -> Iterator[dict]:
-        for region, run in groupby(rows, key=lambda r: r["region_ms"]):
-            yield from run if region is None else close_cues(run, max_gap, max_chars, max_ms)
 
-    return folded(texts(df), fold, keys, reach(df, max_gap, keys))
+def merge_close_in_regions(df: DataFrame, max_gap: int, max_chars: int, max_ms: int, keys: Sequence[str] = KEYS, short: bool = False) -> DataFrame:
+    """``merge_close`` within runs of cues of one region (column ``region_ms``); a cue without one stays alone and ends a run. ``short``: the tracks are known to be short,
+    so they are not looked at beforehand and not cut."""
+    return _close(texts(df), max_gap, max_chars, max_ms, keys, None if short else reach(df, max_gap, keys), ["region_ms"])
 
 
 def same_start_piles(df: DataFrame, tolerance_ms: int = 50, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -27,7 +27,8 @@ def _of(t: DataFrame, chunks: DataFrame, keys: Sequence[str], how: str = "left_s
 
 
 def timing_items(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions: DataFrame, mode: str = MODES[0], frame_native: bool = False, most_ms: float = 500, longest: int = 30, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The items (``pos, word, start_ms, end_ms``) that each chunk (``text``) is timed by.
+    """The items (``pos, word, start_ms, end_ms``) that each chunk (``text``) is timed by; where there is a column ``choice``, those of the least one that the chunk has (``item_times``
+    leaves the others out, so that no items are moved to find out).
 
     ``vad_only``: its characters spread over its speech regions. ``aligner_only``: the raw items where it has any, else the items. ``aligner_fallback``: the items
     where it has any, else the raw ones; if chunks are frames of their own (``frame_native``) and the raw items (or, without any, the items) have faults
@@ -36,16 +37,17 @@ def timing_items(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regi
     if mode not in MODES:
         raise ValueError(f"mode has to be one of {', '.join(MODES)}")
     columns = [*keys, "pos", "word", "start_ms", "end_ms"]
+    ranked = lambda t, k: t.select(*columns, F.lit(k).alias("choice"))
     spread = lambda c: region_characters(c.select(*keys, "text"), regions, keys).select(*keys, F.col("k").alias("pos"), F.col("ch").alias("word"), "start_ms", "end_ms")
     if mode == "vad_only":
         return spread(chunks)
     first, second = (raw_items, items) if mode == "aligner_only" else (items, raw_items)
-    chosen = lambda a, b: a.select(columns).unionByName(_of(b, a, keys, "left_anti").select(columns))
+    chosen = lambda a, b: ranked(a, 0).unionByName(ranked(b, 1))
     picked = chosen(first, second)
     if mode == "aligner_only" or not frame_native:
         return picked
     bad = unit_faults(chunks.select(*keys, "text"), chosen(raw_items, items), most_ms, longest, soft="、…", keys=keys).select(*keys).distinct()
-    return _of(picked, bad, keys, "left_anti").unionByName(spread(_of(chunks, bad, keys)))
+    return _of(picked, bad, keys, "left_anti").unionByName(ranked(spread(_of(chunks, bad, keys)), 0))
 
 
 def replayed(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions: DataFrame, regroup: DataFrame | None = None, mode: str = MODES[0], frame_native: bool = False, context: str = "", most: int = 30, longest_ms: float = 7000, least_ms: float = 500, usual_ms: float = 1500, most_ms: float = 500, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -64,18 +66,20 @@ def replayed(chunks: DataFrame, items: DataFrame, raw_items: DataFrame, regions:
         kept = cues.select(*keys, F.col("piece").cast("long").alias("i"), F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", F.lit(False).alias("collapsed"), *source)
     else:
         own = timing_items(t, items, raw_items, regions, mode, frame_native, most_ms, most, keys)
-        cues = aligned_cues(t.select(*keys, "text", F.col("start_ms").alias("offset_ms")), own, most, longest_ms, 0.0, usual_ms, most_ms, True, not frame_native, not frame_native, keys)
-        c = t.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "keep_lo", "keep_hi", F.col("text").alias("_source"), F.col("start_ms").alias("source_start_ms"), F.col("end_ms").alias("source_end_ms"))
+        source = {"_source": "text", "source_start_ms": "start_ms", "source_end_ms": "end_ms"} if frame_native else {}
+        texts = t.select(*keys, "text", F.col("start_ms").alias("offset_ms"), "keep_lo", "keep_hi", *[F.col(c).alias(n) for n, c in source.items()])
+        kept = aligned_cues(texts, own, most, longest_ms, 0.0, usual_ms, most_ms, True, not frame_native, not frame_native, keys, ["keep_lo", "keep_hi", *source])
         twice = F.col("start_ms") + F.col("end_ms")
-        kept = cues.join(c, same_keys(cues, c, keys, "_c_"))
         kept = kept.filter((twice >= F.coalesce(F.col("keep_lo") * 2, twice)) & (twice < F.coalesce(F.col("keep_hi") * 2, twice + 1)))
         kept = kept.withColumn("end_ms", F.least(F.greatest("end_ms", F.col("start_ms") + least_ms), F.col("start_ms") + longest_ms))
-    kept = kept.select(*keys, F.col("i").alias("pos"), F.round("start_ms").cast("long").alias("start_ms"), F.round("end_ms").cast("long").alias("end_ms"), "text", "collapsed", *[F.when(F.lit(frame_native), F.col(c)).alias(n) for c, n in (("_source", "source_text"), ("source_start_ms", "source_start_ms"), ("source_end_ms", "source_end_ms"))])
+    kind = lambda c: {"source_text": "string"}.get(c) or t.schema[c.removeprefix("source_")].dataType
+    of = [(F.col(c) if frame_native else F.lit(None).cast(kind(n))).alias(n) for c, n in (("_source", "source_text"), ("source_start_ms", "source_start_ms"), ("source_end_ms", "source_end_ms"))]
+    kept = kept.select(*keys, F.col("i").alias("pos"), F.round("start_ms").cast("long").alias("start_ms"), F.round("end_ms").cast("long").alias("end_ms"), "text", "collapsed", *of)
     if frame_native:
         return kept
+    if regroup is None:  # a group is a chunk, whose cues one task has made
+        return merge_close_in_regions(kept.withColumn("region_ms", F.lit(0).cast("long")), usual_ms, most, longest_ms, keys, True).drop("region_ms")
     kept = settled(kept)
-    if regroup is None:
-        return merge_close_in_regions(kept.withColumn("region_ms", F.lit(0).cast("long")), usual_ms, most, longest_ms, keys).drop("region_ms")
     inside = first_region(kept.select(*keys, "pos", "start_ms", "end_ms"), regroup, keys).select(*[F.col(k).alias(f"_f_{k}") for k in (*keys, "pos")], "region_ms")
     alone = _of(kept, regroup, keys, "left_anti").withColumn("region_ms", F.lit(0).cast("long"))
     grouped = _of(kept, regroup, keys)

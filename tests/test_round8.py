@@ -9,6 +9,7 @@ import pytest
 from cueline.functions.fragments import belongs, filler_runs
 from cueline.functions.text import SENTENCE_ENDS, UNTIMED, WHITE_SPACE
 from cueline.operators import cues as cu
+from cueline.operators import folds as fo
 from cueline.operators import signals as sg
 from cueline.operators import units as un
 from cueline.plans.queries import QUERIES
@@ -140,3 +141,50 @@ def test_characters_are_not_moved(spark):
     for name in ("g09_budget_pieces", "g10_without_filler_runs", "g11_aligned_cues", "u08_soft_cues", "a09_unit_faults"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "sequence(" not in plan and "regexp_extract_all" not in plan and "arrays_zip" not in plan, name
+
+
+def test_items_of_the_least_choice(spark):
+    """A chunk with items of the first choice has no others, not even where those have no times."""
+    rows = [(1, 0, 0, "一", 0, 100), (1, 1, 0, "二三", 0, 900), (2, 1, 1, "二", 50, 90), (2, 1, 0, "三", 0, 40), (3, 0, 0, "一", None, 5), (3, 1, 0, "二", 5, 9), (4, 0, 0, "、", 0, 5)]
+    items = spark.createDataFrame(rows, "chunk int, choice int, pos int, word string, start_ms long, end_ms long")
+    got = {r.chunk: (r.ns, r.bases, r.steps) for r in un.item_times(items, 500, ["chunk"]).collect()}
+    assert got[1] == ([1], [0.0], [100.0]) and got[2] == ([1, 1], [0.0, 50.0], [40.0, 40.0]) and got[3][0] == got[4][0] == [0]
+    texts = spark.createDataFrame([(k, "一。二") for k in (1, 2, 3, 4)], "chunk int, text string")
+    for authoritative, want in ((False, [(1, "一。"), (2, "一。"), (2, "二")]), (True, [(1, "一。"), (1, "二"), (2, "一。"), (2, "二")])):
+        tokens = cu.timed_tokens(texts, cu.character_stream(texts, items, 500, authoritative, ["chunk"]), 30, keys=["chunk"])
+        assert sorted((r.chunk, r.shown) for r in tokens.filter("chunk < 3").collect()) == want
+        assert authoritative or not tokens.filter("chunk > 2").count()
+
+
+def test_replayed_moves_each_table_once(spark):
+    """No table is written or looked at on the way, and no join finds out which items count or whose a cue is (before: two jobs, a table of cues, three more joins)."""
+    plan = QUERIES["g16_replayed"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "LeftAnti" not in plan and "cueline/" not in plan
+
+
+@pytest.mark.parametrize("size", ["3", "10000"])
+def test_close_cues_batch_by_batch(spark, size):
+    """Joined cues, held from one batch to the next, against a plain loop."""
+    rnd, rows = random.Random(8), []
+    for track in (None, "a", "b", "c"):
+        at = 0
+        for k in range(120):
+            at += rnd.choice((0, 40, 60, 60, 100, 300))
+            rows.append((track, k, at, at + rnd.choice((30, 50, 400)), rnd.choice(("一", "二三 ", " 四", "五六七。", "", None, "\xa0", "abcd")), rnd.random() < 0.5, rnd.choice((0, 0, 0, 1, None))))
+    names = ["track", "pos", "start_ms", "end_ms", "text", "collapsed", "region_ms"]
+    want, last = [], None
+    for row in sorted(rows, key=lambda r: (r[0] or "", r[2], r[3], r[1])):
+        r = dict(zip(names, row)) | {"text": row[4] or ""}
+        if last and last["track"] == r["track"] and last["region_ms"] == r["region_ms"] is not None and 0 <= r["start_ms"] - last["end_ms"] < 200 and r["end_ms"] - last["start_ms"] <= 1500:
+            a, b = fo.timed(last["text"]), fo.timed(r["text"])
+            if len(a) + len(b) <= 30 and not fo.near_duplicates(a, b):
+                last |= {"text": last["text"].rstrip() + r["text"].lstrip(), "end_ms": r["end_ms"], "collapsed": last["collapsed"] and r["collapsed"]}
+                continue
+        want.append(r)
+        last = r
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = fo.merge_close_in_regions(spark.createDataFrame(rows, "track string, pos int, start_ms long, end_ms long, text string, collapsed boolean, region_ms long"), 200, 30, 1500).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, (r.asDict() for r in got))) == sorted(map(str, want)) and 100 < len(want) < 400
