@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,23 +26,50 @@ def window_texts(segments: DataFrame, cues: DataFrame, pad_ms: int, keys: Sequen
     return found.select(*keys, "pos", F.array_join(F.col("all.b_text"), " ").alias("window_text"))
 
 
-def segment_hits(segments: DataFrame, cues: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:
-    """Segments of enough characters and whether the cues around them share enough of their character pairs."""
+def _shares(segments: DataFrame, runs: DataFrame, of: DataFrame | None, pad_ms: int, least_chars: int, keys: Sequence[str], width: int = 600_000) -> DataFrame:
+    """``run`` (of ``of``, the runs of each track as a list, else one), keys, ``pos``, ``share``: of the character pairs of a segment of enough characters, how many the cues of the run around it
+    have (``window_texts``).
+
+    Segments and cues meet once, in buckets of time, and what lies in one bucket is settled there. Only segments in several buckets, and those that share their ``pos`` (their cues count for
+    each of them), are moved on with their texts.
+    """
+    place = Window.partitionBy(*keys, "pos")
     s = segments.filter(F.length(compact(F.col("text"))) >= F.lit(max(2, least_chars)))
-    t = s.select(*keys, "pos", "text").join(window_texts(s, cues, pad_ms, keys), [*keys, "pos"], "left")
-    return t.select(*keys, "pos", (pair_share("text", "window_text") >= threshold).alias("hit"))
+    s = s.select(*keys, "pos", "text", (F.col("start_ms") - pad_ms).alias("_from"), (F.col("end_ms") + pad_ms + 1).alias("_to"), F.row_number().over(place.orderBy("start_ms", "end_ms", "text")).alias("_k"), F.count(F.lit(1)).over(place).alias("_same"))
+    slot = lambda c: F.floor(c / width)
+    end = lambda a, b: F.greatest(F.col(b), F.col(a) + 1) - 1
+    a = s.withColumn("_whole", F.coalesce((F.col("_same") == 1) & (slot(F.col("_from")) == slot(end("_from", "_to"))), F.lit(False)))
+    a = a.select("*", F.explode_outer(F.sequence(slot(F.col("_from")), slot(end("_from", "_to")))).alias("_bucket"))
+    b = runs.select(F.col("run").alias("_run"), *[F.col(k).alias(f"_b_{k}") for k in keys], F.col("pos").alias("_b_pos"), F.col("text").alias("_b_text"), F.col("start_ms").alias("_b_from"), (F.col("end_ms") + 1).alias("_b_to"))
+    b = b.select("*", F.explode(F.sequence(slot(F.col("_b_from")), slot(end("_b_from", "_b_to")))).alias("_b_bucket"))
+    on = reduce(lambda c, k: c & (a[k] == b[f"_b_{k}"]), keys, (a["_bucket"] == b["_b_bucket"]) & (F.col("_from") < F.col("_b_to")) & (F.col("_b_from") < F.col("_to")))
+    t = a.join(b, on & (F.col("_bucket") == slot(F.greatest("_from", "_b_from"))), "left")
+    cue = F.when(F.col("_b_bucket").isNotNull() & F.col("_run").isNotNull(), F.struct("_b_from", "_b_pos", "_b_text"))
+    t = t.groupBy(*keys, "_bucket", "pos", "_k", "_run").agg(F.first("text").alias("text"), F.first("_whole").alias("_whole"), F.collect_list(cue).alias("_cues"))
+    words = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["_b_text"]), " ")
+    there, whole = F.size("_cues") > 0, F.col("_whole")
+    share = pair_share(F.when(whole & there, F.col("text")), F.when(whole & there, words(F.col("_cues"))))
+    t = t.select(*keys, "pos", F.when(whole & there, F.struct(F.col("_run").alias("run"), share.alias("share"))).alias("_s"), F.when(~whole, F.struct("_k", "text")).alias("_t"), F.when(~whole & there, F.struct(F.col("_run").alias("run"), F.col("_cues").alias("cues"))).alias("_p"))
+    t = t.groupBy(*keys, "pos").agg(F.collect_list("_s").alias("_s"), F.collect_set("_t").alias("_t"), F.collect_list("_p").alias("_p"))
+    t = t.withColumn("_runs", F.array(F.struct(F.lit("").alias("run")))) if of is None else t.join(of, list(keys))
+    t = t.select(*keys, "pos", "_s", "_t", "_p", F.explode("_runs.run").alias("run"))
+    own = lambda c: F.filter(c, lambda x: x["run"] == F.col("run"))
+    t = t.select("run", *keys, "pos", F.get(own("_s"), F.lit(0))["share"].alias("_share"), F.flatten(own("_p")["cues"]).alias("_cues"), F.explode_outer("_t").alias("_t"))
+    late = pair_share(F.col("_t.text"), F.when(F.col("_t").isNotNull(), words(F.col("_cues"))))
+    return t.select("run", *keys, "pos", F.when(F.col("_t").isNull(), F.coalesce("_share", F.lit(0.0))).otherwise(late).alias("share"))
 
 
 def recall(segments: DataFrame, cues: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:
-    """Per track: segments, those hit, and the first one missed."""
-    t = segment_hits(segments, cues, pad_ms, threshold, least_chars, keys)
+    """Per track: segments of enough characters, those hit (the cues around them share enough of their character pairs), and the first one missed."""
+    t = _shares(segments, cues.withColumn("run", F.lit("")), None, pad_ms, least_chars, keys).withColumn("hit", F.col("share") >= threshold)
     return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("segments"), F.count_if("hit").alias("hits"), F.min(F.when(~F.col("hit"), F.col("pos"))).alias("first_missed"))
 
 
 def run_hits(segments: DataFrame, runs: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:
-    """``segment_hits`` against every run of ``runs`` (cues with a column ``run``) that has the segment's track."""
-    each = segments.join(runs.select("run", *keys).distinct(), list(keys))
-    return segment_hits(each, runs, pad_ms, threshold, least_chars, ["run", *keys])
+    """Segments of enough characters and whether the cues around them share enough of their character pairs: ``run``, keys, ``pos``, ``hit``, for every run of ``runs`` (cues with a
+    column ``run``) that has the segment's track."""
+    of = runs.select("run", *keys).distinct().groupBy(*keys).agg(F.collect_list(F.struct("run")).alias("_runs"))
+    return _shares(segments, runs, of, pad_ms, least_chars, keys).select("run", *keys, "pos", (F.col("share") >= threshold).alias("hit"))
 
 
 def consensus(segments: DataFrame, runs: DataFrame, pad_ms: int, threshold: float, least_chars: int, keys: Sequence[str] = TRACK) -> DataFrame:

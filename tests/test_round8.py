@@ -11,6 +11,7 @@ from cueline.functions.fragments import belongs, filler_runs
 from cueline.functions.text import SENTENCE_ENDS, UNTIMED, WHITE_SPACE
 from cueline.operators import cues as cu
 from cueline.operators import folds as fo
+from cueline.operators import runs as rn
 from cueline.operators import signals as sg
 from cueline.operators import units as un
 from cueline.plans.queries import ORACLES, QUERIES
@@ -206,3 +207,45 @@ def test_lines_as_words_move_once(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, QUERIES["w16_item_characters"](spark, str(tmp_path)).collect()), key=str)
     assert got == by_sql("w16_item_characters", tmp_path, "documents") and any(r[0] is None for r in got)
+
+
+def bigrams(text):
+    c = re.sub("[\x20\x09-\x0d　]+", "", text)
+    return {c[k : k + 2] for k in range(len(c) - 1)}
+
+
+def test_hits_are_settled_in_their_bucket(spark):
+    """Segments within a bucket of time, across buckets, with the same number, without cues, without a track or a time, against plain loops."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abc　 d") for _ in range(rnd.choice((1, 4, 9, 30))))
+    when = lambda: (lambda a: (a, a + rnd.choice((0, 500, 8000, 700_000))))(rnd.choice((0, 599_000, 1_199_900, rnd.randrange(2_000_000))))
+    segments = [(rnd.choice((1, 2, 3, None)), rnd.choice((k, k, k // 2)), *when(), word()) for k in range(150)] + [(1, 900, None, None, "abcd"), (9, 1, 0, 10, "abcd")]
+    segments += segments[:3]
+    runs = [(rnd.choice(("x", "y", None)), rnd.choice((1, 2, None)), k, *when(), rnd.choice((word(), word(), None))) for k in range(200)] + [("y", 3, 1, 0, 10, "ab"), ("z", 3, 1, 9_000_000, 9_000_010, "ab")]
+    s = spark.createDataFrame(segments, "track int, pos int, start_ms long, end_ms long, text string")
+    r = spark.createDataFrame(runs, "run string, track int, pos int, start_ms long, end_ms long, text string")
+    enough = [x for x in segments if len(re.sub("[\x20\x09-\x0d　]+", "", x[4])) >= 4]
+
+    def share(run, seg):
+        near = [(c[3], c[2], c[5]) for x in enough if x[:2] == seg[:2] and x[2] is not None for c in runs if None not in (run, seg[0]) and c[:2] == (run, seg[0]) and c[4] >= x[2] - 500 and c[3] <= x[3] + 500]
+        text = " ".join(t for *_, t in sorted(near, key=lambda c: (c[0], c[1], c[2] or "")) if t is not None)
+        own = bigrams(seg[4])
+        return len(own & bigrams(text)) / len(own)
+
+    want = sorted(((run, *seg[:2], share(run, seg) >= 0.5) for seg in enough for run in {c[0] for c in runs if c[1] == seg[0] and seg[0] is not None}), key=str)
+    got = sorted(map(tuple, rn.run_hits(s, r, 500, 0.5, 4).collect()), key=str)
+    assert got == want and 20 < sum(x[3] for x in got) < len(got) - 20
+    one = [c for c in runs if c[0] == "x"]
+    runs = one
+    tracks = {}
+    for seg in enough:
+        tracks.setdefault(seg[0], []).append((seg[1], share("x", seg) >= 0.5))
+    want = [(k, len(v), sum(h for _, h in v), min((p for p, h in v if not h), default=None)) for k, v in tracks.items()]
+    assert sorted(map(tuple, rn.recall(s, r.filter("run = 'x'"), 500, 0.5, 4).collect()), key=str) == sorted(want, key=str)
+
+
+def test_hits_meet_texts_once(spark):
+    """Segments and cues meet in one join, and no list of cues is moved with a text that is settled (before: a join to find cues, texts moved by number, and a join back)."""
+    for name, joins in (("j08_consensus", 2), ("j07_recall", 1)):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"\bJoin ", plan)) <= joins, name
